@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import saved, table
+from auditframe.llm.common import held_out, saved, table
+
+#: The key of the registered pseudonym query; a deployment passes its own secret.
+KEY = "registered-query-key"
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +32,15 @@ def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    scored = score(docs, net)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.llm.simhash import fingerprints, near_groups
 
@@ -50,7 +62,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op6_simhash, op8_packing, op9_token_counts)}
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.privacy import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op4_quality, op6_simhash, op8_packing, op9_token_counts, op10_pseudonyms)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
