@@ -32,6 +32,12 @@ def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.vector_links import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.9)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.llm.quality import fit, score
 
@@ -41,6 +47,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.curve_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.llm.simhash import fingerprints, near_groups
 
@@ -69,7 +81,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op4_quality, op6_simhash, op8_packing, op9_token_counts, op10_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op8_packing, op9_token_counts, op10_pseudonyms)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
