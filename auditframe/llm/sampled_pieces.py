@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from auditframe.llm.pieces import SPACE, PieceTable, piece_table
 
-#: Characters handled together.
-BLOCK = 8_000_000
+#: Characters handled together, words whose lattices are built together, and lattice edges that a
+#: worker remembers before it starts anew.
+BLOCK, LEARNT, REMEMBERED = 1_500_000, 30_000, 5_000_000
 
 
 class Trie:
@@ -68,7 +70,7 @@ class Trie:
 
 
 class Lattices:
-    """The lattices of many words behind one another, filtered forward.
+    """The lattices of new words behind one another, filtered forward.
 
     Word w has the nodes first[w] to first[w + 1] - 1, of which the first has no edges. Edges are
     in the order of the nodes that they lead into; ``order_key`` is that node plus the cumulative
@@ -156,6 +158,26 @@ class Sampler:
         self.table, self.alpha, self.seed = piece_table(model_path), alpha, seed
         self.weight = log_weights(self.table, offset)
         self.trie = trie(model_path)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Lattices of all known words behind one another: see ``Lattices`` for the arrays."""
+        self.number: dict[str, int] = {}
+        self.first, self.last = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.order_key, self.source = np.zeros(0), np.zeros(0, dtype=np.int32)
+        self.list_at, self.list_n = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int8)
+        self.pieces = np.arange(self.table.n, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        new = Lattices(words, self)
+        nodes, edges, spelled = int(self.first[-1]), len(self.source), len(self.pieces) - self.table.n
+        self.first = np.concatenate([self.first, new.first[1:] + nodes])
+        self.last = np.concatenate([self.last, (new.last + edges).astype(np.int32)])
+        self.order_key = np.concatenate([self.order_key, new.order_key + nodes])
+        self.source = np.concatenate([self.source, (new.source + nodes).astype(np.int32)])
+        self.list_at = np.concatenate([self.list_at, (new.list_at + np.where(new.list_at >= self.table.n, spelled, 0)).astype(np.int32)])
+        self.list_n = np.concatenate([self.list_n, new.list_n.astype(np.int8)])
+        self.pieces = np.concatenate([self.pieces, new.pieces[self.table.n :]])
 
     def encode(self, keys: list, texts: list) -> list[np.ndarray]:
         words, owner_n, seeds = [], [], []
@@ -167,10 +189,16 @@ class Sampler:
         owner_n = np.array(owner_n, dtype=np.int64)
         if not words:
             return [np.zeros(0, dtype=np.int32) for _ in texts]
-        number: dict[str, int] = {}
-        word_of = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
-        lat = Lattices(list(number), self)
-        at, floor = lat.first[word_of + 1] - 1, lat.first[word_of]
+        if len(self.source) > REMEMBERED:
+            self._forget()
+        known = len(self.number)
+        for word in words:
+            if word not in self.number:
+                self.number[word] = len(self.number)
+        word_of = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        for begin in range(known, len(self.number), LEARNT):
+            self._learn(list(islice(self.number, begin, begin + LEARNT)))
+        at, floor = self.first[word_of + 1] - 1, self.first[word_of]
         place = np.arange(len(words)) - np.repeat(np.cumsum(owner_n) - owner_n, owner_n)
         state = _mixed(np.repeat(np.array(seeds, dtype=np.uint64), owner_n) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live, step = np.argsort(word_of, kind="stable"), 0  # by word, so that neighbours read neighbouring edges
@@ -178,11 +206,11 @@ class Sampler:
         while len(live):
             u = (_mixed(state[live] + np.uint64(step)) >> np.uint64(11)).astype(float) * 2.0**-53
             node = at[live]
-            edge = np.searchsorted(lat.order_key, node + u, side="right")
-            edge = np.minimum(edge, lat.last[node])  # rounding at a node's upper end
+            edge = np.searchsorted(self.order_key, node + u, side="right")
+            edge = np.minimum(edge, self.last[node])  # rounding at a node's upper end
             taken_word.append(live)
             taken_edge.append(edge)
-            at[live] = lat.source[edge]
+            at[live] = self.source[edge]
             live = live[at[live] > floor[live]]
             step += 1
         # Step 0 drew the last edge of each word, so an edge's place counts from its word's end.
@@ -193,9 +221,9 @@ class Sampler:
         for back, (own, edge) in enumerate(zip(taken_word, taken_edge, strict=True)):
             ordered[word_end[own] - 1 - back] = edge
         taken_word, taken_edge = np.repeat(np.arange(len(words)), drawn), ordered
-        counts = lat.list_n[taken_edge]
-        out = np.repeat(lat.list_at[taken_edge] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        ids = lat.pieces[out]
+        counts = self.list_n[taken_edge].astype(np.int64)
+        out = np.repeat(self.list_at[taken_edge] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        ids = self.pieces[out]
         row_of = np.repeat(np.arange(len(texts)), owner_n)[taken_word]
         per_row = np.bincount(row_of, weights=counts, minlength=len(texts)).astype(np.int64)
         return np.split(ids, np.cumsum(per_row)[:-1])
