@@ -179,10 +179,11 @@ def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value, or the value where it is not valid."""
     out = F.when(F.lit(False), value)
     for kind, pattern in KINDS.items():
-        bare = pattern.split(")", 1)[1] if kind not in ("phone", "card") else pattern
+        bare = pattern.split(")", 1)[1]  # without what stands before
         shape = {
             "phone": r"(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
             "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+            "assigned": r"[A-Za-z0-9_./+-]{6,128}",
         }.get(kind, bare)
         out = out.when(value.rlike(f"^(?:{shape})$"), MAKERS[kind](value, key))
     return out.otherwise(value)
