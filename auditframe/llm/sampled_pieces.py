@@ -17,6 +17,8 @@ key counts as the key "". Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -35,11 +37,15 @@ BLOCK, LEARNT, REMEMBERED = 1_500_000, 30_000, 5_000_000
 
 
 class Trie:
-    """The pieces as a trie in sorted arrays: (node, character) leads to a child."""
+    """The pieces as a trie: a table of children for common characters, sorted arrays for the rest."""
 
-    def __init__(self, table: PieceTable):
+    def __init__(self, table: PieceTable, common: int = 127):
         child: dict[tuple[int, int], int] = {}
         piece = [-1]
+        uses = Counter(c for text in table.ids for c in text)
+        top = [ord(c) for c, _ in uses.most_common(common)]
+        self.code = np.zeros(0x110000, dtype=np.uint8)
+        self.code[top] = np.arange(1, len(top) + 1)
         for text, i in table.ids.items():
             at = 0
             for c in map(ord, text):
@@ -48,22 +54,33 @@ class Trie:
                     piece.append(-1)
                 at = child[at, c]
             piece[at] = i
-        keys = np.array([(a << 21) | c for a, c in child], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.fromiter(child.values(), dtype=np.int64)[order]
         self.piece = np.array(piece, dtype=np.int64)
+        parent, char = np.array(list(child), dtype=np.int64).T
+        own = np.fromiter(child.values(), dtype=np.int64)
+        self.step = np.full((len(piece), common + 1), -1, dtype=np.int32)
+        coded = self.code[char] > 0
+        self.step[parent[coded], self.code[char[coded]]] = own[coded]
+        keys = (parent[~coded] << 21) | char[~coded]
+        order = np.argsort(keys)
+        self.keys, self.child = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[own[~coded][order], -1]
 
     def matches(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and piece of every piece in the text; room: characters left in the word."""
+        code = self.code[chars]
         found, node, start, depth = [], np.zeros(len(chars), dtype=np.int64), np.arange(len(chars)), 0
         while len(start):
-            keys = (node << 21) | chars[start + depth]
-            at = np.searchsorted(self.keys, keys)
-            at[at == len(self.keys)] = 0
-            ok = self.keys[at] == keys
-            start, node, depth = start[ok], self.child[at[ok]], depth + 1
-            whole = self.piece[node] >= 0
-            found.append((start[whole], np.full(int(whole.sum()), depth), self.piece[node[whole]]))
+            seen = code[start + depth]
+            after = self.step[node, seen].astype(np.int64)
+            rare = np.flatnonzero(seen == 0)
+            if len(rare):
+                keys = (node[rare] << 21) | chars[start[rare] + depth]
+                at = np.searchsorted(self.keys, keys)
+                after[rare] = np.where(self.keys[at] == keys, self.child[at], -1)
+            ok = after >= 0
+            start, node, depth = start[ok], after[ok], depth + 1
+            own = self.piece[node]
+            whole = own >= 0
+            found.append((start[whole], np.full(int(whole.sum()), depth), own[whole]))
             more = room[start] > depth
             start, node = start[more], node[more]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -105,9 +122,13 @@ class Lattices:
         order = np.argsort(into, kind="stable")
         self.source, self.into, logs = source[order], into[order], logs[order]
         self.list_at, self.list_n = list_at[order], list_n[order]
-        self._filter(logs)
+        # Short words can do without logarithms; a factor for each character, equal for all their
+        # segmentations, keeps the products in range.
+        self.plain = int(lengths.max()) <= 64
+        weights = np.exp(logs + math.log(30) * (self.into - self.source)) if self.plain else logs
+        self._filter(weights)
 
-    def _filter(self, logs: np.ndarray) -> None:
+    def _filter(self, weights: np.ndarray) -> None:
         nodes, into = int(self.first[-1]), self.into
         begins = np.flatnonzero(np.r_[True, into[1:] != into[:-1]])
         counts = np.diff(np.r_[begins, len(into)])
@@ -116,17 +137,22 @@ class Lattices:
         depth = into[begins] - self.first[np.searchsorted(self.first, into[begins], side="right") - 1]
         by_depth = np.argsort(depth, kind="stable")
         bounds = np.flatnonzero(np.r_[True, np.diff(depth[by_depth]) != 0])
-        alpha, share = np.zeros(nodes), np.empty(len(into))
+        alpha, share = (np.ones if self.plain else np.zeros)(nodes), np.empty(len(into))
         for lo, hi in zip(bounds, np.r_[bounds[1:], len(by_depth)], strict=True):
             group = by_depth[lo:hi]
             n = counts[group]
             heads = np.cumsum(n) - n
             edge = np.repeat(begins[group] - heads, n) + np.arange(n.sum())
-            value = logs[edge] + alpha[self.source[edge]]
-            top = np.maximum.reduceat(value, heads)
-            value = np.exp(value - np.repeat(top, n))
-            total = np.add.reduceat(value, heads)
-            alpha[into[begins[group]]] = top + np.log(total)
+            if self.plain:
+                value = weights[edge] * alpha[self.source[edge]]
+                total = np.add.reduceat(value, heads)
+                alpha[into[begins[group]]] = total
+            else:
+                value = weights[edge] + alpha[self.source[edge]]
+                top = np.maximum.reduceat(value, heads)
+                value = np.exp(value - np.repeat(top, n))
+                total = np.add.reduceat(value, heads)
+                alpha[into[begins[group]]] = top + np.log(total)
             share[edge] = value / np.repeat(total, n)
         running = np.cumsum(share)
         before = np.repeat(running[begins] - share[begins], counts)
@@ -153,6 +179,14 @@ def row_seed(key: object, seed: int) -> int:
     return xxhash.xxh64_intdigest("" if key is None else str(key), seed)
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Sampler:
     def __init__(self, model_path: str, alpha: float, offset: float, seed: int):
         self.table, self.alpha, self.seed = piece_table(model_path), alpha, seed
@@ -162,7 +196,7 @@ class Sampler:
 
     def _forget(self) -> None:
         """Lattices of all known words behind one another: see ``Lattices`` for the arrays."""
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.first, self.last = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self.order_key, self.source = np.zeros(0), np.zeros(0, dtype=np.int32)
         self.list_at, self.list_n = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int8)
@@ -192,9 +226,6 @@ class Sampler:
         if len(self.source) > REMEMBERED:
             self._forget()
         known = len(self.number)
-        for word in words:
-            if word not in self.number:
-                self.number[word] = len(self.number)
         word_of = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         for begin in range(known, len(self.number), LEARNT):
             self._learn(list(islice(self.number, begin, begin + LEARNT)))
