@@ -162,7 +162,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             texts, scores, first = batch[text_col].tolist(), [], 0
             while first < len(texts):
                 size, end = 0, first
-                while end < len(texts) and (end == first or size < 4_000_000):
+                while end < len(texts) and (end == first or size < 1_000_000):
                     size += len(texts[end] or "")
                     end += 1
                 scores.append(net.score(texts[first:end]))
