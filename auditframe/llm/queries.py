@@ -61,6 +61,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.repeats import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=200).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_bytes",
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.llm.packing import pack
 
@@ -81,7 +94,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op8_packing, op9_token_counts, op10_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op7_repeats, op8_packing, op9_token_counts, op10_pseudonyms)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
