@@ -32,6 +32,14 @@ def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.katz import katz_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = katz_scores(docs, ~held_out("doc_id", 10, 0))
+    return scores.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.llm.vector_links import linked_vectors
 
@@ -94,7 +102,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op7_repeats, op8_packing, op9_token_counts, op10_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op2_katz, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op7_repeats, op8_packing, op9_token_counts, op10_pseudonyms)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
