@@ -14,6 +14,7 @@ Nulls and texts without a word have fingerprint 0 and link with one another like
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from auditframe.llm.common import saved
 from auditframe.llm.components import components
+from auditframe.llm.repeats import _known, gram_filter
 
 #: Groups of up to so many rows give all their linked pairs.
 SMALL = 48
@@ -88,7 +90,8 @@ def variants(reps: DataFrame, columns: list[str], max_bits: int) -> DataFrame:
 
 
 def _distance(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b, strict=True)]
+    # Unsigned: numpy counts the bits of a signed number's absolute value.
+    return [np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) for x, y in zip(a, b, strict=True)]
 
 
 def _near(parts: list[np.ndarray], max_bits: int, max_total: int) -> np.ndarray:
@@ -169,3 +172,56 @@ def near_groups(prints: DataFrame, id_col: str, columns: list[str], max_bits: in
     found = components(near_links(reps, columns, max_bits, max_total))
     of_rep = reps.join(found, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id"))
     return prints.join(of_rep, columns)
+
+
+def least_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), max_bits: int = 9, max_total: int = 42) -> DataFrame:
+    """``id_col`` (long) of one document of each group of near copies, and of all others.
+
+    Near: the sets of word shingles have a Jaccard similarity of at least ``similarity``. In the order
+    of ids a document goes if one that stays is near it, so no two that stay are near among those
+    that fingerprints bring together. Fingerprints are the candidates, exact similarity decides. Texts
+    without a word are near one another. Ids are distinct; null ids are not returned.
+    """
+    columns = [f"fp{n}" for n in range(len(seeds))]
+    prints = saved(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words=words, seeds=seeds), "prints")
+    # Texts with equal fingerprints throughout are one candidate; the least id is enough of them only
+    # if their shingles are equal too, so all are verified below.
+    groups = saved(near_groups(prints, id_col, columns, max_bits, max_total).select(F.col(id_col).alias("id"), F.col("component_id").alias("group")), "groups")
+    several = saved(groups.groupBy("group").count().where("count > 1").select("group"), "several")
+    members = saved(groups.join(several, "group"), "members")
+    known = gram_filter(members.select(F.xxhash64("id").alias("h")), 1 << 26)
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Distinct shingles of the texts that may be members."""
+        for batch in batches:
+            own = batch[_known(known, batch["h"].to_numpy())]
+            yield pd.DataFrame({"id": own["id"], "shingles": [np.unique(shingle_hashes(t, words, seeds[0])).view(np.int64) for t in own["text"]]})
+
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    sets = source.mapInPandas(shingled, "id long, shingles array<long>")
+    # Equal sets in a group need only their least id, whatever their number.
+    distinct = members.join(sets, "id").groupBy("group", F.sha2(F.concat_ws(",", F.transform("shingles", lambda x: x.cast("string"))), 256).alias("digest"))
+    distinct = distinct.agg(F.min_by("shingles", "id").alias("shingles"), F.min("id").alias("id"))
+    ordered = distinct.repartition("group").sortWithinPartitions("group", "id").select("group", "id", "shingles")
+    heads = ordered.mapInPandas(lambda batches: _leaders(batches, similarity), "id long")
+    alone = groups.join(several, "group", "left_anti").select("id")
+    return alone.unionByName(heads).select(F.col("id").alias(id_col))
+
+
+def _leaders(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Rows in the order of group and id: ids that are near no earlier one which stays."""
+    group, holders, sizes = None, {}, []
+    for batch in batches:
+        kept = []
+        for own, key, shingles in zip(batch["group"], batch["id"], batch["shingles"], strict=True):
+            if own != group:
+                group, holders, sizes = own, {}, []
+            mine = shingles.tolist()
+            shared = Counter(leader for x in mine for leader in holders.get(x, ()))
+            if any(n >= similarity * (len(mine) + sizes[leader] - n) for leader, n in shared.items()) or (not mine and 0 in sizes):
+                continue
+            for x in mine:
+                holders.setdefault(x, []).append(len(sizes))
+            sizes.append(len(mine))
+            kept.append(key)
+        yield pd.DataFrame({"id": np.array(kept, dtype=np.int64)})
