@@ -23,13 +23,17 @@ def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     encoded = sample_encode(table(spark, sf_dir, "documents"), model, seed=1)
     text = F.coalesce("text", F.lit(""))
-    return decode(encoded, model).select(
+    described = encoded.select(
         "doc_id",
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.size("piece_ids").cast("long").alias("n_pieces"),
         F.xxhash64("piece_ids").alias("ids_hash"),
-        (F.col("decoded") == text).alias("lossless"),
+        F.xxhash64(text).alias("text_hash"),
+        "piece_ids",
     )
+    back = decode(described, model)
+    same = (F.xxhash64("decoded") == F.col("text_hash")) & (F.octet_length("decoded") == F.col("n_bytes"))
+    return back.select("doc_id", "n_bytes", "n_pieces", "ids_hash", same.alias("lossless"))
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

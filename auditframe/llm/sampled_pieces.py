@@ -310,7 +310,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         back = decoder(piece_table(model_path))
         for batch in batches:
-            yield batch.assign(decoded=[back(x) for x in batch["piece_ids"]])
+            yield batch.assign(decoded=[back(x) for x in batch["piece_ids"]]).drop(columns="piece_ids")
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "piece_ids")
     return encoded.mapInPandas(run, schema + ", decoded string")
