@@ -1,4 +1,8 @@
-"""Named queries over the test tables with their SQL for DuckDB."""
+"""Named queries over the test tables with their SQL for DuckDB.
+
+Each query is a function of (spark, sf_dir); ``query`` registers it with its SQL. Numbers that come out
+of sums of fractions are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
@@ -20,12 +24,18 @@ def query(sql: str | None = None):
     return add
 
 
-@query(
-    """SELECT label, dim, avg(x) AS mean, stddev_pop(x) AS std, max(x) AS max FROM (
-         SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
-       GROUP BY label, dim"""
-)
-def pooled_vectors(spark, sf_dir):
-    long = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.posexplode("embedding").alias("dim", "x"))
-    x = F.col("x").cast("double")
-    return long.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.max(x).alias("max"))
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(c):
+    """Rounded to six places; no negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+#: SQL of the same.
+def sql_six(e: str) -> str:
+    return f"(round({e}, 6) + 0.0)"
+
+
+from auditframe.plans import metric_queries, relational_queries, statistic_queries, vector_queries  # noqa: E402, F401
