@@ -96,13 +96,14 @@ def matched_pairs(df: DataFrame, keys: list[str], unit: str, label: str, caliper
     return parts.groupBy(*keys, "part").applyInPandas(match, f"zero {kind}, one {kind}, distance double")
 
 
-def pruned_pairs(pairs: DataFrame, values: DataFrame, unit: str, columns: list[str], target: float = 0.10, least_share: float = 0.4) -> DataFrame:
+def pruned_pairs(pairs: DataFrame, values: DataFrame, unit: str, columns: list[str], target: float = 0.10, least_share: float = 0.4, most: int = 5000) -> DataFrame:
     """Pairs left when those that drive imbalance are removed one at a time.
 
     A pair goes if that lowers the greatest absolute standardised difference most, until ``target`` is
-    reached, nothing is gained or only ``least_share`` of the pairs are left. Only the matched pairs of
-    one partition come together.
+    reached, nothing is gained or only ``least_share`` of the pairs are left. More than ``most`` pairs are
+    dealt over blocks by a hash and each block is balanced on its own, so no task holds them all.
     """
+    names = pairs.columns
     side = {c: values.select(F.col(unit).alias(c), F.array(*(F.col(x).cast("double") for x in columns)).alias(f"x_{c}")) for c in ("zero", "one")}
     rows = pairs.join(side["zero"], "zero").join(side["one"], "one")
 
@@ -128,9 +129,10 @@ def pruned_pairs(pairs: DataFrame, values: DataFrame, unit: str, columns: list[s
             if trial[best] >= now - 1e-9:
                 break
             live[np.flatnonzero(live)[best]] = False
-        return group.loc[live, list(pairs.columns)]
+        return group.loc[live, names]
 
-    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(prune, pairs.schema)
+    blocks = math.ceil(pairs.count() / most) or 1
+    return rows.groupBy(F.pmod(F.xxhash64("zero", "one"), F.lit(blocks)).alias("block")).applyInPandas(prune, pairs.schema)
 
 
 def residuals(df: DataFrame, unit: str, covariates: list[str], outputs: DataFrame, train) -> DataFrame:

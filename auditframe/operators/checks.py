@@ -49,14 +49,17 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: float = 0.95) -> DataFrame:
-    """Pairs of different classes whose sets of grams have a cosine of at least ``least``.
+    """Pairs of sets of different classes that have a cosine of at least ``least``.
+
+    A set stands for all rows that have it: ``one`` and ``zero`` are their least keys, ``ones`` and
+    ``zeros`` their numbers; copies are never expanded into pairs.
 
     Sets of size n and m can only reach it if they share at least least**2 of the larger; so with grams
     in an order from rare to frequent, they share one among the first n - ceil(least**2 * n) + 1 of
     each. Only those are joined on; equal sets are joined as one.
     """
     sets = df.select(key, label, F.array_sort(F.array_distinct(grams)).alias("g")).where(F.size("g") > 0)
-    distinct = sets.groupBy("g", label).agg(F.collect_list(key).alias("members")).withColumn("set", F.xxhash64("g", label))
+    distinct = sets.groupBy("g", label).agg(F.min(key).alias("member"), F.count("*").alias("copies")).withColumn("set", F.xxhash64("g", label))
     each = distinct.select("set", label, F.size("g").alias("n"), F.explode("g").alias("gram"))
     frequency = each.groupBy("gram").agg(F.count("*").alias("f"))
     ordered = each.join(frequency, "gram").groupBy("set", label, "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("g"))
@@ -65,7 +68,7 @@ def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: floa
     one, zero = (prefix.where(F.col(label) == c).select("gram", F.col("set").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in (1, 0))
     near_size = (F.col("n1") * (least * least) <= F.col("n0") + 1e-9) & (F.col("n0") * (least * least) <= F.col("n1") + 1e-9)
     candidates = one.join(zero, "gram").where(near_size).select("s1", "s0").distinct()
-    a, b = (distinct.select(F.col("set").alias(f"s{c}"), F.col("g").alias(f"g{c}"), F.col("members").alias(f"m{c}")) for c in (1, 0))
+    a, b = (distinct.select(F.col("set").alias(f"s{c}"), F.col("g").alias(f"g{c}"), F.col("member").alias(("zero", "one")[c]), F.col("copies").alias(("zeros", "ones")[c])) for c in (1, 0))
     cosine = F.size(F.array_intersect("g1", "g0")) / F.sqrt(F.size("g1").cast("double") * F.size("g0"))
     verified = candidates.join(a, "s1").join(b, "s0").withColumn("cosine", cosine).where(F.col("cosine") >= least - 1e-12)
-    return verified.select(F.explode("m1").alias("one"), "m0", "cosine").select("one", F.explode("m0").alias("zero"), "cosine")
+    return verified.select("one", "zero", "ones", "zeros", "cosine")

@@ -14,7 +14,7 @@ POINTS = f"""(SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDE
     FROM (SELECT p, sum(y) AS pos, count(*) AS n FROM {SCORED} GROUP BY p))"""
 RANKED = f"(SELECT s, y, p, rank() OVER (PARTITION BY s ORDER BY p) + (count(*) OVER (PARTITION BY s, p) - 1) / 2.0 AS r FROM {SCORED})"
 EDGES = "[0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]"
-BIN = f"least(len(list_filter({EDGES}, e -> e <= p)), 9)"
+BIN = f"least(len(list_filter({EDGES}, lambda e: e <= p)), 9)"
 
 
 def scored(spark, sf):
