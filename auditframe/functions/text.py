@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,10 @@ def entropy(fractions: list[Column]) -> Column:
 
 
 def grams(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams."""
-    last = F.length(text) - n
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
-    )
+    """Distinct character n-grams, from n shifted lists of characters: linear in the text's length."""
+    chars, count = F.split(text, ""), F.greatest(F.length(text) - n + 1, F.lit(0))
+    shifted = [F.slice(chars, F.lit(i + 1), count) for i in range(n)]
+    return F.array_distinct(reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), shifted))
 
 
 def json_list(text: Column, kind: str = "array<string>") -> Column:
