@@ -40,7 +40,7 @@ KINDS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![./-]?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
     "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[ .-])[0-9]{3}[ .-]|(?<![0-9+ .-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!-?[0-9])",
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
+    "card": r"(?<![0-9])(?<![0-9]-)(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19})(?!-?[0-9])|(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
     "assigned": r"(?<=(?:password|passwd|secret|token|api_key|apikey)=)[A-Za-z0-9_./+-]{6,128}",
 }
 ANY = "|".join(KINDS.values())

@@ -1,0 +1,258 @@
+"""Language model, classifier, vectors and pseudonyms against brute force."""
+
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from auditframe.llm import curve_search, katz, privacy, quality, queries, vector_links  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def crc(i) -> int:
+    return zlib.crc32(str(i).encode())
+
+
+def tokens(text):
+    return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + [" end"]
+
+
+class Katz:
+    """The model of the module's text, in dictionaries."""
+
+    def __init__(self, training, k=5, tail=0.1):
+        self.one, self.two, self.history = {}, {}, {}
+        for text in training:
+            before = " start"
+            for w in tokens(text):
+                self.one[w] = self.one.get(w, 0) + 1
+                self.two[before, w] = self.two.get((before, w), 0) + 1
+                self.history[before] = self.history.get(before, 0) + 1
+                before = w
+        self.n = sum(self.one.values())
+        stars = []
+        for counts in (self.one, self.two):
+            few = {}
+            for c in counts.values():
+                few[c] = few.get(c, 0) + 1
+            small = katz.discounted(few, k, tail)
+            stars.append(lambda c, small=small: small[c] if c <= k else c - tail)
+        self.p1 = {w: stars[0](c) / self.n for w, c in self.one.items()}
+        self.unseen = 1 - sum(self.p1.values())
+        self.p2 = {pair: stars[1](c) / self.history[pair[0]] for pair, c in self.two.items()}
+        kept, lower = {}, {}
+        for (h, w), p in self.p2.items():
+            kept[h], lower[h] = kept.get(h, 0) + p, lower.get(h, 0) + self.p1[w]
+        self.alpha = {h: (1 - kept[h]) / (1 - lower[h]) for h in kept}
+
+    def p(self, w, h):
+        return self.p2[h, w] if (h, w) in self.p2 else self.alpha.get(h, 1.0) * self.p1.get(w, self.unseen)
+
+    def score(self, text):
+        before, total = " start", 0.0
+        for w in tokens(text):
+            total += math.log10(self.p(w, before))
+            before = w
+        return total
+
+
+def test_katz_scores(spark, tmp_path):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows += [(9001, None), (9002, ""), (9003, "Never SEEN wördz here"), (9004, "a a a\ta"), (9004, "a a a\ta"), (9005, "<s> </s>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = Katz([t for i, t in rows if crc(i) % 10])
+    for h in [" start", *list(model.history)[:50]]:  # exactly normalised: words seen and the class of those unseen
+        assert math.isclose(sum(model.p(w, h) for w in model.one) + model.alpha.get(h, 1) * model.unseen, 1, abs_tol=1e-9)
+    found = queries.op2_katz(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    by_id = dict(rows)
+    v = len(model.one)
+    for r in found:
+        own = tokens(by_id[r.doc_id])
+        assert r.held_out == (crc(r.doc_id) % 10 == 0)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in model.one for w in own), model.n)
+        base = sum(math.log10((model.one.get(w, 0) + 0.1) / (model.n + 0.1 * (v + 1))) for w in own)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert math.isclose(r.score, model.score(by_id[r.doc_id]), rel_tol=1e-9), r
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # pairs tell more than words
+
+
+def test_katz_without_training_texts(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    found = katz.katz_scores(df, F.lit(False)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in found) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0)]
+    assert katz.katz_scores(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = queries.op4_quality(spark, folder).collect()
+    assert all(r.held_out == (crc(r.doc_id) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    own = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    accuracy = sum(a == b for a, b in own) / len(own)
+    majority = max(np.bincount([a for a, _ in own])) / len(own)
+    assert accuracy > max(0.85, majority + 0.05), (accuracy, majority)
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "good text " * 5000, 0.5), (3, "good text " * 5000, 0.5), (4, "é", None)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(3, 1), (9, 0), (4, None)], "doc_id long, quality int")
+    for net in (quality.fit(docs, labels, F.lit(True)), quality.fit(docs, labels.limit(0), F.lit(True))):
+        rows = quality.score(docs, net).collect()
+        assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
+        assert len({r.score for r in rows if r.doc_id == 3}) == 1
+    assert quality.score(docs.limit(0), net).count() == 0
+
+
+def test_chunks_cover_the_whole_document():
+    rng = np.random.default_rng(0)
+    net = quality.train(["bad", "fine text"], np.array([0, 1]), epochs=1)
+    net.filters[:, 256] = 0
+    texts = ["".join(rng.choice(list("abcé "), n)) for n in (0, 1, 127, 128, 129, 256, 1000, 70_000)]
+    width, _, n = net.filters.shape
+    for text, score in zip(texts, net.score(texts), strict=True):
+        raw = text.encode()
+        halves = max(1, -(-len(raw) // 128))
+        codes = np.r_[np.frombuffer(raw, dtype=np.uint8).astype(int), np.full(halves * 128 - len(raw), 256)]
+        # The bytes after a document are its neighbour's; only filters that begin inside it count there.
+        after = np.r_[codes, np.full(width, 256)]
+        out = sum(net.filters[j][after[j : j + len(codes)]] for j in range(width)).reshape(halves, 128, n).max(axis=1)
+        pooled = np.maximum(out + net.bias, 0)
+        chunks = np.stack([pooled[i : i + 2].max(axis=0) for i in range(max(1, halves - 1))])
+        z = np.r_[chunks.mean(axis=0), chunks.max(axis=0)] @ net.head[:-1] + net.head[-1]
+        assert abs(net.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-5
+        assert abs(score - net.score([text])[0]) < 1e-5
+
+
+def vectors(spark, n=600, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, n)] + rng.normal(scale=0.35, size=(n, 16))).astype(np.float32)
+    x[50:90] = x[min(50, n - 1)]
+    rows = [(i, v.tolist(), "b") for i, v in enumerate(x)]
+    rows += [(n, None, "b"), (n + 1, [0.0] * 16, None), (n + 2, [float("nan")] + [1.0] * 15, "b"), (n + 3, [None] + [1.0] * 15, "b"), (n + 4, [float("inf")] * 16, "b"), (n + 5, [1.0, 2.0], "b"), (n + 6, [], "b")]
+    return x, rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string")
+
+
+@pytest.mark.parametrize("options", [{}, {"home_rows": 40}, {"home_rows": 20, "most_pivots": 4}])
+def test_vector_links(spark, options):
+    x, rows, df = vectors(spark)
+    found = {r.vec_id: r for r in vector_links.linked_vectors(df, **options).collect()}
+    assert len(found) == len(rows)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9 - 1e-12
+    np.fill_diagonal(near, False)
+    component = np.arange(len(x))
+    while True:
+        new = np.minimum(component, np.where(near, component[None, :], len(x)).min(axis=1))
+        if (new == component).all():
+            break
+        component = new
+    for i in range(len(x)):
+        assert (found[i].n_links, found[i].component_id, found[i].kept) == (near[i].sum(), component[i], component[i] == i)
+    for i, *_ in rows[len(x) :]:
+        assert (found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True)
+    assert vector_links.linked_vectors(df.limit(0)).count() == 0
+
+
+def test_curve_search_recall(spark):
+    for folder in (SMALL, "/root/testdata/sf0.1"):
+        rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+        ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float32).astype(float)
+        found = {}
+        for r in queries.op5_curve_search(spark, folder).collect():
+            found.setdefault(r.query_id, []).append(r)
+        hits = total = 0
+        for q in np.flatnonzero(ids % 20 == 0):
+            score = x @ x[q]
+            score[q] = -np.inf
+            best = np.lexsort((ids, -score))[:20]
+            own = sorted(found[ids[q]], key=lambda r: r.rank)
+            assert [r.rank for r in own] == list(range(1, 21)) and own == sorted(own, key=lambda r: (-r.score, r.vec_id))
+            place = {i: n for n, i in enumerate(ids.tolist())}
+            assert all(math.isclose(r.score, score[place[r.vec_id]], rel_tol=1e-12, abs_tol=1e-12) for r in own)
+            hits += len({r.vec_id for r in own} & set(ids[best].tolist()))
+            total += 20
+        assert hits >= 0.9 * total, hits / total
+
+
+def test_curve_search_edges(spark):
+    _, rows, df = vectors(spark, 30)
+    found = curve_search.nearest(df, F.col("id") % 20 == 0).collect()
+    assert len(found) == 40 and {r.query_id for r in found} == {0, 20}
+    few = curve_search.nearest(df.where("vec_id < 5 OR vec_id >= 30"), F.col("id") == 0).collect()
+    assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3, 4]
+    assert curve_search.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_hilbert_curve_is_one_walk():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        keys = curve_search.hilbert_keys(cells, bits)
+        walk = cells[np.argsort(keys)]
+        assert sorted(keys) == list(range(len(cells)))
+        assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def masked(spark, values):
+    df = spark.createDataFrame([(i, v, "x", 5) for i, v in enumerate(values)], "doc_id long, text string, found string, n_replaced int")
+    return [(r.text, r.n_replaced) for r in privacy.pseudonymise(df, "k").orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+
+def test_pseudonyms_keep_their_format(spark):
+    values = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111 1111 1111 1112", "DE89370400440532013000", "123-45-6789", "666-45-6789", "(555) 123-4567", "+1 555 123 4567", "192.168.0.254", "999.1.1.1", "2024-02-29", "2023-02-29", "29.02.2024", "02/29/2024", "anna.smith@example.com", "token=abcDEF123456", "0123456789abcdef0123456789abcdef", "plain words only", "", None]
+    out = dict(zip(values, masked(spark, values), strict=True))
+    digits = {v: re.sub(r"\D", "", t or "") for v, (t, _) in out.items()}
+    a, b = values[:2]
+    assert digits[a] == digits[b] != "4111111111111111" and luhn(digits[a]) == 0  # linked across punctuation
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", out[a][0]) and re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", out[b][0])
+    for same in ("4111 1111 1111 1112", "666-45-6789", "999.1.1.1", "2023-02-29", "plain words only", ""):
+        assert out[same] == (same, 0)
+    assert out[None] == (None, 0)
+    iban = out["DE89370400440532013000"][0]
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", out["123-45-6789"][0])
+    assert digits["(555) 123-4567"] == digits["+1 555 123 4567"][1:] != "5551234567"
+    days = {out[v][0] for v in ("2024-02-29",)} | {"-".join(out["29.02.2024"][0].split(".")[::-1])} | {"{2}-{0}-{1}".format(*out["02/29/2024"][0].split("/"))}
+    assert len(days) == 1 and days != {"2024-02-29"}
+    assert out["anna.smith@example.com"][0].endswith("@masked.invalid") and out["token=abcDEF123456"][0].startswith("token=")
+    assert len(out["0123456789abcdef0123456789abcdef"][0]) == 32
+    assert all(n == 1 for v, (_, n) in out.items() if v and out[v][0] != v)
+
+
+def test_feistel_permutes(spark):
+    df = spark.range(1000).select((F.col("id") % 8).alias("a"), F.floor(F.col("id") / 8).alias("b"))
+    done = df.select(privacy.feistel(F.col("a"), F.col("b"), F.lit(8), F.lit(125), "k", "t").alias("x"))
+    assert done.distinct().count() == 1000 and done.where("x.left < 0 OR x.left > 7 OR x.right < 0 OR x.right > 124").count() == 0
+    numbers = spark.range(1000).select(privacy.permuted_digits(F.lpad(F.col("id").cast("string"), 3, F.lit("0")), "k", "t").alias("d"))
+    assert numbers.distinct().count() == 1000 and numbers.where("length(d) <> 3").count() == 0
+
+
+def test_pseudonyms_in_long_texts(spark):
+    rng = random.Random(1)
+    card = "4111 1111 1111 1111"
+    text = " ".join(rng.choice(["lorem", card, "ipsum,", "bob@example.org"]) for _ in range(3000))
+    (new, n), (other, _) = masked(spark, [text, f"x {card} y"])
+    own = other[2:-2]
+    assert n == text.count(card) + text.count("bob@example.org") and new.count(own) == text.count(card)
+    assert card not in new and "bob@" not in new
+    assert privacy.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_pseudonyms_stay_in_the_jvm(spark):
+    plan = queries.op10_pseudonyms(spark, SMALL)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
