@@ -129,11 +129,11 @@ def rank_biserial(df: DataFrame, keys: list[str], value: str, label: str) -> Dat
     n1, n0, size = F.col("n1").cast("double"), (F.col("size") - F.col("n1")).cast("double"), F.col("size").cast("double")
     u = F.col("r") - n1 * (n1 + 1) / 2
     sums = sums.where((n1 > 0) & (n0 > 0)).select(*keys, "n1", n0.cast("long").alias("n0"), u.alias("u"), (2 * u / (n1 * n0) - 1).alias("rank_biserial"), (n1 * n0 / 12 * (size + 1 - F.col("ties") / (size * (size - 1)))).alias("variance"))
-    z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5, F.lit(0.0)) / F.sqrt("variance")
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5, F.lit(0.0)), F.sqrt(F.greatest("variance", F.lit(0.0))))
 
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
-        return z.map(normal_tail)
+        return z.map(normal_tail, na_action="ignore")
 
     return sums.withColumn("p", F.when(F.col("variance") <= 0, 1.0).otherwise(F.coalesce(tail(z), F.lit(1.0)))).drop("variance")
 
@@ -141,7 +141,8 @@ def rank_biserial(df: DataFrame, keys: list[str], value: str, label: str) -> Dat
 def kruskal(df: DataFrame, value: str, group: str, least: int = 5) -> DataFrame:
     """Kruskal-Wallis H with tie correction, its chi-squared p-value and eta squared.
 
-    Groups of fewer than ``least`` members and the group "unknown" are left out.
+    Groups of fewer than ``least`` members and the group "unknown" are left out. Constant values, or a
+    single group, give null or NaN.
     """
     sizes = df.groupBy(group).count().where((F.col("count") >= least) & (F.col(group).cast("string") != "unknown"))
     own = df.join(sizes.select(group), group, "left_semi")
@@ -150,14 +151,14 @@ def kruskal(df: DataFrame, value: str, group: str, least: int = 5) -> DataFrame:
     n = F.col("n").cast("double")
     ties = ranks.agg(F.sum(n * n * n - n).alias("ties"))
     total = each.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("r"), F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(n * F.col("m") * F.col("m")).alias("between"), F.sum(n * F.col("m")).alias("s"), F.sum("ss").alias("ss")).crossJoin(F.broadcast(ties))
-    h = (12 / (n * (n + 1)) * F.col("r") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    center = F.col("s") * F.col("s") / n
+    h = F.try_divide(F.try_divide(12 * F.col("r"), n * (n + 1)) - 3 * (n + 1), 1 - F.try_divide(F.col("ties"), n * n * n - n))
+    center = F.try_divide(F.col("s") * F.col("s"), n)
 
     @F.pandas_udf("double")
     def tail(h: pd.Series, groups: pd.Series) -> pd.Series:
-        return pd.Series([gamma_tail((g - 1) / 2, x / 2) for x, g in zip(h, groups, strict=True)])
+        return pd.Series([math.nan if pd.isna(x) or g < 2 else gamma_tail((g - 1) / 2, x / 2) for x, g in zip(h, groups, strict=True)])
 
-    return total.select("groups", "n", h.alias("h"), tail(h, "groups").alias("p"), ((F.col("between") - center) / (F.col("ss") - center)).alias("eta_squared"))
+    return total.select("groups", "n", h.alias("h"), tail(h, "groups").alias("p"), F.try_divide(F.col("between") - center, F.col("ss") - center).alias("eta_squared"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
@@ -173,7 +174,7 @@ def t_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and half-width of the 95 % Student interval over up to ten repetitions."""
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     t = F.try_element_at(F.create_map(*(F.lit(x) for pair in T_975.items() for x in pair)), (F.col("n") - 1).cast("int"))
-    return stats.withColumn("half_width", t * F.col("sd") / F.sqrt("n")).drop("sd")
+    return stats.withColumn("half_width", F.try_divide(t * F.col("sd"), F.sqrt("n"))).drop("sd")
 
 
 def leave_one_out_smd(df: DataFrame, keys: list[str], unit: str, label: str, value: str) -> DataFrame:
