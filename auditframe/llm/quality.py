@@ -50,17 +50,20 @@ class Network:
         return out
 
     def score(self, texts: list) -> np.ndarray:
-        codes, counts = padded([(t or "").encode("utf-8", "replace") for t in texts])
+        codes, counts = padded([(t or "").encode("utf-8", "replace") for t in texts], len(self.filters) - 1)
         pooled = np.maximum(self.halves(codes) + self.bias, 0)
         mean, top = over_chunks(pooled, counts)
         z = np.concatenate([mean, top], axis=1) @ self.head[:-1] + self.head[-1]
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -60, 60)))
 
 
-def padded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts behind one another, each padded to whole half chunks; half chunks of each."""
+def padded(raw: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts behind one another, each padded to whole half chunks; half chunks of each.
+
+    At least ``least`` symbols of padding follow a text, so no filter reaches into the next one.
+    """
     lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    counts = np.maximum(1, -(-lengths // HALF))
+    counts = np.maximum(1, -(-(lengths + least) // HALF))
     codes = np.full(int(counts.sum()) * HALF, PAD, dtype=np.int16)
     joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
     begin = (np.cumsum(counts) - counts) * HALF
@@ -103,7 +106,7 @@ def train(texts: list[str], labels: np.ndarray, *, filters: int = 16, width: int
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             spans = [int(rng.integers(0, max(1, len(raw[i]) - sample_bytes + 1))) for i in own]
-            codes, counts = padded([raw[i][s : s + sample_bytes] for i, s in zip(own, spans, strict=True)])
+            codes, counts = padded([raw[i][s : s + sample_bytes] for i, s in zip(own, spans, strict=True)], width - 1)
             grads = _gradients(net, codes, counts, labels[own].astype(np.float32))
             steps += 1
             for p, g, (m, v) in zip(params, grads, moments, strict=True):
