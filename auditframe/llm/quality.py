@@ -60,13 +60,13 @@ class Network:
 def padded(raw: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts behind one another, each padded to whole half chunks; half chunks of each.
 
-    At least ``least`` symbols of padding follow a text, so no filter reaches into the next one.
+    A text comes after ``least`` symbols of padding, so no filter reaches from one into the next.
     """
     lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     counts = np.maximum(1, -(-(lengths + least) // HALF))
     codes = np.full(int(counts.sum()) * HALF, PAD, dtype=np.int16)
     joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    begin = (np.cumsum(counts) - counts) * HALF
+    begin = (np.cumsum(counts) - counts) * HALF + least
     place = np.arange(len(joined)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
     codes[place] = joined
     return codes, counts

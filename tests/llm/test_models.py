@@ -122,7 +122,8 @@ def test_chunks_cover_the_whole_document():
     for text, score in zip(texts, net.score(texts), strict=True):
         raw = text.encode()
         halves = max(1, -(-(len(raw) + width - 1) // 128))
-        codes = np.r_[np.frombuffer(raw, dtype=np.uint8).astype(int), np.full(halves * 128 - len(raw), 256)]
+        codes = np.r_[np.full(width - 1, 256), np.frombuffer(raw, dtype=np.uint8).astype(int)]
+        codes = np.r_[codes, np.full(halves * 128 - len(codes), 256)]
         after = np.r_[codes, np.full(width, 256)]
         out = sum(net.filters[j][after[j : j + len(codes)]] for j in range(width)).reshape(halves, 128, n).max(axis=1)
         pooled = np.maximum(out + net.bias, 0)
