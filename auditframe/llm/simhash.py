@@ -28,7 +28,7 @@ from auditframe.llm.components import components
 from auditframe.llm.repeats import _known, gram_filter
 
 #: Groups of up to so many rows give all their linked pairs.
-SMALL = 48
+SMALL = 12
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -161,7 +161,8 @@ def near_links(reps: DataFrame, columns: list[str], max_bits: int, max_total: in
 
     index = variants(reps.select("id", *columns), columns, max_bits)
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = index.repartition(n, "key").sortWithinPartitions("key")
+    # By id, so that forests under different keys have the same roots and most of their links are equal.
+    ordered = index.repartition(n, "key").sortWithinPartitions("key", "id")
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
