@@ -131,11 +131,13 @@ def rank_biserial(df: DataFrame, keys: list[str], value: str, label: str) -> Dat
     sums = sums.where((n1 > 0) & (n0 > 0)).select(*keys, "n1", n0.cast("long").alias("n0"), u.alias("u"), (2 * u / (n1 * n0) - 1).alias("rank_biserial"), (n1 * n0 / 12 * (size + 1 - F.col("ties") / (size * (size - 1)))).alias("variance"))
     z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5, F.lit(0.0)) / F.sqrt(F.when(F.col("variance") > 0, F.col("variance")))
 
-    @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(normal_tail, na_action="ignore")
+    def tails(batches):
+        for batch in batches:
+            yield batch.assign(p=batch["z"].map(normal_tail, na_action="ignore").astype(float).fillna(1.0)).drop(columns="z")
 
-    return sums.withColumn("z", z).withColumn("p", tail("z")).withColumn("p", F.coalesce("p", F.lit(1.0))).drop("variance", "z")
+    done = sums.withColumn("z", z).drop("variance")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema if f.name != "z")
+    return done.mapInPandas(tails, schema + ", p double")
 
 
 def kruskal(df: DataFrame, value: str, group: str, least: int = 5) -> DataFrame:
