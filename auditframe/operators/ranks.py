@@ -32,7 +32,10 @@ def cumulated(df: DataFrame, value: str, sums: list[str], keys: list[str] | None
     totals = grouped.groupBy(*keys, "stretch").agg(*(F.sum(s).alias(f"t_{s}") for s in sums))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order("stretch")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "stretch", *(F.coalesce(F.sum(f"t_{s}").over(before), F.lit(0)).alias(f"b_{s}") for s in sums))
-    joined = inner.join(F.broadcast(totals) if not keys else totals, [*keys, "stretch"])
+    # Null-safe, so that groups with a null key have ranks too; the right side's names are its own.
+    other = totals.select(*(F.col(k).alias(f"__{k}") for k in (*keys, "stretch")), *(f"b_{s}" for s in sums))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "stretch")]
+    joined = inner.join(F.broadcast(other) if not keys else other, same)
     return joined.select(*keys, value, *sums, *((F.col(f"in_{s}") + F.col(f"b_{s}")).alias(f"cum_{s}") for s in sums))
 
 
