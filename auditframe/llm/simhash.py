@@ -14,7 +14,6 @@ Nulls and texts without a word have fingerprint 0 and link with one another like
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from auditframe.llm.common import saved
 from auditframe.llm.components import components
-from auditframe.llm.repeats import _known, gram_filter
+from auditframe.llm.near_sets import least_of_near
 
 #: Groups of up to so many rows give all their linked pairs.
 SMALL = 12
@@ -175,95 +174,14 @@ def near_groups(prints: DataFrame, id_col: str, columns: list[str], max_bits: in
     return prints.join(of_rep, columns)
 
 
-def least_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), max_bits: int = 9, max_total: int = 42) -> DataFrame:
-    """``id_col`` (long) of one document of each group of near copies, and of all others.
+def least_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col`` (long) of one document of each group of near copies, the least, and of all others.
 
-    Near: the sets of word shingles have a Jaccard similarity of at least ``similarity``. In the order
-    of ids a document goes if one that leads its group is near it, else it leads; leaders that some
-    document is near to both of are one group, of which the least id stays. Fingerprints are the
-    candidates, exact similarity decides. Texts without a word are near one another. Ids are distinct;
-    null ids are not returned.
+    Near: the sets of word shingles have a Jaccard similarity of at least ``similarity``; a group is a
+    component of the near texts. Fingerprints have no part in it: an exact join of the sets finds all
+    near pairs (``near_sets``). Texts without a word are near one another. Ids are distinct; null ids
+    are not returned.
     """
-    columns = [f"fp{n}" for n in range(len(seeds))]
-    prints = saved(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words=words, seeds=seeds), "prints")
-    # Texts with equal fingerprints throughout are one candidate; the least id is enough of them only
-    # if their shingles are equal too, so all are verified below.
-    groups = saved(near_groups(prints, id_col, columns, max_bits, max_total).select(F.col(id_col).alias("id"), F.col("component_id").alias("group")), "groups")
-    several = saved(groups.groupBy("group").count().where("count > 1").select("group"), "several")
-    members = saved(groups.join(several, "group"), "members")
-    known = gram_filter(members.select(F.xxhash64("id").alias("h")), 1 << 26)
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Distinct shingles of the texts that may be members."""
-        for batch in batches:
-            own = batch[_known(known, batch["h"].to_numpy())]
-            yield pd.DataFrame({"id": own["id"], "shingles": [np.unique(shingle_hashes(t, words, seeds[0])).view(np.int64) for t in own["text"]]})
-
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    sets = source.mapInPandas(shingled, "id long, shingles array<long>")
-    # Equal sets in a group need only their least id, whatever their number.
-    distinct = members.join(sets, "id").groupBy("group", F.sha2(F.concat_ws(",", F.transform("shingles", lambda x: x.cast("string"))), 256).alias("digest"))
-    distinct = saved(distinct.agg(F.min_by("shingles", "id").alias("shingles"), F.min("id").alias("id")).select("group", "id", "shingles"), "sets")
-    ordered = distinct.repartition("group").sortWithinPartitions("group", "id")
-    leaders = saved(ordered.mapInPandas(lambda batches: _leaders(batches, similarity), "group long, id long"), "leaders")
-    # Where a group has several leaders, every text that is near two of them joins them.
-    split = leaders.groupBy("group").count().where("count > 1").select("group")
-    marked = distinct.join(split, "group").join(leaders.select("id", F.lit(True).alias("leads")), "id", "left")
-    marked = marked.select("group", "id", "shingles", F.coalesce("leads", F.lit(False)).alias("leads")).repartition("group").sortWithinPartitions("group", F.desc("leads"), "id")
-    joined = components(marked.mapInPandas(lambda batches: _bridges(batches, similarity), "a long, b long"))
-    heads = leaders.select("id").join(joined.where("component <> id").select("id"), "id", "left_anti")
-    alone = groups.join(several, "group", "left_anti").select("id")
-    return alone.unionByName(heads).select(F.col("id").alias(id_col))
-
-
-class Held:
-    """Sets of one group by their shingles."""
-
-    def __init__(self):
-        self.holders: dict[int, list[int]] = {}
-        self.sizes: list[int] = []
-        self.ids: list[int] = []
-
-    def near(self, shingles: list[int], similarity: float) -> list[int]:
-        """Ids of the held sets that are near, in the order in which they came."""
-        if not shingles:
-            return [i for i, n in zip(self.ids, self.sizes, strict=True) if not n]
-        shared = Counter(place for x in shingles for place in self.holders.get(x, ()))
-        return [self.ids[p] for p in sorted(shared) if shared[p] >= similarity * (len(shingles) + self.sizes[p] - shared[p])]
-
-    def add(self, key: int, shingles: list[int]) -> None:
-        for x in shingles:
-            self.holders.setdefault(x, []).append(len(self.sizes))
-        self.sizes.append(len(shingles))
-        self.ids.append(key)
-
-
-def _leaders(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Rows in the order of group and id: those that are near no earlier one which stays."""
-    group, held = None, Held()
-    for batch in batches:
-        kept = []
-        for own, key, shingles in zip(batch["group"], batch["id"], batch["shingles"], strict=True):
-            if own != group:
-                group, held = own, Held()
-            mine = shingles.tolist()
-            if not held.near(mine, similarity):
-                held.add(key, mine)
-                kept.append((own, key))
-        yield pd.DataFrame(kept, columns=["group", "id"], dtype=np.int64)
-
-
-def _bridges(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Rows in the order of group, leaders first: links between leaders that one text is near."""
-    group, held = None, Held()
-    for batch in batches:
-        links = set()
-        for own, leads, key, shingles in zip(batch["group"], batch["leads"], batch["id"], batch["shingles"], strict=True):
-            if own != group:
-                group, held = own, Held()
-            if leads:
-                held.add(key, shingles.tolist())
-            else:
-                first, *rest = held.near(shingles.tolist(), similarity) or [key]
-                links |= {(first, other) for other in rest}
-        yield pd.DataFrame(sorted(links), columns=["a", "b"], dtype=np.int64)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    kept = least_of_near(source, lambda text: np.unique(shingle_hashes(text, words, 42)), similarity)
+    return kept.select(F.col("id").alias(id_col))

@@ -130,3 +130,40 @@ def test_stages_of_an_empty_table(spark, folder):
     none = documents(spark, folder).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect()}
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_near_copies_at_the_threshold(spark):
+    """All planted pairs of similarity 0.8 to 0.9 are found, and pairs just below stay."""
+    rng = random.Random(3)
+    texts, gone, below = {}, set(), 0
+    for n in range(500):
+        own = words(rng, 400)
+        other = list(own)
+        for at in range(1, rng.choice([5, 6, 7, 8, 9, 10, 11])):
+            other[at * 30 + rng.randrange(20)] += "x"
+        texts[2 * n], texts[2 * n + 1] = " ".join(own), " ".join(other)
+        a, b = shingles(texts[2 * n]), shingles(texts[2 * n + 1])
+        if near(a, b):
+            assert 0.8 <= len(a & b) / len(a | b) <= 0.91
+            gone.add(2 * n + 1)
+        else:
+            below += 1
+    assert len(gone) > 300 and below > 20
+    assert kept_ids(spark, texts) == set(texts) - gone
+
+
+def test_equal_shingle_sets_with_repeats(spark):
+    """A passage repeated hundreds of times changes fingerprints but not the set of shingles."""
+    rng = random.Random(4)
+    own, line = words(rng, 300), words(rng, 8)
+    once = " ".join(own + line * 2)
+    assert kept_ids(spark, {1: once, 2: " ".join(own + line * 400)}) == {1}
