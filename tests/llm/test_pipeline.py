@@ -167,3 +167,26 @@ def test_equal_shingle_sets_with_repeats(spark):
     own, line = words(rng, 300), words(rng, 8)
     once = " ".join(own + line * 2)
     assert kept_ids(spark, {1: once, 2: " ".join(own + line * 400)}) == {1}
+
+
+def drifted(rng, steps):
+    """Texts, each near the next only."""
+    out = [words(rng, 400)]
+    for _ in range(steps - 1):
+        own = list(out[-1])
+        for at in rng.sample(range(40), 6):
+            own[at * 10] = f"d{rng.randrange(10**9)}"
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+def test_near_copies_in_a_chain(spark):
+    """L1 ~ x ~ y ~ L2 with L1 < L2 < x < y is one group, and so are longer chains in any order of ids."""
+    rng = random.Random(5)
+    first, x, y, last = drifted(rng, 4)
+    sets = [shingles(t) for t in (first, x, y, last)]
+    assert [near(a, b) for n, a in enumerate(sets) for b in sets[n + 1 :]] == [True, False, False, True, False, True]
+    assert kept_ids(spark, {1: first, 2: last, 3: x, 4: y}) == {1}
+    chain = drifted(rng, 60)
+    ids = rng.sample(range(1000, 2000), 60)
+    assert kept_ids(spark, dict(zip(ids, chain, strict=True))) == {min(ids)}
