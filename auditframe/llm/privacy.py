@@ -4,14 +4,16 @@ One pattern finds candidates; each is validated and then replaced inside its own
 
 * payment cards (13 to 19 digits, Luhn sum right): the digits but the last are permuted, the last
   is computed anew; blanks and hyphens stay where they are;
-* IBANs (remainder 1 modulo 97): the account's digits are permuted, the check digits computed anew;
+* IBANs (remainder 1 modulo 97), printed whole or in groups of four with the length of their country:
+  the account's digits are permuted, the check digits computed anew;
 * social security numbers (no impossible area, group or serial): permuted among the valid ones;
 * telephone numbers: the last ten digits are permuted, a country code and all punctuation stay;
 * IPv4 addresses (each part at most 255): permuted among all addresses;
 * dates of 1800 to 2199 (that exist), as y-m-d, d.m.y or m/d/y: permuted among the 146,097 days of
   those 400 years;
-* e-mail addresses, hexadecimal secrets of 32 digits and more, and what is assigned to a word such as
-  "password" or "token" with an equals sign: a keyed digest of the same form or length.
+* e-mail addresses, hexadecimal secrets of 32 digits and more in either case, and what is assigned to a
+  word such as "password" or "token", in any case, with an equals sign or colon, with or without
+  blanks (up to eight on either side) and quotes: a keyed digest of the same form or length.
 
 The permutations are alternating Feistel networks whose round function is a keyed SHA-256; their two
 halves are residues modulo numbers whose product is the size of the format, so nothing needs a
@@ -31,17 +33,35 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Countries by the length of their IBANs.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped(length: int) -> str:
+    """The part of an IBAN of ``length`` behind its check digits, in groups of four."""
+    whole, rest = divmod(length - 4, 4)
+    return f"(?: [A-Z0-9]{{4}}){{{whole}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+
+
+GROUPED = "|".join(f"(?:{countries})[0-9]{{2}}{_grouped(n)}" for n, countries in IBANS.items())
+#: What stands between a word such as "token" and its value.
+SIGN = r"[ \t]{0,8}[:=][ \t]{0,8}[\"']?"
 #: What each kind looks like, in the order in which a place is tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}[0-9]{{2}} )(?:{GROUPED}))(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![./-]?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
     "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[ .-])[0-9]{3}[ .-]|(?<![0-9+ .-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!-?[0-9])",
     "card": r"(?<![0-9])(?<![0-9]-)(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19})(?!-?[0-9])|(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
-    "assigned": r"(?<=(?:password|passwd|secret|token|api_key|apikey)=)[A-Za-z0-9_./+-]{6,128}",
+    # The first two conditions are cheap and rule out nearly all places.
+    "assigned": rf"(?<=[:= \t\"'])(?<={SIGN})(?<=(?i:password|passwd|secret|token|api_key|apikey)[\"']?{SIGN})[A-Za-z0-9_./+-]{{6,}}+",
 }
 ANY = "|".join(KINDS.values())
 
@@ -118,13 +138,14 @@ def _remainder_97(value: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), step)
 
 
-def _iban(value: Column, key: str) -> Column:
+def _iban(printed: Column, key: str) -> Column:
+    value = F.replace(printed, F.lit(" "), F.lit(""))
     account = F.substring(value, F.lit(5), F.length(value) - 4)
     digits = _digits(account)
     own = F.when(F.length(digits) >= 2, _laid_out(account, permuted_digits(digits, key, "iban"))).otherwise(account)
     check = F.lit(98) - _remainder_97(F.concat(F.left(value, F.lit(2)), F.lit("00"), own))
     whole = F.concat(F.left(value, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), own)
-    return F.when(_remainder_97(value) == 1, whole).otherwise(value)
+    return F.when(_remainder_97(value) == 1, _laid_out(printed, _digits(whole))).otherwise(printed)
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -168,8 +189,13 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    digest = F.concat(*(_keyed(key, f"secret{n}", value) for n in range(2)))
-    return F.left(digest, F.length(value))
+    # Hexadecimal secrets are equal in either case, other values are not.
+    hexadecimal = value.rlike("^[0-9A-Fa-f]{32,}$")
+    own = F.when(hexadecimal, F.lower(value)).otherwise(value)
+    blocks = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int"))
+    digests = F.transform(blocks, lambda n: F.sha2(F.concat_ws(":", F.lit(key), F.concat(F.lit("secret"), n.cast("string")), own), 256))
+    digest = F.left(F.array_join(digests, ""), F.length(value))
+    return F.when(hexadecimal & value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(digest)).otherwise(digest)
 
 
 MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "assigned": _secret}
@@ -183,7 +209,7 @@ def pseudonym(value: Column, key: str) -> Column:
         shape = {
             "phone": r"(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
             "card": r"[0-9](?:[ -]?[0-9]){12,18}",
-            "assigned": r"[A-Za-z0-9_./+-]{6,128}",
+            "assigned": r"[A-Za-z0-9_./+-]{6,}",
         }.get(kind, bare)
         out = out.when(value.rlike(f"^(?:{shape})$"), MAKERS[kind](value, key))
     return out.otherwise(value)

@@ -234,6 +234,25 @@ def test_pseudonyms_keep_their_format(spark):
     assert all(n == 1 for v, (_, n) in out.items() if v and out[v][0] != v)
 
 
+def test_pseudonyms_of_secrets_in_every_form(spark):
+    low, rng = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", random.Random(2)
+    long = "".join(rng.choice("0123456789abcdef") for _ in range(300))
+    values = [low, low.upper(), f'TOKEN = "{low.upper()}"', f"token={low}", long, long.upper(), low[:20] + low[20:].upper()]
+    assigned = ["token=Zq8_plus", "TOKEN = \"Zq8_plus\"", "Token: 'Zq8_plus'", '{"api_key" : "Zq8_plus"}', "PASSWORD=Zq8_plus", "passwd :\tZq8_plus", "secret=" + "Zq8_" * 50]
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201 SEND", "NO93 8601 1117 947.", "DE89 3704 0044 0532 0130 01"]
+    out = dict(zip(values + assigned + ibans, masked(spark, values + assigned + ibans), strict=True))
+    for v in values + assigned + ibans[:-1]:
+        assert out[v][1] == 1 and len(out[v][0]) == len(v), v
+    new = out[low][0]
+    assert out[low.upper()][0] == new.upper() and out[f'TOKEN = "{low.upper()}"'][0] == f'TOKEN = "{new.upper()}"' and out[f"token={low}"][0] == f"token={new}"
+    assert re.fullmatch("[0-9a-f]{300}", out[long][0]) and out[long][0] != long and out[long.upper()][0] == out[long][0].upper()
+    for v in assigned[:-1]:
+        assert out[v][0] == v.replace("Zq8_plus", out["token=Zq8_plus"][0][6:]) and "Zq8" not in out[v][0]
+    assert "Zq8" not in out[assigned[-1]][0]
+    assert out[ibans[1]][0].replace(" ", "") == out[ibans[0]][0] and [len(x) for x in out[ibans[1]][0].split()] == [4] * 5 + [2]
+    assert out[ibans[2]][0].startswith("AT") and out[ibans[2]][0].endswith(" SEND") and out[ibans[4]] == (ibans[4], 0)
+
+
 def test_feistel_permutes(spark):
     df = spark.range(1000).select((F.col("id") % 8).alias("a"), F.floor(F.col("id") / 8).alias("b"))
     done = df.select(privacy.feistel(F.col("a"), F.col("b"), F.lit(8), F.lit(125), "k", "t").alias("x"))
