@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.sources.scratch import saved
+
 
 def propensity(df: DataFrame, label: str, covariates: list[str], train) -> DataFrame:
     """``df`` with the clipped logit of label 1 from a balanced logistic model of standardised
@@ -68,17 +70,15 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def matched_pairs(df: DataFrame, keys: list[str], unit: str, label: str, caliper: float, most: int = 2000) -> DataFrame:
-    """Cheapest one-to-one pairs of the classes within each group of ``keys`` by the distance of ``z``;
+def matched_pairs(df: DataFrame, keys: list[str], unit: str, label: str, caliper: float, stretch: int = 2000) -> DataFrame:
+    """One-to-one pairs of the classes within each group of ``keys``, cheapest by the distance of ``z``;
     pairs whose logits differ by more than ``caliper`` go.
 
-    A group larger than ``most`` rows is divided along the logit first, so no task holds more.
+    An assignment costs the cube of its rows, so groups are solved in stretches of about ``stretch`` rows
+    along the logit. What a stretch leaves over, for want of the other class or beyond the caliper, is
+    assigned again in stretches that are shifted by half, so a cut parts no pair for good. A group of up
+    to ``stretch`` rows is solved whole in the first round.
     """
-    size = df.groupBy(*keys).count()
-    counted = df.join(F.broadcast(size), keys)
-    share = F.percent_rank().over(Window.partitionBy(*keys).orderBy("logit", unit))
-    part = F.floor(share * F.ceil(F.col("count") / most) * 0.999999).cast("int")
-    parts = counted.withColumn("part", part)
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         zero, one = (group[group[label] == c].sort_values(["logit", unit]) for c in (0, 1))
@@ -93,46 +93,97 @@ def matched_pairs(df: DataFrame, keys: list[str], unit: str, label: str, caliper
         return out[out["distance"] <= caliper][["zero", "one", "distance"]]
 
     kind = df.schema[unit].dataType.simpleString()
-    return parts.groupBy(*keys, "part").applyInPandas(match, f"zero {kind}, one {kind}, distance double")
+    schema = f"zero {kind}, one {kind}, distance double"
+    # Edges of the stretches are quantiles of each group, found in one aggregate.
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"), F.percentile_approx("logit", F.lit([i / 1000 for i in range(1, 1000)]), F.lit(10_000)).alias("quantiles"))
+    pieces = F.least(F.ceil(F.col("size") / stretch), F.lit(1000))
+    edges = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.when(pieces > 1, F.transform(F.sequence(F.lit(1), 2 * pieces - 1), lambda i: F.element_at("quantiles", F.greatest(F.least((i * 500 / pieces).cast("int"), F.lit(999)), F.lit(1))))).alias("edges"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    half = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("logit"))), F.lit(0))
+    rows = df.join(edges, same).withColumn("half", half).drop("edges", *(f"__{k}" for k in keys))
+    first = saved(rows.withColumn("part", F.floor(F.col("half") / 2)).groupBy(*keys, "part").applyInPandas(match, schema), "matches")
+    taken = first.select(F.explode(F.array("zero", "one")).alias(unit))
+    left = rows.join(taken, unit, "left_anti").withColumn("part", F.floor((F.col("half") + 1) / 2))
+    return first.unionByName(left.groupBy(*keys, "part").applyInPandas(match, schema))
+
+
+class Balance:
+    """Sums of both sides of the pairs that are left, and the imbalance they make."""
+
+    def __init__(self, n: int, sums: np.ndarray):
+        self.n, self.sums = n, sums  # sides x powers x columns
+
+    def worst(self, n, sums) -> np.ndarray:
+        """Greatest absolute standardised mean difference, for one or many sets of sums."""
+        mean = sums[..., 0, :] / n
+        spread = np.maximum(sums[..., 1, :] / n - mean**2, 0).mean(axis=-2)
+        gap = np.abs(mean[..., 0, :] - mean[..., 1, :])
+        return np.where(spread > 1e-15, gap / np.sqrt(np.maximum(spread, 1e-15)), 0.0).max(axis=-1)
+
+    def now(self) -> float:
+        return float(self.worst(self.n, self.sums))
 
+    def without(self, own: np.ndarray) -> np.ndarray:
+        """The imbalance after the removal of each of these pairs alone."""
+        return self.worst(self.n - 1, self.sums[None] - own)
 
-def pruned_pairs(pairs: DataFrame, values: DataFrame, unit: str, columns: list[str], target: float = 0.10, least_share: float = 0.4, most: int = 5000) -> DataFrame:
+    def remove(self, own: np.ndarray) -> None:
+        self.n, self.sums = self.n - 1, self.sums - own
+
+
+def pruned_pairs(pairs: DataFrame, values: DataFrame, unit: str, columns: list[str], target: float = 0.10, least_share: float = 0.4, hand: int = 2000) -> DataFrame:
     """Pairs left when those that drive imbalance are removed one at a time.
 
-    A pair goes if that lowers the greatest absolute standardised difference most, until ``target`` is
-    reached, nothing is gained or only ``least_share`` of the pairs are left. More than ``most`` pairs are
-    dealt over blocks by a hash and each block is balanced on its own, so no task holds them all.
+    A pair goes if that lowers the greatest absolute standardised difference of all pairs most, until
+    ``target`` is reached, nothing is gained or only ``least_share`` of the pairs are left. Each round Spark
+    ranks all pairs by the imbalance that their removal leaves, from sums over all of them; the first
+    ``hand`` come to the driver, which removes up to half of them, each time the best of the hand by
+    updated sums. Up to ``hand`` pairs this is the whole greedy choice; beyond, a pair outside the hand
+    waits for the next round.
     """
     names = pairs.columns
     side = {c: values.select(F.col(unit).alias(c), F.array(*(F.col(x).cast("double") for x in columns)).alias(f"x_{c}")) for c in ("zero", "one")}
     rows = pairs.join(side["zero"], "zero").join(side["one"], "one")
-
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["zero", "one"]).reset_index(drop=True)
-        x = {c: np.stack(group[f"x_{c}"].to_numpy()) for c in ("zero", "one")}
-        live = np.ones(len(group), dtype=bool)
-        floor = max(2, math.ceil(len(group) * least_share))
-
-        def differences(n, s, q):
-            mean = {c: s[c] / n for c in s}
-            var = sum(np.maximum(q[c] / n - mean[c] ** 2, 0) for c in s) / 2
-            gap = np.abs(mean["one"] - mean["zero"])
-            return np.where(var > 1e-15, gap / np.sqrt(np.where(var > 1e-15, var, 1)), 0.0)
-
-        while (n := int(live.sum())) > floor:
-            s, q = ({c: (x[c][live] ** p).sum(axis=0) for c in x} for p in (1, 2))
-            now = differences(n, s, q).max()
-            if now <= target:
+    rows = saved(rows, "pairs")
+    k = len(columns)
+    at = [(c, p, i) for c in ("one", "zero") for p in (1, 2) for i in range(k)]
+    value = lambda c, p, i: F.pow(F.col(f"x_{c}")[i], p)
+    found = rows.agg(F.count("*").alias("n"), *(F.sum(value(*a)).alias(f"s{j}") for j, a in enumerate(at))).first()
+    if not found["n"]:
+        return pairs
+    state = Balance(found["n"], np.array([found[f"s{j}"] for j in range(len(at))], dtype=float).reshape(2, 2, k))
+    floor, gone = max(2, math.ceil(found["n"] * least_share)), []
+    live = rows
+    while state.n > floor and state.now() > target:
+        n = float(state.n - 1)
+        sums = {a: F.lit(float(s)) - value(*a) for a, s in zip(at, state.sums.ravel(), strict=True)}
+        imbalance = []
+        for i in range(k):
+            mean = {c: sums[c, 1, i] / n for c in ("one", "zero")}
+            spread = sum(F.greatest(sums[c, 2, i] / n - mean[c] * mean[c], F.lit(0.0)) for c in mean) / 2
+            imbalance.append(F.when(spread > 1e-15, F.abs(mean["one"] - mean["zero"]) / F.sqrt(F.greatest(spread, F.lit(1e-15)))).otherwise(0.0))
+        after = F.greatest(*imbalance) if k > 1 else imbalance[0]
+        best = live.orderBy(after, "zero", "one").limit(hand).collect()
+        own = np.array([[[np.power(r[f"x_{c}"], p) for p in (1, 2)] for c in ("one", "zero")] for r in best], dtype=float)
+        open_, removed = np.ones(len(best), dtype=bool), []
+        whole = len(best) == state.n
+        while state.n > floor and state.now() > target and open_.any() and (whole or 2 * len(removed) < len(best)):
+            left = np.where(open_, state.without(own), np.inf)
+            first = int(left.argmin())
+            if left[first] >= state.now() - 1e-9:
                 break
-            trial = differences(n - 1, {c: s[c] - x[c][live] for c in x}, {c: q[c] - x[c][live] ** 2 for c in x}).max(axis=1)
-            best = int(trial.argmin())
-            if trial[best] >= now - 1e-9:
-                break
-            live[np.flatnonzero(live)[best]] = False
-        return group.loc[live, names]
-
-    blocks = math.ceil(pairs.count() / most) or 1
-    return rows.groupBy(F.pmod(F.xxhash64("zero", "one"), F.lit(blocks)).alias("block")).applyInPandas(prune, pairs.schema)
+            state.remove(own[first])
+            open_[first] = False
+            removed.append((best[first]["zero"], best[first]["one"]))
+        if not removed:
+            break
+        gone += removed
+        taken = pairs.sparkSession.createDataFrame(removed, ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("zero", "one")))
+        live = live.join(taken, ["zero", "one"], "left_anti")
+        if whole:
+            break
+        live = saved(live, "pairs")
+    return live.select(*names)
 
 
 def residuals(df: DataFrame, unit: str, covariates: list[str], outputs: DataFrame, train) -> DataFrame:
@@ -151,4 +202,4 @@ def residuals(df: DataFrame, unit: str, covariates: list[str], outputs: DataFram
     inverse = np.linalg.pinv(matrix)
     weights = moments.select("dim", F.array(*(sum((F.col(f"b{j}") * float(inverse[i, j]) for j in range(k)), F.lit(0.0)) for i in range(k))).alias("beta"))
     fitted = F.aggregate(F.zip_with("z", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return outputs.join(design, unit).join(F.broadcast(weights), "dim").select(unit, "dim", "fit", (F.col("x") - fitted).alias("residual"))
+    return outputs.join(design, unit).join(weights, "dim").select(unit, "dim", "fit", (F.col("x") - fitted).alias("residual"))

@@ -5,56 +5,66 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.operators.ranks import cumulated, numbered
+
 SPLITS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
-def _digest(*parts: object) -> str:
-    return hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+#: A group with more than this share of all rows is placed by itself; there are fewer than 1 / LARGE.
+LARGE = 0.001
 
 
-def balanced_groups(counts: pd.DataFrame, seed: int, splits: dict[str, float] = SPLITS) -> dict[str, str]:
-    """Split of each group (``group``, ``zeros``, ``ones``): largest first, each to the cheapest split.
+def _placed(groups: list, want: np.ndarray, seed: int, names: list[str]) -> tuple[dict[str, str], np.ndarray]:
+    """The split of each large group, and the rows of each class that every split then has.
 
-    The cost of a state is the squared relative distance of class counts and rows from their targets,
-    and four times that of rows beyond the target; ties fall by a hash.
+    A group goes where its classes are missed most: each class counts by its rows, times the share of
+    the split's target that is open at the group's middle row. A keyed hash decides ties.
+    """
+    have, found = np.zeros_like(want), {}
+    tie = {(g["group"], n): hashlib.blake2b(f"{seed}/{n}/{g['group']}".encode()).digest() for g in groups for n in names}
+    for g in sorted(groups, key=lambda g: (-(g["zeros"] + g["ones"]), tie[g["group"], names[0]])):
+        size = np.array([g["zeros"], g["ones"]], dtype=float)
+        missed = ((want - have - size / 2) / np.maximum(want, 1)) @ size
+        best = max(range(len(names)), key=lambda i: (round(float(missed[i]), 9), tie[g["group"], names[i]]))
+        found[g["group"]] = names[best]
+        have[best] += size
+    return found, have
+
+
+def grouped_split(df: DataFrame, group: str, label: str, seed: int = 42, splits: dict[str, float] = SPLITS) -> DataFrame:
+    """``df`` with ``split``; groups are never divided, shares hold for rows and for both classes.
+
+    The few large groups are placed first, largest first. All others are put in the order of a keyed
+    hash, apart for groups with mostly one and mostly the other class, and cut where the running number
+    of rows passes what the splits still miss of that class. Rows whose group is null stay without a split.
     """
-    names = list(splits)
-    share = np.array(list(splits.values()))
-    classes = counts[["zeros", "ones"]].to_numpy(dtype=float)
-    want = share[:, None] * np.c_[classes.sum(axis=0)[None, :], classes.sum()]  # zeros, ones, rows
-    scale = np.maximum(want, 1.0)
-    have, result = np.zeros_like(want), {}
-
-    def cost(state: np.ndarray) -> float:
-        off = (state - want) / scale
-        return float((off**2).sum() + 4 * (np.maximum(off[:, 2], 0) ** 2).sum())
-
-    keyed = [(-(a + b), -abs(b - a), _digest(seed, g), str(g), np.array([a, b, a + b])) for g, (a, b) in zip(counts["group"], classes, strict=True)]
-    for *_, group, step in sorted(keyed, key=lambda x: x[:3]):
-        options = []
-        for i, name in enumerate(names):
-            state = have.copy()
-            state[i] += step
-            options.append((cost(state) + int(_digest(seed, group, name)[:8], 16) / 2**32 * 1e-9, name, state))
-        _, result[group], have = min(options, key=lambda x: x[:2])
-    return result
-
-
-def grouped_split(df: DataFrame, group: str, label: str, seed: int = 42) -> DataFrame:
-    """``df`` with ``split``; groups are never divided. One small task assigns the groups' counts."""
     one = F.sum(F.when(F.col(label) == 1, 1).otherwise(0))
-    counts = df.groupBy(F.col(group).cast("string").alias("group")).agg((F.count("*") - one).alias("zeros"), one.alias("ones"))
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        found = balanced_groups(rows, seed)
-        return pd.DataFrame({"group": list(found), "split": list(found.values())})
-
-    splits = counts.groupBy(F.lit(0).alias("all")).applyInPandas(assign, "group string, split string")
-    return df.join(splits, F.col(group).cast("string") == F.col("group")).drop("group") if group != "group" else df.join(splits, "group")
+    counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("group")).agg((F.count("*") - one).alias("zeros"), one.alias("ones"))
+    size, stratum = F.col("zeros") + F.col("ones"), (F.col("ones") > F.col("zeros")).cast("int")
+    total = counts.agg(F.coalesce(F.sum("zeros"), F.lit(0)).alias("zeros"), F.coalesce(F.sum("ones"), F.lit(0)).alias("ones")).first()
+    names, share = list(splits), np.array(list(splits.values()))
+    want = share[:, None] * np.array([[total["zeros"], total["ones"]]], dtype=float)
+    is_large = size > LARGE * (total["zeros"] + total["ones"])
+    large, have = _placed(counts.where(is_large).collect(), want, seed, names)
+    small = counts.where(~is_large).select("group", size.alias("rows"), stratum.alias("stratum"), F.xxhash64(F.lit(seed), "group").alias("place"))
+    of_stratum = {r["stratum"]: r["rows"] for r in small.groupBy("stratum").agg(F.sum("rows").alias("rows")).collect()}
+    split = F.lit(None).cast("string")
+    for c, rows in of_stratum.items():
+        missed = np.maximum(want[:, c] - have[:, c], 0)
+        ends = np.cumsum(missed / missed.sum() if missed.sum() else share) * rows
+        own = F.lit(names[-1])
+        for name, end in reversed(list(zip(names[:-1], ends[:-1], strict=True))):
+            own = F.when(F.col("cum_rows") - F.col("rows") / 2 <= float(end), name).otherwise(own)
+        split = F.when(F.col("stratum") == c, own).otherwise(split)
+    positions = cumulated(small, "place", ["rows"], ["stratum"]).select("place", "stratum", split.alias("split"))
+    found = small.join(positions, ["place", "stratum"]).select("group", "split")
+    if large:
+        found = found.unionByName(df.sparkSession.createDataFrame(list(large.items()), "group string, split string"))
+    found = found.withColumnRenamed("group", "__group")
+    return df.join(found, F.col(group).cast("string") == F.col("__group"), "left").drop("__group")
 
 
 def held_out_source(df: DataFrame, source: str, value: str, group: str) -> DataFrame:
@@ -83,11 +93,9 @@ def decile_controls(df: DataFrame, unit: str, value: str, chosen: str, seed: int
     have = placed.where(~F.col(chosen)).select(F.col(unit).alias("control_id"), "decile", "turn")
     first = want.join(have, ["decile", "turn"], "left")
     by_hash = lambda c: F.sha2(F.concat_ws(":", F.lit(seed), F.lit("rest"), F.col(c).cast("string")), 256)
-    need = first.where("control_id IS NULL").select("chosen_id", "decile", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by_hash("chosen_id"))).alias("turn"))
-    limit = want.count()
-    spare = have.join(first.select("control_id"), "control_id", "left_anti").orderBy(by_hash("control_id")).limit(limit)
-    spare = spare.select("control_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by_hash("control_id"))).alias("turn"))
-    rest = need.join(spare, "turn", "left").select("chosen_id", "decile", "control_id")
+    need = numbered(first.where("control_id IS NULL").select("chosen_id", "decile", by_hash("chosen_id").alias("key")), "key", "chosen_id", "turn")
+    spare = numbered(have.join(first.select("control_id"), "control_id", "left_anti").select("control_id", by_hash("control_id").alias("key")), "key", "control_id", "turn")
+    rest = need.join(spare.select("control_id", "turn"), "turn", "left").select("chosen_id", "decile", "control_id")
     return first.where("control_id IS NOT NULL").select("chosen_id", "decile", "control_id").unionByName(rest)
 
 

@@ -33,7 +33,8 @@ def auroc(df: DataFrame, label: str, p: str, keys: list[str] | None = None) -> D
     each = df.groupBy(*keys, p).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("size"))
     ranks = average_ranks(df, p, keys)
     sums = each.join(ranks, [*keys, p]).groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("pos"), F.sum("size").alias("size"))
-    pos, neg = F.col("pos"), F.col("size") - F.col("pos")
+    pos = F.col("pos").cast("double")
+    neg = F.col("size") - pos
     return sums.select(*keys, ratio(F.col("r") - pos * (pos + 1) / 2, pos * neg).alias("auroc"))
 
 
@@ -75,9 +76,11 @@ def binary_metrics(df: DataFrame, label: str, p: str, keys: list[str] | None = N
     keys = keys or []
     y = F.col(label).cast("double")
     base = df.groupBy(*keys).agg(*(c.alias(k) for k, c in rates(label, p, threshold).items()), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier"), F.avg(p).alias("mean_p"))
-    tp, fp, tn, fn, n = (F.col(c) for c in ("tp", "fp", "tn", "fn", "n"))
+    # In doubles: products of four counts leave the longs from some hundred thousand rows on.
+    tp, fp, tn, fn, n = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn", "n"))
     sens, spec = ratio(tp, tp + fn), ratio(tn, tn + fp)
-    mcc = (tp * tn - fp * fn) / F.sqrt(F.when((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0, ((tp + fp) * (tp + fn)).cast("double") * ((tn + fp) * (tn + fn))).otherwise(1.0))
+    margins = [tp + fp, tp + fn, tn + fp, tn + fn]
+    mcc = (tp * tn - fp * fn) / F.when(F.least(*margins) > 0, F.sqrt(margins[0]) * F.sqrt(margins[1]) * F.sqrt(margins[2]) * F.sqrt(margins[3])).otherwise(1.0)
     out = base.select(
         *keys, "n", ratio(F.col("positives"), n).alias("prevalence"), "brier", ((tp + tn) / n).alias("accuracy"), ((F.coalesce(sens, spec) + F.coalesce(spec, sens)) / 2).alias("balanced_accuracy"),
         F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"), mcc.alias("mcc"), sens.alias("sensitivity"), spec.alias("specificity"), ratio(fn, tp + fn).alias("fnr"), ratio(fp, tn + fp).alias("fpr"), ratio(tp + fp, n).alias("predicted_positive"), "mean_p",

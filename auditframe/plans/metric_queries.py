@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditframe.operators import metrics
 from auditframe.operators.ranks import benjamini_hochberg
-from auditframe.plans.queries import query, six, sql_six, table
+from auditframe.plans.registry import query, six, sql_six, table
 
 SCORED = "(SELECT (l_returnflag = 'R')::INT AS y, l_discount * 10 AS p, l_linestatus AS s, l_linenumber AS seed, l_returnflag AS flag, l_orderkey, l_quantity AS q FROM lineitem)"
 #: Distinct scores from the highest down with cumulative counts.

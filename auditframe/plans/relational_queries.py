@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import text
 from auditframe.operators import checks
-from auditframe.plans.queries import query, six, sql_six, table
+from auditframe.plans.registry import query, six, sql_six, table
 
 #: Catalog rows with a class where there is one, and a split by id.
 CATALOG = "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic, CASE d.doc_id % 5 WHEN 3 THEN 'val' WHEN 4 THEN 'test' ELSE 'train' END AS split FROM documents d LEFT JOIN labels l USING (doc_id))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditframe.operators import causal, cohort, inference, metrics
 from auditframe.operators.ranks import benjamini_hochberg, top_n
 from auditframe.plans.metric_queries import P_VALUES, SCORED, scored
-from auditframe.plans.queries import query, six, sql_six, table
+from auditframe.plans.registry import query, six, sql_six, table
 from auditframe.plans.relational_queries import CATALOG, catalog
 from auditframe.plans.vector_queries import ACTIVE, TARGETS, active, embeddings, targets
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditframe.operators import sparse, vectors
 from auditframe.operators.ranks import top_fraction, top_n
 from auditframe.operators.structure import align, near_points, response_scan, rmsd, superposed
-from auditframe.plans.queries import query, six, sql_six, table
+from auditframe.plans.registry import query, six, sql_six, table
 
 LONG = "(SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 PLACED = "(SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS L FROM embeddings)"

@@ -30,6 +30,17 @@ def test_metrics_with_ties_and_one_class(spark):
     assert row.auroc is None and row.sensitivity == 1 and row.specificity is None
 
 
+def test_metrics_of_many_rows(spark):
+    """Products of counts leave the longs here; by hand from the counts."""
+    n = 3_000_000
+    df = spark.range(n).select((F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") % 10 < 3, 0.9).otherwise(0.2).alias("p"))
+    row = metrics.binary_metrics(df, "y", "p").first()
+    tp, fp, fn, tn = (n // 10 * k for k in (1, 2, 4, 3))  # of ids ending 0 to 2, one is odd
+    assert (row.n, row.accuracy) == (n, (tp + tn) / n)
+    assert math.isclose(row.mcc, (tp * tn - fp * fn) / math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+    assert math.isclose(row.auroc, (tp / (tp + fn) + tn / (tn + fp)) / 2)
+
+
 def test_bins_and_strata(spark):
     df = frame(spark, [(0.0,), (0.1,), (1.0,)], "p double")
     assert [r[0] for r in df.select(metrics.equal_bin(F.col("p"))).collect()] == [0, 1, 9]
@@ -120,6 +131,46 @@ def test_grouped_split(spark):
     assert abs(shares["train"][0] - 420) <= 20 and all(abs(ones / n - 1 / 3) < 0.1 for n, ones in shares.values())
 
 
+def test_grouped_split_of_many_small_groups(spark):
+    """Groups of one to three rows and a few large ones; the result doesn't depend on partitions."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") < 9000, F.floor(F.col("id") / 3000)).otherwise(F.floor(F.col("id") / F.lit(2)) * 2).alias("g"), (F.col("id") % 10 < 3).cast("int").alias("y"))
+    out = cohort.grouped_split(rows, "g", "y")
+    assert checks.crossing_groups(out, "g", "split").count() == 0 and out.where("split IS NULL").count() == 0
+    shares = {r.split: (r.n / 60_000, r.y) for r in out.groupBy("split").agg(F.count("*").alias("n"), F.avg("y").alias("y")).collect()}
+    assert abs(shares["train"][0] - 0.7) < 0.01 and abs(shares["val"][0] - 0.15) < 0.01 and all(abs(y - 0.3) < 0.02 for _, y in shares.values())
+    again = cohort.grouped_split(rows.repartition(7), "g", "y")
+    assert out.select("id", "split").exceptAll(again.select("id", "split")).count() == 0
+    none = cohort.grouped_split(frame(spark, [(1, None, 1), (2, "a", 0)], "id int, g string, y int"), "g", "y")
+    assert {r.id: r.split is None for r in none.collect()} == {1: True, 2: False}
+    assert cohort.grouped_split(rows.limit(0), "g", "y").count() == 0
+
+
+def test_pruning_beyond_the_hand(spark):
+    """A hand of few pairs reaches the target, too, and keeps at least the least share."""
+    rng = np.random.default_rng(2)
+    n = 300
+    values = frame(spark, [(i, float(rng.normal() + 0.4 * (i >= n)), float(rng.normal())) for i in range(2 * n)], "id long, a double, b double")
+    pairs = spark.range(n).select(F.col("id").alias("zero"), (F.col("id") + n).alias("one"), F.lit(0.0).alias("distance"))
+    x = {r.id: (r.a, r.b) for r in values.collect()}
+
+    def worst(rows):
+        one, zero = (np.array([x[r[c]] for r in rows]) for c in ("one", "zero"))
+        return (np.abs(one.mean(0) - zero.mean(0)) / np.sqrt((one.var(0) + zero.var(0)) / 2)).max()
+
+    whole, by_hand = (causal.pruned_pairs(pairs, values, "id", ["a", "b"], hand=h).collect() for h in (2000, 40))
+    assert worst(whole) <= 0.10 < worst(pairs.collect()) and worst(by_hand) <= 0.10
+    assert n * 0.4 <= len(whole) and abs(len(whole) - len(by_hand)) <= 5
+
+
+def test_matching_in_stretches(spark):
+    """Pairs that a cut would part are found in the second round."""
+    rows = [(i, i % 2, i / 100.0, [i / 100.0], 0) for i in range(400)]
+    df = frame(spark, rows, "id int, y int, logit double, z array<double>, bin int")
+    found = causal.matched_pairs(df, ["bin"], "id", "y", 0.3, stretch=50).collect()
+    assert len({r.zero for r in found}) == len({r.one for r in found}) == len(found) == 200
+    assert all(r.zero % 2 == 0 and r.one % 2 == 1 and r.distance <= 0.3 for r in found)
+
+
 def test_matching_pruning_and_residuals(spark):
     rng = np.random.default_rng(1)
     for _ in range(20):  # the assignment is a cheapest one
