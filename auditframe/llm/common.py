@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, id checks."""
+"""What the operators of this subpackage share: reading tables, id checks, words."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditframe.sources.scratch import drop_saved, saved, shared_dir  # noqa: F401
+
 #: A word: a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,42 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows go to Python a few hundred at a time, as texts can be long."""
+    """Rows go to Python a few hundred at a time, as texts can be long.
+
+    Spark reads this setting when a plan runs, so it stays lowered for the session.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of its own where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "auditframe-shared")
-    return folder
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    Cuts lineage in a way that survives the loss of any executor. The columns are kept.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files behind a frame from ``saved`` once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in parents:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def held_out(column: str, divisor: int, remainder: int):
     """True where crc32 of the id's decimal text leaves ``remainder`` on division by ``divisor``."""
     return F.crc32(F.col(column).cast("string")) % divisor == remainder

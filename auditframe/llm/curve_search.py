@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Every vector is projected at random to a few dimensions, shifted, cut to a grid and numbered along a
-Hilbert curve; this is done for several projections and shifts. Spark range-partitions all rows by
-(curve, key, id), so a partition is a stretch of one curve. A query visits the stretches around its
-own place on every curve, a share ``window`` of each curve in all, and what it finds there is
-reranked by exact inner products; the best of all curves are merged.
+Hilbert curve; this is done for several projections and shifts. The grid's lines are quantiles of the
+projected coordinates, so cells are about equally full whatever the vectors' distribution; they come
+from a bounded sample (``sample_rows`` vectors, those with the least hash), while every row is indexed.
+Spark range-partitions all rows by (curve, key, id); a partition is cut into blocks of ``block_rows``. A
+query visits the blocks around its own place on every curve, a share ``window`` of each curve in all,
+and what it finds there is reranked by exact inner products; the best of all curves are merged.
 
 The window is a share of the rows rather than a number of them: recall then holds at every size, for
 work in proportion to that share. For vectors without cluster structure, such as the test tables',
@@ -12,8 +14,11 @@ neighbours are hardly nearer than strangers and recall needs a wide window (READ
 
 Of equal vectors only the k + 1 with the least ids are indexed; no other can be among the k nearest
 of any query, as ties go to the smaller id. Null vectors, zero vectors and those with a null or
-non-finite component, or of another length than the most, take no part. Ids are taken to be unique;
-other columns are ignored. An empty table or no query gives an empty result.
+non-finite component take no part. Vectors of different lengths have no inner product: each length is
+searched by itself, the driver going from one length to the next. Rows that repeat an id stand for it
+together: the score of two ids is the greatest of any two of their rows, and an id is no candidate of
+its own. Null ids take no part. Other columns are ignored. An empty table or no query gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -57,28 +62,31 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections, grids and shifts: the same for every row, from a seed and a few statistics."""
+    """Projections, grids and shifts: the same for every row, from a seed and a sample."""
 
-    def __init__(self, width: int, norm: float, curves: int, dims: int, bits: int, seed: int):
+    def __init__(self, sample: np.ndarray, curves: int, dims: int, bits: int, seed: int, lines: int = 256):
         rng = np.random.default_rng(seed)
-        self.bits, self.dims = bits, min(dims, width)
-        self.turns = [np.linalg.qr(rng.normal(size=(width, self.dims)))[0] for _ in range(curves)]
-        self.shifts = rng.random((curves, self.dims))
-        self.norm = norm
+        width = sample.shape[1]
+        self.bits, dims = bits, min(dims, width)
+        self.turns = [np.linalg.qr(rng.normal(size=(width, dims)))[0] for _ in range(curves)]
+        self.shifts = rng.random((curves, dims)) / 2
+        self.share = np.linspace(0, 1, lines + 1)
+        self.quantiles = [np.quantile(sample @ turn, self.share, axis=0) for turn in self.turns]
 
     def keys(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        # A projected coordinate's usual size is norm / sqrt(width); the grid reaches five times that.
-        reach = 5 * self.norm / math.sqrt(x.shape[1])
-        for turn, shift in zip(self.turns, self.shifts, strict=True):
-            place = ((x @ turn) / (2 * reach) + 0.5 + shift) / 2
-            yield hilbert_keys(np.clip((place * (1 << self.bits)).astype(np.int64), 0, (1 << self.bits) - 1), self.bits)
+        """For each curve, the place of each vector. Quantiles take up half of each axis of the grid,
+        which leaves room for the shift."""
+        for turn, shift, quantiles in zip(self.turns, self.shifts, self.quantiles, strict=True):
+            y = x @ turn
+            place = np.stack([np.interp(y[:, i], quantiles[:, i], self.share) for i in range(y.shape[1])], axis=1)
+            cells = ((place / 2 + shift) * (1 << self.bits)).astype(np.int64)
+            yield hilbert_keys(np.clip(cells, 0, (1 << self.bits) - 1), self.bits)
 
 
 class Stretch:
     """The candidates on one stretch of a curve, held; queries stream past."""
 
     def __init__(self, rows: pd.DataFrame, k: int):
-        rows = rows.drop_duplicates("id")  # a stretch can hold the end of one curve and the start of the next
         self.ids, self.k = rows["id"].to_numpy(), k
         self.x = np.stack(rows["vec"].to_numpy()).astype(float)
 
@@ -124,8 +132,9 @@ def nearest(
     curves: int = 8,
     dims: int = 4,
     bits: int = 10,
-    window: float = 0.3,
-    block_rows: int = 4096,
+    window: float = 0.14,
+    block_rows: int = 512,
+    sample_rows: int = 20_000,
     seed: int = 3,
 ) -> DataFrame:
     """query_id, rank, vec_id and score (inner product) of the ``k`` nearest found of each query.
@@ -133,17 +142,29 @@ def nearest(
     ``is_query``: a condition over a column ``id``. A query is no candidate of its own.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    clean = usable(vectors, id_col, vec_col)
-    sizes = clean.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("count"), F.avg(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
-    usual = sizes.orderBy(F.desc("count"), "n").first()
-    if usual is None:
-        return spark.createDataFrame([], schema)
-    clean = clean.where(F.size("vec") == usual["n"])
-    grid = Curves(usual["n"], usual["norm"] or 1.0, curves, dims, bits, seed)
+    clean = usable(vectors, id_col, vec_col).where("id IS NOT NULL").withColumn("width", F.size("vec"))
+    sizes = {r["width"]: r["count"] for r in clean.groupBy("width").count().orderBy("width").collect()}
+    found = None
+    for width, rows in sizes.items():
+        own = clean.where(F.col("width") == width).drop("width")
+        sample = np.stack(own.orderBy(F.xxhash64("id", "vec")).limit(sample_rows).toPandas()["vec"].to_numpy()).astype(float)
+        part = _visited(own, is_query, Curves(sample, curves, dims, bits, seed), rows, k, curves, window, block_rows)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # A pair found on several curves, or by several rows of one id, is one.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _visited(clean: DataFrame, is_query: Column, grid: Curves, rows: int, k: int, curves: int, window: float, block_rows: int, part_rows: int = 65_536) -> DataFrame:
+    """query_id, vec_id and score of the best candidates in each block that a query visits."""
+    spark = clean.sparkSession
     copies = Window.partitionBy("vec").orderBy("id")
     marked = clean.where(is_query).select("id", "vec", F.lit(False).alias("candidate"))
     indexed = clean.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("id", "vec", F.lit(True).alias("candidate"))
+    kind = clean.schema["vec"].dataType.simpleString()
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,15 +173,31 @@ def nearest(
                 for curve, keys in enumerate(grid.keys(x)):
                     yield batch.assign(curve=curve, key=keys)
 
-    rows = marked.unionByName(indexed).mapInPandas(keyed, "id long, vec array<double>, candidate boolean, curve int, key long")
-    n = curves * math.ceil(usual["count"] / block_rows)
-    placed = saved(rows.repartitionByRange(n, "curve", "key", "id").withColumn("block", F.spark_partition_id()), "curves")
-    blocks = 1 + (placed.agg(F.max("block")).first()[0] or 0)
-    radius = math.ceil(window / 2 * blocks / curves)
-    around = F.sequence(F.greatest(F.col("block") - radius, F.lit(0)), F.least(F.col("block") + radius, F.lit(blocks - 1)))
-    sent = placed.where(~F.col("candidate")).withColumn("block", F.explode(around)).select("block", "candidate", "id", "vec")
-    met = placed.where("candidate").select("block", "candidate", "id", "vec").unionByName(sent)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of a partition's rows, which are in the order of curve, key and id."""
+        curve = seen = None
+        for batch in batches:
+            own = batch["curve"].to_numpy()
+            place = np.empty(len(own), dtype=np.int64)
+            for begin, end in zip(starts := np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else [], [*starts[1:], len(own)], strict=True):
+                if own[begin] != curve:
+                    curve, seen = own[begin], 0
+                place[begin:end] = seen + np.arange(end - begin)
+                seen += end - begin
+            yield batch[["id", "vec", "candidate", "curve", "part"]].assign(block=place // block_rows)
+
+    placed = marked.unionByName(indexed).mapInPandas(keyed, f"id long, vec {kind}, candidate boolean, curve int, key long")
+    n = max(math.ceil(curves * rows / part_rows), min(2 * spark.sparkContext.defaultParallelism, math.ceil(curves * rows / block_rows)))
+    placed = placed.repartitionByRange(n, "curve", "key", "id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("curve", "key", "id")
+    placed = saved(placed.mapInPandas(cut, f"id long, vec {kind}, candidate boolean, curve int, part int, block long"), "curves")
+    # A row for each block: its place on its curve, and the curve's length.
+    along = Window.partitionBy("curve")
+    blocks = placed.groupBy("curve", "part", "block").count().select("curve", "part", "block", (F.row_number().over(along.orderBy("part", "block")) - 1).alias("place"), F.count("*").over(along).alias("blocks"))
+    placed = placed.join(blocks, ["curve", "part", "block"])
+    radius = F.ceil(F.col("blocks") * (window / 2))
+    around = F.sequence(F.greatest(F.col("place") - radius, F.lit(0)), F.least(F.col("place") + radius, F.col("blocks") - 1))
+    to = lambda place: (F.col("curve").cast("long") * (1 << 40) + place).alias("block")
+    sent = placed.where(~F.col("candidate")).withColumn("to", F.explode(around)).select(to(F.col("to")), "candidate", "id", "vec")
+    met = placed.where("candidate").select(to(F.col("place")), "candidate", "id", "vec").unionByName(sent)
     ordered = met.repartition("block").sortWithinPartitions("block", F.desc("candidate"))
-    found = ordered.mapInPandas(lambda batches: visit(batches, k), "query_id long, vec_id long, score double").distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ordered.mapInPandas(lambda batches: visit(batches, k), "query_id long, vec_id long, score double")

@@ -5,9 +5,10 @@ max-pooled over chunks of 256 bytes that overlap by half and together cover the
 mean and the maximum over the chunks feed one logistic unit, so a document of any length gets one
 probability. Documents are padded with a symbol of weight zero, never cut.
 
-Training uses a bounded sample: at most ``sample_rows`` labelled rows, those with the least keyed
-hash of their id, and of each at most ``sample_bytes`` consecutive bytes. The same bound holds at
-every input size. The fitted model is a few hundred kilobytes and is shipped to the tasks.
+Training uses a bounded sample of labelled rows, those with the least keyed hash of their id: at most
+``sample_rows`` of them, and no more than have ``sample_bytes`` bytes of text together. Each of them is
+learned from as a whole, in chunks like those of scoring. The same bounds hold at every input size. The
+fitted model is a few hundred kilobytes and is shipped to the tasks.
 
 Null and empty texts are one chunk of padding and get a score like any other. Rows without a label
 or with a null one are scored and never learned from. Repeated rows get equal scores; if a document
@@ -22,9 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.llm.common import drop_saved, saved
+
 HALF, PAD = 128, 256
 
 
@@ -40,14 +43,21 @@ class Network:
         codes = np.concatenate([codes, np.full(width - 1, PAD, dtype=codes.dtype)])
         size = len(codes) - width + 1
         out = np.empty((size // HALF, n), dtype=np.float32)
+        for rows, total in self.outputs(codes, size):
+            out[rows] = total.max(axis=1)
+        return out
+
+    def outputs(self, codes: np.ndarray, size: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """Outputs at the first ``size`` symbols, some half chunks at a time: their numbers, and for each
+        its symbols by filters. ``codes`` reach a filter's width beyond."""
+        width, _, n = self.filters.shape
         step = 256 * HALF
         for at in range(0, size, step):
             m = min(step, size - at)
             total = self.filters[0].take(codes[at : at + m], axis=0)
             for j in range(1, width):
                 total += self.filters[j].take(codes[at + j : at + j + m], axis=0)
-            out[at // HALF : (at + m) // HALF] = total.reshape(-1, HALF, n).max(axis=1)
-        return out
+            yield slice(at // HALF, (at + m) // HALF), total.reshape(-1, HALF, n)
 
     def score(self, texts: list) -> np.ndarray:
         codes, counts = padded([(t or "").encode("utf-8", "replace") for t in texts], len(self.filters) - 1)
@@ -87,7 +97,7 @@ def over_chunks(pooled: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return mean, np.maximum.reduceat(chunk, begin, axis=0)
 
 
-def train(texts: list[str], labels: np.ndarray, *, filters: int = 16, width: int = 6, sample_bytes: int = 3072, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[str], labels: np.ndarray, *, filters: int = 16, width: int = 6, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the logistic loss. Only the place of each maximum carries a gradient back."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.2, (width, 257, filters)).astype(np.float32), np.zeros(filters, np.float32), rng.normal(0, 0.1, 2 * filters + 1).astype(np.float32))
@@ -105,8 +115,7 @@ def train(texts: list[str], labels: np.ndarray, *, filters: int = 16, width: int
         order = rng.permutation(len(raw))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            spans = [int(rng.integers(0, max(1, len(raw[i]) - sample_bytes + 1))) for i in own]
-            codes, counts = padded([raw[i][s : s + sample_bytes] for i, s in zip(own, spans, strict=True)], width - 1)
+            codes, counts = padded([raw[i] for i in own], width - 1)
             grads = _gradients(net, codes, counts, labels[own].astype(np.float32))
             steps += 1
             for p, g, (m, v) in zip(params, grads, moments, strict=True):
@@ -120,9 +129,11 @@ def train(texts: list[str], labels: np.ndarray, *, filters: int = 16, width: int
 def _gradients(net: Network, codes: np.ndarray, counts: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     width, _, n = net.filters.shape
     ext = np.concatenate([codes, np.full(width - 1, PAD, dtype=codes.dtype)])
-    total = sum(net.filters[j].take(ext[j : j + len(codes)], axis=0) for j in range(width)).reshape(-1, HALF, n)
-    where = total.argmax(axis=1)
-    pooled = np.maximum(np.take_along_axis(total, where[:, None], axis=1)[:, 0] + net.bias, 0)
+    where, best = np.empty((len(codes) // HALF, n), dtype=np.int64), np.empty((len(codes) // HALF, n), dtype=np.float32)
+    for rows, total in net.outputs(ext, len(codes)):
+        where[rows] = total.argmax(axis=1)
+        best[rows] = np.take_along_axis(total, where[rows][:, None], axis=1)[:, 0]
+    pooled = np.maximum(best + net.bias, 0)
     first, second, begin = chunk_places(counts)
     a, b = pooled[first], pooled[second]
     chunk = np.maximum(a, b)
@@ -147,13 +158,24 @@ def _gradients(net: Network, codes: np.ndarray, counts: np.ndarray, y: np.ndarra
     return [dfilters.astype(np.float32), dpooled.sum(axis=0), dhead]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, **options) -> Network:
-    """Train on the labelled rows where ``learn`` (over ``id_col``) holds."""
-    marked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("__label"))
-    chosen = marked.where(learn).orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), id_col).limit(sample_rows)
-    size = options.get("sample_bytes", 3072)
-    rows = docs.select(F.col(id_col), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 8 * size).alias("__text")).join(F.broadcast(chosen), id_col)
-    sample = rows.toPandas().sort_values([id_col, "__text", "__label"], kind="stable")
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_bytes: int = 1 << 26, **options) -> Network:
+    """Train on a bounded sample of the labelled rows where ``learn`` (over ``id_col``) holds.
+
+    The driver holds at most ``sample_rows`` rows with ``sample_bytes`` bytes of text.
+    """
+    place = F.xxhash64(F.col(id_col).cast("string"), F.lit("quality"))
+    known = labels.where(F.col(label_col).isNotNull() & learn).select(F.col(id_col), F.col(label_col).cast("int").alias("__label"))
+    chosen = known.orderBy(place, id_col, "__label").limit(sample_rows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col), text.alias("__text")).join(F.broadcast(chosen), id_col)
+    # An id can repeat in the documents, so rows are counted once more.
+    rows = saved(rows.select("*", place.alias("__place"), F.xxhash64("__text").alias("__hash")).orderBy("__place", id_col, "__hash", "__label").limit(sample_rows), "quality-sample")
+    before = Window.partitionBy(F.lit(0)).orderBy("__place", id_col, "__hash", "__label")  # over at most sample_rows rows
+    lengths = rows.select("__place", id_col, "__hash", "__label", F.octet_length("__text").alias("n"))
+    within = lengths.withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= sample_bytes).drop("n", "sum").distinct()
+    sample = rows.join(F.broadcast(within), ["__place", id_col, "__hash", "__label"], "left_semi").toPandas()
+    drop_saved(rows)
+    sample = sample.sort_values(["__place", "__text", "__label"], kind="stable")
     return train(sample["__text"].tolist(), sample["__label"].to_numpy(), **options)
 
 

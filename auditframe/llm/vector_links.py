@@ -1,20 +1,30 @@
 """Exact near-duplicate vectors by a metric range join.
 
-Unit vectors live in the metric of angles. Pivots, a bounded sample of the vectors, partition all
-vectors into cells, each to its nearest pivot. A vector x whose home is cell j lies between that
-cell's least and greatest angle from the pivot; by the triangle inequality a vector within the
-threshold angle t of x lies at most t outside that ring around pivot j, and its angles to pivot j and
-to its own nearest pivot differ by at most 2t. Exactly the vectors that satisfy both are replicated
-to cell j. Large cells are dealt out over several blocks by a hash of the id. Each block joins its
-home vectors with all that were sent to it, alone; every link of a home vector is found there, once.
+Unit vectors live in the metric of angles. Pivots, chosen far from one another in a bounded sample,
+partition all vectors into cells, each to its nearest pivot; neighbouring cells are joined to blocks of
+a few thousand home vectors, and a large cell is dealt over several blocks by a hash. A vector x can be
+within the threshold angle t of a vector in cell j only if, by the triangle inequality,
+
+* x lies at most t outside the ring between that cell's least and greatest angle from pivot j,
+* it does so for the cell's ring around each of some reference pivots, and
+* its angles to pivot j and to its own nearest pivot differ by at most 2t.
+
+Exactly the vectors that satisfy all this for a cell of a block are replicated to the block. Each block
+joins its home vectors with all that were sent to it, alone; every link of a home vector is found there,
+once. In clustered data the rings are narrow and a vector goes to few blocks. Between vectors without
+clusters all angles are near 90 degrees, no ring excludes anything and every block meets every vector:
+the work then grows with the square of the rows (README).
 
 Equal vectors are joined as one with their number, so copies are never expanded into pairs. A block
 holds its home vectors, lets the others stream past, and returns a count of links for each home
-vector and links that keep every linked part together, not all pairs.
-
-Null vectors, zero vectors and those with a null or non-finite component, or of another length than
-the most, link with nothing. Ids are taken to be unique; other columns are ignored. An empty table
-gives an empty result.
+vector and links that keep every linked part together, not all pairs. Products within 1e-9 of the
+threshold are decided by one sum in double precision that is the same for both directions.
+
+Null vectors, zero vectors and those with a null or non-finite component link with nothing, and
+vectors of different lengths don't link; each length is joined by itself, the driver going from one
+length to the next. Repeated rows are vectors of their own that link to one another; rows with one id
+and different vectors are kept apart, each with its own links. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,16 +42,23 @@ from auditframe.llm.components import components
 
 #: Slack for rounding in angles that decide replication; it only ever replicates more.
 SLACK = 1e-6
-#: Links are decided in double precision on unit vectors; sums may round by about this much.
-ROUNDING = 1e-12
+#: Products this near to the threshold are decided by a sum of their own.
+BAND = 1e-9
+#: Vectors from which pivots are chosen, and pivots whose rings all cells keep.
+SAMPLE, REFERENCES = 4096, 16
+
+
+def marked(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id`` and ``vec``, null where a vector can't link. Components stay floats if they are."""
+    kind = "float" if vectors.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "double"
+    vec = F.transform(vec_col, lambda x: x.cast(kind))
+    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    return vectors.select(F.col(id_col).alias("id"), F.when(fine, vec).alias("vec"))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id`` and ``vec`` (double) of the vectors that can link."""
-    vec = F.transform(vec_col, lambda x: x.cast("double"))
-    clean = vectors.select(F.col(id_col).alias("id"), vec.alias("vec")).where(F.col("vec").isNotNull())
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return clean.where(fine)
+    """``id`` and ``vec`` of the vectors that can link."""
+    return marked(vectors, id_col, vec_col).where("vec IS NOT NULL")
 
 
 def unit(block: np.ndarray) -> np.ndarray:
@@ -49,6 +66,12 @@ def unit(block: np.ndarray) -> np.ndarray:
     return block / np.sqrt(np.einsum("ij,ij->i", block, block))[:, None]
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row; equal for (a, b) and (b, a)."""
+    a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
@@ -62,7 +85,8 @@ class Block:
 
     def __init__(self, homes: pd.DataFrame, least: float):
         self.ids, self.least = homes["rep"].to_numpy(), least
-        self.x = unit(_matrix(homes["vec"]))
+        self.raw = _matrix(homes["vec"])
+        self.x = unit(self.raw)
         self.counts = np.zeros(len(self.ids), dtype=np.int64)
         self.parent = np.arange(len(self.ids))
 
@@ -76,10 +100,14 @@ class Block:
 
     def meet(self, others: pd.DataFrame, same: bool = False) -> Iterator[pd.DataFrame]:
         """Count the links to ``others`` (the homes themselves if ``same``); links of a forest."""
-        ids, mult, y = others["rep"].to_numpy(), others["mult"].to_numpy().astype(float), unit(_matrix(others["vec"]))
+        ids, mult, raw = others["rep"].to_numpy(), others["mult"].to_numpy().astype(float), _matrix(others["vec"])
+        y = unit(raw)
         step = max(1, 4_000_000 // max(1, len(self.ids)))
         for at in range(0, len(ids), step):
-            near = y[at : at + step] @ self.x.T >= self.least
+            product = y[at : at + step] @ self.x.T
+            near = product >= self.least
+            row, col = np.nonzero(np.abs(product - self.least) < BAND)
+            near[row, col] = cosines(raw[at + row], self.raw[col]) >= self.least
             if same:
                 near[np.arange(len(near)), at + np.arange(len(near))] = False
             self.counts += (mult[at : at + step] @ near).astype(np.int64)
@@ -140,63 +168,147 @@ def join_blocks(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
     yield from closed()
 
 
-def linked_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, least_cosine: float = 0.9, home_rows: int = 4096, most_pivots: int = 512
-) -> DataFrame:
-    """``id_col``, n_links, component_id and kept of every vector.
-
-    ``home_rows``: home vectors of a block. There are as many pivots as blocks, ``most_pivots`` at
-    most, so what is sent to every task has a fixed bound; beyond it cells have more blocks.
-    """
-    everything = vectors.select(F.col(id_col).alias("id"))
-    raw = usable(vectors, id_col, vec_col)
-    width = raw.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if width is None:
-        return everything.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    raw = raw.where(F.size("vec") == width["n"])
-    # Copies meet under 128 bits of hash and the vector itself; the least id stands for them.
-    distinct = saved(raw.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "vectors")
-    rows = distinct.count()
-    n_pivots = int(min(most_pivots, max(1, math.ceil(rows / home_rows))))
-    chosen = distinct.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots)
-    pivots = unit(_matrix(chosen.toPandas()["vec"]))
-    reach, least = math.acos(least_cosine) + SLACK, least_cosine - ROUNDING
-
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Cells:
+    """Pivots, the cells around them and their rings; what decides where a vector is sent."""
+
+    def __init__(self, sample: np.ndarray, most_pivots: int, reach: float):
+        """Each pivot is the sample's vector farthest from those before it."""
+        chosen, far = [0], _angles(sample, sample[:1])[:, 0]
+        while len(chosen) < min(most_pivots, len(sample)) and far.max() > reach:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, _angles(sample, sample[chosen[-1:]])[:, 0])
+        pivots = sample[chosen]
+        # In the order of a walk from each pivot to the nearest one left, so that blocks are compact.
+        between, order = _angles(pivots, pivots), [0]
+        left = np.ones(len(pivots), dtype=bool)
+        left[0] = False
+        while left.any():
+            order.append(int(np.where(left, between[order[-1]], np.inf).argmin()))
+            left[order[-1]] = False
+        self.pivots, self.reach = pivots[order], reach
+        self.references = np.argsort(order)[:REFERENCES]
+
+    def angles(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angles = _angles(x, self.pivots)
+        return angles, angles.argmin(axis=1)
+
+    def around(self, rings: pd.DataFrame, home_rows: int, least_blocks: int) -> None:
+        """Bounds of what can be near each cell, and the blocks of each."""
+        n, size = len(self.pivots), np.zeros(len(self.pivots), dtype=np.int64)
+        rings = rings[rings["cell"].notna()]
+        at = rings["cell"].to_numpy(dtype=np.int64)
+        size[at] = rings["n"]
+        self.lo, self.hi = np.full((n, 1 + len(self.references)), np.inf), np.full((n, 1 + len(self.references)), -np.inf)
+        self.lo[at], self.hi[at] = np.stack(rings["lo"].to_numpy()) - self.reach, np.stack(rings["hi"].to_numpy()) + self.reach
+        room = max(1, min(home_rows, math.ceil(size.sum() / least_blocks)))
+        self.blocks = np.maximum(1, np.ceil(size / room)).astype(np.int64)  # of a cell
+        self.base = np.zeros(n, dtype=np.int64)
+        block, held = 0, 0
+        for cell in range(n):
+            if held and held + size[cell] > room:
+                block, held = block + 1, 0
+            self.base[cell] = block
+            held += size[cell]
+            if self.blocks[cell] > 1:
+                block, held = block + self.blocks[cell], 0
+        self.n = int(block + 1)
+
+    def home(self, cell: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        return self.base[cell] + slot % self.blocks[cell]
+
+    def targets(self, angles: np.ndarray, cell: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the blocks each of them is sent to, its home block among them."""
+        near = angles - angles.min(axis=1)[:, None] <= 2 * self.reach
+        near &= (angles >= self.lo[:, 0]) & (angles <= self.hi[:, 0])
+        for i, r in enumerate(self.references, start=1):
+            near &= (angles[:, r, None] >= self.lo[:, i]) & (angles[:, r, None] <= self.hi[:, i])
+        row, target = np.nonzero(near)
+        n = self.blocks[target]
+        row, block = np.repeat(row, n), np.repeat(self.base[target], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.unique(np.concatenate([row * self.n + block, np.arange(len(cell)) * self.n + home]))
+        return key // self.n, key % self.n
+
+
+def _found(distinct: DataFrame, least_cosine: float, home_rows: int, most_pivots: int) -> DataFrame:
+    """Counts (a = b) and links (a < b or a > b) of vectors of one length: a, b, n."""
+    spark = distinct.sparkSession
+    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
+    cells = Cells(unit(_matrix(sample["vec"])), most_pivots, math.acos(least_cosine) + SLACK)
+
+    def ringed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                angles = _angles(unit(_matrix(batch["vec"])), pivots)
-                yield pd.DataFrame({"rep": batch["rep"], "cell": angles.argmin(axis=1), "angle": angles.min(axis=1)})
-
-    rings = distinct.mapInPandas(homes, "rep long, cell int, angle double").groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")).toPandas()
-    lo, hi, blocks = np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf), np.zeros(n_pivots, dtype=np.int64)
-    lo[rings["cell"]], hi[rings["cell"]] = rings["lo"] - reach, rings["hi"] + reach
-    blocks[rings["cell"]] = np.ceil(rings["n"] / home_rows).astype(np.int64)
-    base = np.cumsum(blocks) - blocks
+                angles, cell = cells.angles(unit(_matrix(batch["vec"])))
+                own = np.concatenate([angles[np.arange(len(cell)), cell][:, None], angles[:, cells.references]], axis=1)
+                for c in np.unique(cell):
+                    rows = own[cell == c]
+                    yield pd.DataFrame({"cell": [c], "n": [len(rows)], "lo": [rows.min(axis=0)], "hi": [rows.max(axis=0)]})
+
+    each = distinct.select("vec").mapInPandas(ringed, "cell int, n long, lo array<double>, hi array<double>")
+    k = 1 + len(cells.references)
+    bounds = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(k)]
+    rings = each.groupBy("cell").agg(F.sum("n").alias("n"), *bounds)
+    rings = rings.select("cell", "n", *(F.array(*(f"{c}{i}" for i in range(k))).alias(c) for c in ("lo", "hi")))
+    # Small inputs still make as many blocks as there are cores, of a thousand vectors at least.
+    rings = rings.toPandas()  # a row for each pivot
+    rows = int(rings["n"].sum())
+    cells.around(rings, home_rows, max(1, min(spark.sparkContext.defaultParallelism, rows // 1024)))
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each vector for its home block and for every block that may hold a vector near it."""
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at : at + 2048]
-                angles = _angles(unit(_matrix(part["vec"])), pivots)
-                cell = angles.argmin(axis=1)
-                near = (angles >= lo) & (angles <= hi) & (angles - angles.min(axis=1)[:, None] <= 2 * reach)
-                near[np.arange(len(part)), cell] = True
-                own = base[cell] + (part["slot"].to_numpy() % blocks[cell])
-                row, target = np.nonzero(near)
-                n = blocks[target]
-                row, target = np.repeat(row, n), np.repeat(base[target], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"block": target, "home": target == own[row], "rep": part["rep"].to_numpy()[row], "mult": part["mult"].to_numpy()[row], "vec": part["vec"].to_numpy()[row]})
-
-    sent = distinct.select("rep", "mult", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("slot"), F.col("vec").cast("array<double>").alias("vec"))
-    sent = sent.mapInPandas(dealt, "block long, home boolean, rep long, mult long, vec array<double>")
-    ordered = sent.repartition("block").sortWithinPartitions("block", F.desc("home"))
-    found = saved(ordered.mapInPandas(lambda batches: join_blocks(batches, least), "a long, b long, n long"), "vector-links")
+                angles, cell = cells.angles(unit(_matrix(part["vec"])))
+                own = cells.home(cell, part["slot"].to_numpy())
+                row, block = cells.targets(angles, cell, own)
+                yield pd.DataFrame({"block": block, "home": block == own[row], "rep": part["rep"].to_numpy()[row], "mult": part["mult"].to_numpy()[row], "vec": part["vec"].to_numpy()[row]})
+
+    kind = distinct.schema["vec"].dataType.simpleString()
+    sent = distinct.select("rep", "mult", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("slot"), "vec")
+    sent = sent.mapInPandas(dealt, f"block long, home boolean, rep long, mult long, vec {kind}")
+    ordered = sent.repartition(cells.n, "block").sortWithinPartitions("block", F.desc("home"))
+    return ordered.mapInPandas(lambda batches: join_blocks(batches, least_cosine), "a long, b long, n long")
+
+
+def linked_vectors(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, least_cosine: float = 0.9, home_rows: int = 16_384, most_pivots: int = 512
+) -> DataFrame:
+    """``id_col``, n_links, component_id and kept of every vector.
+
+    ``home_rows``: home vectors of a block at most; ``most_pivots`` bounds what every task gets, and
+    cells larger than a block are dealt over several.
+    """
+    everything = marked(vectors, id_col, vec_col)
+    # Copies meet under the vector itself; the least id stands for them. Ids that repeat with other
+    # vectors, or are null, are told apart by a number of their own.
+    distinct = everything.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("mult"))
+    distinct = saved(distinct.withColumn("key", F.xxhash64("vec")), "vectors")
+    clash = distinct.groupBy("least").count().where("count > 1 OR least IS NULL").select(F.col("least").alias("clash"))
+    clashes = clash.limit(1).count() > 0
+    rep = F.col("least").cast("long")
+    if clashes:
+        distinct = distinct.join(clash, F.col("least").eqNullSafe(F.col("clash")), "left_semi").withColumn("rep", F.col("key")).unionByName(distinct.join(clash, F.col("least").eqNullSafe(F.col("clash")), "left_anti").withColumn("rep", rep))
+    else:
+        distinct = distinct.withColumn("rep", rep)
+    distinct = distinct.select("vec", "mult", "least", "rep", F.size("vec").alias("width"))
+    distinct = saved(distinct, "vectors") if clashes else distinct
+    widths = [r["width"] for r in distinct.groupBy("width").count().orderBy("width").collect()]
+    parts = [_found(distinct.where(F.col("width") == w), least_cosine, home_rows, most_pivots) for w in widths]
+    if not parts:
+        return everything.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = saved(found, "vector-links")
     groups = components(found.where("a != b"))
-    per_rep = found.where("a = b").select(F.col("a").alias("rep"), F.col("n").alias("others"))
-    per_rep = distinct.join(per_rep, "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    per_vec = per_rep.select("vec", (F.col("others") + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    result = everything.join(raw.join(per_vec, "vec").drop("vec"), "id", "left")
+    counts = found.where("a = b").select(F.col("a").alias("rep"), F.col("n").alias("others"))
+    per_rep = distinct.join(counts, "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    if clashes:  # representatives are no ids then: the least id of each component
+        per_rep = per_rep.join(per_rep.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    else:
+        per_rep = per_rep.withColumn("component_id", F.col("root"))
+    per_vec = per_rep.select("vec", (F.col("others") + F.col("mult") - 1).alias("n_links"), "component_id")
+    result = everything.join(per_vec, "vec", "left")
     result = result.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return result.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return result.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
