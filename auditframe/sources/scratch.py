@@ -20,11 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "auditframe-shared")
 
 
+#: Removes the shuffle files of a query once it has written its result (Spark 4.1 and later).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, with the same columns."""
+    """``df`` written as Parquet to the shared folder and read back, with the same columns.
+
+    The shuffles behind it are of no more use then, and their files go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
