@@ -14,13 +14,14 @@ document hundreds of times, so suffixes are first put into buckets by content:
 * Buckets are dealt to tasks by gram. A task lays out the bytes of several buckets, places the grams
   at equal residues, and sorts the window suffixes a block at a time with a difference cover
   (``suffix_blocks``). Neighbours that agree for ``length`` bytes are repeats.
-* A bucket of more than ``bucket_rows`` distinct runs isn't held by one task: its windows are counted
-  by their digests, pre-aggregated, wherever they lie.
+* A bucket of more than ``bucket_rows`` distinct runs isn't held by one task: its windows are dealt on
+  by their SHA-256 digests, pre-aggregated, and equal digests are repeats.
 
 Runs are pre-aggregated before each shuffle, so a passage in a third of all documents is a row for
 each task. A filter of fixed size (``filter_bits``) of the grams that occur again keeps most other
 rows from being shuffled at all; where it is too small for a corpus it lets more rows pass, to no
-other effect. Gram and run hashes have 64 bits each and are compared together.
+other effect. Gram and run hashes have 64 bits each and are compared together, so unequal runs pass for
+equal ones with a chance of 2**-128 a pair.
 
 Nulls and texts shorter than ``length`` bytes lose nothing. Rows that are equal in id and text are
 repeats of one another; rows with one id and different texts are kept apart. All other columns are
@@ -40,7 +41,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from auditframe.llm.common import saved
 from auditframe.llm.suffix_blocks import repeated
 
-#: Bytes hashed together; places in a block need fewer than PLACE_BITS bits.
+#: Bytes hashed together; longer texts are taken in pieces. Places in a chunk have fewer bits than PLACE_BITS.
 CHUNK, PLACE_BITS = 1_000_000, 24
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -109,15 +110,30 @@ def runs(texts: list[bytes], length: int, gram: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc, "a": a - begin[doc], "n": n, "at": at - a, "h": grams[at].view(np.int64), "c": mixed(run ^ shape).view(np.int64)})
 
 
-def _chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    first, texts = 0, batch["text"].to_numpy()
-    while first < len(texts):
-        size, end = 0, first
-        while end < len(texts) and (end == first or size + len(texts[end]) <= CHUNK):
-            size += len(texts[end])
-            end += 1
-        yield batch.iloc[first:end]
-        first = end
+def _chunks(batch: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
+    """Rows of ``batch`` by about CHUNK bytes, with ``from``: where in its text a row's piece begins.
+
+    A text of more than CHUNK bytes comes in pieces that overlap by ``length`` - 1 bytes, so each of its
+    windows is in one piece. A run may end where a piece does; its gram and bytes are still its own.
+    """
+    held, size = [], 0
+    for n, text in enumerate(batch["text"]):
+        for begin in range(0, max(1, len(text) - length + 1), CHUNK):
+            piece = text[begin : begin + CHUNK + length - 1] if len(text) > CHUNK else text
+            if held and size + len(piece) > CHUNK:
+                yield _rows(batch, held)
+                held, size = [], 0
+            held.append((n, begin, piece))
+            size += len(piece)
+            if len(text) <= CHUNK:
+                break
+    if held:
+        yield _rows(batch, held)
+
+
+def _rows(batch: pd.DataFrame, held: list) -> pd.DataFrame:
+    n, begin, piece = zip(*held, strict=True)
+    return batch.iloc[list(n)].assign(text=piece, **{"from": begin})
 
 
 def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -145,7 +161,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _chunks(batch):
+            for part in _chunks(batch, length):
                 yield runs(part["text"].tolist(), length, gram)[["h", "c"]]
 
     grams = keyed.select("text").mapInPandas(hashed, "h long, c long")
@@ -156,7 +172,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Runs of grams that may occur again, with their bytes where the runs may differ."""
         for batch in batches:
-            for part in _chunks(batch):
+            for part in _chunks(batch, length):
                 own = runs(part["text"].tolist(), length, gram)
                 own = own[_known(known, own["h"].to_numpy())]
                 if not len(own):
@@ -165,7 +181,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ship = _known(varied, own["h"].to_numpy())
                 doc, a, e = own["doc"].to_numpy(), own["a"].to_numpy(), (own["a"] + own["n"]).to_numpy() + length - 1
                 data = [texts[d][i:j] if s else None for d, i, j, s in zip(doc, a, e, ship, strict=True)]
-                yield pd.DataFrame({"k1": k1[doc], "k2": k2[doc], "h": own["h"], "c": own["c"], "a": own["a"], "n": own["n"], "at": own["at"], "bytes": data})
+                yield pd.DataFrame({"k1": k1[doc], "k2": k2[doc], "h": own["h"], "c": own["c"], "a": own["a"] + part["from"].to_numpy()[doc], "n": own["n"], "at": own["at"], "bytes": data})
 
     placed = keyed.mapInPandas(found, "k1 long, k2 long, h long, c long, a int, n int, at int, bytes binary")
     placed = saved(placed.join(again, "h"), "runs")
@@ -235,9 +251,9 @@ def _counted(distinct: DataFrame, length: int) -> DataFrame:
     """The same for buckets too large for one task: windows counted by digest and gram."""
     window = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     each = distinct.select("h", "c", "rows", window.alias("w"), "bytes").withColumn("own", F.substring("bytes", F.col("w") + 1, F.lit(length)))
-    each = each.select("h", "c", "rows", "w", F.xxhash64("own").alias("d1"), F.crc32("own").alias("d2"))
-    twice = each.groupBy("h", "d1", "d2").agg(F.sum("rows").alias("total")).where("total > 1").select("h", "d1", "d2")
-    hit = each.join(twice, ["h", "d1", "d2"])
+    each = each.select("h", "c", "rows", "w", F.unhex(F.sha2("own", 256)).alias("digest"))
+    twice = each.groupBy("h", "digest").agg(F.sum("rows").alias("total")).where("total > 1").select("h", "digest")
+    hit = each.join(twice, ["h", "digest"])
     one = F.struct(F.col("w").alias("lo"), F.col("w").alias("hi"))
     return hit.groupBy("h", "c").agg(F.collect_list(one).alias("marks"))
 
@@ -247,9 +263,27 @@ def row_key(id_col: str, text_col: str) -> list:
     return [F.xxhash64(own, text).alias("k1"), F.xxhash64(text, own, F.lit("second")).alias("k2")]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, **options) -> DataFrame:
+def _whole(data: bytes, begin: int, end: int) -> bytes:
+    """``data[begin:end]`` without what a cut at either end left of a UTF-8 character."""
+    part = data[begin:end]
+    if begin:
+        part = part[next((i for i, b in enumerate(part[:4]) if b & 0xC0 != 0x80), len(part[:4])) :]
+    if end < len(data):
+        for back in range(1, min(4, len(part)) + 1):
+            lead = part[-back]
+            if lead & 0xC0 != 0x80:
+                if back < (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+                    part = part[:-back]
+                break
+    return part
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, whole_characters: bool = False, **options) -> DataFrame:
     """``row`` (a struct of the columns of ``docs``), n_bytes, spans (start and end of each maximal
-    removed stretch) and kept (the remaining bytes)."""
+    removed stretch) and kept (the remaining bytes).
+
+    With ``whole_characters``, what a cut leaves of a character isn't kept either; spans stay as they are.
+    """
     spans = repeated_spans(docs, id_col, text_col, length=length, **options)
     keyed = docs.select(*row_key(id_col, text_col), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
@@ -262,7 +296,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 merged = merge([] if own is None else own, length)
                 removed.append([{"start": s, "end": e} for s, e in merged])
                 edges = [0, *(x for span in merged for x in span), len(data)]
-                kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)) if merged else data)
+                stretches = zip(edges[::2], edges[1::2], strict=True)
+                kept.append(b"".join(_whole(data, i, j) if whole_characters else data[i:j] for i, j in stretches) if merged else data)
             yield batch[["row"]].assign(n_bytes=batch["__text"].map(len), spans=removed, kept=kept)
 
     schema = StructType([StructField("row", joined.schema["row"].dataType), *StructType.fromDDL("n_bytes long, spans array<struct<start:long,end:long>>").fields, StructField("kept", BinaryType())])

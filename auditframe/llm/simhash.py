@@ -174,14 +174,35 @@ def near_groups(prints: DataFrame, id_col: str, columns: list[str], max_bits: in
     return prints.join(of_rep, columns)
 
 
-def least_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id_col`` (long) of one document of each group of near copies, the least, and of all others.
+def row_numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__id``, a number for each id and text: the id itself where it has one text.
+
+    Of several texts of one id, that of the least hash has the id's number; the others get numbers
+    beyond all ids.
+    """
+    own, digest = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    several = docs.groupBy(own.alias("__own")).agg(F.min(digest).alias("__least"), F.max(digest).alias("__most")).where("__least <> __most").select("__own", "__least")
+    numbered = docs.withColumn("__own", own).join(several, "__own", "left")
+    beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(own, digest), F.lit(1 << 61))
+    return numbered.withColumn("__id", F.when(digest != F.col("__least"), beyond).otherwise(own)).select(*(F.col(f"`{c}`") for c in docs.columns), "__id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, that of the smallest id.
 
     Near: the sets of word shingles have a Jaccard similarity of at least ``similarity``; a group is a
     component of the near texts. Fingerprints have no part in it: an exact join of the sets finds all
-    near pairs (``near_sets``). Texts without a word are near one another. Ids are distinct; null ids
-    are not returned.
+    near pairs (``near_sets``). Texts without a word are near one another.
+
+    Texts that share an id are documents of their own (``row_numbers``). Of rows equal in id and text one
+    stays, that of the least hash of all its columns. Rows with a null id all stay.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    kept = least_of_near(source, lambda text: np.unique(shingle_hashes(text, words, 42)), similarity)
-    return kept.select(F.col("id").alias(id_col))
+    numbered = saved(row_numbers(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "numbered")
+    kept = least_of_near(numbered.select(F.col("__id").alias("id"), F.col(text_col).alias("text")), lambda text: np.unique(shingle_hashes(text, words, 42)), similarity)
+    stay = numbered.join(kept.distinct().withColumnRenamed("id", "__id"), "__id", "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = stay.groupBy("__id").count().where("count > 1").select("__id")
+    if repeated.limit(1).count():
+        one = stay.join(repeated, "__id", "left_semi").groupBy("__id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+        stay = stay.join(repeated, "__id", "left_anti").select(*columns).unionByName(one)
+    return stay.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -216,3 +216,30 @@ def test_empty_table(spark, nasty):
     assert simhash.near_groups(simhash.fingerprints(none), "doc_id", ["fp0"], 2).count() == 0
     assert sampled_pieces.sample_encode(none, MODEL).count() == 0
     assert simhash.least_near(none.select("doc_id", "text")).count() == 0
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts of several chunks; repeats lie across the chunks' borders and in another text."""
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", dtype=np.uint8)
+    passage = letters[rng.integers(0, 27, 900)].tobytes()
+    texts = []
+    for size, places in ((3_300_000, (999_500, 1_999_999, 3_000_100)), (1_000_000, (0, 999_100)), (2_000_000, ())):
+        data = bytearray(letters[rng.integers(0, 27, size)].tobytes())
+        for at in places:
+            data[at : at + 900] = passage
+        texts.append(bytes(data))
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.row.doc_id: [(s.start, s.end) for s in r.spans] for r in repeats.remove_repeats(df).select("row", "spans").collect()}
+    for i, places in enumerate(((999_500, 1_999_999, 3_000_100), (0, 999_100), ())):
+        assert len(found[i]) == len(places)
+        # A neighbouring byte can agree by chance.
+        assert all(begin - 3 <= start <= begin and begin + 900 <= end <= begin + 903 for (start, end), begin in zip(found[i], places, strict=True))
+
+
+def test_whole_characters():
+    data = "aé漢😀z".encode()
+    for begin in range(len(data) + 1):
+        for end in range(begin, len(data) + 1):
+            kept = repeats._whole(data, begin, end)
+            assert kept.decode() == data[begin:end].decode("utf-8", "ignore")
