@@ -17,8 +17,9 @@ the work then grows with the square of the rows (README).
 
 Equal vectors are joined as one with their number, so copies are never expanded into pairs. A block
 holds its home vectors, lets the others stream past, and returns a count of links for each home
-vector and links that keep every linked part together, not all pairs. Products within 1e-9 of the
-threshold are decided by one sum in double precision that is the same for both directions.
+vector and links that keep every linked part together, not all pairs. Products are taken in single
+precision; those nearer to the threshold than its rounding error are decided by a sum in double
+precision that is the same for both directions.
 
 Null vectors, zero vectors and those with a null or non-finite component link with nothing, and
 vectors of different lengths don't link; each length is joined by itself, the driver going from one
@@ -42,10 +43,10 @@ from auditframe.llm.components import components
 
 #: Slack for rounding in angles that decide replication; it only ever replicates more.
 SLACK = 1e-6
-#: Products this near to the threshold are decided by a sum of their own.
-BAND = 1e-9
 #: Vectors from which pivots are chosen, and pivots whose rings all cells keep.
 SAMPLE, REFERENCES = 4096, 16
+#: Vectors for each pivot, as long as there are fewer than the most.
+PIVOT_ROWS = 512
 
 
 def marked(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -76,17 +77,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
 
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1, 1))
-
-
 class Block:
     """Home vectors of one block, held; all others stream past them."""
 
     def __init__(self, homes: pd.DataFrame, least: float):
         self.ids, self.least = homes["rep"].to_numpy(), least
         self.raw = _matrix(homes["vec"])
-        self.x = unit(self.raw)
+        self.x = np.ascontiguousarray(unit(self.raw).astype(np.float32).T)
+        #: More than single precision can be wrong by in a product of unit vectors.
+        self.band = 1.3e-7 * (self.raw.shape[1] + 8)
         self.counts = np.zeros(len(self.ids), dtype=np.int64)
         self.parent = np.arange(len(self.ids))
 
@@ -101,17 +100,19 @@ class Block:
     def meet(self, others: pd.DataFrame, same: bool = False) -> Iterator[pd.DataFrame]:
         """Count the links to ``others`` (the homes themselves if ``same``); links of a forest."""
         ids, mult, raw = others["rep"].to_numpy(), others["mult"].to_numpy().astype(float), _matrix(others["vec"])
-        y = unit(raw)
+        y = unit(raw).astype(np.float32)
         step = max(1, 4_000_000 // max(1, len(self.ids)))
         for at in range(0, len(ids), step):
-            product = y[at : at + step] @ self.x.T
-            near = product >= self.least
-            row, col = np.nonzero(np.abs(product - self.least) < BAND)
-            near[row, col] = cosines(raw[at + row], self.raw[col]) >= self.least
+            product = y[at : at + step] @ self.x
+            found = np.flatnonzero(product >= self.least - self.band)
+            row, col = np.divmod(found, len(self.ids))
+            near = product.ravel()[found] >= self.least + self.band
+            for part in np.array_split(np.flatnonzero(~near), 1 + (~near).sum() // 100_000):
+                near[part] = cosines(raw[at + row[part]], self.raw[col[part]]) >= self.least
             if same:
-                near[np.arange(len(near)), at + np.arange(len(near))] = False
-            self.counts += (mult[at : at + step] @ near).astype(np.int64)
-            row, col = np.nonzero(near)
+                near &= at + row != col
+            row, col = row[near], col[near]
+            self.counts += np.bincount(col, weights=mult[at + row], minlength=len(self.ids)).astype(np.int64)
             if not len(row):
                 continue
             # Each of the others links to its first home, and its further homes are joined to that.
@@ -169,28 +170,47 @@ def join_blocks(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
 
 
 class Cells:
-    """Pivots, the cells around them and their rings; what decides where a vector is sent."""
+    """Pivots, the cells around them and their rings; what decides where a vector is sent.
+
+    Angles are compared by their cosines, which fall as angles grow.
+    """
 
-    def __init__(self, sample: np.ndarray, most_pivots: int, reach: float):
+    def __init__(self, sample: np.ndarray, n_pivots: int, reach: float):
         """Each pivot is the sample's vector farthest from those before it."""
-        chosen, far = [0], _angles(sample, sample[:1])[:, 0]
-        while len(chosen) < min(most_pivots, len(sample)) and far.max() > reach:
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, _angles(sample, sample[chosen[-1:]])[:, 0])
+        chosen, near = [0], sample @ sample[0]
+        while len(chosen) < min(n_pivots, len(sample)) and near.min() < math.cos(reach):
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, sample @ sample[chosen[-1]])
         pivots = sample[chosen]
         # In the order of a walk from each pivot to the nearest one left, so that blocks are compact.
-        between, order = _angles(pivots, pivots), [0]
+        between, order = pivots @ pivots.T, [0]
         left = np.ones(len(pivots), dtype=bool)
         left[0] = False
         while left.any():
-            order.append(int(np.where(left, between[order[-1]], np.inf).argmin()))
+            order.append(int(np.where(left, between[order[-1]], -np.inf).argmax()))
             left[order[-1]] = False
         self.pivots, self.reach = pivots[order], reach
         self.references = np.argsort(order)[:REFERENCES]
 
-    def angles(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        angles = _angles(x, self.pivots)
-        return angles, angles.argmin(axis=1)
+    def cosines(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = x @ self.pivots.T
+        return found, found.argmax(axis=1)
+
+    def rings(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each cell, the rows of a task and their least and greatest cosine to its own pivot and to
+        the reference pivots."""
+        shape = (len(self.pivots), 1 + len(self.references))
+        n, lo, hi = np.zeros(shape[0], dtype=np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
+        for batch in batches:
+            if len(batch):
+                found, cell = self.cosines(unit(_matrix(batch["vec"])))
+                own = np.concatenate([found[np.arange(len(cell)), cell][:, None], found[:, self.references]], axis=1)
+                np.add.at(n, cell, 1)
+                np.minimum.at(lo, cell, own)
+                np.maximum.at(hi, cell, own)
+        has = np.flatnonzero(n)
+        if len(has):
+            yield pd.DataFrame({"cell": has, "n": n[has], "lo": list(lo[has]), "hi": list(hi[has])})
 
     def around(self, rings: pd.DataFrame, home_rows: int, least_blocks: int) -> None:
         """Bounds of what can be near each cell, and the blocks of each."""
@@ -199,7 +219,8 @@ class Cells:
         at = rings["cell"].to_numpy(dtype=np.int64)
         size[at] = rings["n"]
         self.lo, self.hi = np.full((n, 1 + len(self.references)), np.inf), np.full((n, 1 + len(self.references)), -np.inf)
-        self.lo[at], self.hi[at] = np.stack(rings["lo"].to_numpy()) - self.reach, np.stack(rings["hi"].to_numpy()) + self.reach
+        lo, hi = (np.arccos(np.clip(np.stack(rings[c].to_numpy()), -1, 1)) for c in ("hi", "lo"))  # angles
+        self.hi[at], self.lo[at] = np.cos(np.maximum(lo - self.reach, 0)) + SLACK, np.cos(np.minimum(hi + self.reach, math.pi)) - SLACK
         room = max(1, min(home_rows, math.ceil(size.sum() / least_blocks)))
         self.blocks = np.maximum(1, np.ceil(size / room)).astype(np.int64)  # of a cell
         self.base = np.zeros(n, dtype=np.int64)
@@ -216,12 +237,13 @@ class Cells:
     def home(self, cell: np.ndarray, slot: np.ndarray) -> np.ndarray:
         return self.base[cell] + slot % self.blocks[cell]
 
-    def targets(self, angles: np.ndarray, cell: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def targets(self, found: np.ndarray, cell: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the blocks each of them is sent to, its home block among them."""
-        near = angles - angles.min(axis=1)[:, None] <= 2 * self.reach
-        near &= (angles >= self.lo[:, 0]) & (angles <= self.hi[:, 0])
+        own = np.arccos(np.clip(found[np.arange(len(cell)), cell], -1, 1))
+        near = found >= np.cos(np.minimum(own + 2 * self.reach, math.pi))[:, None] - SLACK
+        near &= (found >= self.lo[:, 0]) & (found <= self.hi[:, 0])
         for i, r in enumerate(self.references, start=1):
-            near &= (angles[:, r, None] >= self.lo[:, i]) & (angles[:, r, None] <= self.hi[:, i])
+            near &= (found[:, r, None] >= self.lo[:, i]) & (found[:, r, None] <= self.hi[:, i])
         row, target = np.nonzero(near)
         n = self.blocks[target]
         row, block = np.repeat(row, n), np.repeat(self.base[target], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -233,18 +255,9 @@ def _found(distinct: DataFrame, least_cosine: float, home_rows: int, most_pivots
     """Counts (a = b) and links (a < b or a > b) of vectors of one length: a, b, n."""
     spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
-    cells = Cells(unit(_matrix(sample["vec"])), most_pivots, math.acos(least_cosine) + SLACK)
-
-    def ringed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                angles, cell = cells.angles(unit(_matrix(batch["vec"])))
-                own = np.concatenate([angles[np.arange(len(cell)), cell][:, None], angles[:, cells.references]], axis=1)
-                for c in np.unique(cell):
-                    rows = own[cell == c]
-                    yield pd.DataFrame({"cell": [c], "n": [len(rows)], "lo": [rows.min(axis=0)], "hi": [rows.max(axis=0)]})
-
-    each = distinct.select("vec").mapInPandas(ringed, "cell int, n long, lo array<double>, hi array<double>")
+    n_pivots = min(most_pivots, max(8, math.ceil(distinct.count() / PIVOT_ROWS)))
+    cells = Cells(unit(_matrix(sample["vec"])), n_pivots, math.acos(least_cosine) + SLACK)
+    each = distinct.select("vec").mapInPandas(cells.rings, "cell int, n long, lo array<double>, hi array<double>")
     k = 1 + len(cells.references)
     bounds = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(k)]
     rings = each.groupBy("cell").agg(F.sum("n").alias("n"), *bounds)
@@ -259,9 +272,9 @@ def _found(distinct: DataFrame, least_cosine: float, home_rows: int, most_pivots
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at : at + 2048]
-                angles, cell = cells.angles(unit(_matrix(part["vec"])))
+                found, cell = cells.cosines(unit(_matrix(part["vec"])))
                 own = cells.home(cell, part["slot"].to_numpy())
-                row, block = cells.targets(angles, cell, own)
+                row, block = cells.targets(found, cell, own)
                 yield pd.DataFrame({"block": block, "home": block == own[row], "rep": part["rep"].to_numpy()[row], "mult": part["mult"].to_numpy()[row], "vec": part["vec"].to_numpy()[row]})
 
     kind = distinct.schema["vec"].dataType.simpleString()
