@@ -4,9 +4,11 @@ Every vector is projected at random to a few dimensions, shifted, cut to a grid
 Hilbert curve; this is done for several projections and shifts. The grid's lines are quantiles of the
 projected coordinates, so cells are about equally full whatever the vectors' distribution; they come
 from a bounded sample (``sample_rows`` vectors, those with the least hash), while every row is indexed.
-Spark range-partitions all rows by (curve, key, id); a partition is cut into blocks of ``block_rows``. A
-query visits the blocks around its own place on every curve, a share ``window`` of each curve in all,
-and what it finds there is reranked by exact inner products; the best of all curves are merged.
+Spark range-partitions all rows by (curve, key, id), which gives each its place along the curve. Places
+are cut into strips; the queries of a strip are held by one task, which lets the candidates of the strip
+and of half a window on either side stream past. A query meets the candidates around its own place, a
+share ``window`` of each curve in all, keeps its best by exact inner products, and what it finds on all
+curves is merged.
 
 The window is a share of the rows rather than a number of them: recall then holds at every size, for
 work in proportion to that share. For vectors without cluster structure, such as the test tables',
@@ -83,43 +85,75 @@ class Curves:
             yield hilbert_keys(np.clip(cells, 0, (1 << self.bits) - 1), self.bits)
 
 
-class Stretch:
-    """The candidates on one stretch of a curve, held; queries stream past."""
+class Strip:
+    """The queries of one strip of a curve, in the order of their places; candidates stream past."""
 
-    def __init__(self, rows: pd.DataFrame, k: int):
-        self.ids, self.k = rows["id"].to_numpy(), k
+    def __init__(self, rows: pd.DataFrame, k: int, half: int):
+        self.ids, self.place = rows["id"].to_numpy(), rows["place"].to_numpy()
         self.x = np.stack(rows["vec"].to_numpy()).astype(float)
-
-    def nearest(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids, q = rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(float)
-        for at in range(0, len(q), 512):
-            own, near = q[at : at + 512], q[at : at + 512] @ self.x.T
-            near[ids[at : at + 512, None] == self.ids[None, :]] = -np.inf
-            k = min(self.k, near.shape[1])
-            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-            least -= 1e-9 * np.maximum(1, np.abs(least))
-            row, col = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+        self.k, self.half = k, half
+        self.least = np.full(len(rows), -np.inf)  # of the k best so far
+        self.found = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]  # query's number, id, score
+        self.new: list[tuple] = []
+
+    def meet(self, rows: pd.DataFrame) -> None:
+        """Candidates in the order of their places."""
+        place, ids = rows["place"].to_numpy(), rows["id"].to_numpy()
+        y = np.stack(rows["vec"].to_numpy()).astype(float)
+        for at in range(0, len(y), 1024):
+            own = slice(at, at + 1024)
+            begin, end = np.searchsorted(self.place, (place[own][0] - self.half, place[own][-1] + self.half + 1))
+            if begin == end:
+                continue
+            score = self.x[begin:end] @ y[own].T
+            score[self.ids[begin:end, None] == ids[None, own]] = -np.inf
+            # Sums can round differently here and below.
+            least = self.least[begin:end] - 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(self.least[begin:end]), self.least[begin:end], 1)))
+            many = np.flatnonzero((score >= least[:, None]).sum(axis=1) > self.k)
+            if len(many):
+                kth = np.partition(score[many], score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
+                least[many] = np.maximum(least[many], kth - 1e-9 * np.maximum(1, np.abs(kth)))
+            row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
             # Row by row, so that equal vectors get equal sums wherever they lie.
-            score = (own[row] * self.x[col]).sum(axis=1)
-            order = np.lexsort((self.ids[col], -score, row))
-            row, col, score = row[order], col[order], score[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = place < k
-            yield pd.DataFrame({"query_id": ids[at + row[keep]], "vec_id": self.ids[col[keep]], "score": score[keep]})
+            exact = (self.x[begin + row] * y[at + col]).sum(axis=1)
+            self.new.append((begin + row, ids[at + col], exact))
+            if sum(len(x[0]) for x in self.new) > 200_000:
+                self._settle()
+
+    def _settle(self) -> None:
+        """Only the best ``k`` of each query stay."""
+        row, ids, score = (np.concatenate(x) for x in zip(self.found, *self.new, strict=True))
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        again = np.r_[False, (row[1:] == row[:-1]) & (ids[1:] == ids[:-1]) & (score[1:] == score[:-1])]
+        row, ids, score = row[~again], ids[~again], score[~again]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == self.k - 1
+        self.least[row[last]] = score[last]
+        self.found, self.new = [x[rank < self.k] for x in (row, ids, score)], []
+
+    def best(self) -> pd.DataFrame:
+        self._settle()
+        row, ids, score = self.found
+        return pd.DataFrame({"query_id": self.ids[row], "vec_id": ids, "score": score})
 
 
 def visit(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Rows in the order of block, candidates first: the best candidates there of each query."""
-    number, held, stretch = None, [], None
+    """Rows in the order of strip, queries first, and place: the best candidates there of each query."""
+    number, held, strip = None, [], None
     for batch in batches:
-        for key, rows in batch.groupby("block", sort=False):
+        for key, rows in batch.groupby("strip", sort=False):
             if key != number:
-                number, held, stretch = key, [], None
-            if len(own := rows[rows["candidate"]]):
+                if strip is not None:
+                    yield strip.best()
+                number, held, strip = key, [], None
+            if len(own := rows[~rows["candidate"]]):
                 held.append(own)
-            if len(queries := rows[~rows["candidate"]]) and held:
-                stretch = stretch or Stretch(pd.concat(held), k)
-                yield from stretch.nearest(queries)
+            if len(candidates := rows[rows["candidate"]]) and held:
+                strip = strip or Strip(pd.concat(held), k, int(candidates["half"].iat[0]))
+                strip.meet(candidates)
+    if strip is not None:
+        yield strip.best()
 
 
 def nearest(
@@ -132,14 +166,15 @@ def nearest(
     curves: int = 8,
     dims: int = 4,
     bits: int = 10,
-    window: float = 0.14,
-    block_rows: int = 512,
+    window: float = 0.15,
+    strip_rows: int = 65_536,
     sample_rows: int = 20_000,
     seed: int = 3,
 ) -> DataFrame:
     """query_id, rank, vec_id and score (inner product) of the ``k`` nearest found of each query.
 
-    ``is_query``: a condition over a column ``id``. A query is no candidate of its own.
+    ``is_query``: a condition over a column ``id``. A query is no candidate of its own. No task holds more
+    than the queries among ``strip_rows`` rows.
     """
     spark = vectors.sparkSession
     clean = usable(vectors, id_col, vec_col).where("id IS NOT NULL").withColumn("width", F.size("vec"))
@@ -148,7 +183,7 @@ def nearest(
     for width, rows in sizes.items():
         own = clean.where(F.col("width") == width).drop("width")
         sample = np.stack(own.orderBy(F.xxhash64("id", "vec")).limit(sample_rows).toPandas()["vec"].to_numpy()).astype(float)
-        part = _visited(own, is_query, Curves(sample, curves, dims, bits, seed), rows, k, curves, window, block_rows)
+        part = _visited(own, is_query, Curves(sample, curves, dims, bits, seed), rows, k, curves, window, strip_rows)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -158,8 +193,8 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _visited(clean: DataFrame, is_query: Column, grid: Curves, rows: int, k: int, curves: int, window: float, block_rows: int, part_rows: int = 65_536) -> DataFrame:
-    """query_id, vec_id and score of the best candidates in each block that a query visits."""
+def _visited(clean: DataFrame, is_query: Column, grid: Curves, rows: int, k: int, curves: int, window: float, strip_rows: int) -> DataFrame:
+    """query_id, vec_id and score of the best candidates that each query meets on each curve."""
     spark = clean.sparkSession
     copies = Window.partitionBy("vec").orderBy("id")
     marked = clean.where(is_query).select("id", "vec", F.lit(False).alias("candidate"))
@@ -173,31 +208,28 @@ def _visited(clean: DataFrame, is_query: Column, grid: Curves, rows: int, k: int
                 for curve, keys in enumerate(grid.keys(x)):
                     yield batch.assign(curve=curve, key=keys)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of a partition's rows, which are in the order of curve, key and id."""
-        curve = seen = None
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row's number among those of its curve in the partition, which come in order."""
+        curve, seen = None, 0
         for batch in batches:
-            own = batch["curve"].to_numpy()
-            place = np.empty(len(own), dtype=np.int64)
-            for begin, end in zip(starts := np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else [], [*starts[1:], len(own)], strict=True):
-                if own[begin] != curve:
-                    curve, seen = own[begin], 0
-                place[begin:end] = seen + np.arange(end - begin)
-                seen += end - begin
-            yield batch[["id", "vec", "candidate", "curve", "part"]].assign(block=place // block_rows)
-
+            for own, group in batch.groupby("curve", sort=False):
+                curve, seen = own, seen if own == curve else 0
+                yield group[["id", "vec", "candidate", "curve", "part"]].assign(n=seen + np.arange(len(group)))
+                seen += len(group)
+
+    # Small inputs still make a few strips for each core.
+    cores = spark.sparkContext.defaultParallelism
+    strip = min(strip_rows, max(4096, math.ceil(curves * rows / (4 * cores))))
     placed = marked.unionByName(indexed).mapInPandas(keyed, f"id long, vec {kind}, candidate boolean, curve int, key long")
-    n = max(math.ceil(curves * rows / part_rows), min(2 * spark.sparkContext.defaultParallelism, math.ceil(curves * rows / block_rows)))
-    placed = placed.repartitionByRange(n, "curve", "key", "id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("curve", "key", "id")
-    placed = saved(placed.mapInPandas(cut, f"id long, vec {kind}, candidate boolean, curve int, part int, block long"), "curves")
-    # A row for each block: its place on its curve, and the curve's length.
+    placed = placed.repartitionByRange(math.ceil(curves * rows / strip), "curve", "key", "id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("curve", "key", "id")
+    placed = saved(placed.mapInPandas(counted, f"id long, vec {kind}, candidate boolean, curve int, part int, n long"), "curves")
+    # A row for each curve in each partition: how many rows of the curve lie before it.
     along = Window.partitionBy("curve")
-    blocks = placed.groupBy("curve", "part", "block").count().select("curve", "part", "block", (F.row_number().over(along.orderBy("part", "block")) - 1).alias("place"), F.count("*").over(along).alias("blocks"))
-    placed = placed.join(blocks, ["curve", "part", "block"])
-    radius = F.ceil(F.col("blocks") * (window / 2))
-    around = F.sequence(F.greatest(F.col("place") - radius, F.lit(0)), F.least(F.col("place") + radius, F.col("blocks") - 1))
-    to = lambda place: (F.col("curve").cast("long") * (1 << 40) + place).alias("block")
-    sent = placed.where(~F.col("candidate")).withColumn("to", F.explode(around)).select(to(F.col("to")), "candidate", "id", "vec")
-    met = placed.where("candidate").select(to(F.col("place")), "candidate", "id", "vec").unionByName(sent)
-    ordered = met.repartition("block").sortWithinPartitions("block", F.desc("candidate"))
+    sizes = placed.groupBy("curve", "part").agg(F.count("*").alias("rows"))
+    starts = sizes.select("curve", "part", (F.sum("rows").over(along.orderBy("part")) - F.col("rows")).alias("start"), F.sum("rows").over(along).alias("all"))
+    placed = placed.join(starts, ["curve", "part"]).withColumn("place", F.col("start") + F.col("n")).withColumn("half", F.ceil(F.col("all") * (window / 2)))
+    first, last = (F.floor(x / strip) for x in (F.greatest(F.col("place") - F.col("half"), F.lit(0)), F.least(F.col("place") + F.col("half"), F.col("all") - 1)))
+    strips = F.when(F.col("candidate"), F.sequence(first, last)).otherwise(F.array(F.floor(F.col("place") / strip)))
+    met = placed.withColumn("own", F.explode(strips)).select((F.col("curve").cast("long") * (1 << 40) + F.col("own")).alias("strip"), "candidate", "place", "half", "id", "vec")
+    ordered = met.repartition("strip").sortWithinPartitions("strip", "candidate", "place")
     return ordered.mapInPandas(lambda batches: visit(batches, k), "query_id long, vec_id long, score double")
