@@ -11,15 +11,17 @@ One pattern finds candidates; each is validated and then replaced inside its own
 * IPv4 addresses (each part at most 255): permuted among all addresses;
 * dates of 1800 to 2199 (that exist), as y-m-d, d.m.y or m/d/y: permuted among the 146,097 days of
   those 400 years;
-* e-mail addresses, hexadecimal secrets of 32 digits and more in either case, and what is assigned to a
-  word such as "password" or "token", in any case, with an equals sign or colon, with or without
-  blanks (up to eight on either side) and quotes: a keyed digest of the same form or length.
+* e-mail addresses: 128 bits of a keyed digest, so different addresses don't meet;
+* hexadecimal secrets of 32 digits and more in either case, and what is assigned to a word such as
+  "password" or "token", in any case, with an equals sign or colon, with or without blanks (up to
+  eight on either side) and quotes: a keyed digest of the same form and length. What is assigned so
+  and looks like another kind, but isn't a valid one, is a secret.
 
 The permutations are alternating Feistel networks whose round function is a keyed SHA-256; their two
 halves are residues modulo numbers whose product is the size of the format, so nothing needs a
 second try and no two values meet. A value's pseudonym depends on the key, the kind and the value
 alone: equal values stay linked across documents, in whatever punctuation they are written.
-Candidates that are not valid stay as they are, and so does all other text.
+Other candidates that are not valid stay as they are, and so does all other text.
 
 A null text stays null with no replacements, an empty one empty. Repeated rows get equal results.
 Other columns are kept, whatever their names; the operator adds ``n_replaced``.
@@ -50,9 +52,12 @@ def _grouped(length: int) -> str:
 GROUPED = "|".join(f"(?:{countries})[0-9]{{2}}{_grouped(n)}" for n, countries in IBANS.items())
 #: What stands between a word such as "token" and its value.
 SIGN = r"[ \t]{0,8}[:=][ \t]{0,8}[\"']?"
+ASSIGNS = rf"(?i:password|passwd|secret|token|api_key|apikey)[\"']?{SIGN}"
 #: What each kind looks like, in the order in which a place is tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    # Whole values come before kinds that they may only begin like. The first two conditions are cheap and rule out nearly all places.
+    "assigned": rf"(?<=[:= \t\"'])(?<={SIGN})(?<={ASSIGNS})[A-Za-z0-9_./+-]{{6,}}+",
     "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}[0-9]{{2}} )(?:{GROUPED}))(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
@@ -60,8 +65,6 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
     "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[ .-])[0-9]{3}[ .-]|(?<![0-9+ .-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!-?[0-9])",
     "card": r"(?<![0-9])(?<![0-9]-)(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19})(?!-?[0-9])|(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
-    # The first two conditions are cheap and rule out nearly all places.
-    "assigned": rf"(?<=[:= \t\"'])(?<={SIGN})(?<=(?i:password|passwd|secret|token|api_key|apikey)[\"']?{SIGN})[A-Za-z0-9_./+-]{{6,}}+",
 }
 ANY = "|".join(KINDS.values())
 
@@ -184,8 +187,7 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    number = _number(_keyed(key, "email", F.lower(value)))
-    return F.concat(F.lit("user"), F.lpad((number % 10**12).cast("string"), 12, "0"), F.lit("@masked.invalid"))
+    return F.concat(F.lit("user"), F.left(_keyed(key, "email", F.lower(value)), F.lit(32)), F.lit("@masked.invalid"))
 
 
 def _secret(value: Column, key: str) -> Column:
@@ -198,21 +200,26 @@ def _secret(value: Column, key: str) -> Column:
     return F.when(hexadecimal & value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(digest)).otherwise(digest)
 
 
-MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "assigned": _secret}
+MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value, or the value where it is not valid."""
+def pseudonym(value: Column, assigned: Column, key: str) -> Column:
+    """The pseudonym of one found value, or the value where it is not valid.
+
+    ``assigned``: whether it stands behind a word such as "token" and a sign.
+    """
     out = F.when(F.lit(False), value)
     for kind, pattern in KINDS.items():
+        if kind == "assigned":
+            continue
         bare = pattern.split(")", 1)[1]  # without what stands before
         shape = {
             "phone": r"(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
             "card": r"[0-9](?:[ -]?[0-9]){12,18}",
-            "assigned": r"[A-Za-z0-9_./+-]{6,}",
         }.get(kind, bare)
         out = out.when(value.rlike(f"^(?:{shape})$"), MAKERS[kind](value, key))
-    return out.otherwise(value)
+    found = F.struct(out.otherwise(value).alias("new"))
+    return F.transform(F.array(found), lambda x: F.when(assigned & (x["new"] == value), _secret(value, key)).otherwise(x["new"]))[0]
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
@@ -223,7 +230,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     names = [c for c in docs.columns if c not in (text_col, count_col)]
     # The lists are columns of their own, so that each is computed once.
     listed = docs.select("*", F.when(text.rlike(ANY), F.struct(found.alias("found"), around.alias("around"))).alias("__lists"))
-    made = listed.withColumn("__new", F.transform(F.col("__lists.found"), lambda v: pseudonym(v, key)))
+    behind = lambda i: F.right(F.element_at(F.col("__lists.around"), i + 1), F.lit(40)).rlike(f"{ASSIGNS}$")
+    made = listed.withColumn("__new", F.transform(F.col("__lists.found"), lambda v, i: pseudonym(v, behind(i), key)))
     pieces = F.zip_with(F.col("__lists.around"), F.col("__new"), lambda a, v: F.concat(a, F.coalesce(v, F.lit(""))))
     changed = F.size(F.filter(F.arrays_zip(F.col("__lists.found").alias("a"), F.col("__new").alias("b")), lambda x: x["a"] != x["b"]))
     result = made.select(
