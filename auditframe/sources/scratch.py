@@ -24,17 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, with the same columns.
 
-    The shuffles behind it are of no more use then, and their files go.
+    The shuffles behind it are of no more use then, and their files go. ``partitions`` are columns that
+    the table is partitioned by.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*partitions).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
