@@ -85,6 +85,24 @@ def test_katz_scores(spark, tmp_path):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # pairs tell more than words
 
 
+def test_katz_with_many_buckets_and_common_pairs(spark):
+    """Hot words, pairs sent apart (some only in texts not learnt from), a long text, clashing columns."""
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
+    rows += [(7000 + i, "the cat the cat " * rng.randint(1, 9) + f"w{i}") for i in range(40)] + [(8000 + i, "held out pair held out pair") for i in range(0, 200)] + [(9000, "long text of words " * 20_000), (9001, None)]
+    learn = lambda i: not (8000 <= i < 8200) and crc(i) % 10 != 0
+    model = Katz([t for i, t in rows if learn(i)])
+    df = spark.createDataFrame([(i, t, learn(i), 1, 2.0) for i, t in rows], "doc_id long, text string, learnt boolean, key int, n double")
+    found = katz.katz_scores(df, F.col("learnt"), bucket_tokens=5000, least_common=20).collect()
+    by_id = dict(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        own = tokens(by_id[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (len(own), sum(w in model.one for w in own))
+        base = sum(math.log10((model.one.get(w, 0) + 0.1) / (model.n + 0.1 * (len(model.one) + 1))) for w in own)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model.score(by_id[r.doc_id]), rel_tol=1e-9), r
+
+
 def test_katz_without_training_texts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     found = katz.katz_scores(df, F.lit(False)).collect()
