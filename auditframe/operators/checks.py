@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,48 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     return left.join(right, on, how)
 
 
+def subset(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``a`` whose keys ``b`` lacks; a set of exclusions must be a subset of what it excludes from."""
+    return a.join(b.select(*on), on, "left_anti")
+
+
+def forbidden_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """Columns that a feature view must not have, whatever their case."""
+    lower = {n.lower() for n in names}
+    return sorted(c for c in df.columns if c.lower() in lower)
+
+
+def one_signature(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Signatures beside the commonest (ties: the least), with their numbers."""
+    counts = df.groupBy(*columns).count()
+    usual = counts.orderBy(F.desc("count"), *columns).limit(1).select(*columns)
+    same = [counts[c].eqNullSafe(usual[c]) for c in columns]
+    return counts.join(F.broadcast(usual), same, "left_anti")
+
+
+def tally(broken: dict[str, DataFrame]) -> DataFrame:
+    """Rows that break each rule: check, rows. Rules are few."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("check"), "rows") for name, df in broken.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def plan_digest(plan: dict) -> str:
+    """SHA-256 of a plan as canonical JSON, without a digest that it holds itself."""
+    own = {k: v for k, v in plan.items() if k != "digest"}
+    return hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def unchanged(plan: dict, rebuilt: dict) -> None:
+    """An error if a plan's digest is wrong or a rebuilt plan is another one."""
+    if plan.get("digest") != plan_digest(plan):
+        raise ValueError("the plan was changed after its digest was made")
+    if plan_digest(rebuilt) != plan["digest"]:
+        raise ValueError("the plan can't be rebuilt: " + ", ".join(sorted(k for k in {*plan, *rebuilt} - {"digest"} if plan.get(k) != rebuilt.get(k))))
+
+
 def crossing_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups with rows in several splits."""
     return df.groupBy(group).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("rows")).where("splits > 1")
