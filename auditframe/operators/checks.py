@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.sources.scratch import saved
+
 
 def enforce(violations: DataFrame, what: str) -> None:
     if (row := violations.first()) is not None:
@@ -101,19 +103,21 @@ def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: floa
 
     Sets of size n and m can only reach it if they share at least least**2 of the larger; so with grams
     in an order from rare to frequent, they share one among the first n - ceil(least**2 * n) + 1 of
-    each. Only those are joined on; equal sets are joined as one.
+    each. Only those are joined on, by their hashes, and what the places of a shared gram leave for the
+    rest of both sets decides before a pair is made; the first gram that a near pair shares never fails
+    that. Pairs are verified on the grams themselves.
     """
     sets = df.select(key, label, F.array_sort(F.array_distinct(grams)).alias("g")).where(F.size("g") > 0)
-    distinct = sets.groupBy("g", label).agg(F.min(key).alias("member"), F.count("*").alias("copies")).withColumn("set", F.xxhash64("g", label))
-    each = distinct.select("set", label, F.size("g").alias("n"), F.explode("g").alias("gram"))
+    distinct = saved(sets.groupBy("g", label).agg(F.min(key).alias("member"), F.count("*").alias("copies")), "sets")
+    each = distinct.select("member", label, F.size("g").alias("n"), F.explode(F.transform("g", lambda g: F.xxhash64(g))).alias("gram"))
     frequency = each.groupBy("gram").agg(F.count("*").alias("f"))
-    ordered = each.join(frequency, "gram").groupBy("set", label, "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("g"))
+    ordered = each.join(frequency, "gram").groupBy("member", label, "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("g"))
     need = F.ceil(F.col("n") * (least * least) - 1e-9)
-    prefix = ordered.select("set", label, "n", F.explode(F.slice("g", 1, (F.col("n") - need + 1).cast("int"))).alias("p")).select("set", label, "n", F.col("p.gram").alias("gram"))
-    one, zero = (prefix.where(F.col(label) == c).select("gram", F.col("set").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in (1, 0))
-    near_size = (F.col("n1") * (least * least) <= F.col("n0") + 1e-9) & (F.col("n0") * (least * least) <= F.col("n1") + 1e-9)
-    candidates = one.join(zero, "gram").where(near_size).select("s1", "s0").distinct()
-    a, b = (distinct.select(F.col("set").alias(f"s{c}"), F.col("g").alias(f"g{c}"), F.col("member").alias(("zero", "one")[c]), F.col("copies").alias(("zeros", "ones")[c])) for c in (1, 0))
+    prefix = ordered.select("member", label, "n", F.posexplode(F.slice("g", 1, (F.col("n") - need + 1).cast("int"))).alias("at", "p")).where("p.f > 1")
+    one, zero = (prefix.where(F.col(label) == c).select(F.col("p.gram").alias("gram"), F.col("member").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}")) for c in (1, 0))
+    room = F.least(F.col("n1") - F.col("at1"), F.col("n0") - F.col("at0")) >= least * F.sqrt(F.col("n1").cast("double") * F.col("n0")) - 1e-6
+    candidates = one.join(zero, "gram").where(room).select("s1", "s0").distinct()
+    a, b = (distinct.where(F.col(label) == c).select(F.col("member").alias(f"s{c}"), F.col("g").alias(f"g{c}"), F.col("copies").alias(("zeros", "ones")[c])) for c in (1, 0))
     cosine = F.size(F.array_intersect("g1", "g0")) / F.sqrt(F.size("g1").cast("double") * F.size("g0"))
     verified = candidates.join(a, "s1").join(b, "s0").withColumn("cosine", cosine).where(F.col("cosine") >= least - 1e-12)
-    return verified.select("one", "zero", "ones", "zeros", "cosine")
+    return verified.select(F.col("s1").alias("one"), F.col("s0").alias("zero"), "ones", "zeros", "cosine")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,6 @@ from pyspark.sql import functions as F
 
 from auditframe.operators.ranks import average_ranks, benjamini_hochberg
 
-#: Two-sided 95 % points of Student's t by degrees of freedom, for few repetitions (fixed values).
-T_975 = {1: 12.706204736432095, 2: 4.302652729911275, 3: 3.182446305284263, 4: 2.7764451051977987, 5: 2.5705818366147395, 6: 2.4469118511449692, 7: 2.3646242510102993, 8: 2.306004135033371, 9: 2.2621571627409915}
-
-
 def sign_flip_exact(df: DataFrame, keys: list[str], difference: str, unit: str, *, plus_one: bool = False, tolerance: float = 0.0) -> DataFrame:
     """Exact two-sided sign-flip p-value of the mean difference of each group of at most 20 units.
 
@@ -54,6 +51,17 @@ def sign_flip_sampled(df: DataFrame, keys: list[str], difference: str, unit: str
     return done.groupBy(*keys).agg(((F.sum("hits") + 1) / (draws + 1)).alias("p"))
 
 
+def sign_flip_test(df: DataFrame, keys: list[str], difference: str, unit: str, *, most_exact: int = 20, draws: int = 100_000, seed: int = 0) -> DataFrame:
+    """``keys``, n, mean_difference and p: exact for groups of up to ``most_exact`` units (20 at most), sampled
+    for larger ones."""
+    usable = df.where(F.col(difference).isNotNull())
+    sizes = usable.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(difference).alias("mean_difference"))
+    small = usable.join(sizes.where(F.col("n") <= min(20, most_exact)).select(*keys), keys, "left_semi")
+    large = usable.join(sizes.where(F.col("n") > min(20, most_exact)).select(*keys), keys, "left_semi")
+    p = sign_flip_exact(small, keys, difference, unit, tolerance=1e-12).select(*keys, "p")
+    return sizes.join(p.unionByName(sign_flip_sampled(large, keys, difference, unit, draws=draws, seed=seed).select(*keys, "p")), keys)
+
+
 def paired_views(metrics: DataFrame, unit: str, view: str, value: str, baseline: str, views: list[str]) -> DataFrame:
     """Difference of each view from a baseline, paired by ``unit``: exact test and joint adjustment."""
     wide = metrics.groupBy(unit).pivot(view, [baseline, *views]).agg(F.first(value))
@@ -61,6 +69,47 @@ def paired_views(metrics: DataFrame, unit: str, view: str, value: str, baseline:
     return benjamini_hochberg(sign_flip_exact(long, ["view"], "difference", unit), "p")
 
 
+def paired_table(differences: DataFrame, keys: list[str], metric: str, unit: str, difference: str) -> DataFrame:
+    """Exact sign-flip test over units for each of ``keys`` and metric, adjusted within each metric."""
+    tested = sign_flip_exact(differences, [*keys, metric], difference, unit, tolerance=1e-9)
+    return benjamini_hochberg(tested, "p", [metric])
+
+
+def beta_tail(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction on the side where it converges."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_tail(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # Steed's form, evaluated from the far end with enough terms for double precision.
+    terms = 200 + int(5 * math.sqrt(max(a, b)))
+    value = 0.0
+    for n in range(terms, 0, -1):
+        m = n // 2
+        d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if n % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = d / (1 + value)
+    return front / (1 + value)
+
+
+def pearson_tail(r, n):
+    """Two-sided p-value of a correlation over n rows from Student's t; null below three rows.
+
+    A correlation of one counts as 1 - 1e-15.
+    """
+
+    def run(r, n):
+        def tail(r, n):
+            if pd.isna(r) or pd.isna(n) or n < 3:
+                return math.nan
+            r = min(abs(r), 1 - 1e-15)
+            return beta_tail((n - 2) / 2, 0.5, 1 - r * r)
+
+        return pd.Series([tail(a, b) for a, b in zip(r, n, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(r, n)
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: no group is gathered.
 
@@ -172,11 +221,25 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(constant, None).otherwise(F.corr(f"r_{x}", f"r_{y}")).alias("rho"))
 
 
+@lru_cache(maxsize=4096)
+def t_975(freedom: int) -> float:
+    """The point that Student's t exceeds in 2.5 % of cases, by bisection."""
+    low, high = 0.0, 20.0
+    for _ in range(80):
+        t = (low + high) / 2
+        low, high = (t, high) if beta_tail(freedom / 2, 0.5, freedom / (freedom + t * t)) > 0.05 else (low, t)
+    return (low + high) / 2
+
+
 def t_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean and half-width of the 95 % Student interval over up to ten repetitions."""
+    """Mean and half-width of the 95 % Student interval over any number of repetitions; null for one."""
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    t = F.try_element_at(F.create_map(*(F.lit(x) for pair in T_975.items() for x in pair)), (F.col("n") - 1).cast("int"))
-    return stats.withColumn("half_width", F.try_divide(t * F.col("sd"), F.sqrt("n"))).drop("sd")
+
+    def points(n):
+        return n.map(lambda k: t_975(int(k) - 1) if k > 1 else math.nan).astype(float)
+
+    t = F.pandas_udf(points, "double", F.PandasUDFType.SCALAR)("n")
+    return stats.withColumn("half_width", F.when(F.col("n") > 1, t * F.col("sd") / F.sqrt("n"))).drop("sd")
 
 
 def leave_one_out_smd(df: DataFrame, keys: list[str], unit: str, label: str, value: str) -> DataFrame:

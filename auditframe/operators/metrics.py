@@ -101,3 +101,16 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Counts of each pair of classes, and their share of the actual class."""
     counts = df.groupBy(actual, predicted).count()
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(actual)))
+
+
+def one_vs_rest(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """Mean over classes of the area of each class's probability against all others, and the mean log loss.
+
+    ``df`` has a column of probabilities for each class. Classes without rows on both sides are left out
+    of the mean.
+    """
+    long = df.select(label, F.explode(F.create_map(*(c for k in classes for c in (F.lit(k), F.round(F.col(k), 9))))).alias("class", "p"))
+    areas = auroc(long.select("class", "p", (F.col(label) == F.col("class")).cast("int").alias("y")), "y", "p", ["class"])
+    own = F.coalesce(*(F.when(F.col(label) == k, F.col(k)) for k in classes))
+    loss = df.agg(F.avg(-F.ln(F.greatest(own, F.lit(1e-15)))).alias("log_loss"))
+    return areas.agg(F.avg("auroc").alias("macro_auroc")).crossJoin(F.broadcast(loss))

@@ -45,17 +45,19 @@ def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> D
     return counted.select(*(keys or []), value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def numbered(df: DataFrame, key: str, tie: str, out: str) -> DataFrame:
-    """``df`` with its row's place (from 1) in the order of a hexadecimal hash ``key`` and ``tie``.
+def numbered(df: DataFrame, key: str, tie: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with its row's place (from 1) within ``keys`` in the order of a hexadecimal hash ``key`` and ``tie``.
 
     Rows are numbered inside 4096 stretches of the hash, and the stretches' sizes are cumulated.
     """
+    keys = keys or []
     placed = df.withColumn("__stretch", F.substring(key, 1, 3))
-    own = F.row_number().over(Window.partitionBy("__stretch").orderBy(key, tie))
-    sizes = placed.groupBy("__stretch").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__stretch", before.alias("__before"))  # 4096 rows at most
-    return placed.withColumn("__own", own).join(F.broadcast(starts), "__stretch").withColumn(out, F.col("__own") + F.col("__before")).drop("__own", "__before", "__stretch")
+    own = F.row_number().over(Window.partitionBy(*keys, "__stretch").orderBy(key, tie))
+    sizes = placed.groupBy(*keys, "__stretch").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "__stretch", before.alias("__before"))  # 4096 rows at most for each of keys
+    starts = starts if keys else F.broadcast(starts)
+    return placed.withColumn("__own", own).join(starts, [*keys, "__stretch"]).withColumn(out, F.col("__own") + F.col("__before")).drop("__own", "__before", "__stretch")
 
 
 def rank_within(order: Column, *keys: str) -> Column:

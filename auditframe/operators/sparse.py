@@ -87,7 +87,7 @@ def feature_cosine(active: DataFrame, keys: list[str]) -> DataFrame:
     pairs = row.select(F.explode("f").alias("a"), "f").select("a", F.explode("f").alias("b")).where("a.feature <= b.feature")
     dots = pairs.groupBy(F.col("a.feature").alias("left"), F.col("b.feature").alias("right")).agg(F.sum(F.col("a.activation") * F.col("b.activation")).alias("dot"))
     norm = dots.where("left = right").select(F.col("left").alias("f"), F.sqrt("dot").alias("norm"))
-    out = dots.join(F.broadcast(norm.select(F.col("f").alias("left"), F.col("norm").alias("nl"))), "left").join(F.broadcast(norm.select(F.col("f").alias("right"), F.col("norm").alias("nr"))), "right")
+    out = dots.join(norm.select(F.col("f").alias("left"), F.col("norm").alias("nl")), "left").join(norm.select(F.col("f").alias("right"), F.col("norm").alias("nr")), "right")
     return out.where("left < right").select("left", "right", (F.col("dot") / (F.col("nl") * F.col("nr"))).alias("cosine"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,28 +14,28 @@ def global_identity(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int
     """Identity over aligned positions and coverage of ``b`` in a best global alignment.
 
     Ties prefer a pair, then a gap in ``b``. Rows are filled at once: a running maximum of scores less
-    their gap costs gives the best run of gaps to the left.
+    their gap costs gives the best run of gaps to the left. Memory is linear in the length of ``b``.
     """
     if not a or not b:
         return 0.0, 0.0
     x, y = (np.frombuffer(s.encode("utf-32-le"), dtype="<u4") for s in (a, b))
     steps = gap * np.arange(len(y) + 1)
-    score, moves = steps.copy(), np.zeros((len(x) + 1, len(y) + 1), dtype=np.int8)
-    for i, char in enumerate(x, 1):
-        pair = np.r_[np.iinfo(np.int32).min, score[:-1] + np.where(y == char, match, mismatch)]
+    place = np.arange(len(y) + 1)
+    # Along the path that a traceback would take, each cell has equal letters and pairs so far: two rows.
+    score, same, pairs = steps.copy(), np.zeros(len(y) + 1, dtype=np.int64), np.zeros(len(y) + 1, dtype=np.int64)
+    for char in x:
+        equal = y == char
+        pair = np.r_[np.iinfo(np.int32).min, score[:-1] + np.where(equal, match, mismatch)]
         up = score + gap
         best = np.maximum(pair, up)
-        new = np.maximum.accumulate(best - steps) + steps
-        moves[i] = np.where(pair == new, 0, np.where(up == new, 1, 2))
-        score = new
-    i, j, same, pairs = len(x), len(y), 0, 0
-    while i and j:
-        move = moves[i, j]
-        if move == 0:
-            same += int(x[i - 1] == y[j - 1])
-            pairs += 1
-        i, j = i - (move != 2), j - (move != 1)
-    return same / max(1, pairs), pairs / len(b)
+        most = np.maximum.accumulate(best - steps)
+        # The nearest cell to the left (or the cell itself) from which gaps alone lead here.
+        origin = np.maximum.accumulate(np.where(best - steps == most, place, 0))
+        paired = pair >= up
+        same = np.where(paired, np.r_[0, same[:-1] + equal], same)[origin]
+        pairs = np.where(paired, np.r_[0, pairs[:-1] + 1], pairs)[origin]
+        score = most + steps
+    return int(same[-1]) / max(1, int(pairs[-1])), int(pairs[-1]) / len(b)
 
 
 def align(a: str, b: str):
@@ -101,8 +103,11 @@ def near_points(points: DataFrame, key: str, group: str, axes: list[str], radius
     return joined.select(group, F.col(key).alias("left"), F.col(names[key]).alias("right"), F.sqrt(square).alias("distance"))
 
 
-def elastic_modes(coords: np.ndarray, start: float = 9.5, stop: float = 12.0, step: float = 0.5) -> tuple[np.ndarray, float]:
-    """Pseudo-inverse of the elastic network's Hessian at the least cutoff that leaves six zero modes."""
+def elastic_modes(coords: np.ndarray, start: float = 9.5, stop: float = 12.0, step: float = 0.5) -> tuple[np.ndarray, float] | None:
+    """Pseudo-inverse of the elastic network's Hessian at the least cutoff that leaves six zero modes.
+
+    None where the network stays disconnected up to the last cutoff.
+    """
     n = len(coords)
     delta = coords[:, None, :] - coords[None, :, :]
     square = (delta**2).sum(axis=2)
@@ -114,26 +119,38 @@ def elastic_modes(coords: np.ndarray, start: float = 9.5, stop: float = 12.0, st
         moving = values > max(1e-8 * max(values[-1], 1.0), 1e-12)
         if (~moving).sum() == 6:
             return (vectors[:, moving] / values[moving]) @ vectors[:, moving].T, float(cutoff)
-    raise ValueError("the network stays disconnected")
+    return None
 
 
-def response_scan(points: DataFrame, key: str, position: str, axes: list[str], moves: list[str], directions: int = 200, seed: int = 0) -> DataFrame:
-    """Greatest and mean overlap of the response to random forces on each position with ``moves``.
+def response_scan(points: DataFrame, key: str, position: str, axes: list[str], moves: list[str], directions: int = 200, seed: int = 0, top_share: float = 0.05) -> DataFrame:
+    """Overlap of the response to random forces on each position with ``moves``: greatest and mean, signed
+    and absolute, how much the greatest differs from that of the first half of the directions, and whether
+    the position is among the first ``top_share`` of its group.
 
-    A group is one structure, whose matrix is dense; groups are shared out over tasks.
+    A group is one structure, whose matrix is dense; groups are shared out over tasks. A structure whose
+    network stays disconnected has nulls.
     """
+    names = ["max_overlap", "mean_overlap", "max_absolute", "mean_absolute", "half_delta", "cutoff"]
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(position)
+        out = group[[key, position]].reset_index(drop=True)
         target = group[moves].to_numpy(dtype=float).ravel()
-        covariance, cutoff = elastic_modes(group[axes].to_numpy(dtype=float))
+        modes = elastic_modes(group[axes].to_numpy(dtype=float))
+        if modes is None:
+            return out.assign(**dict.fromkeys(names, np.nan), is_top=None)
+        covariance, cutoff = modes
         rng = np.random.default_rng([seed, len(group)])
         force = rng.normal(size=(directions, 3))
         force /= np.linalg.norm(force, axis=1, keepdims=True)
         response = covariance.reshape(len(target), len(group), 3) @ force.T
         norm = np.linalg.norm(response, axis=0) * np.linalg.norm(target)
         overlap = np.einsum("a,abd->bd", target, response) / np.where(norm > 1e-12, norm, np.inf)
-        return pd.DataFrame({key: group[key], position: group[position], "max_overlap": overlap.max(axis=1), "mean_overlap": overlap.mean(axis=1), "cutoff": cutoff})
+        most, size = overlap.max(axis=1), np.abs(overlap)
+        half = overlap[:, : max(1, directions // 2)].max(axis=1)
+        first = np.argsort(-most, kind="stable")[: max(1, math.ceil(top_share * len(group)))]
+        values = dict(zip(names, (most, overlap.mean(axis=1), size.max(axis=1), size.mean(axis=1), most - half, cutoff), strict=True))
+        return out.assign(**values, is_top=np.isin(np.arange(len(group)), first))
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    return points.groupBy(key).applyInPandas(scan, f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, max_overlap double, mean_overlap double, cutoff double")
+    return points.groupBy(key).applyInPandas(scan, f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, " + ", ".join(f"{n} double" for n in names) + ", is_top boolean")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from auditframe.operators import causal, cohort, inference, metrics
+from auditframe.operators import causal, checks, cohort, inference, metrics
 from auditframe.operators.ranks import benjamini_hochberg, top_n
 from auditframe.plans.metric_queries import P_VALUES, SCORED, scored
 from auditframe.plans.registry import query, six, sql_six, table
 from auditframe.plans.relational_queries import CATALOG, catalog
 from auditframe.plans.vector_queries import ACTIVE, TARGETS, active, embeddings, targets
+from auditframe.sources.scratch import saved
 
 # Paired inference: order lines by number are repetitions, return flags are views.
 
@@ -172,7 +173,7 @@ def per_group_effects(spark, sf):
 def group_feature_stats(spark, sf):
     """Mean, maximum and active share over all positions of a group, zeros counted."""
     lengths = embeddings(spark, sf).groupBy("label").agg(F.count("*").alias("L"))
-    rows = active(spark, sf).join(F.broadcast(lengths), "label").groupBy("label", F.col("feature").cast("long").alias("feature"))
+    rows = active(spark, sf).join(lengths, "label").groupBy("label", F.col("feature").cast("long").alias("feature"))
     return rows.agg(six(F.sum("activation") / F.max("L")).alias("mean"), F.max("activation").alias("max"), six(F.count("*") / F.max("L")).alias("active_share"))
 
 
@@ -256,18 +257,18 @@ def hash_balanced_sample(spark, sf):
 
 
 EDGES_SQL = "(SELECT list_distinct(quantile_cont(s_acctbal, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM supplier)"
-PLACED_SQL = f"(SELECT *, row_number() OVER (PARTITION BY decile, chosen ORDER BY sha256('7:' || s_suppkey), s_suppkey) AS turn FROM (SELECT s_suppkey, s_suppkey % 5 = 0 AS chosen, len(list_filter(e, lambda x: x < s_acctbal)) AS decile FROM supplier, {EDGES_SQL}))"
+PLACED_SQL = f"(SELECT *, row_number() OVER (PARTITION BY decile, chosen ORDER BY sha256('7:' || s_suppkey), s_suppkey) AS turn FROM (SELECT s_suppkey, (s_suppkey % 5 = 0 OR (s_acctbal > 4000 AND s_suppkey % 5 < 3)) AS chosen, len(list_filter(e, lambda x: x < s_acctbal)) AS decile FROM supplier, {EDGES_SQL}))"
 
 
-@query(f"""SELECT a.s_suppkey AS chosen_id, a.decile, b.s_suppkey AS control_id FROM {PLACED_SQL} a JOIN {PLACED_SQL} b ON a.decile = b.decile AND a.turn = b.turn AND a.chosen AND NOT b.chosen""")
+@query(f"""WITH p AS (SELECT * FROM {PLACED_SQL}), f AS (SELECT a.s_suppkey AS chosen_id, a.decile, b.s_suppkey AS control_id FROM p a LEFT JOIN p b ON a.decile = b.decile AND a.turn = b.turn AND NOT b.chosen WHERE a.chosen),
+    need AS (SELECT chosen_id, decile, row_number() OVER (ORDER BY sha256('7:rest:' || chosen_id), chosen_id) AS turn FROM f WHERE control_id IS NULL),
+    spare AS (SELECT s_suppkey AS control_id, row_number() OVER (ORDER BY sha256('7:rest:' || s_suppkey), s_suppkey) AS turn FROM p WHERE NOT chosen AND s_suppkey NOT IN (SELECT control_id FROM f WHERE control_id IS NOT NULL))
+    SELECT chosen_id, decile, control_id FROM f WHERE control_id IS NOT NULL UNION ALL SELECT chosen_id, decile, control_id FROM need LEFT JOIN spare USING (turn)""")
 def decile_matched_controls(spark, sf):
-    """The controls found inside deciles."""
-    rows = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") % 5 == 0).alias("chosen"))
+    """Controls from each chosen row's decile; where a decile runs out, from what is left anywhere."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", ((F.col("s_suppkey") % 5 == 0) | ((F.col("s_acctbal") > 4000) & (F.col("s_suppkey") % 5 < 3))).alias("chosen"))
     out = cohort.decile_controls(rows, "s_suppkey", "s_acctbal", "chosen", 7)
-    value = rows.select(F.col("s_suppkey").alias("control_id"), "s_acctbal")
-    edges = rows.agg(F.array_distinct(F.percentile("s_acctbal", F.lit([i / 10 for i in range(1, 10)]))).alias("e"))
-    own = out.join(value, "control_id").crossJoin(F.broadcast(edges)).where(F.size(F.filter("e", lambda x: x < F.col("s_acctbal"))) == F.col("decile"))
-    return own.select("chosen_id", F.col("decile").cast("long").alias("decile"), "control_id")
+    return out.select("chosen_id", F.col("decile").cast("long").alias("decile"), "control_id")
 
 
 @query(f"""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders) SELECT o_orderkey, {sql_six("coalesce(price, (SELECT quantile_cont(price, 0.5) FROM r WHERE o_orderkey % 4 <> 0))")} AS price, price IS NOT NULL AS has_price FROM r""")
@@ -283,6 +284,20 @@ def grouped_split(spark, sf):
     return cohort.grouped_split(rows, "family", "quality").select("doc_id", "split")
 
 
+@query("SELECT 0 AS divided, 0 AS without_split, true AS shares, true AS classes")
+def split_invariants(spark, sf):
+    """What a grouped split guarantees: no divided group, the shares within three points, and both classes'
+    shares within five of the whole."""
+    rows = catalog(spark, sf).select("doc_id", F.sha2("text", 256).alias("family"), "quality")
+    out = cohort.grouped_split(rows, "family", "quality")
+    divided = out.groupBy("family").agg(F.count_distinct("split").alias("n")).agg(F.sum((F.col("n") > 1).cast("int")).alias("divided"))
+    whole = out.agg(F.count("*").alias("all"), F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)).alias("rate"), F.sum(F.col("split").isNull().cast("int")).alias("without_split"))
+    wanted = F.create_map(*(x for n, v in cohort.SPLITS.items() for x in (F.lit(n), F.lit(v))))
+    each = out.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)).alias("own")).crossJoin(F.broadcast(whole))
+    checked = each.agg(F.max("without_split").alias("without_split"), F.every(F.abs(F.col("n") / F.col("all") - wanted[F.col("split")]) <= 0.03).alias("shares"), F.every(F.abs(F.col("own") - F.col("rate")) <= 0.05).alias("classes"))
+    return checked.crossJoin(F.broadcast(divided)).select(F.col("divided").cast("int").alias("divided"), F.col("without_split").cast("int").alias("without_split"), "shares", "classes")
+
+
 def covariates(spark, sf):
     d = F.col("text")
     space = F.length(d) - F.length(F.replace(d, F.lit(" "), F.lit("")))
@@ -310,6 +325,27 @@ def covariate_match(spark, sf):
     return pairs(spark, sf)
 
 
+@query("SELECT true AS found, 0 AS repeated, 0 AS beyond_caliper, 0 AS wrong_class, true AS as_balanced")
+def match_invariants(spark, sf):
+    """What matching and pruning guarantee: units once at most, the caliper, one of each class, and no
+    worse imbalance afterwards."""
+    rows = propensities(spark, sf)
+    spread = rows.where("split = 'train'").agg(F.stddev_samp("logit")).first()[0] or 0.0
+    found = saved(causal.matched_pairs(rows, ["split", "bin"], "doc_id", "quality", 0.2 * spread), "pairs")
+    pruned = saved(causal.pruned_pairs(found, covariates(spark, sf), "doc_id", ["a", "b", "c"]), "pairs")
+    units = found.select(F.explode(F.array("zero", "one")).alias("doc_id"))
+    label = rows.select("doc_id", F.col("quality").alias("y"))
+    wrong = found.join(label.select(F.col("doc_id").alias("one"), F.col("y").alias("y1")), "one").join(label.select(F.col("doc_id").alias("zero"), F.col("y").alias("y0")), "zero").where("y1 <> 1 OR y0 <> 0")
+
+    def worst(pairs):
+        long = pairs.select(F.explode(F.array(F.struct(F.col("zero").alias("doc_id"), F.lit(0).alias("y")), F.struct(F.col("one").alias("doc_id"), F.lit(1).alias("y")))).alias("u")).select("u.*")
+        each = long.join(covariates(spark, sf).select("doc_id", F.posexplode(F.array(*(F.col(c).cast("double") for c in "abc"))).alias("dim", "x")), "doc_id")
+        return inference.smd(each, ["dim"], "y", "x").agg(F.max(F.abs("smd"))).first()[0] or 0.0
+
+    row = (found.count() > 0, checks.repeated_keys(units, ["doc_id"]).count(), found.where(F.col("distance") > 0.2 * spread).count(), wrong.count(), worst(pruned) <= worst(found) + 1e-9)
+    return spark.createDataFrame([row], "found boolean, repeated int, beyond_caliper int, wrong_class int, as_balanced boolean")
+
+
 @query()
 def balance_prune(spark, sf):
     return causal.pruned_pairs(pairs(spark, sf), covariates(spark, sf), "doc_id", ["a", "b", "c"])
@@ -323,6 +359,17 @@ def residualize(spark, sf):
     return causal.residuals(rows, "doc_id", ["b", "c"], outputs, "split = 'train'").select("doc_id", "dim", six(F.col("residual")).alias("residual"))
 
 
+@query("SELECT dim, true AS centred, true AS uncorrelated FROM (SELECT unnest([0, 1]) AS dim)")
+def residual_invariants(spark, sf):
+    """Residuals of the training rows sum to zero and have no correlation with the covariates."""
+    rows = covariates(spark, sf)
+    outputs = rows.select("doc_id", F.posexplode(F.array("a", F.col("b") * F.col("a"))).alias("dim", "x"))
+    out = causal.residuals(rows, "doc_id", ["b", "c"], outputs, "split = 'train'").where("fit").join(rows.select("doc_id", "b", "c"), "doc_id")
+    flat = F.abs(F.avg("residual")) < 1e-6
+    zero = lambda c: F.abs(F.covar_pop("residual", c)) < 1e-6
+    return out.groupBy("dim").agg(flat.alias("centred"), (zero("b") & zero("c")).alias("uncorrelated"))
+
+
 @query()
 def bootstrap_ci(spark, sf):
     return inference.bootstrap_mean(table(spark, sf, "documents").select("lang", "n_chars", "doc_id"), ["lang"], "n_chars", draws=500)

@@ -172,14 +172,23 @@ def kabsch_rmsd(spark, sf):
     return rmsd(superposed(points, ["label"], "vec_id", ["a0", "a1", "a2"], ["b0", "b1", "b2"]), ["label"])
 
 
+@query("SELECT label, true AS superposed FROM embeddings GROUP BY label HAVING count(*) >= 3")
+def kabsch_of_turned_points(spark, sf):
+    """Points against themselves turned by 40 degrees and shifted: nothing is left after superposition."""
+    e, c, s = F.col("embedding"), 0.766044443118978, 0.6427876096865393
+    x, y, z = (e[i].cast("double") for i in range(3))
+    points = embeddings(spark, sf).select("label", "vec_id", x.alias("a0"), y.alias("a1"), z.alias("a2"), (x * c - y * s + 3).alias("b0"), (x * s + y * c - 1).alias("b1"), (z + 0.5).alias("b2"))
+    out = rmsd(superposed(points, ["label"], "vec_id", ["a0", "a1", "a2"], ["b0", "b1", "b2"]), ["label"])
+    return out.select("label", (F.col("rmsd") < 1e-6).alias("superposed"))
+
+
 @query()
 def response_scan_of_groups(spark, sf):
-    """Groups of 25 positions each stand for structures."""
+    """Groups of 25 positions, and what is left of each label, stand for structures."""
     placed = vectors.positioned(embeddings(spark, sf), "label", "vec_id")
     e = F.col("embedding")
     points = placed.select(F.concat_ws(":", "label", F.floor(F.col("pos") / 25)).alias("structure"), "vec_id", *((e[i].cast("double") * 12).alias(c) for i, c in enumerate("xyz")), *(e[i + 3].cast("double").alias(f"m{c}") for i, c in enumerate("xyz")))
-    full = points.join(points.groupBy("structure").count().where("count = 25"), "structure", "left_semi")
-    return response_scan(full, "structure", "vec_id", ["x", "y", "z"], ["mx", "my", "mz"], directions=50)
+    return response_scan(points, "structure", "vec_id", ["x", "y", "z"], ["mx", "my", "mz"], directions=50)
 
 
 @query()

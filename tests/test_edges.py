@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditframe.functions import text
-from auditframe.operators import causal, checks, cohort, inference, metrics, ranks, sparse, structure, vectors
-from auditframe.sources import tables
+from auditframe.operators import causal, checks, cohort, controls, inference, metrics, ranks, sparse, structure, vectors
+from auditframe.sources import bundles, tables
 
 
 def frame(spark, rows, schema):
@@ -240,3 +240,95 @@ def test_tables(spark, tmp_path):
     for run, n in (("one", 3), ("two", 4), ("one", 5)):
         tables.write_keyed(spark.range(n), keyed, run)
     assert {r.config_hash: r["count"] for r in spark.read.parquet(keyed).groupBy("config_hash").count().collect()} == {"one": 5, "two": 4}
+
+
+def test_tails_and_intervals(spark):
+    """Known values of Student's t, and a correlation's tail against its definition for n = 4."""
+    for freedom, want in ((1, 12.706204736432095), (6, 2.4469118511449692), (30, 2.0422724563012378), (1000, 1.9623390808264078)):
+        assert math.isclose(inference.t_975(freedom), want, rel_tol=1e-9)
+    df = frame(spark, [(0.5, 4), (-0.5, 4), (0.0, 10), (1.0, 5), (0.3, 2), (None, 9)], "r double, n int")
+    p = [r.p for r in df.select(inference.pearson_tail(F.col("r"), F.col("n")).alias("p")).collect()]
+    # With two degrees of freedom the tail is 1 - |r|.
+    assert math.isclose(p[0], 0.5, rel_tol=1e-9) and p[1] == p[0] and p[2] == 1.0 and p[3] < 1e-9 and all(x is None or math.isnan(x) for x in p[4:])
+    rows = frame(spark, [("a", i, 0.5 + i % 3) for i in range(8)] + [("b", i, (-1.0) ** i) for i in range(40)], "k string, u int, d double")
+    found = {r.k: r for r in inference.sign_flip_test(rows, ["k"], "d", "u", draws=4000).collect()}
+    assert found["a"].p == 2 / 256 and found["b"].p > 0.9 and found["b"].n == 40
+
+
+def test_alignment_in_linear_space():
+    rng = np.random.default_rng(3)
+
+    def full(a, b):
+        n, m = len(a), len(b)
+        score = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n + 1):
+            for j in range(m + 1):
+                if i == 0 or j == 0:
+                    score[i][j] = -2 * (i + j)
+                else:
+                    score[i][j] = max(score[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), score[i - 1][j] - 2, score[i][j - 1] - 2)
+        i, j, same, pairs = n, m, 0, 0
+        while i and j:
+            if score[i][j] == score[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+                same, pairs, i, j = same + (a[i - 1] == b[j - 1]), pairs + 1, i - 1, j - 1
+            elif score[i][j] == score[i - 1][j] - 2:
+                i -= 1
+            else:
+                j -= 1
+        return same / max(1, pairs), pairs / m
+
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("abc"), rng.integers(1, 14))) for _ in range(2))
+        assert structure.global_identity(a, b) == full(a, b), (a, b)
+
+
+def test_controls_by_hand(spark):
+    rows = [("g", i, i, float(v), l) for i, (v, l) in enumerate([(9, "A"), (1, "B"), (2, "A"), (8, "B"), (0, "C"), (3, "B")])]
+    df = frame(spark, rows, "g string, u int, pos int, x double, l string")
+    found = {r.hotspot: r.control for r in controls.nearest_without_replacement(df, "g", "pos", "x", "l", "u", share=0.34).collect()}
+    assert found == {0: 2, 3: 5} or found == {0: 2, 3: 1}
+    a = frame(spark, [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 2.0), (3, 2, 1.0)], "row int, feature int, activation double")
+    b = frame(spark, [(1, 7, 1.0), (2, 7, 2.0), (3, 8, 5.0)], "row int, feature int, activation double")
+    assert [(r.left, r.right, round(r.cosine, 9)) for r in controls.matched_features(a, b, ["row"], 0.5).orderBy("left").collect()] == [(0, 7, 1.0), (2, 8, 1.0)]
+
+
+def test_structures_that_fall_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [("near", i, *map(float, rng.normal(size=3) * 4), 1.0, float(i), 0.5) for i in range(12)] + [("far", i, 100.0 * i, 0.0, 0.0, 1.0, 0.0, 0.0) for i in range(4)]
+    out = structure.response_scan(frame(spark, rows, "s string, i int, x double, y double, z double, mx double, my double, mz double"), "s", "i", ["x", "y", "z"], ["mx", "my", "mz"], directions=20).collect()
+    near, far = ([r for r in out if r.s == s] for s in ("near", "far"))
+    assert len(near) == 12 and sum(r.is_top for r in near) == 1 and all(r.max_absolute >= abs(r.max_overlap) - 1e-12 and r.half_delta >= 0 for r in near)
+    assert len(far) == 4 and all(r.is_top is None and (r.max_overlap is None or math.isnan(r.max_overlap)) for r in far)
+
+
+def test_plans_are_immutable():
+    plan = {"seed": 1, "views": ["a", "b"]}
+    plan["digest"] = checks.plan_digest(plan)
+    checks.unchanged(plan, {"views": ["a", "b"], "seed": 1})
+    for own, rebuilt in ((plan | {"seed": 2}, plan), (plan, {"seed": 1, "views": ["b"]})):
+        with pytest.raises(ValueError):
+            checks.unchanged(own, rebuilt)
+
+
+def test_bundles(spark, tmp_path):
+    """A round trip; contracts without the bytes; every broken rule is an error."""
+    made = {(f"e{i}", m): np.arange(6 * (i + 1), dtype=d).reshape(-1, 6) for i in range(3) for m, d in (("residues", "float32"), ("pairs", "float64"))}
+    df = frame(spark, [(e, m, *bundles.pack(a)) for (e, m), a in made.items()], "entity string, modality string, shape array<long>, dtype string, data binary")
+    path = f"{tmp_path}/bundles"
+    bundles.write_bundles(df, path)
+    back = {(r.entity, r.modality): bundles.unpack(r.shape, r.dtype, r.data) for r in bundles.read_bundles(spark, path, ranks={"pairs": 2}, dtypes={"pairs": "float64"}).collect()}
+    assert back.keys() == made.keys() and all((back[k] == made[k]).all() and back[k].dtype == made[k].dtype for k in made)
+    assert bundles.read_bundles(spark, path, ["pairs"]).count() == 3
+    plan = bundles.contract(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "data" not in plan.split("ReadSchema")[1]
+    with pytest.raises(ValueError, match="no bundle"):
+        bundles.read_bundles(spark, path, ["pairs", "other"])
+    good = frame(spark, [("e", "m", *bundles.pack(np.ones((2, 3))))], df.schema).withColumn("sha256", F.sha2("data", 256))
+    bad = {
+        "digest": good.withColumn("sha256", F.lit("0")), "type": good.withColumn("dtype", F.lit("float8")), "size": good.withColumn("shape", F.array(F.lit(7).cast("long"))),
+        "not finite": frame(spark, [("e", "m", *bundles.pack(np.array([1.0, np.nan])))], df.schema).withColumn("sha256", F.sha2("data", 256)),
+    }
+    for why, rows in bad.items():
+        assert [r.why for r in bundles.broken(rows).collect()] == [why]
+    assert [r.why for r in bundles.broken(good, ranks={"m": 3}).collect()] == ["rank"] and [r.why for r in bundles.broken(good, dtypes={"m": "float32"}).collect()] == ["expected type"]
+    assert bundles.broken(good).count() == 0
