@@ -39,6 +39,17 @@ class PieceTable:
         # Words can be cut before a space mark only if no piece has one after another character.
         self.cuttable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self._pairs()
+        self._neighbours()
+
+    def _neighbours(self) -> None:
+        """Pairs of characters that follow one another in some piece; between others no merge can reach."""
+        found = {(a, b) for piece in self.ids for a, b in zip(piece, piece[1:], strict=False)}
+        self.neighbours = np.sort(np.array([(ord(a) << 21) | ord(b) for a, b in found] or [-1], dtype=np.int64))
+
+    def joinable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether some piece has these code points next to one another."""
+        keys = (left << 21) | right
+        return self.neighbours[np.minimum(np.searchsorted(self.neighbours, keys), len(self.neighbours) - 1)] == keys
 
     def symbol(self, char: str) -> int:
         """A piece's id, or a number from ``n`` on for a character that is no piece."""

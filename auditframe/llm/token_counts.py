@@ -1,10 +1,14 @@
 """Token counts by rank-synchronous array merging.
 
-The distinct pre-tokens of a batch lie behind one another in ragged numpy arrays. In each round
-every sequence merges its pair of lowest rank, all sequences at once; a sequence without a pair
-left leaves the arrays. What survives is counted, a character outside the vocabulary as its UTF-8
-bytes. Counts of pre-tokens are kept in each worker, in a table of bounded size that is only a
-memory of results and never changes them.
+The distinct pre-tokens of a batch lie behind one another in ragged numpy arrays, cut wherever no piece
+holds the two characters on either side. In each round every sequence merges its pair of lowest rank,
+all sequences at once; a sequence without a pair left leaves the arrays. What survives is counted, a
+character outside the vocabulary as its UTF-8 bytes. Counts of pre-tokens are kept in each worker, in a
+table of bounded size that is only a memory of results and never changes them.
+
+A long sequence also merges, in the same round, every pair of a rank below that of all pairs around it,
+as far as the longest piece reaches: whatever is merged before such a pair contains a character from
+beyond and is too short to reach it. Text without spaces thus takes few rounds.
 
 Nulls and empty texts have 0 tokens. Repeated rows give repeated rows; other columns are ignored.
 """
@@ -31,10 +35,14 @@ def surviving(words: list[str], table: PieceTable) -> np.ndarray:
     distinct, back = np.unique(points, return_inverse=True)
     symbols = np.array([table.symbol(chr(p)) for p in distinct], dtype=np.int64)[back]
     utf8 = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    word = np.repeat(np.arange(len(words)), lengths)
+    # Sequences within words
+    begins = np.r_[True, (word[1:] != word[:-1]) | ~table.joinable(points[:-1], points[1:])] if len(points) else np.zeros(0, dtype=bool)
+    owner = np.cumsum(begins) - 1
+    word = word[begins]
     # Characters outside the vocabulary count one symbol now; their further bytes are added at the
     # end for those that stay, and such a character stays unless some piece holds it.
-    counts = np.zeros(len(words), dtype=np.int64)
+    counts = np.zeros(len(word), dtype=np.int64)
     rank, made = _ranks(symbols, owner, table)
     extra = np.where(symbols >= table.n, utf8 - 1, 0)
     while len(symbols):
@@ -61,7 +69,7 @@ def surviving(words: list[str], table: PieceTable) -> np.ndarray:
         at = place[hits]
         at = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
         _refresh(at, symbols, owner, rank, made, table)
-    return counts
+    return np.bincount(word, weights=counts, minlength=len(words)).astype(np.int64)
 
 
 def _ranks(symbols, owner, table):
@@ -82,7 +90,8 @@ def _chosen(rank, symbols, made, starts, sizes, lowest, table) -> np.ndarray:
     """Places to merge: the leftmost lowest pair of each sequence.
 
     A long sequence merges all its pairs of that rank that don't overlap, provided that no pair
-    which such a merge makes on the way has a rank as low; else it merges the leftmost alone.
+    which such a merge makes on the way has a rank as low; else it merges the leftmost alone. It merges
+    the ``_lowest_around``, too.
     """
     hit = np.flatnonzero(rank == np.repeat(lowest, sizes))
     which = np.searchsorted(starts, hit, side="right") - 1
@@ -109,7 +118,37 @@ def _chosen(rank, symbols, made, starts, sizes, lowest, table) -> np.ndarray:
     bad[ok] |= table.look_up(new[ok], later[at[ok] + 2])[0] <= floor[ok]
     unsafe = np.zeros(len(starts), dtype=bool)
     unsafe[seq[bad]] = True
-    return hit[first | (several & ~unsafe[which])]
+    hit = hit[first | (several & ~unsafe[which])]
+    return np.union1d(hit, _lowest_around(rank, symbols, made, starts, sizes, table))
+
+
+def _lowest_around(rank, symbols, made, starts, sizes, table) -> np.ndarray:
+    """Places in long sequences whose rank is below all within the longest piece and two symbols on either
+    side, and below those of the pairs that their merges make."""
+    reach = table.longest + 2
+    of = np.flatnonzero(sizes > 2 * reach)
+    if not len(of):
+        return np.zeros(0, dtype=np.int64)
+    at = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in of])
+    own = rank[at]
+    # Least rank of the ``reach`` places after each place, by doubling; of those before it, in reverse.
+    around = np.full(len(own), BIG)
+    for turned in (own, own[::-1]):
+        least, span = np.r_[turned[1:], np.full(reach, BIG)], 1
+        while 2 * span <= reach:
+            least[: len(least) - span] = np.minimum(least[:-span], least[span:])
+            span *= 2
+        rest = reach - span
+        both = np.minimum(least[: len(own)], np.r_[least[rest:], np.full(rest, BIG)][: len(own)])
+        around = np.minimum(around, both if turned is own else both[::-1])
+    found = at[(own < around) & (own < BIG)]
+    seq = np.searchsorted(starts, found, side="right") - 1
+    ok = np.ones(len(found), dtype=bool)
+    before = found > starts[seq]
+    ok[before] &= table.look_up(symbols[found[before] - 1], made[found[before]])[0] > rank[found[before]]
+    after = found + 2 < starts[seq] + sizes[seq]
+    ok[after] &= table.look_up(made[found[after]], symbols[found[after] + 2])[0] > rank[found[after]]
+    return found[ok]
 
 
 def count_texts(texts: list[str], table: PieceTable, known: dict[str, int]) -> list[int]:

@@ -243,3 +243,84 @@ def test_whole_characters():
         for end in range(begin, len(data) + 1):
             kept = repeats._whole(data, begin, end)
             assert kept.decode() == data[begin:end].decode("utf-8", "ignore")
+
+
+def test_counts_of_text_without_spaces():
+    """Random unspaced texts, made of pieces, of few letters or encoded, against the library."""
+    import sentencepiece
+
+    sp, table, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_table(MODEL), random.Random(9)
+    pieces = [p for p in table.ids if len(p) > 1]
+    kinds = [
+        lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)),
+        lambda n: "".join(rng.choice(pieces) for _ in range(n // 4 + 1)).replace("▁", ""),
+        lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijk0123456789+/") for _ in range(n)),
+        lambda n: "".join(rng.choice(["the", "ing", "e", "aa", "ab", "ba", "  ", "é", "漢", "\t"]) for _ in range(n)),
+        lambda n: rng.choice("ab=-_.") * n + rng.choice(["", "x", "the"]) * rng.randrange(9),
+    ]
+    made = [rng.choice(kinds)(rng.choice([5, 60, 300, 2500])) for _ in range(600)] + [kinds[1](400_000)]
+    assert token_counts.count_texts(made, table, {}) == [len(sp.encode(t)) for t in made]
+
+
+ODD = [(1, None), (2, ""), (3, "same row"), (3, "same row"), (3, "another text"), (None, "no id"), (None, None), (4, "tie a"), (5, "tie a"), (6, "long words " * 60_000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Nulls in every column, repeated and clashing ids, ties, a very long text, clashing columns."""
+    to = tmp_path_factory.mktemp("odd")
+    rows = [(i, t, None, None, None, 1, 2, "x") for i, t in ODD]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, key long, row string").write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame([(1, 0, None), (2, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    vectors = [(1, [1.0, 0.0], None), (1, [1.0, 0.0], 2), (20, [0.0, 1.0], 1), (20, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (40, None, 1), (60, [0.0, 0.0], 1), (80, [1.0, 2.0, 3.0], 1), (100, [2.0, 4.0, 6.0], 1), (120, [float("nan"), 1.0], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{to}/embeddings.parquet")
+    none = tmp_path_factory.mktemp("none")
+    for name in ("documents", "labels", "embeddings"):
+        spark.read.parquet(f"{to}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    return str(to), str(none)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_queries_on_odd_and_empty_tables(spark, odd, name):
+    rows = queries.QUERIES[name](spark, odd[0]).collect()
+    assert queries.QUERIES[name](spark, odd[1]).count() == 0
+    if name in ("op3_vector_links", "op5_curve_search"):
+        return
+    ids = sorted(str(r.doc_id) for r in rows)
+    if name == "op8_packing":
+        ids = sorted(str(r.doc_id) for r in rows if r.piece == 0)
+    assert ids == sorted(str(i) for i, _ in ODD)
+
+
+def test_vector_queries_on_odd_rows(spark, odd):
+    links = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in queries.op3_vector_links(spark, odd[0]).collect())
+    assert links == sorted([("1", 3, "1"), ("1", 3, "1"), ("None", 3, "1"), ("20", 3, "1"), ("20", 0, "20"), ("40", 0, "40"), ("60", 0, "60"), ("80", 1, "80"), ("100", 1, "80"), ("120", 0, "120")])
+    found = {(r.query_id, r.rank): (r.vec_id, round(r.score, 5)) for r in queries.op5_curve_search(spark, odd[0]).collect()}
+    assert found == {(20, 1): (1, 1.0), (80, 1): (100, 28.0), (100, 1): (80, 28.0)}
+
+
+def test_registered_counts_packing_and_pieces(spark):
+    """The registered functions themselves, over the small documents, against the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    own = dict(texts(spark))
+    for r in queries.op9_token_counts(spark, SMALL).collect():
+        n = len(sp.encode(own[r.doc_id] or ""))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((own[r.doc_id] or "").encode()), n, n > 4096)
+    tokenizer, pieces, room = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}, {}
+    for r in queries.op8_packing(spark, SMALL).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, rows in pieces.items():
+        ids, at = np.array([*tokenizer.encode(own[i] or "", add_special_tokens=False).ids, 0], dtype="<u4"), 0
+        for r in sorted(rows, key=lambda r: r.piece):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids) and all(r.length == 2048 for r in rows if r.piece)
+    assert set(pieces) == set(own) and all(sum(n for _, n in x) <= 2048 for x in room.values())
+    for x in room.values():
+        assert [o for o, _ in sorted(x)] == np.cumsum([0, *(n for _, n in sorted(x))])[:-1].tolist()
+    done = queries.op1_sampled_pieces(spark, SMALL).collect()
+    assert len(done) == len(own) and all(r.lossless and r.n_bytes == len((own[r.doc_id] or "").encode()) for r in done)
