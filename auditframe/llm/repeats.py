@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from auditframe.llm.common import saved
+from auditframe.llm.common import drop_saved, saved
 from auditframe.llm.suffix_blocks import repeated
 
 #: Bytes hashed together; longer texts are taken in pieces. Places in a chunk have fewer bits than PLACE_BITS.
@@ -185,6 +185,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     placed = keyed.mapInPandas(found, "k1 long, k2 long, h long, c long, a int, n int, at int, bytes binary")
     placed = saved(placed.join(again, "h"), "runs")
+    drop_saved(again)
     equal = placed.where("NOT varied").select("k1", "k2", F.array(F.struct(F.col("a").alias("lo"), (F.col("a") + F.col("n") - 1).alias("hi"))).alias("marks"))
 
     distinct = placed.where("varied").groupBy("h", "c").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
@@ -194,6 +195,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sorted_marks = small.mapInPandas(lambda batches: sort_buckets(batches, length), "h long, c long, marks array<struct<lo:int,hi:int>>")
     counted = _counted(distinct.join(large, "h"), length)
     marked = saved(sorted_marks.unionByName(counted), "marks")
+    drop_saved(distinct)
     differing = placed.where("varied").join(marked, ["h", "c"])
     shifted = F.transform("marks", lambda m: F.struct((m["lo"] + F.col("a")).alias("lo"), (m["hi"] + F.col("a")).alias("hi")))
     every = equal.unionByName(differing.select("k1", "k2", shifted.alias("marks")))
