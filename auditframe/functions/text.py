@@ -140,3 +140,14 @@ def alignment_records(text: Column) -> Column:
     records = F.filter(F.split(text, "(?:^|\n)>"), lambda r: F.trim(r) != "")
     bodies = F.transform(records, lambda r: F.regexp_replace(F.regexp_replace(r, r"^[^\n]*", ""), r"[a-z\s]", ""))
     return F.struct(F.try_element_at(bodies, F.lit(1)).alias("query"), F.size(F.filter(bodies, lambda b: b != "")).cast("long").alias("depth"))
+
+
+def query_kind(query: Column) -> Column:
+    """What a query names: an accession, a sequence of ten letters or more, nothing, or a name."""
+    return F.when(query == "", "empty").when(query.rlike("^[OPQ][0-9][A-Z0-9]{3}[0-9]$"), "accession").when(query.rlike("^[A-Z]{10,}$"), "sequence").otherwise("name")
+
+
+def query_id(query: Column) -> Column:
+    """The accession, or an id from a sequence's digest; null for what must be looked up."""
+    kind = query_kind(query)
+    return F.when(kind == "accession", query).when(kind == "sequence", F.concat(F.lit("sequence_"), F.substring(F.sha2(query, 256), 1, 12)))

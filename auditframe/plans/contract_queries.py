@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -258,3 +260,43 @@ def selected_rows(spark, sf):
     rows = embeddings(spark, sf).select("label", "vec_id").join(entries, ["label", "vec_id"], "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
     before = F.sum("entries").over(Window.partitionBy("label").orderBy("vec_id")) - F.col("entries")
     return rows.select("label", "vec_id", "entries", before.alias("start"))
+
+
+# Resolution of names and archives
+
+
+@query(f"""WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'P' || lpad((doc_id % 100000)::VARCHAR, 5, '0') WHEN 1 THEN lower(source) || ' x' ELSE {UPPER} END AS q FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(q, '[OPQ][0-9][A-Z0-9]{{3}}[0-9]') THEN 'accession' WHEN regexp_full_match(q, '[A-Z]{{10,}}') THEN 'sequence' WHEN q = '' THEN 'empty' ELSE 'name' END AS kind,
+    CASE WHEN regexp_full_match(q, '[OPQ][0-9][A-Z0-9]{{3}}[0-9]') THEN q WHEN regexp_full_match(q, '[A-Z]{{10,}}') THEN 'sequence_' || substr(sha256(q), 1, 12) END AS id FROM q""")
+def resolved_ids(spark, sf):
+    """Accessions as they are, sequences under an id made from their digest; names are left to look up."""
+    i = F.col("doc_id")
+    sequence = text.as_sequence(F.coalesce("text", F.lit("")))
+    q = F.when(i % 3 == 0, F.concat(F.lit("P"), F.lpad((i % 100000).cast("string"), 5, "0"))).when(i % 3 == 1, F.concat(F.lower("source"), F.lit(" x"))).otherwise(sequence)
+    rows = table(spark, sf, "documents").select("doc_id", q.alias("q"))
+    return rows.select("doc_id", text.query_kind(F.col("q")).alias("kind"), text.query_id(F.col("q")).alias("id"))
+
+
+@query("""WITH a AS (SELECT vec_id % 4 AS archive, vec_id FROM embeddings WHERE vec_id % 37 <> 0 UNION ALL SELECT 3, vec_id FROM embeddings WHERE vec_id % 41 = 0), s AS (SELECT vec_id % 4 AS archive, vec_id FROM embeddings WHERE vec_id % 43 <> 0)
+    SELECT archive, count(*) FILTER (WHERE a AND NOT s) AS unlisted, count(*) FILTER (WHERE s AND NOT a) AS missing, count(*) FILTER (WHERE other > 1) AS shared FROM (SELECT coalesce(a.archive, s.archive) AS archive, a.vec_id IS NOT NULL AS a, s.vec_id IS NOT NULL AS s, coalesce(o.n, 0) AS other
+    FROM (SELECT DISTINCT * FROM a) a FULL JOIN s ON a.archive = s.archive AND a.vec_id = s.vec_id LEFT JOIN (SELECT vec_id, count(DISTINCT archive) AS n FROM a GROUP BY vec_id) o ON o.vec_id = coalesce(a.vec_id, s.vec_id)) GROUP BY archive""")
+def archive_membership(spark, sf):
+    """Members of archives against their lists, and members that several archives hold."""
+    ids = embeddings(spark, sf).select((F.col("vec_id") % 4).alias("archive"), "vec_id")
+    members = ids.where("vec_id % 37 <> 0").unionByName(ids.where("vec_id % 41 = 0").withColumn("archive", F.lit(3).cast("long"))).distinct().withColumn("a", F.lit(True))
+    listed = ids.where("vec_id % 43 <> 0").withColumn("s", F.lit(True))
+    several = members.groupBy("vec_id").agg(F.count_distinct("archive").alias("n"))
+    both = members.join(listed, ["archive", "vec_id"], "full").join(several, "vec_id", "left")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return both.groupBy("archive").agg(n(F.col("s").isNull()).alias("unlisted"), n(F.col("a").isNull()).alias("missing"), n(F.col("n") > 1).alias("shared"))
+
+
+@query(f"SELECT label, sum(v)::BIGINT AS entries, {sql_six('sum(x)')} AS total FROM (SELECT label, 1 AS v, x FROM {LONG} WHERE x > 0.2) GROUP BY label")
+def sparse_artifact(spark, sf):
+    """A sparse table written, read back and summed by group."""
+    from auditframe.operators import vectors
+    from auditframe.sources.scratch import shared_dir
+    from auditframe.sources.tables import write_sparse
+
+    path = f"{shared_dir(spark)}/sparse-{uuid.uuid4().hex}"
+    write_sparse(vectors.long(embeddings(spark, sf), ["label", "vec_id"], "embedding").where("x > 0.2").select("label", "vec_id", F.col("dim").alias("feature"), F.col("x").alias("activation")), path)
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("entries"), six(F.sum("activation")).alias("total"))

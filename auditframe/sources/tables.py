@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,3 +52,42 @@ def content_path(*parts: str):
     cols = [F.col(p) for p in parts]
     plain = F.forall(F.array(*cols), lambda c: c.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$"))
     return F.when(plain, F.concat_ws("/", *cols))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write Parquet beside ``path``, then swap: readers see the old table or the new one, never a part.
+
+    The old table is kept until the new one stands in its place, and comes back if the swap fails.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = uuid.uuid4().hex
+    to, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new-{mark}", f"{path}.old-{mark}"))
+    fs = to.getFileSystem(conf)
+    df.write.parquet(new.toString())
+    had = fs.exists(to)
+    if had and not fs.rename(to, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(new, to):
+        if had:
+            fs.rename(old, to)
+        raise OSError(f"{path} can't be put in place")
+    if had:
+        fs.delete(old, True)
+
+
+def write_report(folder: str, predictions: DataFrame, metrics: DataFrame, manifest: dict) -> None:
+    """Predictions, metrics and a one-row manifest with both digests' numbers of rows, each a table of ``folder``."""
+    spark = predictions.sparkSession
+    replace_table(predictions, f"{folder}/predictions.parquet")
+    replace_table(metrics, f"{folder}/metrics.parquet")
+    rows = {name: spark.read.parquet(f"{folder}/{name}.parquet").count() for name in ("predictions", "metrics")}
+    text = json.dumps(manifest | {"rows": rows}, sort_keys=True, separators=(",", ":"))
+    replace_table(spark.createDataFrame([(text, hashlib.sha256(text.encode()).hexdigest())], "manifest string, digest string"), f"{folder}/manifest.parquet")
+
+
+def write_sparse(active: DataFrame, path: str, group: str = "label") -> None:
+    """Coordinates and values of a sparse matrix, partitioned by ``group`` and sorted, so that Parquet's
+    statistics and encodings work: the compressed form of a table of mostly zeros."""
+    names = [c for c in active.columns if c not in (group, "feature", "activation")]
+    active.repartition(group).sortWithinPartitions(group, *names, "feature").write.mode("overwrite").partitionBy(group).parquet(path)

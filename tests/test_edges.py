@@ -332,3 +332,14 @@ def test_bundles(spark, tmp_path):
         assert [r.why for r in bundles.broken(rows).collect()] == [why]
     assert [r.why for r in bundles.broken(good, ranks={"m": 3}).collect()] == ["rank"] and [r.why for r in bundles.broken(good, dtypes={"m": "float32"}).collect()] == ["expected type"]
     assert bundles.broken(good).count() == 0
+
+
+def test_tables_are_swapped_whole(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    for n in (3, 5):
+        tables.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("t.parquet")] == ["t.parquet"]
+    tables.write_report(f"{tmp_path}/report", spark.range(4), spark.range(2), {"seed": 1})
+    row = spark.read.parquet(f"{tmp_path}/report/manifest.parquet").first()
+    assert row.manifest == '{"rows":{"metrics":2,"predictions":4},"seed":1}'
