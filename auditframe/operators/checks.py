@@ -71,6 +71,16 @@ def unchanged(plan: dict, rebuilt: dict) -> None:
         raise ValueError("the plan can't be rebuilt: " + ", ".join(sorted(k for k in {*plan, *rebuilt} - {"digest"} if plan.get(k) != rebuilt.get(k))))
 
 
+def registered_model(registry: dict, name: str, payload: bytes, features: list[str]) -> None:
+    """An error unless a frozen model is registered with this checksum and these feature names in order."""
+    if name not in registry:
+        raise ValueError(f"{name} is not registered")
+    if hashlib.sha256(payload).hexdigest() != registry[name]["sha256"]:
+        raise ValueError(f"{name} has another checksum")
+    if list(features) != list(registry[name]["features"]):
+        raise ValueError(f"{name} was made for other features")
+
+
 def crossing_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups with rows in several splits."""
     return df.groupBy(group).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("rows")).where("splits > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import text
 from auditframe.operators import controls, inference, metrics, resampling, vectors
-from auditframe.operators.structure import near_points
+from auditframe.operators.structure import mapped, near_points
 from auditframe.plans.registry import query, six, sql_six, table
 from auditframe.plans.relational_queries import CATALOG, catalog
 from auditframe.plans.vector_queries import ACTIVE, DOT, LONG, PLACED, active, embeddings
@@ -344,3 +344,13 @@ def best_in_length_band(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("s"), F.col("p_type").alias("kind"))
     out = controls.best_in_band(rows.where("id % 10 = 0"), rows, "id", "s", "kind", 1)
     return out.select("id", "best", six(F.col("identity")).alias("identity"))
+
+
+@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'aligned' ELSE 'unmapped' END AS how FROM benchmark WHERE length(text) >= 60")
+def mapped_sequences(spark, sf):
+    """Parts of a text in it: as they are, with a letter changed, and with every other letter changed."""
+    part = F.substring("text", 11, 40)
+    changed = F.concat(F.substring(part, 1, 20), F.lit("#"), F.substring(part, 22, 19))
+    spoilt = F.array_join(F.transform(F.split(part, ""), lambda c, i: F.when(i % 2 == 0, "#").otherwise(c)), "")
+    rows = table(spark, sf, "benchmark").where("length(text) >= 60").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, part).when(F.col("item_id") % 3 == 1, changed).otherwise(spoilt).alias("part"))
+    return rows.select("item_id", mapped("text", "part").alias("how"))

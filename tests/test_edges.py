@@ -301,6 +301,16 @@ def test_structures_that_fall_apart(spark):
     assert len(far) == 4 and all(r.is_top is None and (r.max_overlap is None or math.isnan(r.max_overlap)) for r in far)
 
 
+def test_registered_models():
+    import hashlib
+
+    registry = {"m": {"sha256": hashlib.sha256(b"weights").hexdigest(), "features": ["a", "b"]}}
+    checks.registered_model(registry, "m", b"weights", ["a", "b"])
+    for name, payload, features in (("n", b"weights", ["a", "b"]), ("m", b"other", ["a", "b"]), ("m", b"weights", ["b", "a"])):
+        with pytest.raises(ValueError):
+            checks.registered_model(registry, name, payload, features)
+
+
 def test_plans_are_immutable():
     plan = {"seed": 1, "views": ["a", "b"]}
     plan["digest"] = checks.plan_digest(plan)
