@@ -147,7 +147,7 @@ def gram_filter(hashes: DataFrame, filter_bits: int) -> np.ndarray:
     place = F.col("h").bitwiseAND(F.lit(filter_bits - 1)) + 1  # Spark's bitmaps count from 1
     made = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros(filter_bits // 8, dtype=np.uint8)
-    for row in made.toLocalIterator():
+    for row in made.collect():  # filter_bits bits in all
         bits = np.frombuffer(row["bits"], dtype=np.uint8)
         begin = (row["bucket"] - 1) * len(bits)
         out[begin : begin + len(bits)] = bits[: len(out) - begin]
