@@ -182,6 +182,9 @@ def row_numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     own, digest = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     several = docs.groupBy(own.alias("__own")).agg(F.min(digest).alias("__least"), F.max(digest).alias("__most")).where("__least <> __most").select("__own", "__least")
+    several = saved(several, "repeated-ids")
+    if not several.limit(1).count():
+        return docs.withColumn("__id", own)
     numbered = docs.withColumn("__own", own).join(several, "__own", "left")
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(own, digest), F.lit(1 << 61))
     return numbered.withColumn("__id", F.when(digest != F.col("__least"), beyond).otherwise(own)).select(*(F.col(f"`{c}`") for c in docs.columns), "__id")
@@ -197,7 +200,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Texts that share an id are documents of their own (``row_numbers``). Of rows equal in id and text one
     stays, that of the least hash of all its columns. Rows with a null id all stay.
     """
-    numbered = saved(row_numbers(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "numbered")
+    numbered = row_numbers(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     kept = least_of_near(numbered.select(F.col("__id").alias("id"), F.col(text_col).alias("text")), lambda text: np.unique(shingle_hashes(text, words, 42)), similarity)
     stay = numbered.join(kept.distinct().withColumnRenamed("id", "__id"), "__id", "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
