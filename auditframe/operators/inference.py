@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.operators.ranks import average_ranks, benjamini_hochberg
@@ -247,17 +247,21 @@ def leave_one_out_smd(df: DataFrame, keys: list[str], unit: str, label: str, val
 
     Population variances; 0 where the pooled variance is 0. Null if a class would be empty.
     """
-    group = Window.partitionBy(*keys)
-    out = df
-    for c in (0, 1):
-        mine = F.when(F.col(label) == c, F.col(value).cast("double"))
-        out = out.withColumn(f"n{c}", F.count(mine).over(group) - F.count(mine).over(Window.partitionBy(*keys, unit)))
-        out = out.withColumn(f"s{c}", F.coalesce(F.sum(mine).over(group), F.lit(0.0)) - F.coalesce(F.sum(mine).over(Window.partitionBy(*keys, unit)), F.lit(0.0)))
-        out = out.withColumn(f"q{c}", F.coalesce(F.sum(mine * mine).over(group), F.lit(0.0)) - F.coalesce(F.sum(mine * mine).over(Window.partitionBy(*keys, unit)), F.lit(0.0)))
-    m = {c: F.col(f"s{c}") / F.when(F.col(f"n{c}") > 0, F.col(f"n{c}")) for c in (0, 1)}
-    v = {c: F.col(f"q{c}") / F.when(F.col(f"n{c}") > 0, F.col(f"n{c}")) - m[c] * m[c] for c in (0, 1)}
+    x = F.col(value).cast("double")
+    sums = [f(F.when(F.col(label) == c, y)).alias(f"{n}{c}") for c in (0, 1) for n, f, y in (("n", F.count, x), ("s", F.sum, x), ("q", F.sum, x * x))]
+    names = [f"{n}{c}" for c in (0, 1) for n in "nsq"]
+    # Totals of groups and of units, pre-aggregated; null keys are groups, too.
+    total = df.groupBy(*keys).agg(*sums).select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.coalesce(n, F.lit(0)).alias(f"t_{n}") for n in names))
+    own = df.groupBy(*keys, unit).agg(*sums, F.count("*").alias("rows"))
+    both = own.join(total, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    left = {n: F.col(f"t_{n}") - F.coalesce(n, F.lit(0)) for n in names}
+    some = {c: F.when(left[f"n{c}"] > 0, left[f"n{c}"]) for c in (0, 1)}
+    m = {c: left[f"s{c}"] / some[c] for c in (0, 1)}
+    v = {c: left[f"q{c}"] / some[c] - m[c] * m[c] for c in (0, 1)}
     pooled = (v[0] + v[1]) / 2
-    return out.select(*keys, unit, F.when(pooled <= 1e-12, 0.0).otherwise((m[1] - m[0]) / F.sqrt(F.when(pooled > 1e-12, pooled))).alias("smd"))
+    each = both.select(*keys, unit, "rows", F.when(pooled <= 1e-12, 0.0).otherwise((m[1] - m[0]) / F.sqrt(F.when(pooled > 1e-12, pooled))).alias("smd"))
+    # A row for each row of the unit
+    return each.select(*keys, unit, "smd", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("col")
 
 
 def smd(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
