@@ -215,7 +215,7 @@ def test_empty_table(spark, nasty):
     assert repeats.remove_repeats(none).count() == 0
     assert simhash.near_groups(simhash.fingerprints(none), "doc_id", ["fp0"], 2).count() == 0
     assert sampled_pieces.sample_encode(none, MODEL).count() == 0
-    assert simhash.least_near(none.select("doc_id", "text")).count() == 0
+    assert simhash.drop_near(none.select("doc_id", "text")).count() == 0
 
 
 def test_repeats_in_very_long_texts(spark):
