@@ -15,13 +15,13 @@ from auditframe.plans.vector_queries import ACTIVE, DOT, LONG, PLACED, active, e
 
 DRAWS = 40
 #: Labelled documents with two scores that have ties.
-SCORES = f"(SELECT doc_id AS id, quality AS y, lang, round(least(n_chars, 3000) / 3000, 2) AS p, (doc_id * 37 % 101) / 101.0::DOUBLE AS q FROM {CATALOG} WHERE quality IS NOT NULL)"
+SCORES = f"(SELECT doc_id AS id, quality AS y, lang, (least(n_chars, 3000) // 30) / 100.0::DOUBLE AS p, (doc_id * 37 % 101) / 101.0::DOUBLE AS q FROM {CATALOG} WHERE quality IS NOT NULL)"
 CUTS = ", ".join(repr(p) for p in resampling.POISSON)
 
 
 def scores(spark, sf):
     rows = catalog(spark, sf).where("quality IS NOT NULL")
-    return rows.select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), "lang", F.round(F.least("n_chars", F.lit(3000)) / 3000, 2).alias("p"), (F.col("doc_id") * 37 % 101 / F.lit(101.0)).alias("q"))
+    return rows.select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), "lang", (F.floor(F.least("n_chars", F.lit(3000)) / 30) / F.lit(100.0)).alias("p"), (F.col("doc_id") * 37 % 101 / F.lit(101.0)).alias("q"))
 
 
 def draws_sql(rows: str, seed: int) -> str:
