@@ -106,7 +106,62 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op2_katz, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op7_repeats, op8_packing, op9_token_counts, op10_pseudonyms)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.rules import fit, judged
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    return judged(docs, trees)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.hard_negatives import hard_negatives
+
+    turned = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, turned, positives=5, negatives=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_pieces, op2_katz, op3_vector_links, op4_quality, op5_curve_search, op6_simhash, op7_repeats, op8_packing, op9_token_counts, op10_pseudonyms, op11_collocations, op12_rules, op13_hard_negatives)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        sizes AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM words),
+        places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sizes WHERE len(w) >= k),
+        every AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM every WHERE k = 1 GROUP BY lang),
+        counts AS (SELECT * FROM every WHERE f >= 30),
+        parts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM counts WHERE k >= 2),
+        cuts AS (SELECT lang, k, phrase, a, p, unnest(range(1, k)) AS c FROM parts),
+        scored AS (
+            SELECT cuts.lang, cuts.phrase, a, c, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f + y.f) AS score
+            FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = array_to_string(p[1:c], ' ') JOIN counts y ON y.lang = cuts.lang AND y.phrase = array_to_string(p[c + 1:cuts.k], ' ')
+        ), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        spans AS (SELECT lang, a, k, p, unnest(range(2, k)) AS m FROM parts WHERE k > 2),
+        inner_places AS (SELECT lang, a, p, m, unnest(range(1, k - m + 2)) AS i FROM spans),
+        inner_phrases AS (SELECT lang, array_to_string(p[i:i + m - 1], ' ') AS phrase, max(a) AS whole FROM inner_places GROUP BY ALL),
+        remaining AS (SELECT worst.* FROM worst LEFT JOIN inner_phrases USING (lang, phrase) WHERE whole IS NULL OR 100 * whole::HUGEINT < 80 * a::HUGEINT)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM remaining JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
+    "op13_hard_negatives": """
+        WITH known AS (
+            SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), scored AS (
+            SELECT a.row AS anchor, a.vec_id AS anchor_id, a.label AS own, b.row AS row, b.vec_id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM known a JOIN known b ON a.row <> b.row AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0
+        ), positives AS (SELECT * FROM scored WHERE own = label QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.vec_id, s.row)::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor = p.anchor AND s.own <> s.label AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10
+    """,
+}
