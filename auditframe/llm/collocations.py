@@ -30,6 +30,7 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def sketched(texts: dict[str, list[bytes]], shard: int, longest: int, width: int
         for n, (valid, counters) in enumerate(words.counters(lang, longest, width), 1):
             found.append(counters[valid])
             if n == 1:
-                rows.append(("text", shard, lang, int(valid.sum()), raw, None, None, None, None))
+                rows.append(("text", shard, lang, int(valid.sum()), zstandard.compress(raw, 1), None, None, None, None))
     yield pd.DataFrame(rows, columns=names)
     every = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
     every.sort()
@@ -129,9 +130,10 @@ def sketched(texts: dict[str, list[bytes]], shard: int, longest: int, width: int
 
 def heavy_counters(pieces: pd.DataFrame, least: int) -> pd.DataFrame:
     """One segment: the counters of each shard whose sum over all shards reaches ``least``."""
-    total = np.zeros(SEGMENT, dtype=np.uint32)
+    total = np.zeros(SEGMENT, dtype=np.min_scalar_type(2 * least))
     for low, blocks, counts in zip(pieces["low"], pieces["blocks"], pieces["counts"], strict=True):
-        total[unpacked(low, blocks)] += np.frombuffer(counts, dtype=np.min_scalar_type(least))
+        places = unpacked(low, blocks)
+        total[places] = np.minimum(total[places] + np.frombuffer(counts, dtype=np.min_scalar_type(least)), least)
     rows = []
     for shard, segment, low, blocks in zip(pieces["shard"], pieces["segment"], pieces["low"], pieces["blocks"], strict=True):
         places = unpacked(low, blocks)
@@ -201,7 +203,7 @@ def matched(phrases: list[tuple[int, str]], text: str) -> list[tuple[int, str, i
     return [(n, phrase, int(k)) for (n, phrase), k in zip(phrases, times, strict=True)]
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, shard_bytes: int = 12 << 20, counter_bytes: float = 2.0, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, shard_bytes: int = 8 << 20, counter_bytes: float = 4.0, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words with at least ``least`` occurrences: lang, words, phrase, f; and the
     words of each language: lang, n. The sketch has a counter for every ``counter_bytes`` of text at least."""
     from pyspark import TaskContext
@@ -233,7 +235,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, shard_b
         if parts:
             members = Members(np.concatenate(parts))
             for lang, raw in zip(texts["lang"], texts["text"], strict=True):
-                rows += [(lang, *row) for row in counted(raw, lang, members, longest, width)]
+                rows += [(lang, *row) for row in counted(zstandard.decompress(raw), lang, members, longest, width)]
         return pd.DataFrame(rows, columns=["lang", "words", "phrase", "f"])
 
     texts = dealt.where("kind = 'text'").select("shard", "lang", "text")
