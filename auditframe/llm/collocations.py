@@ -203,7 +203,7 @@ def matched(phrases: list[tuple[int, str]], text: str) -> list[tuple[int, str, i
     return [(n, phrase, int(k)) for (n, phrase), k in zip(phrases, times, strict=True)]
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, shard_bytes: int = 8 << 20, counter_bytes: float = 4.0, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, shard_bytes: int = 4 << 20, counter_bytes: float = 4.0, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words with at least ``least`` occurrences: lang, words, phrase, f; and the
     words of each language: lang, n. The sketch has a counter for every ``counter_bytes`` of text at least."""
     from pyspark import TaskContext
