@@ -159,14 +159,3 @@ def geometry(points: DataFrame, group: str, order: str, axes: list[str]) -> Data
     trace = t(0, 0) + t(1, 1) + t(2, 2)
     minors = t(0, 0) * t(1, 1) + t(1, 1) * t(2, 2) + t(0, 0) * t(2, 2) - t(0, 1) * t(0, 1) - t(0, 2) * t(0, 2) - t(1, 2) * t(1, 2)
     return stats.select(group, "n", F.sqrt(trace).alias("radius"), F.when(trace > 0, 1 - 3 * minors / F.when(trace > 0, trace * trace)).otherwise(0.0).alias("anisotropy"), "end_to_end")
-
-
-def best_in_band(queries: DataFrame, targets: DataFrame, unit: str, sequence: str, block: str, band: int) -> DataFrame:
-    """The target of each query with the greatest share of equal positions, among those of its ``block``
-    whose length differs by at most ``band``; ties to the least id. Lengths are joined on as equal."""
-    q = queries.select(F.col(unit), F.col(sequence).alias("__a"), F.col(block).alias("__block"), F.explode(F.sequence(F.length(sequence) - band, F.length(sequence) + band)).alias("__n"))
-    t = targets.select(F.col(unit).alias("__other"), F.col(sequence).alias("__b"), F.col(block).alias("__block"), F.length(sequence).alias("__n"))
-    both = q.join(t, ["__block", "__n"]).where(F.col(unit) != F.col("__other"))
-    same = F.size(F.filter(F.zip_with(F.split("__a", ""), F.split("__b", ""), lambda x, y: x == y), lambda x: x))
-    scored = both.withColumn("identity", same / F.greatest(F.length("__a"), F.length("__b")))
-    return scored.groupBy(unit).agg(F.min_by("__other", F.struct(-F.round("identity", 9), F.col("__other"))).alias("best"), F.max("identity").alias("identity"))

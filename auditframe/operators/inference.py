@@ -66,12 +66,12 @@ def paired_views(metrics: DataFrame, unit: str, view: str, value: str, baseline:
     """Difference of each view from a baseline, paired by ``unit``: exact test and joint adjustment."""
     wide = metrics.groupBy(unit).pivot(view, [baseline, *views]).agg(F.first(value))
     long = wide.select(unit, F.explode(F.array(*(F.struct(F.lit(v).alias("view"), (F.col(v) - F.col(baseline)).alias("difference")) for v in views))).alias("x")).select(unit, "x.*")
-    return benjamini_hochberg(sign_flip_exact(long, ["view"], "difference", unit), "p")
+    return benjamini_hochberg(sign_flip_test(long, ["view"], "difference", unit), "p")
 
 
 def paired_table(differences: DataFrame, keys: list[str], metric: str, unit: str, difference: str) -> DataFrame:
-    """Exact sign-flip test over units for each of ``keys`` and metric, adjusted within each metric."""
-    tested = sign_flip_exact(differences, [*keys, metric], difference, unit, tolerance=1e-9)
+    """Sign-flip test over units for each of ``keys`` and metric, exact up to 20 units, adjusted within each metric."""
+    tested = sign_flip_test(differences, [*keys, metric], difference, unit)
     return benjamini_hochberg(tested, "p", [metric])
 
 
@@ -98,7 +98,8 @@ def pearson_tail(r, n):
     A correlation of one counts as 1 - 1e-15.
     """
 
-    def run(r, n):
+    @F.pandas_udf("double")
+    def run(r: pd.Series, n: pd.Series) -> pd.Series:
         def tail(r, n):
             if pd.isna(r) or pd.isna(n) or n < 3:
                 return math.nan
@@ -107,7 +108,7 @@ def pearson_tail(r, n):
 
         return pd.Series([tail(a, b) for a, b in zip(r, n, strict=True)], dtype=float)
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(r, n)
+    return run(r, n)
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
@@ -168,23 +169,57 @@ def gamma_tail(a: float, x: float) -> float:
     return scale * out
 
 
+#: Up to so many rows of the smaller class, and so many values of U, the distribution of U is counted.
+EXACT_SIDE, EXACT_VALUES = 8, 1 << 24
+
+
+@lru_cache(maxsize=256)
+def u_upper(small: int, large: int) -> np.ndarray:
+    """P(U >= u) for each u, of two samples without ties.
+
+    The orders of the samples with each U are counted by the Gaussian binomial: the product over i of
+    (1 - q**(large + i)) / (1 - q**i), one factor after another. All features of equal sizes share the table.
+    """
+    counts = np.zeros(small * large + 1)
+    counts[0] = 1.0
+    for i in range(1, small + 1):
+        raised = counts.copy()
+        raised[large + i :] -= counts[: -(large + i)] if large + i < len(counts) else 0
+        for offset in range(i):  # dividing by 1 - q**i sums every i-th number
+            raised[offset::i] = np.cumsum(raised[offset::i])
+        counts = raised / (large + i) * i  # kept as shares: the binomial grows by (large + i) / i
+    return np.minimum(1.0, np.cumsum(counts[::-1])[::-1])
+
+
+def u_tail(n1: int, n0: int, u: float) -> float:
+    """Exact two-sided p-value of U for samples without ties."""
+    upper = u_upper(min(n1, n0), max(n1, n0))
+    return float(min(1.0, 2 * upper[round(max(u, n1 * n0 - u))]))
+
+
 def rank_biserial(df: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
-    """Mann-Whitney U of label 1 over 0, rank-biserial correlation and normal two-sided p-value with
-    correction for ties and continuity. A constant feature has p = 1 and correlation 0."""
+    """Mann-Whitney U of label 1 over 0, rank-biserial correlation and two-sided p-value.
+
+    The p-value is exact where the smaller class has at most ``EXACT_SIDE`` rows and no values are equal (``exact``), else normal with correction for
+    ties and continuity. A constant feature has p = 1 and correlation 0.
+    """
     ranks = average_ranks(df.select(*keys, value), value, keys)
     each = df.groupBy(*keys, value).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("ones"))
     n = F.col("n").cast("double")
     sums = ranks.join(each, [*keys, value]).groupBy(*keys).agg(F.sum(F.col("ones") * F.col("rank")).alias("r"), F.sum("ones").alias("n1"), F.sum("n").alias("size"), F.sum(n * n * n - n).alias("ties"))
     n1, n0, size = F.col("n1").cast("double"), (F.col("size") - F.col("n1")).cast("double"), F.col("size").cast("double")
     u = F.col("r") - n1 * (n1 + 1) / 2
-    sums = sums.where((n1 > 0) & (n0 > 0)).select(*keys, "n1", n0.cast("long").alias("n0"), u.alias("u"), (2 * u / (n1 * n0) - 1).alias("rank_biserial"), (n1 * n0 / 12 * (size + 1 - F.col("ties") / (size * (size - 1)))).alias("variance"))
+    sums = sums.where((n1 > 0) & (n0 > 0)).select(*keys, "n1", n0.cast("long").alias("n0"), u.alias("u"), (2 * u / (n1 * n0) - 1).alias("rank_biserial"), F.col("ties"), (n1 * n0 / 12 * (size + 1 - F.col("ties") / (size * (size - 1)))).alias("variance"))
     z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5, F.lit(0.0)) / F.sqrt(F.when(F.col("variance") > 0, F.col("variance")))
+    exact = (F.least("n1", "n0") <= EXACT_SIDE) & (F.col("ties") == 0) & (F.col("n1").cast("double") * F.col("n0") <= EXACT_VALUES)
 
     def tails(batches):
         for batch in batches:
-            yield batch.assign(p=batch["z"].map(normal_tail, na_action="ignore").astype(float).fillna(1.0)).drop(columns="z")
+            normal = batch["z"].map(normal_tail, na_action="ignore").astype(float).fillna(1.0)
+            own = [u_tail(int(n1), int(n0), u) if e else p for n1, n0, u, e, p in zip(batch["n1"], batch["n0"], batch["u"], batch["exact"], normal, strict=True)]
+            yield batch.assign(p=np.array(own, dtype=float)).drop(columns="z")
 
-    done = sums.withColumn("z", z).drop("variance")
+    done = sums.withColumn("z", z).withColumn("exact", exact).drop("variance", "ties")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema if f.name != "z")
     return done.mapInPandas(tails, schema + ", p double")
 
@@ -235,10 +270,11 @@ def t_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and half-width of the 95 % Student interval over any number of repetitions; null for one."""
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
-    def points(n):
+    @F.pandas_udf("double")
+    def points(n: pd.Series) -> pd.Series:
         return n.map(lambda k: t_975(int(k) - 1) if k > 1 else math.nan).astype(float)
 
-    t = F.pandas_udf(points, "double", F.PandasUDFType.SCALAR)("n")
+    t = points("n")
     return stats.withColumn("half_width", F.when(F.col("n") > 1, t * F.col("sd") / F.sqrt("n"))).drop("sd")
 
 

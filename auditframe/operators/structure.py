@@ -38,50 +38,14 @@ def global_identity(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int
     return int(same[-1]) / max(1, int(pairs[-1])), int(pairs[-1]) / len(b)
 
 
-def local_identity(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[float, float]:
-    """The same for a best local alignment: it starts and ends anywhere; of equal ones the first to end."""
-    if not a or not b:
-        return 0.0, 0.0
-    x, y = (np.frombuffer(s.encode("utf-32-le"), dtype="<u4") for s in (a, b))
-    steps, place = gap * np.arange(len(y) + 1), np.arange(len(y) + 1)
-    score, same, pairs = (np.zeros(len(y) + 1, dtype=np.int64) for _ in range(3))
-    top, found = 0, (0, 0)
-    for char in x:
-        equal = y == char
-        pair = np.r_[0, score[:-1] + np.where(equal, match, mismatch)]
-        up = score + gap
-        best = np.maximum(np.maximum(pair, up), 0)
-        most = np.maximum.accumulate(best - steps)
-        origin = np.maximum.accumulate(np.where(best - steps == most, place, 0))
-        paired, begun = pair >= up, best > 0
-        same = (np.where(paired, np.r_[0, same[:-1] + equal], same) * begun)[origin]
-        pairs = (np.where(paired, np.r_[0, pairs[:-1] + 1], pairs) * begun)[origin]
-        score = most + steps
-        if score.max() > top:
-            at = int(score.argmax())
-            top, found = int(score[at]), (int(same[at]), int(pairs[at]))
-    return found[0] / max(1, found[1]), found[1] / len(b)
-
-
-def mapped(a: str, b: str, least_identity: float = 0.90, least_coverage: float = 0.80):
-    """How the sequence ``b`` lies in ``a``: "exact" as a substring, "aligned" if a local alignment passes
-    both gates, else "unmapped". Only pairs that are no substrings go to Python."""
-    exact = F.instr(F.col(a), F.col(b)) > 0
-
-    def run(a, b):
-        return pd.Series([min(i >= least_identity, c >= least_coverage) for i, c in (local_identity(p or "", q or "") for p, q in zip(a, b, strict=True))], dtype=bool)
-
-    passes = F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR)(F.when(~exact, F.col(a)), F.when(~exact, F.col(b)))
-    return F.when(F.col(a).isNull() | F.col(b).isNull() | (F.length(b) == 0), "unmapped").when(exact, "exact").when(passes, "aligned").otherwise("unmapped")
-
-
 def align(a: str, b: str):
     """A struct of identity and coverage of two text columns."""
 
-    def run(a, b):
+    @F.pandas_udf("identity double, coverage double")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([global_identity(p or "", q or "") for p, q in zip(a, b, strict=True)], columns=["identity", "coverage"])
 
-    return F.pandas_udf(run, "identity double, coverage double", F.PandasUDFType.SCALAR)(a, b)
+    return run(a, b)
 
 
 def _rotation(h):
@@ -92,10 +56,11 @@ def _rotation(h):
         u[:, 2] *= np.sign(np.linalg.det(u @ vt)) or 1.0
         return (u @ vt).ravel().tolist()
 
-    def run(h):
+    @F.pandas_udf("array<double>")
+    def run(h: pd.Series) -> pd.Series:
         return h.map(turn)
 
-    return F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR)(h)
+    return run(h)
 
 
 def superposed(points: DataFrame, keys: list[str], position: str, a: list[str], b: list[str]) -> DataFrame:

@@ -390,3 +390,15 @@ def sign_flip_sampled(spark, sf):
     """For more units than an exact test takes: days of orders."""
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("view"), (F.col("l_orderkey") % 97).alias("unit")).agg((F.avg("l_discount") - 0.05).alias("d"))
     return inference.sign_flip_sampled(rows, ["view"], "d", "unit", draws=20_000)
+
+
+@query(f"""WITH g AS (SELECT vec_id // 12 AS k, embedding[1]::DOUBLE AS x, (label < 5)::INT AS y FROM embeddings), r AS (SELECT k, y, rank() OVER (PARTITION BY k ORDER BY x) AS r FROM g), s AS (SELECT k, sum(y)::INT AS n1, (count(*) - sum(y))::INT AS n0, coalesce(sum(r) FILTER (WHERE y = 1), 0) - sum(y) * (sum(y) + 1) / 2 AS u FROM r GROUP BY k),
+    sizes AS (SELECT DISTINCT n1, n0 FROM s WHERE n1 > 0 AND n0 > 0), m AS (SELECT n1, n0, unnest(range(0, (2 ** (n1 + n0))::BIGINT)) AS mask FROM sizes),
+    d AS (SELECT n1, n0, list_sum(list_transform(range(0, n1 + n0), lambda i: ((mask >> i) & 1) * (i + 1))) - n1 * (n1 + 1) // 2 AS v FROM m WHERE bit_count(mask) = n1)
+    SELECT k, s.n1, s.n0, round(u, 1) AS u, {sql_six('least(1, 2 * avg((v >= greatest(u, s.n1 * s.n0 - u))::INT))')} AS p FROM s JOIN d ON s.n1 = d.n1 AND s.n0 = d.n0 GROUP BY ALL""")
+def exact_rank_tests(spark, sf):
+    """Exact Mann-Whitney tests of groups of twelve, against all ways to choose the members."""
+    e = table(spark, sf, "embeddings")
+    rows = e.select(F.floor(F.col("vec_id") / 12).alias("k"), F.col("embedding")[0].cast("double").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    out = inference.rank_biserial(rows, ["k"], "x", "y")
+    return out.select("k", F.col("n1").cast("int").alias("n1"), F.col("n0").cast("int").alias("n0"), F.round("u", 1).alias("u"), six(F.col("p")).alias("p"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import text
 from auditframe.operators import controls, inference, metrics, resampling, vectors
-from auditframe.operators.structure import mapped, near_points
+from auditframe.operators.structure import near_points
 from auditframe.plans.registry import query, six, sql_six, table
 from auditframe.plans.relational_queries import CATALOG, catalog
 from auditframe.plans.vector_queries import ACTIVE, DOT, LONG, PLACED, active, embeddings
@@ -337,20 +337,26 @@ def contact_classes(spark, sf):
     return near.groupBy("label", F.least(kind["left"], kind["right"]).alias("kind_a"), F.greatest(kind["left"], kind["right"]).alias("kind_b")).agg(F.count("*").alias("contacts"), F.sum((F.col("distance") <= 0.015).cast("long")).alias("close"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_name AS s, p_type AS kind FROM part), m AS (SELECT a.id, b.id AS other, list_sum(list_transform(range(1, least(length(a.s), length(b.s)) + 1), lambda i: (substr(a.s, i, 1) = substr(b.s, i, 1))::INT)) / greatest(length(a.s), length(b.s)) AS identity FROM p a JOIN p b ON a.kind = b.kind AND a.id <> b.id AND abs(length(a.s) - length(b.s)) <= 1 WHERE a.id % 10 = 0)
-    SELECT id, arg_min(other, (-round(identity, 9), other)) AS best, round(max(identity), 6) + 0.0 AS identity FROM m GROUP BY id""")
-def best_in_length_band(spark, sf):
-    """The most alike string among those of its kind whose length differs by at most one."""
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("s"), F.col("p_type").alias("kind"))
-    out = controls.best_in_band(rows.where("id % 10 = 0"), rows, "id", "s", "kind", 1)
-    return out.select("id", "best", six(F.col("identity")).alias("identity"))
+RAGGED = "(SELECT conv_id, list(length(text) ORDER BY turn) FILTER (WHERE role = 'user') AS asked, list(length(text) ORDER BY turn) FILTER (WHERE role = 'assistant' AND turn > 1) AS told FROM conversations GROUP BY conv_id)"
 
 
-@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'aligned' ELSE 'unmapped' END AS how FROM benchmark WHERE length(text) >= 60")
-def mapped_sequences(spark, sf):
-    """Parts of a text in it: as they are, with a letter changed, and with every other letter changed."""
-    part = F.substring("text", 11, 40)
-    changed = F.concat(F.substring(part, 1, 20), F.lit("#"), F.substring(part, 22, 19))
-    spoilt = F.array_join(F.transform(F.split(part, ""), lambda c, i: F.when(i % 2 == 0, "#").otherwise(c)), "")
-    rows = table(spark, sf, "benchmark").where("length(text) >= 60").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, part).when(F.col("item_id") % 3 == 1, changed).otherwise(spoilt).alias("part"))
-    return rows.select("item_id", mapped("text", "part").alias("how"))
+@query(f"""WITH r AS (SELECT *, greatest(coalesce(len(asked), 0), coalesce(len(told), 0)) AS n FROM {RAGGED}), b AS (SELECT *, ((n + 1) // 2 * 2)::INT AS bucket FROM r), p AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY sha256('0:' || conv_id), conv_id) - 1) AS turn FROM b),
+    g AS (SELECT *, turn // 8 AS batch, max(n) OVER (PARTITION BY bucket, turn // 8) AS width FROM p)
+    SELECT bucket, batch, list(conv_id ORDER BY turn) AS units, any_value(width)::INT AS width, list(list_concat(coalesce(asked, []), list_resize([]::BIGINT[], width - coalesce(len(asked), 0), -1)) ORDER BY turn) AS asked, list(list_transform(range(0, width), lambda i: i < coalesce(len(asked), 0)) ORDER BY turn) AS asked_mask, list(asked IS NOT NULL ORDER BY turn) AS asked_available,
+    list(list_concat(coalesce(told, []), list_resize([]::BIGINT[], width - coalesce(len(told), 0), -1)) ORDER BY turn) AS told, list(list_transform(range(0, width), lambda i: i < coalesce(len(told), 0)) ORDER BY turn) AS told_mask, list(told IS NOT NULL ORDER BY turn) AS told_available,
+    {sql_six('CASE WHEN any_value(width) > 0 THEN 1 - sum(coalesce(len(asked), 0) + coalesce(len(told), 0)) / (2 * count(*) * any_value(width)) ELSE 0 END')} AS waste FROM g GROUP BY bucket, batch""")
+def padded_conversations(spark, sf):
+    """Lengths of turns by two roles as padded batches with masks and availability, and the share of padding."""
+    from auditframe.operators.batches import padded_batches
+
+    item = F.struct("turn", F.length("text").cast("long").alias("n"))
+    told = F.col("role").eqNullSafe("assistant") & (F.col("turn") > 1)
+
+    def lengths(chosen):
+        own = F.transform(F.array_sort(F.collect_list(F.when(chosen, item))), lambda r: r["n"])
+        return F.when(F.size(own) > 0, own)
+
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(lengths(F.col("role") == "user").alias("asked"), lengths(told).alias("told"))
+    fill = F.lit(-1).cast("long")
+    out = padded_batches(rows, "conv_id", {"asked": fill, "told": fill}, size=8, step=2)
+    return out.withColumn("waste", six(F.col("waste")))

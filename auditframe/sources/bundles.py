@@ -7,6 +7,7 @@ pruned by the scan. Digests are made and checked in the JVM where the bytes are.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,11 @@ def broken(bundles: DataFrame, *, ranks: dict[str, int] | None = None, dtypes: d
 
 
 def finite(data: str, dtype: str) -> Column:
-    def run(data, dtype):
-        return data.index.to_series().map(lambda i: all_finite(data[i], dtype[i]))
+    @F.pandas_udf("boolean")
+    def run(data: pd.Series, dtype: pd.Series) -> pd.Series:
+        return pd.Series([all_finite(d, t) for d, t in zip(data, dtype, strict=True)], dtype=bool)
 
-    return F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR)(data, dtype)
+    return run(data, dtype)
 
 
 def all_finite(data: bytes, dtype: str) -> bool:
