@@ -3,19 +3,21 @@
 One pattern finds candidates; each is validated and then replaced inside its own format:
 
 * payment cards (13 to 19 digits, Luhn sum right): the digits but the last are permuted, the last
-  is computed anew; blanks and hyphens stay where they are;
+  is computed anew; blanks and hyphens stay where they are. In a longer row of numbers every part that begins and ends at a blank or
+  hyphen is tried, long ones before short ones, from the left;
 * IBANs (remainder 1 modulo 97), printed whole or in groups of four with the length of their country:
   the account's digits are permuted, the check digits computed anew;
 * social security numbers (no impossible area, group or serial): permuted among the valid ones;
-* telephone numbers: the last ten digits are permuted, a country code and all punctuation stay;
+* telephone numbers, also international ones with a plus sign: the last ten digits are permuted (all but the first of a
+  number with a plus sign and fewer), a country code and all punctuation stay;
 * IPv4 addresses (each part at most 255): permuted among all addresses;
 * dates of 1800 to 2199 (that exist), as y-m-d, d.m.y or m/d/y: permuted among the 146,097 days of
   those 400 years;
 * e-mail addresses: 128 bits of a keyed digest, so different addresses don't meet;
-* hexadecimal secrets of 32 digits and more in either case, and what is assigned to a word such as
-  "password" or "token", in any case, with an equals sign or colon, with or without blanks (up to
-  eight on either side) and quotes: a keyed digest of the same form and length. What is assigned so
-  and looks like another kind, but isn't a valid one, is a secret.
+* hexadecimal secrets of 32 digits and more in either case, access keys of 20 capitals and digits, what follows "bearer" (16
+  characters and more), and what is assigned to a word such as "password", "secret_key" or "token", in any case, with an equals
+  sign or colon, with or without blanks (up to eight on either side) and quotes: a keyed digest of the same length. A value ends before
+  a blank or quote, and before punctuation at its end. What is assigned so and looks like another kind, but isn't a valid one, is a secret.
 
 The permutations are alternating Feistel networks whose round function is a keyed SHA-256; their two
 halves are residues modulo numbers whose product is the size of the format, so nothing needs a
@@ -52,19 +54,21 @@ def _grouped(length: int) -> str:
 GROUPED = "|".join(f"(?:{countries})[0-9]{{2}}{_grouped(n)}" for n, countries in IBANS.items())
 #: What stands between a word such as "token" and its value.
 SIGN = r"[ \t]{0,8}[:=][ \t]{0,8}[\"']?"
-ASSIGNS = rf"(?i:password|passwd|secret|token|api_key|apikey)[\"']?{SIGN}"
+ASSIGNS = rf"(?i:password|passwd|pwd|secret|token|(?:api|secret|access|private)[_-]?key)[\"']?{SIGN}"
+BEARER = "(?i:bearer) "
 #: What each kind looks like, in the order in which a place is tried.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?![\p{L}\p{N}])",
     # Whole values come before kinds that they may only begin like. The first two conditions are cheap and rule out nearly all places.
-    "assigned": rf"(?<=[:= \t\"'])(?<={SIGN})(?<={ASSIGNS})[A-Za-z0-9_./+-]{{6,}}+",
-    "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
+    "assigned": rf"(?<=[:= \t\"'])(?:(?<={SIGN})(?<={ASSIGNS})[^\s\"']{{5,}}[^\s\"'.,;:!?)\]}}]|(?<={BEARER})[A-Za-z0-9_.~+/=-]{{15,}}[A-Za-z0-9_~+/=-])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,}+|A[KS]IA[0-9A-Z]{16})(?![A-Za-z0-9])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}[0-9]{{2}} )(?:{GROUPED}))(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![./-]?[0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![./-]?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[ .-])[0-9]{3}[ .-]|(?<![0-9+ .-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!-?[0-9])",
-    "card": r"(?<![0-9])(?<![0-9]-)(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19})(?!-?[0-9])|(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[ .-])[0-9]{3}[ .-]|(?<![0-9+ .-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .-]?[0-9]){7,14})(?!-?[0-9])",
+    # A row of numbers that a card may be part of; it ends before a date or social security number of its own.
+    "card": r"(?<![0-9])[0-9](?:[0-9]|[ -](?![0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))[0-9]){12,199}+",
 }
 ANY = "|".join(KINDS.values())
 
@@ -124,11 +128,45 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, x: a + x)
 
 
-def _card(value: Column, key: str) -> Column:
+def _one_card(value: Column, key: str) -> Column:
     digits = _digits(value)
     body = permuted_digits(F.left(digits, F.length(digits) - 1), key, "card")
-    whole = F.concat(body, ((F.lit(10) - _luhn_sum(body, 0) % 10) % 10).cast("string"))
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, _laid_out(value, whole)).otherwise(value)
+    return _laid_out(value, F.concat(body, ((F.lit(10) - _luhn_sum(body, 0) % 10) % 10).cast("string")))
+
+
+def _card(value: Column, key: str) -> Column:
+    """A struct of ``new``, a row of numbers with its valid cards replaced, and their number ``n``."""
+    parts = F.split(value, "(?<=[ -])")  # each with what separates it from the next
+    bound = F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.regexp_replace(p, "[ -]$", "")).alias("numbers"))
+    return F.transform(F.array(bound), lambda row: _cards_in(row["parts"], row["numbers"], key))[0]
+
+
+def _cards_in(parts: Column, numbers: Column, key: str) -> Column:
+    n = F.size(parts)
+
+    def digits(at: Column, size: Column) -> Column:
+        return F.array_join(F.slice(numbers, at, size), "")
+
+    def longest(at: Column) -> Column:
+        """How many parts the longest valid card has that begins at ``at``; 0 if there is none."""
+        sizes = F.filter(F.sequence(F.lit(1), F.least(n - at + 1, F.lit(19))), lambda k: F.length(digits(at, k)).between(13, 19))
+        return F.coalesce(F.array_max(F.filter(sizes, lambda k: _luhn_sum(digits(at, k), 1) % 10 == 0)), F.lit(0))
+
+    def replaced(at: Column, size: Column) -> Column:
+        """The parts of a card; the last keeps what separates it."""
+        run = F.array_join(F.slice(parts, at, size - 1), "")
+        last = at + size - 2
+        card = F.transform(F.array(F.concat(run, numbers[last])), lambda v: _one_card(v, key))[0]
+        return F.concat(card, F.substring(parts[last], F.length(numbers[last]) + 1, F.lit(1)))
+
+    def step(state: Column, at: Column) -> Column:
+        size = F.struct(F.when(at < state["next"], 0).otherwise(longest(at)).alias("size"))
+        after = lambda x: F.struct(F.concat(state["new"], replaced(at, x["size"])).alias("new"), (state["n"] + 1).alias("n"), (at + x["size"]).alias("next"))
+        plain = F.struct(F.concat(state["new"], parts[at - 1]).alias("new"), state["n"].alias("n"), state["next"].alias("next"))
+        return F.transform(F.array(size), lambda x: F.when(x["size"] > 0, after(x)).when(at < state["next"], state).otherwise(plain))[0]
+
+    start = F.struct(F.lit("").alias("new"), F.lit(0).alias("n"), F.lit(1).alias("next"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: F.struct(state["new"].alias("new"), state["n"].alias("n")))
 
 
 def _remainder_97(value: Column) -> Column:
@@ -162,7 +200,7 @@ def _ssn(value: Column, key: str) -> Column:
 
 def _phone(value: Column, key: str) -> Column:
     digits = _digits(value)
-    kept = F.greatest(F.length(digits) - 10, F.lit(0))
+    kept = F.greatest(F.length(digits) - 10, F.when(value.startswith("+"), 1).otherwise(0))
     own = permuted_digits(F.substring(digits, kept + 1, F.length(digits) - kept), key, "phone")
     return _laid_out(value, F.concat(F.left(digits, kept), own))
 
@@ -182,7 +220,8 @@ def _date(value: Column, key: str) -> Column:
     done = feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), key, "date")
     new = F.date_format(F.date_from_unix_date((done["left"] * 773 + done["right"] - 62091).cast("int")), "yyyy-MM-dd")
     own = F.when(pattern == "yyyy-MM-dd", new).when(pattern == "dd.MM.yyyy", F.concat_ws(".", F.substring(new, 9, 2), F.substring(new, 6, 2), F.substring(new, 1, 4)))
-    own = own.otherwise(F.concat_ws("/", F.substring(new, 6, 2), F.substring(new, 9, 2), F.substring(new, 1, 4)))
+    short = lambda at, was: F.when(F.length(was) == 2, F.substring(new, at, 2)).otherwise(F.substring(new, at, 2).cast("int").cast("string"))
+    own = own.otherwise(F.concat_ws("/", short(6, part[0]), short(9, part[1]), F.substring(new, 1, 4)))
     return F.when((day >= 0) & (day < 146097), own).otherwise(value)
 
 
@@ -204,40 +243,40 @@ MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date":
 
 
 def pseudonym(value: Column, assigned: Column, key: str) -> Column:
-    """The pseudonym of one found value, or the value where it is not valid.
+    """A struct of ``new``, the pseudonym of one found value or the value where it is not valid, and ``n``, how many values were replaced in it.
 
     ``assigned``: whether it stands behind a word such as "token" and a sign.
     """
-    out = F.when(F.lit(False), value)
+    once = lambda new: F.struct(new.alias("new"), (new != value).cast("int").alias("n"))
+    out = F.when(F.lit(False), once(value))
     for kind, pattern in KINDS.items():
         if kind == "assigned":
             continue
         bare = pattern.split(")", 1)[1]  # without what stands before
         shape = {
-            "phone": r"(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
-            "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+            "phone": r"(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .-]?[0-9]){7,14}",
+            "card": r"[0-9](?:[ -]?[0-9]){12,199}",
         }.get(kind, bare)
-        out = out.when(value.rlike(f"^(?:{shape})$"), MAKERS[kind](value, key))
-    found = F.struct(out.otherwise(value).alias("new"))
-    return F.transform(F.array(found), lambda x: F.when(assigned & (x["new"] == value), _secret(value, key)).otherwise(x["new"]))[0]
+        made = MAKERS[kind](value, key)
+        out = out.when(value.rlike(f"^(?:{shape})$"), made if kind == "card" else F.transform(F.array(made), once)[0])
+    found = out.otherwise(once(value))
+    return F.transform(F.array(found), lambda x: F.when(assigned & (x["n"] == 0), once(_secret(value, key))).otherwise(x))[0]
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` and the number of replacements in ``count_col``."""
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     around = F.split(text, ANY)
-    names = [c for c in docs.columns if c not in (text_col, count_col)]
-    # The lists are columns of their own, so that each is computed once.
-    listed = docs.select("*", F.when(text.rlike(ANY), F.struct(found.alias("found"), around.alias("around"))).alias("__lists"))
-    behind = lambda i: F.right(F.element_at(F.col("__lists.around"), i + 1), F.lit(40)).rlike(f"{ASSIGNS}$")
-    made = listed.withColumn("__new", F.transform(F.col("__lists.found"), lambda v, i: pseudonym(v, behind(i), key)))
-    pieces = F.zip_with(F.col("__lists.around"), F.col("__new"), lambda a, v: F.concat(a, F.coalesce(v, F.lit(""))))
-    changed = F.size(F.filter(F.arrays_zip(F.col("__lists.found").alias("a"), F.col("__new").alias("b")), lambda x: x["a"] != x["b"]))
-    result = made.select(
-        *docs.columns,
-        F.when(F.col("__lists").isNull(), text).otherwise(F.array_join(pieces, "")).alias("__text"),
-        F.when(F.col("__lists").isNull(), 0).otherwise(changed).cast("long").alias("__count"),
-    )
-    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c in names or c == text_col]
-    return result.select(*columns, F.col("__count").alias(count_col))
+    # Names that no column of the table has. The lists are columns of their own, so that each is computed once.
+    lists, new, count = (("_" * (max(map(len, docs.columns), default=0) + 1)) + n for n in ("lists", "new", "count"))
+    listed = docs.select("*", F.when(text.rlike(ANY), F.struct(found.alias("found"), around.alias("around"))).alias(lists))
+    of = lambda part: F.col(lists)[part]
+    behind = lambda i: F.right(F.element_at(of("around"), i + 1), F.lit(40)).rlike(f"(?:{ASSIGNS}|{BEARER})$")
+    made = listed.withColumn(new, F.transform(of("found"), lambda v, i: pseudonym(v, behind(i), key)))
+    pieces = F.zip_with(of("around"), F.col(new), lambda a, v: F.concat(a, F.coalesce(v["new"], F.lit(""))))
+    changed = F.aggregate(F.col(new), F.lit(0), lambda total, v: total + v["n"])
+    counted = F.when(F.col(lists).isNull(), 0).otherwise(changed).cast("long")
+    replaced = F.when(F.col(lists).isNull(), text).otherwise(F.array_join(pieces, ""))
+    columns = [replaced.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
+    return made.select(*columns, counted.alias(count_col))

@@ -74,19 +74,38 @@ def pseudonymiser(key):
                 day = -1
             if 0 <= day < 146097:
                 a, b = network(day // 773, day % 773, 189, 773, "date")
-                out = (dt.date(1800, 1, 1) + dt.timedelta(days=a * 773 + b)).strftime(order)
+                new_day = dt.date(1800, 1, 1) + dt.timedelta(days=a * 773 + b)
+                out = new_day.strftime(order)
+                if "/" in v:
+                    out = "/".join(f"{n:0{2 if len(was) == 2 else 1}d}" for n, was in zip((new_day.month, new_day.day, new_day.year), v.split("/"), strict=True))
         elif kind == "ssn":
             a, g, s = (int(x) for x in v.split("-"))
             if 0 < a < 900 and a != 666 and g and s:
                 x, y = network(a - (2 if a > 666 else 1), (g - 1) * 9999 + s - 1, 898, 99 * 9999, "ssn")
                 out = f"{x + (2 if x >= 665 else 1):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
         elif kind == "phone":
-            out = put(v, d[:-10] + digits_of(d[-10:], "phone"))
-        elif kind == "card" and luhn(d) == 0:
-            body = digits_of(d[:-1], "card")
-            out = put(v, next(body + c for c in "0123456789" if luhn(body + c) == 0))
+            kept = max(len(d) - 10, 1 if v[0] == "+" else 0)
+            out = put(v, d[:kept] + digits_of(d[kept:], "phone"))
+        elif kind == "card":
+            out = cards(v)
         return secret(v) if out == v and assigned else out
 
+    def cards(v):
+        numbers = re.findall("[0-9]+[ -]?", v)
+        out, at = "", 0
+        while at < len(numbers):
+            for size in range(min(19, len(numbers) - at), 0, -1):
+                run = "".join(numbers[at : at + size]).rstrip(" -")
+                d = re.sub("[^0-9]", "", run)
+                if 13 <= len(d) <= 19 and luhn(d) == 0:
+                    body = digits_of(d[:-1], "card")
+                    out += put(run, next(body + c for c in "0123456789" if luhn(body + c) == 0)) + "".join(numbers[at : at + size])[len(run) :]
+                    at += size
+                    break
+            else:
+                out, at = out + numbers[at], at + 1
+        return out
+
     def secret(v):
         hexadecimal = re.fullmatch("[0-9A-Fa-f]{32,}", v)
         parts = [digest(f"secret{n}", v.lower() if hexadecimal else v) for n in range((len(v) - 1) // 64 + 1)]
@@ -94,12 +113,12 @@ def pseudonymiser(key):
         return out.upper() if hexadecimal and re.search("[A-F]", v) and not re.search("[a-f]", v) else out
 
     pattern = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in privacy.KINDS.items()))
-    shapes = [("email", "@"), ("secret", "[0-9A-Fa-f]{32,}"), ("iban", "[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}"), ("ip", r"\d+(\.\d+){3}"), ("date", r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4}"), ("ssn", r"\d{3}-\d\d-\d{4}"), ("card", r"\d([ -]?\d){12,18}")]
+    shapes = [("email", "@"), ("secret", "[0-9A-Fa-f]{32,}|A[KS]IA[0-9A-Z]{16}"), ("iban", "[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}"), ("ip", r"\d+(\.\d+){3}"), ("date", r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"), ("ssn", r"\d{3}-\d\d-\d{4}"), ("phone", r"\+[1-9]([ .-]?\d){7,14}|(\+[1-9]\d{0,2}[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), ("card", r"\d([ -]?\d){12,199}")]
 
     def replaced(m):
         kind = m.lastgroup
         if kind == "assigned":
             kind = next((k for k, shape in shapes if re.fullmatch(shape, m[0])), "assigned")
-        return new(kind, m[0], regex.search(privacy.ASSIGNS + "$", m.string[max(0, m.start() - 40) : m.start()]) is not None)
+        return new(kind, m[0], regex.search(f"(?:{privacy.ASSIGNS}|{privacy.BEARER})$", m.string[max(0, m.start() - 40) : m.start()]) is not None)
 
     return lambda text: pattern.sub(replaced, text) if text else text
