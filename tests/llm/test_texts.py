@@ -286,6 +286,12 @@ def test_registered_queries_on_odd_and_empty_tables(spark, odd, name):
     assert queries.QUERIES[name](spark, odd[1]).count() == 0
     if name in ("op3_vector_links", "op5_curve_search"):
         return
+    if name == "op11_collocations":  # rows by phrase: the parts of these two are absorbed
+        assert {(r.lang, r["rank"], r.phrase, r.a, r.n) for r in rows} == {("und", 1, "long words long words", 59_999, 120_012), ("und", 2, "words long words long", 59_998, 120_012)}
+        return
+    if name == "op13_hard_negatives":  # the one anchor has no row of another label and of its length
+        assert rows == []
+        return
     ids = sorted(str(r.doc_id) for r in rows)
     if name == "op8_packing":
         ids = sorted(str(r.doc_id) for r in rows if r.piece == 0)
