@@ -28,10 +28,11 @@ def entropy(fractions: list[Column]) -> Column:
 
 
 def grams(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams, from n shifted lists of characters: linear in the text's length."""
-    chars, count = F.split(text, ""), F.greatest(F.length(text) - n + 1, F.lit(0))
-    shifted = [F.slice(chars, F.lit(i + 1), count) for i in range(n)]
-    return F.array_distinct(reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), shifted))
+    """Distinct character n-grams in the order of their first places; none of a text shorter than ``n``.
+
+    Each match takes one character and looks ahead at the gram that begins with it.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))."), F.lit(1)))
 
 
 def json_list(text: Column, kind: str = "array<string>") -> Column:

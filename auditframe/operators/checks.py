@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.operators import near_pairs
 from auditframe.sources.scratch import saved
 
 
@@ -111,23 +112,21 @@ def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: floa
     A set stands for all rows that have it: ``one`` and ``zero`` are their least keys, ``ones`` and
     ``zeros`` their numbers; copies are never expanded into pairs.
 
-    Sets of size n and m can only reach it if they share at least least**2 of the larger; so with grams
-    in an order from rare to frequent, they share one among the first n - ceil(least**2 * n) + 1 of
-    each. Only those are joined on, by their hashes, and what the places of a shared gram leave for the
-    rest of both sets decides before a pair is made; the first gram that a near pair shares never fails
-    that. Pairs are verified on the grams themselves.
+    Candidates come from signatures of parts of the sets (``near_pairs``), which miss no near pair, and are
+    verified on the grams themselves.
     """
-    sets = df.select(key, label, F.array_sort(F.array_distinct(grams)).alias("g")).where(F.size("g") > 0)
-    distinct = saved(sets.groupBy("g", label).agg(F.min(key).alias("member"), F.count("*").alias("copies")), "sets")
-    each = distinct.select("member", label, F.size("g").alias("n"), F.explode(F.transform("g", lambda g: F.xxhash64(g))).alias("gram"))
-    frequency = each.groupBy("gram").agg(F.count("*").alias("f"))
-    ordered = each.join(frequency, "gram").groupBy("member", label, "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("g"))
-    need = F.ceil(F.col("n") * (least * least) - 1e-9)
-    prefix = ordered.select("member", label, "n", F.posexplode(F.slice("g", 1, (F.col("n") - need + 1).cast("int"))).alias("at", "p")).where("p.f > 1")
-    one, zero = (prefix.where(F.col(label) == c).select(F.col("p.gram").alias("gram"), F.col("member").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}")) for c in (1, 0))
-    room = F.least(F.col("n1") - F.col("at1"), F.col("n0") - F.col("at0")) >= least * F.sqrt(F.col("n1").cast("double") * F.col("n0")) - 1e-6
-    candidates = one.join(zero, "gram").where(room).select("s1", "s0").distinct()
-    a, b = (distinct.where(F.col(label) == c).select(F.col("member").alias(f"s{c}"), F.col("g").alias(f"g{c}"), F.col("copies").alias(("zeros", "ones")[c])) for c in (1, 0))
-    cosine = F.size(F.array_intersect("g1", "g0")) / F.sqrt(F.size("g1").cast("double") * F.size("g0"))
-    verified = candidates.join(a, "s1").join(b, "s0").withColumn("cosine", cosine).where(F.col("cosine") >= least - 1e-12)
+    sets = df.select(key, label, F.array_sort(F.array_distinct(grams)).alias("g"))
+    distinct = sets.groupBy("g", label).agg(F.min(key).alias("member"), F.count("*").alias("copies"))
+    distinct = saved(distinct.withColumn("h", F.array_distinct(F.transform("g", lambda g: F.xxhash64(g)))), "sets")
+    # Empty sets go here: a filter before the table is saved would make the grams twice.
+    side = {c: distinct.where((F.col(label) == c) & (F.size("g") > 0)).select(*(F.col(x).alias(f"{x}{c}") for x in ("member", "g", "h", "copies")), F.size("g").alias(f"n{c}")) for c in (1, 0)}
+    pairs = near_pairs.candidates(*(side[c].select(F.col(f"member{c}").alias("member"), F.col(f"h{c}").alias("h")) for c in (1, 0)), least)
+    pairs = pairs.withColumnsRenamed({"a": "member1", "b": "member0"})
+    reached = F.sqrt(F.col("n1").cast("double") * F.col("n0")) * (least - 1e-12)
+    # Hashes are compared first; grams of one set that share a hash count as found.
+    found = F.size(F.array_intersect("h1", "h0")) + F.col("n1") - F.size("h1")
+    likely = pairs.join(side[1].drop("g1", "copies1"), "member1").join(side[0].drop("g0", "copies0"), "member0").where(found >= reached).select("member1", "member0", "n1", "n0")
+    whole = likely.join(side[1].select("member1", "g1", F.col("copies1").alias("ones")), "member1").join(side[0].select("member0", "g0", F.col("copies0").alias("zeros")), "member0")
+    verified = whole.withColumn("shared", F.size(F.array_intersect("g1", "g0"))).where(F.col("shared") >= reached)
+    verified = verified.withColumn("cosine", F.col("shared") / F.sqrt(F.col("n1").cast("double") * F.col("n0"))).withColumnsRenamed({"member1": "s1", "member0": "s0"})
     return verified.select(F.col("s1").alias("one"), F.col("s0").alias("zero"), "ones", "zeros", "cosine")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditframe.functions import text
-from auditframe.operators import causal, checks, cohort, controls, inference, metrics, ranks, sparse, structure, vectors
+from auditframe.operators import causal, checks, cohort, controls, inference, metrics, near_pairs, ranks, sparse, structure, vectors
 from auditframe.sources import bundles, tables
 
 
@@ -123,6 +123,41 @@ def test_near_duplicates_against_all_pairs(spark):
     assert found == want and want
 
 
+def test_part_signatures_miss_no_near_pair():
+    """Sets of all sizes, those at the very bound among them, meet in a part; empty parts alone decide nothing."""
+    rng = np.random.default_rng(11)
+    for least in (0.8, 0.95, 1.0):
+        met = pairs = 0
+        for n in [*range(1, 40), 97, 400, 1500]:
+            for m in {n, math.ceil(n * least * least - 1e-9), math.floor(n / (least * least) + 1e-9)}:
+                shared = math.ceil(least * math.sqrt(n * m) - 1e-9)
+                if m < 1 or shared > min(n, m):
+                    continue
+                a = rng.integers(-(2**63), 2**63, n)
+                b = np.r_[a[:shared], rng.integers(-(2**63), 2**63, m - shared)]
+                one = {int(x) for _, s in near_pairs.part_signatures([a], (0,), least) for x in s}
+                other = {int(x) for _, s in near_pairs.part_signatures([b], (-1, 0, 1), least) for x in s}
+                met, pairs = met + bool(one & other), pairs + 1
+        assert met == pairs > 40
+    far = [rng.integers(-(2**63), 2**63, 300) for _ in range(2)]
+    sides = [{int(x) for _, s in near_pairs.part_signatures([x], levels, 0.95) for x in s} for x, levels in zip(far, ((0,), (-1, 0, 1)), strict=True)]
+    assert not sides[0] & sides[1]
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    """Null and empty sets are near nothing, null labels count as no class, an empty table gives no pair."""
+    schema = "id int, y int, g array<string>, a int, b int, h int"
+    rows = [(1, 1, ["x"], 0, 0, 0), (2, 0, ["x", "x"], 0, 0, 0), (3, 0, [], 0, 0, 0), (4, 1, None, 0, 0, 0), (5, None, ["x"], 0, 0, 0), (6, 0, ["y"], 0, 0, 0)]
+    assert [tuple(r) for r in checks.near_duplicates(frame(spark, rows, schema), "id", "y", "g").collect()] == [(1, 2, 1, 1, 1.0)]
+    assert checks.near_duplicates(frame(spark, [], schema), "id", "y", "g").count() == 0
+
+
+def test_grams_are_of_characters(spark):
+    """Line ends are characters, and so is one beyond the basic plane."""
+    row = frame(spark, [("a\nb\U0001f600c", None)], "s string, n string").select(text.grams(F.col("s"), 3).alias("g"), text.grams(F.col("n"), 3).alias("n")).first()
+    assert row.g == ["a\nb", "\nb\U0001f600", "b\U0001f600c"] and row.n is None
+
+
 def test_grouped_split(spark):
     rows = [(i, f"g{i % 60}", int(i % 60 < 20)) for i in range(600)]
     out = cohort.grouped_split(frame(spark, rows, "id int, g string, y int"), "g", "y")
