@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import text
-from auditframe.operators import checks
+from auditframe.operators import checks, names
 from auditframe.plans.registry import query, six, sql_six, table
 from auditframe.plans.relational_queries import CATALOG, catalog
 from auditframe.plans.vector_queries import LONG, embeddings
@@ -264,6 +264,9 @@ def selected_rows(spark, sf):
 
 # Resolution of names and archives
 
+#: SQL of the distinct tokens of a name, in order.
+TOKENS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')))"
+
 
 @query(f"""WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'P' || lpad((doc_id % 100000)::VARCHAR, 5, '0') WHEN 1 THEN lower(source) || ' x' ELSE {UPPER} END AS q FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(q, '[OPQ][0-9][A-Z0-9]{{3}}[0-9]') THEN 'accession' WHEN regexp_full_match(q, '[A-Z]{{10,}}') THEN 'sequence' WHEN q = '' THEN 'empty' ELSE 'name' END AS kind,
     CASE WHEN regexp_full_match(q, '[OPQ][0-9][A-Z0-9]{{3}}[0-9]') THEN q WHEN regexp_full_match(q, '[A-Z]{{10,}}') THEN 'sequence_' || substr(sha256(q), 1, 12) END AS id FROM q""")
@@ -276,6 +279,21 @@ def resolved_ids(spark, sf):
     return rows.select("doc_id", text.query_kind(F.col("q")).alias("kind"), text.query_id(F.col("q")).alias("id"))
 
 
+@query(f"""WITH q AS (SELECT p_partkey AS id, {TOKENS.format("upper(p_type) || ', ' || p_name || ' (' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'no ' || p_partkey END || ')'")} AS t FROM part WHERE p_partkey % 3 = 0),
+    c AS (SELECT p_partkey AS candidate, {TOKENS.format("p_name || ' ' || p_brand || ' ' || p_type")} AS k FROM part), d AS (SELECT DISTINCT t FROM q), e AS (SELECT DISTINCT k FROM c),
+    n AS (SELECT t, k, len(list_intersect(t, k)) AS shared FROM d, e), s AS (SELECT t, k, shared / (len(t) + len(k) - shared) AS similarity FROM n WHERE shared >= 0.6 * (len(t) + len(k) - shared) - 1e-9)
+    SELECT id, rank, candidate, {sql_six('similarity')} AS similarity, similarity = 1 AS exact FROM (SELECT q.id, c.candidate, s.similarity, row_number() OVER (PARTITION BY q.id ORDER BY s.similarity DESC, c.candidate) AS rank FROM q JOIN s USING (t) JOIN c USING (k)) WHERE rank <= 5""")
+def name_candidates(spark, sf):
+    """Names written another way, resolved to ranked catalog entries by the tokens they share."""
+    parts = table(spark, sf, "part").withColumnRenamed("p_partkey", "id")
+    i = F.col("id")
+    last = F.when(i % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("no "), i.cast("string")))
+    asked = parts.where(i % 3 == 0).select("id", F.concat(F.upper("p_type"), F.lit(", "), "p_name", F.lit(" ("), last, F.lit(")")).alias("query"))
+    entries = parts.select(i.alias("entry"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    found = names.candidates(asked, "id", "query", entries, "entry", "name", 0.6, 5)
+    return found.withColumn("similarity", six(F.col("similarity")))
+
+
 @query("""WITH a AS (SELECT vec_id % 4 AS archive, vec_id FROM embeddings WHERE vec_id % 37 <> 0 UNION ALL SELECT 3, vec_id FROM embeddings WHERE vec_id % 41 = 0), s AS (SELECT vec_id % 4 AS archive, vec_id FROM embeddings WHERE vec_id % 43 <> 0)
     SELECT archive, count(*) FILTER (WHERE a AND NOT s) AS unlisted, count(*) FILTER (WHERE s AND NOT a) AS missing, count(*) FILTER (WHERE other > 1) AS shared FROM (SELECT coalesce(a.archive, s.archive) AS archive, a.vec_id IS NOT NULL AS a, s.vec_id IS NOT NULL AS s, coalesce(o.n, 0) AS other
     FROM (SELECT DISTINCT * FROM a) a FULL JOIN s ON a.archive = s.archive AND a.vec_id = s.vec_id LEFT JOIN (SELECT vec_id, count(DISTINCT archive) AS n FROM a GROUP BY vec_id) o ON o.vec_id = coalesce(a.vec_id, s.vec_id)) GROUP BY archive""")
