@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.operators.ranks import cumulated
 from auditframe.sources.scratch import saved
 
 
@@ -77,7 +78,7 @@ def matched_pairs(df: DataFrame, keys: list[str], unit: str, label: str, caliper
     An assignment costs the cube of its rows, so groups are solved in stretches of about ``stretch`` rows
     along the logit. What a stretch leaves over, for want of the other class or beyond the caliper, is
     assigned again in stretches that are shifted by half, so a cut parts no pair for good. A group of up
-    to ``stretch`` rows is solved whole in the first round.
+    to ``stretch`` rows is solved whole in the first round. Rows without a logit have no partner.
     """
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
@@ -94,13 +95,15 @@ def matched_pairs(df: DataFrame, keys: list[str], unit: str, label: str, caliper
 
     kind = df.schema[unit].dataType.simpleString()
     schema = f"zero {kind}, one {kind}, distance double"
-    # Edges of the stretches are quantiles of each group, found in one aggregate.
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"), F.percentile_approx("logit", F.lit([i / 1000 for i in range(1, 1000)]), F.lit(10_000)).alias("quantiles"))
-    pieces = F.least(F.ceil(F.col("size") / stretch), F.lit(1000))
-    edges = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.when(pieces > 1, F.transform(F.sequence(F.lit(1), 2 * pieces - 1), lambda i: F.element_at("quantiles", F.greatest(F.least((i * 500 / pieces).cast("int"), F.lit(999)), F.lit(1))))).alias("edges"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    half = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("logit"))), F.lit(0))
-    rows = df.join(edges, same).withColumn("half", half).drop("edges", *(f"__{k}" for k in keys))
+    # A row's half-stretch follows from its place in the group, so stretches keep their size in groups of any
+    # size; equal logits are spread by a hash of the unit.
+    placed = cumulated(df.where(F.col("logit").isNotNull()).withColumn("n", F.lit(1)), "logit", ["n"], keys)
+    sizes = placed.groupBy(*keys).agg(F.sum("n").alias("size")).select(*(F.col(k).alias(f"__{k}") for k in keys), "size")
+    same = lambda other, names: [F.col(k).eqNullSafe(other[f"__{k}"]) for k in names]
+    edges = placed.join(sizes, same(sizes, keys)).select(*(F.col(k).alias(f"__{k}") for k in (*keys, "logit")), F.col("n").alias("__n"), (F.col("cum_n") - F.col("n")).alias("__before"), F.col("size").alias("__size"))
+    turn = F.col("__before") + F.pmod(F.xxhash64(unit), F.col("__n"))
+    half = F.floor(turn * (2 * F.ceil(F.col("__size") / stretch)) / F.col("__size"))
+    rows = df.join(edges, same(edges, (*keys, "logit"))).withColumn("half", half).select(*df.columns, "half")
     first = saved(rows.withColumn("part", F.floor(F.col("half") / 2)).groupBy(*keys, "part").applyInPandas(match, schema), "matches")
     taken = first.select(F.explode(F.array("zero", "one")).alias(unit))
     left = rows.join(taken, unit, "left_anti").withColumn("part", F.floor((F.col("half") + 1) / 2))

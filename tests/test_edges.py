@@ -197,6 +197,16 @@ def test_pruning_beyond_the_hand(spark):
     assert n * 0.4 <= len(whole) and abs(len(whole) - len(by_hand)) <= 5
 
 
+def test_matching_of_equal_logits(spark):
+    """Rows with one logit are dealt to stretches, too, and rows without a logit have no partner."""
+    rows = [(i, i % 2, 0, 0.5, [0.5]) for i in range(400)] + [(1000, 1, 0, None, [0.5]), (1001, 0, None, 0.1, [0.1]), (1002, 1, None, 0.1, [0.1])]
+    df = frame(spark, rows, "id long, y int, bin int, logit double, z array<double>")
+    found = causal.matched_pairs(df, ["bin"], "id", "y", 0.3, stretch=50).collect()
+    units = [u for r in found for u in (r.zero, r.one)]
+    assert len(units) == len(set(units)) and 1000 not in units and {1001, 1002} <= set(units)
+    assert all(r.zero % 2 == 0 and r.one % 2 == 1 for r in found if r.zero < 1000) and len(found) >= 180
+
+
 def test_matching_in_stretches(spark):
     """Pairs that a cut would part are found in the second round."""
     rows = [(i, i % 2, i / 100.0, [i / 100.0], 0) for i in range(400)]
