@@ -121,27 +121,37 @@ def _sums(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("x"), F.sum(b).alias("y"), F.sum(a * a).alias("xx"), F.sum(a * b).alias("xy"))
 
 
+def _moments(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """Number, means, variance and covariance of rows that have both values: stable at any distance from zero."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys)
+    return both.agg(F.count("*").cast("double").alias("n"), F.avg(a).alias("mx"), F.avg(b).alias("my"), F.var_pop(a).alias("vx"), F.covar_pop(a, b).alias("vxy"))
+
+
 def out_of_fold(df: DataFrame, x: str, y: str, fold: str) -> DataFrame:
     """``df`` with ``predicted``: each row by the line fitted on the other folds.
 
-    One pass sums every fold; the others' sums are the total less the fold's own, so no model is fitted
-    by reading rows again.
+    One pass takes every fold's moments; the others' sums, about the mean of all, are the total less the
+    fold's own, so no model is fitted by reading rows again.
     """
-    own = _sums(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, [fold])
+    own = _moments(df, x, y, [fold])
+    centre = own.agg((F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("cx"), (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("cy"))
+    dx, dy, n = F.col("mx") - F.col("cx"), F.col("my") - F.col("cy"), F.col("n")
+    own = own.crossJoin(F.broadcast(centre)).select(fold, "cx", "cy", "n", (n * dx).alias("x"), (n * dy).alias("y"), (n * (F.col("vx") + dx * dx)).alias("xx"), (n * (F.col("vxy") + dx * dy)).alias("xy"))
     total = own.agg(*(F.sum(c).alias(f"t_{c}") for c in SUMS))
-    rest = own.crossJoin(F.broadcast(total)).select(fold, *((F.col(f"t_{c}") - F.col(c)).alias(c) for c in SUMS)).where("n > 0")
+    rest = own.crossJoin(F.broadcast(total)).select(fold, "cx", "cy", *((F.col(f"t_{c}") - F.col(c)).alias(c) for c in SUMS)).where("n > 0")
     slope, intercept = _line(*(F.col(c) for c in SUMS))
-    lines = rest.select(fold, slope.alias("__slope"), intercept.alias("__intercept"))
-    return df.join(F.broadcast(lines), fold, "left").withColumn("predicted", F.col("__slope") * F.col(x) + F.col("__intercept")).drop("__slope", "__intercept")
+    lines = rest.select(fold, slope.alias("__slope"), (intercept + F.col("cy")).alias("__intercept"), F.col("cx").alias("__centre"))
+    predicted = F.col("__slope") * (F.col(x) - F.col("__centre")) + F.col("__intercept")
+    return df.join(F.broadcast(lines), fold, "left").withColumn("predicted", predicted).drop("__slope", "__intercept", "__centre")
 
 
 def leave_one_out(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``df`` with ``predicted``: each row by the line fitted on all others, from total sums."""
-    total = _sums(df, x, y, []).select(*(F.col(c).alias(f"__{c}") for c in SUMS))
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    less = [F.col(f"__{c}") - own for c, own in zip(SUMS, (F.lit(1.0), a, b, a * a, a * b), strict=True)]
-    slope, intercept = _line(*less)
-    return df.crossJoin(F.broadcast(total)).withColumn("predicted", slope * a + intercept).drop(*(f"__{c}" for c in SUMS))
+    """``df`` with ``predicted``: each row by the line fitted on all others, from total sums about the means."""
+    total = _moments(df, x, y, []).select(*(F.col(c).alias(f"__{c}") for c in ("n", "mx", "my", "vx", "vxy")))
+    a, b, n = F.col(x).cast("double") - F.col("__mx"), F.col(y).cast("double") - F.col("__my"), F.col("__n")
+    slope, intercept = _line(n - 1, -a, -b, n * F.col("__vx") - a * a, n * F.col("__vxy") - a * b)
+    return df.crossJoin(F.broadcast(total)).withColumn("predicted", slope * a + intercept + F.col("__my")).drop(*(f"__{c}" for c in ("n", "mx", "my", "vx", "vxy")))
 
 
 def chosen_model(df: DataFrame, features: list[str], y: str, split: str) -> DataFrame:

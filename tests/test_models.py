@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditframe.operators import models
+from auditframe.operators import models, resampling
 
 
 def newton(x, y, weight, strength, steps=100):
@@ -146,3 +146,14 @@ def test_nearest_neighbours_in_many_blocks(spark):
             assert np.allclose([votes[i][c] for c in sorted(w)], [w[c] / sum(w.values()) for c in sorted(w)]) and set(votes[i]) == set(w)
     assert models.nearest_neighbours(queries, known.limit(0), "id", "v", "label", 3).count() == 0
     assert models.nearest_neighbours(queries, known.limit(2), "id", "v", "label", 5).select(F.max(F.size("near"))).first()[0] == 2
+
+
+def test_lines_far_from_zero(spark):
+    """Lines of values around 1e8 are those of the values moved to zero."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 4, float(x), float(2 * x + e)) for i, (x, e) in enumerate(zip(rng.normal(size=80), rng.normal(size=80), strict=True))]
+    near = spark.createDataFrame(rows, "id int, fold int, x double, y double")
+    far = near.selectExpr("id", "fold", "x + 1e8 AS x", "y + 1e8 AS y")
+    for run in (lambda d: resampling.out_of_fold(d, "x", "y", "fold"), lambda d: resampling.leave_one_out(d, "x", "y")):
+        a, b = ({r.id: r.predicted for r in run(d).collect()} for d in (near, far))
+        assert all(abs(b[i] - 1e8 - a[i]) < 1e-5 for i in a)
