@@ -299,3 +299,61 @@ def neighbour_votes(near: DataFrame, unit: str, k: int, weights: str) -> DataFra
     rows = near.select(unit, exact.alias("exact"), F.explode(first).alias("r")).select(unit, F.col("r.label").alias("label"), w.alias("w"))
     sums = rows.groupBy(unit, "label").agg(F.sum("w").alias("w"))
     return sums.select(unit, "label", (F.col("w") / F.sum("w").over(Window.partitionBy(unit))).alias("share"))
+
+
+@dataclass(frozen=True)
+class GaussianBayes:
+    """Log shares, means and variances (classes x features) of a fitted model; ``widest`` is the greatest variance of a feature over all rows."""
+
+    classes: list
+    log_shares: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+    widest: float
+
+
+def gaussian_bayes(train: DataFrame, vec: str, label: str) -> GaussianBayes:
+    """Moments of each class and feature from one scan; Spark's variances are taken about the means, so that far from zero no digits go.
+
+    Rows without a label or vector don't count; all vectors have one length. What reaches the driver has the size of classes x features.
+    """
+    rows = train.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(F.col(label).alias("c"), F.col(vec).cast("array<double>").alias("v"))
+    long = rows.select("c", F.posexplode("v").alias("d", "x"))
+    found = long.groupBy("c", "d").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("s")).limit(MOST_SUMS + 1).toPandas()
+    if len(found) > MOST_SUMS:
+        raise ValueError("too many classes and features")
+    if not len(found):
+        raise ValueError("no rows to fit")
+    n, m, s = (found.pivot(index="c", columns="d", values=x) for x in ("n", "m", "s"))
+    if n.isna().any(axis=None) or (n.nunique(axis=1) > 1).any():
+        raise ValueError("vectors differ in length")
+    sizes = n.to_numpy(dtype=float)[:, 0]
+    share, means, variances = sizes / sizes.sum(), m.to_numpy(dtype=float), s.to_numpy(dtype=float)
+    centre = share @ means
+    return GaussianBayes(list(n.index), np.log(share), means, variances, float((share @ (variances + (means - centre) ** 2)).max()))
+
+
+def bayes_classes(df: DataFrame, key: str, vec: str, model: GaussianBayes, smoothings: list[float]) -> DataFrame:
+    """``key``, ``smoothing``, ``predicted`` class (ties: the first) and its probability ``p``, for each smoothing in one pass.
+
+    A smoothing is the part of the widest variance that is added to all variances. Rows without a vector are left out; one that isn't as long as
+    the model's is an error.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    names = "long" if isinstance(model.classes[0], (int, np.integer)) else "string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024]
+                x = np.stack(part["v"].to_numpy())
+                off = (x[:, None, :] - model.means) ** 2
+                for smoothing in smoothings:
+                    v = model.variances + smoothing * model.widest
+                    scores = model.log_shares - 0.5 * (np.log(2 * np.pi * v).sum(axis=1) + (off / v).sum(axis=2))
+                    scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+                    best = scores.argmax(axis=1)
+                    yield pd.DataFrame({key: part[key].to_numpy(), "smoothing": smoothing, "predicted": [model.classes[i] for i in best], "p": 1.0 / scores.sum(axis=1)})
+
+    rows = df.where(F.col(vec).isNotNull()).select(key, F.col(vec).cast("array<double>").alias("v"))
+    return rows.mapInPandas(run, f"`{key}` {kind}, smoothing double, predicted {names}, p double")

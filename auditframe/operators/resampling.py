@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.operators.metrics import auroc
+from auditframe.operators.metrics import auroc, equal_bin, ratio
 from auditframe.operators.ranks import cumulated, numbered
 
 #: Cumulative probabilities of a Poisson variable of mean one, up to where 32 bits see no more.
@@ -79,6 +79,53 @@ def stratified_drop(df: DataFrame, unit: str, label: str, before: str, after: st
     return interval(each.where("classes = 2"))
 
 
+#: What ``bootstrap_metrics`` reports.
+METRICS = ["prevalence", "mean_p", "predicted_positive", "accuracy", "balanced_accuracy", "sensitivity", "specificity", "fnr", "fpr", "f1", "mcc", "brier", "ece", "auroc", "average_precision"]
+
+
+def stratified_metrics(df: DataFrame, unit: str, label: str, p: str, draws: int, seed: int = 0, threshold: float = 0.5) -> DataFrame:
+    """``draw`` and all of ``METRICS`` on resamples within classes: a class has as many rows in a draw as in ``df``, whatever weight it drew.
+
+    Draws that miss a class of ``df`` are left out. Where ``df`` has one class, what needs both is null. Rows without a label or score don't
+    count. A draw's rows are summed by score before they are shuffled, and one cumulated pass over the scores gives every metric.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(unit, F.col(label).alias("y"), F.col(p).cast("double").alias("p"))
+    real = rows.agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") != 1).alias("zeros"))
+    one = F.when(F.col("y") == 1, F.col("w")).otherwise(0)
+    points = cumulated(weighted(rows, unit, draws, seed).select("draw", "p", one.alias("pos"), (F.col("w") - one).alias("neg")), "p", ["pos", "neg"], ["draw"], descending=True)
+    drawn = points.groupBy("draw").agg(F.sum("pos").cast("double").alias("pw"), F.sum("neg").cast("double").alias("nw")).crossJoin(F.broadcast(real))
+    whole = ((F.col("pw") > 0) | (F.col("ones") == 0)) & ((F.col("nw") > 0) | (F.col("zeros") == 0))
+    drawn = drawn.where(whole).select("draw", "ones", "zeros", F.coalesce(ratio(F.col("ones"), F.col("pw")), F.lit(0.0)).alias("a"), F.coalesce(ratio(F.col("zeros"), F.col("nw")), F.lit(0.0)).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    points = points.join(F.broadcast(drawn), "draw").select(
+        "draw", "ones", "zeros", "p", (a * F.col("pos")).alias("pos"), (b * F.col("neg")).alias("neg"), (a * F.col("cum_pos")).alias("cum_pos"), (b * F.col("cum_neg")).alias("cum_neg")
+    )
+    pos, neg, score = F.col("pos"), F.col("neg"), F.col("p")
+    hit = score >= threshold
+    sums = {
+        "tp": F.when(hit, pos).otherwise(0.0), "fp": F.when(hit, neg).otherwise(0.0), "total_p": (pos + neg) * score, "square": pos * (1 - score) * (1 - score) + neg * score * score,
+        "won": pos * (F.col("zeros") - F.col("cum_neg") + neg / 2), "gain": pos * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), "excess": pos - (pos + neg) * score,
+    }
+    bins = points.groupBy("draw", "ones", "zeros", equal_bin(score).alias("bin")).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    each = bins.groupBy("draw", "ones", "zeros").agg(*(F.sum(n).alias(n) for n in sums), F.sum(F.abs("excess")).alias("off"))
+    ones, zeros, tp, fp = (F.col(c).cast("double") for c in ("ones", "zeros", "tp", "fp"))
+    fn, tn, n = ones - tp, zeros - fp, ones + zeros
+    sens, spec = ratio(tp, ones), ratio(tn, zeros)
+    spread = F.sqrt(tp + fp) * F.sqrt(ones) * F.sqrt(zeros) * F.sqrt(tn + fn)
+    values = {
+        "prevalence": ones / n, "mean_p": F.col("total_p") / n, "predicted_positive": (tp + fp) / n, "accuracy": (tp + tn) / n, "balanced_accuracy": (sens + spec) / 2, "sensitivity": sens, "specificity": spec,
+        "fnr": ratio(fn, ones), "fpr": ratio(fp, zeros), "f1": F.coalesce(ratio(2 * tp, tp + fp + ones), F.lit(0.0)), "mcc": F.coalesce(ratio(tp * tn - fp * fn, spread), F.lit(0.0)), "brier": F.col("square") / n, "ece": F.col("off") / n,
+        "auroc": ratio(F.col("won"), ones * zeros), "average_precision": F.when(zeros > 0, ratio(F.col("gain"), ones)),
+    }
+    return each.select("draw", *(values[m].alias(m) for m in METRICS))
+
+
+def bootstrap_metrics(df: DataFrame, unit: str, label: str, p: str, draws: int, seed: int = 0, threshold: float = 0.5) -> DataFrame:
+    """``metric``, number of ``draws`` with a value, ``low`` and ``high`` of its percentile interval; metrics without any value are left out."""
+    each = stratified_metrics(df, unit, label, p, draws, seed, threshold)
+    return interval(each.unpivot(["draw"], METRICS, "metric", "value"), ["metric"])
+
+
 def permuted_labels(df: DataFrame, unit: str, label: str, draws: int, seed: int = 0) -> DataFrame:
     """``df`` once a draw with ``label`` dealt anew: the rows of least hash get the ones."""
     ones = df.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("ones"))
