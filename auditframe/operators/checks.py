@@ -130,3 +130,54 @@ def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: floa
     verified = whole.withColumn("shared", F.size(F.array_intersect("g1", "g0"))).where(F.col("shared") >= reached)
     verified = verified.withColumn("cosine", F.col("shared") / F.sqrt(F.col("n1").cast("double") * F.col("n0"))).withColumnsRenamed({"member1": "s1", "member0": "s0"})
     return verified.select(F.col("s1").alias("one"), F.col("s0").alias("zero"), "ones", "zeros", "cosine")
+
+
+#: Representations and residue policies that metadata may name (fixed values).
+REPRESENTATIONS = ["folding_trunk_s_s", "alphafold2_evoformer_single", "esm2_final_hidden_state"]
+POLICIES = ["none", "U_to_X"]
+
+
+def embedding_faults(catalog: DataFrame, metadata: DataFrame, width: int) -> DataFrame:
+    """``id`` and ``fault`` of each entry of ``catalog`` (id, sequence): the first rule that its metadata breaks, null if none.
+
+    Metadata has id, sequence_sha256, rows, width, dtype, model_id, model_revision, representation, output_dtype, policy and model_sequence_sha256; a null
+    policy is "none", a null last digest the sequence's own. The last digest must be that of the sequence after the policy. An entry without metadata is "missing",
+    with two it is "repeated"; metadata of no entry aren't looked at.
+    """
+    counted = metadata.groupBy("id").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in metadata.columns if c != "id"))
+    rows = catalog.select("id", "sequence").join(counted.withColumnRenamed("width", "own_width"), "id", "left")
+    policy = F.coalesce("policy", F.lit("none"))
+    own = F.sha2("sequence", 256)
+    read = F.when(policy == "U_to_X", F.translate("sequence", "U", "X")).otherwise(F.col("sequence"))
+    empty = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    rules = {
+        "missing": F.col("copies").isNull(), "repeated": F.col("copies") > 1, "sequence digest": ~F.col("sequence_sha256").eqNullSafe(own), "shape": ~(F.col("rows").eqNullSafe(F.length("sequence")) & F.col("own_width").eqNullSafe(F.lit(width))),
+        "dtype": ~F.col("dtype").eqNullSafe(F.lit("float32")), "model": empty("model_id") | empty("model_revision"), "representation": ~F.coalesce(F.col("representation").isin(REPRESENTATIONS), F.lit(False)),
+        "output dtype": ~F.col("output_dtype").eqNullSafe(F.lit("float32")), "policy": ~policy.isin(POLICIES), "model digest": ~F.coalesce("model_sequence_sha256", own).eqNullSafe(F.sha2(read, 256)),
+    }
+    return rows.select("id", F.coalesce(*(F.when(broken, F.lit(name)) for name, broken in rules.items())).alias("fault"))
+
+
+def dataset_faults(df: DataFrame, label: str, split: str, group: str | None = None, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """``rule`` and number of breaches ``n`` of what a fixed split must keep.
+
+    "columns" are missing ones (then nothing else is counted), "splits" values of ``split`` that aren't in ``splits`` or lack rows, null among them,
+    "labels" rows whose label isn't 0 or 1, "classes" splits without both, "groups" groups in several splits (null groups don't count).
+    """
+    spark = df.sparkSession
+    missing = [c for c in (label, split, group) if c is not None and c not in df.columns]
+    if missing:
+        return spark.createDataFrame([("columns", len(missing))], "rule string, n long")
+    y = F.col(label)
+    wrong = F.count_if(~F.coalesce(y.isin(0, 1), F.lit(False)))
+    each = df.groupBy(F.col(split).cast("string").alias("split")).agg(wrong.alias("labels"), F.count_if(y == 0).alias("zeros"), F.count_if(y == 1).alias("ones"))
+    known = F.coalesce(F.col("split").isin(*splits), F.lit(False))
+    sums = each.agg(
+        (F.count_if(~known) + len(splits) - F.count_if(known)).alias("splits"), F.coalesce(F.sum("labels"), F.lit(0)).alias("labels"),
+        (len(splits) - F.count_if(known & (F.col("zeros") > 0) & (F.col("ones") > 0))).alias("classes"),
+    )
+    rules = ["splits", "labels", "classes"]
+    if group is not None:
+        crossing = df.where(F.col(group).isNotNull()).groupBy(group).agg((F.min(split) != F.max(split)).alias("crosses")).agg(F.count_if("crosses").alias("groups"))
+        sums, rules = sums.crossJoin(F.broadcast(crossing)), [*rules, "groups"]
+    return spark.createDataFrame([("columns", 0)], "rule string, n long").unionByName(sums.select(*(F.col(r).cast("long").alias(r) for r in rules)).unpivot([], rules, "rule", "n"))

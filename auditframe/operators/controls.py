@@ -36,35 +36,6 @@ def matched_draws(df: DataFrame, group: str, pos: str, letter: str, chosen: str,
     return wanted.join(free, [group, letter, "turn"], "left").select("chosen_id", "control_id")
 
 
-def nearest_without_replacement(df: DataFrame, group: str, pos: str, value: str, letter: str, unit: str, share: float = 0.5) -> DataFrame:
-    """``hotspot`` and ``control`` of each group.
-
-    Hotspots are the min(5, half the group) greatest values, ties by position. Controls come from the
-    positions at or below the group's upper median; hotspot by hotspot takes the nearest one left by
-    position, of its own letter if there is any, ties to the smaller position.
-    """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([value, pos], ascending=[False, True], kind="stable")
-        n = min(5, int(len(rows) * share))
-        hot, pairs = rows.iloc[:n], []
-        median = np.sort(rows[value].to_numpy())[len(rows) // 2] if len(rows) else 0.0
-        rest = rows.iloc[n:]
-        rest = rest[rest[value] <= median]
-        for own in hot.to_dict("records"):
-            if not len(rest):
-                break
-            same = rest[rest[letter] == own[letter]]
-            pool = same if len(same) else rest
-            best = pool.assign(apart=(pool[pos] - own[pos]).abs()).sort_values(["apart", pos]).iloc[0]
-            pairs.append((own[group], own[unit], best[unit]))
-            rest = rest[rest[unit] != best[unit]]
-        return pd.DataFrame(pairs, columns=[group, "hotspot", "control"])
-
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(group, pos, value, letter, unit).groupBy(group).applyInPandas(choose, f"`{group}` {kind[group]}, hotspot {kind[unit]}, control {kind[unit]}")
-
-
 def matched_features(a: DataFrame, b: DataFrame, keys: list[str], least: float) -> DataFrame:
     """``left``, ``right``, ``cosine``: features of two models over the same rows in a matching of greatest
     total cosine; pairs below ``least`` go. A row yields its active features' products alone.
@@ -139,6 +110,26 @@ def ablated(vectors: DataFrame, group: str, vec: str, weights: np.ndarray, coeff
     return sums.join(sizes, group).select(group, F.col("latent").cast("long").alias("latent"), (value * F.col("a") / F.col("n")).alias("score_drop"))
 
 
+def ablated_sets(vectors: DataFrame, group: str, vec: str, weights: np.ndarray, coefficients: list[float], sets: dict[str, list[int]], *, shift: float, bias: float, top: int, intercept: float = 0.0) -> DataFrame:
+    """``group``, ``name``, ``before``, ``after`` and ``drop`` of the probability of a group's pooled decoding when a set of latents is taken out together.
+
+    The score is linear in the latents, so a set's share is the sum of its latents' shares, and all sets come from one pass over the vectors;
+    only the probability isn't linear. A set without active latents changes nothing; a latent named twice in a set counts once.
+    """
+    if not sets:
+        raise ValueError("no sets of latents")
+    single = ablated(vectors, group, vec, weights, coefficients, shift=shift, bias=bias, top=top)
+    members = {n: F.lit(sorted(set(latents))).cast("array<long>") for n, latents in sets.items()}
+    base = intercept + shift * float(np.sum(coefficients))
+    shares = [F.sum(F.when(F.array_contains(m, F.col("latent")), F.col("score_drop")).otherwise(0.0)).alias(f"__{i}") for i, m in enumerate(members.values())]
+    sums = single.groupBy(group).agg(F.sum("score_drop").alias("__all"), *shares)
+    sums = vectors.select(group).distinct().join(sums, group, "left").fillna(0.0, ["__all", *(f"__{i}" for i in range(len(sets)))])
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"__{i}").alias("share")) for i, n in enumerate(members)))).alias("s")
+    logistic = lambda x: 1 / (1 + F.exp(-x))
+    out = sums.select(group, (F.col("__all") + base).alias("__score"), each).select(group, "s.name", logistic(F.col("__score")).alias("before"), logistic(F.col("__score") - F.col("s.share")).alias("after"))
+    return out.withColumn("drop", F.col("before") - F.col("after"))
+
+
 def unscaled(model: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coefficients (``dim``, ``coef``) for raw values from those for standardised ones (``dim``, ``mean``,
     ``scale``, ``coef``), and the ``shift`` that the intercept loses. A scale of zero counts as one."""

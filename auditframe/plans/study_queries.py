@@ -219,14 +219,6 @@ def letter_matched_controls(spark, sf):
     return controls.matched_draws(rows, "label", "pos", "letter", "chosen", "vec_id", radius=2, seed=8)
 
 
-@query()
-def nearest_controls(spark, sf):
-    """Greedy nearest controls of each group without replacement, the same letter first."""
-    placed = vectors.positioned(embeddings(spark, sf).select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x")), "label", "vec_id")
-    rows = placed.select("label", "vec_id", "pos", "x", F.substring(F.lit(text.LETTERS), (F.col("vec_id") % 5 + 1).cast("int"), F.lit(1)).alias("letter"))
-    return controls.nearest_without_replacement(rows, "label", "pos", "x", "letter", "vec_id")
-
-
 @query()
 def matched_features(spark, sf):
     """Features of two models over the same rows, matched one to one by cosine."""

@@ -54,6 +54,15 @@ def content_path(*parts: str):
     return F.when(plain, F.concat_ws("/", *cols))
 
 
+def file_digests(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``name``, ``size`` and SHA-256 of each file below ``path`` whose name has the glob ``pattern``; files are read in tasks,
+    2 GB each at most. Spark's scan leaves empty files out."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(path).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write Parquet beside ``path``, then swap: readers see the old table or the new one, never a part.
 

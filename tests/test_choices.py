@@ -1,12 +1,15 @@
 """Hotspots with controls, resampled metrics and naive Bayes against programs of their own."""
 
+import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from auditframe.operators import hotspots, models, resampling
+from auditframe.operators import checks, controls, hotspots, models, resampling
+from auditframe.sources import resume, tables
 
 
 def chosen_by_hand(rows, hotspots_most, controls, quantile):
@@ -109,3 +112,94 @@ def test_naive_bayes_equals_a_direct_one_and_keeps_digits(spark):
         models.gaussian_bayes(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "y int, v array<double>"), "v", "y")
     with pytest.raises(ValueError, match="no rows"):
         models.gaussian_bayes(df.where("false"), "v", "y")
+
+
+def test_runs_go_on_where_they_stopped(spark, tmp_path):
+    path, seen = str(tmp_path / "run"), []
+    df = spark.createDataFrame([(i, i % 7, None if i % 5 == 0 else i) for i in range(100)], "batch_no int, row int, key int")
+
+    def work(part):
+        if len(seen) == 2:
+            seen.append("broken")
+            raise RuntimeError("lost")
+        seen.append(part.count())
+        return part.groupBy("row").agg(F.count("*").alias("n"), F.sum("batch_no").alias("ids"))
+
+    with pytest.raises(RuntimeError):
+        resume.advance(df, "row", path, {"a": 1}, work, batches=5)
+    assert len(resume.done(spark, path)) == 2
+    with pytest.raises(ValueError, match="have not ended"):
+        resume.result(spark, path)
+    for other, batches in (({"a": 2}, 5), ({"a": 1}, 6)):
+        with pytest.raises(ValueError, match="another configuration"):
+            resume.advance(df, "row", path, other, work, batches=batches)
+    assert resume.advance(df, "row", path, {"a": 1}, work, batches=5, most=1) == 2
+    assert resume.advance(df.where("false"), "row", path, {"a": 1}, work, batches=5) == 0  # the rows of the beginning count
+    assert resume.advance(df, "row", path, {"a": 1}, work, batches=5) == 0 and len(seen) == 6 and sum(s for s in seen if s != "broken") == 100
+    want = {(r, sum(i % 7 == r for i in range(100)), sum(i for i in range(100) if i % 7 == r)) for r in range(7)}
+    assert {tuple(r) for r in resume.result(spark, path).collect()} == want
+    assert not [p.name for p in (tmp_path / "run" / "parts").iterdir() if ".new-" in p.name]
+
+
+def test_runs_of_an_empty_table_and_null_keys(spark, tmp_path):
+    empty = spark.createDataFrame([], "k int")
+    assert resume.advance(empty, "k", str(tmp_path / "e"), {}, lambda d: d, batches=3) == 0
+    assert resume.result(spark, str(tmp_path / "e")).collect() == []
+    nulls = spark.createDataFrame([(None,), (None,), (1,)], "k int")
+    assert resume.advance(nulls, "k", str(tmp_path / "n"), {}, lambda d: d, batches=3) == 0
+    assert sorted(str(r.k) for r in resume.result(spark, str(tmp_path / "n")).collect()) == ["1", "None", "None"]
+
+
+def test_embedding_faults_one_by_one(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    fine = {"sequence_sha256": sha("MUK"), "rows": 3, "width": 8, "dtype": "float32", "model_id": "m", "model_revision": "1", "representation": "esm2_final_hidden_state", "output_dtype": "float32", "policy": None, "model_sequence_sha256": None}
+    cases = {
+        None: [{}, {"policy": "none"}, {"policy": "U_to_X", "model_sequence_sha256": sha("MXK")}], "sequence digest": [{"sequence_sha256": sha("MXK")}, {"sequence_sha256": None}], "shape": [{"rows": 4}, {"width": None}], "dtype": [{"dtype": "float16"}, {"dtype": None}],
+        "model": [{"model_id": ""}, {"model_revision": None}], "representation": [{"representation": "x"}, {"representation": None}], "output dtype": [{"output_dtype": None}], "policy": [{"policy": "other"}],
+        "model digest": [{"policy": "U_to_X"}, {"model_sequence_sha256": sha("MXK")}],
+    }
+    flat = [(fault, change) for fault, changes in cases.items() for change in changes]
+    schema = "id int, " + ", ".join(f"{k} {'int' if k in ('rows', 'width') else 'string'}" for k in fine)
+    rows = [(i, *(fine | change).values()) for i, (_, change) in enumerate(flat)]
+    rows += [(100, *fine.values())] * 2
+    catalog = spark.createDataFrame([(i, "MUK") for i in [*range(len(flat)), 100, 101]], "id int, sequence string")
+    found = {r.id: r.fault for r in checks.embedding_faults(catalog, spark.createDataFrame(rows, schema), 8).collect()}
+    assert found == {i: fault for i, (fault, _) in enumerate(flat)} | {100: "repeated", 101: "missing"}
+
+
+def test_dataset_faults(spark):
+    schema = "y int, split string, g int"
+    good = [(y, s, i) for i, (y, s) in enumerate((y, s) for s in ("train", "val", "test") for y in (0, 1))]
+    faults = lambda rows: {r.rule: r.n for r in checks.dataset_faults(spark.createDataFrame(rows, schema), "y", "split", "g").collect()}
+    none = {"columns": 0, "splits": 0, "labels": 0, "classes": 0, "groups": 0}
+    assert faults(good) == none
+    assert faults([*good, (2, "train", 50), (None, "val", 51)]) == none | {"labels": 2}
+    assert faults([*good, (0, None, 50), (0, "dev", 50)]) == none | {"splits": 2}
+    assert faults([r for r in good if r[1] != "test"] + [(0, "test", 0), (0, "test", None), (1, "train", None)]) == none | {"classes": 1, "groups": 1}
+    assert faults([]) == none | {"splits": 3, "classes": 3}
+    assert [tuple(r) for r in checks.dataset_faults(spark.createDataFrame(good, schema), "y", "part", "group").collect()] == [("columns", 2)]
+
+
+def test_sets_of_latents_against_decodings_without_them(spark):
+    rng = np.random.default_rng(2)
+    x, weights, coef = rng.normal(size=(40, 6)), rng.normal(size=(5, 6)), rng.normal(size=6)
+    df = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "g int, v array<double>")
+    sets = {"pair": [1, 3, 3], "all": [0, 1, 2, 3, 4], "none": []}
+    found = {(r.g, r.name): (r.before, r.after, r["drop"]) for r in controls.ablated_sets(df, "g", "v", weights, coef.tolist(), sets, shift=0.1, bias=0.05, top=2, intercept=0.3).collect()}
+    assert len(found) == 9
+    for g in range(3):
+        a = np.maximum((x[np.arange(40) % 3 == g] - 0.1) @ weights.T + 0.05, 0)
+        a[np.arange(len(a))[:, None], np.argsort(-a, axis=1)[:, 2:]] = 0
+        prob = lambda codes: 1 / (1 + math.exp(-(0.3 + (codes @ weights + 0.1).mean(axis=0) @ coef)))
+        for name, latents in sets.items():
+            cut = a.copy()
+            cut[:, latents] = 0
+            assert np.allclose(found[g, name], (prob(a), prob(cut), prob(a) - prob(cut)))
+
+
+def test_digests_of_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, content in {"a/x.bin": b"abc", "y.bin": b"x" * 9, "z.txt": b"no", "empty.bin": b""}.items():
+        (tmp_path / name).write_bytes(content)
+    found = {(r.name, r.size, r.sha256) for r in tables.file_digests(spark, str(tmp_path), "*.bin").collect()}
+    assert found == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in {"x.bin": b"abc", "y.bin": b"x" * 9}.items()}  # of z.txt and the empty file there are none

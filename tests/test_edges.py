@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditframe.functions import text
-from auditframe.operators import causal, checks, cohort, controls, inference, metrics, near_pairs, ranks, sparse, structure, vectors
+from auditframe.operators import causal, checks, cohort, controls, hotspots, inference, metrics, near_pairs, ranks, sparse, structure, vectors
 from auditframe.sources import bundles, tables
 
 
@@ -330,8 +330,8 @@ def test_alignment_in_linear_space():
 def test_controls_by_hand(spark):
     rows = [("g", i, i, float(v), l) for i, (v, l) in enumerate([(9, "A"), (1, "B"), (2, "A"), (8, "B"), (0, "C"), (3, "B")])]
     df = frame(spark, rows, "g string, u int, pos int, x double, l string")
-    found = {r.hotspot: r.control for r in controls.nearest_without_replacement(df, "g", "pos", "x", "l", "u", share=0.34).collect()}
-    assert found == {0: 2, 3: 5} or found == {0: 2, 3: 1}
+    found = {r.matched: r.pos for r in hotspots.hotspot_controls(df, "g", "pos", "x", "l", hotspots=2, controls=2).where("kind = 'control'").collect()}
+    assert found == {0: 2, 3: 1}
     a = frame(spark, [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 2.0), (3, 2, 1.0)], "row int, feature int, activation double")
     b = frame(spark, [(1, 7, 1.0), (2, 7, 2.0), (3, 8, 5.0)], "row int, feature int, activation double")
     assert [(r.left, r.right, round(r.cosine, 9)) for r in controls.matched_features(a, b, ["row"], 0.5).orderBy("left").collect()] == [(0, 7, 1.0), (2, 8, 1.0)]
