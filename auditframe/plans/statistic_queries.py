@@ -351,7 +351,9 @@ def balance_prune(spark, sf):
     return causal.pruned_pairs(pairs(spark, sf), covariates(spark, sf), "doc_id", ["a", "b", "c"])
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, split, ln(1 + n_chars) AS a, (length(text) - length(replace(text, ' ', ''))) / (length(text) + 1) AS b, length(regexp_replace(text, '[^0-9]', '', 'g')) / (length(text) + 1) AS c FROM {CATALOG} WHERE quality IS NOT NULL), y AS (SELECT doc_id, split, b, c, unnest([0, 1]) AS dim, unnest([a, b * a]) AS x FROM t),
+    f AS (SELECT dim, avg(x) AS mx, avg(b) AS mb, avg(c) AS mc, covar_pop(b, x) AS bx, covar_pop(c, x) AS cx, covar_pop(b, c) AS bc, var_pop(b) AS bb, var_pop(c) AS cc FROM y WHERE split = 'train' GROUP BY dim)
+    SELECT doc_id, dim, {sql_six('x - mx - (bx * cc - cx * bc) / (bb * cc - bc * bc) * (b - mb) - (cx * bb - bx * bc) / (bb * cc - bc * bc) * (c - mc)')} AS residual FROM y JOIN f USING (dim)""")
 def residualize(spark, sf):
     """Two text measures less their fit on covariates from the training rows."""
     rows = covariates(spark, sf)

@@ -165,11 +165,28 @@ def permutation_null(spark, sf):
     return sparse.permutation_null(active(spark, sf), targets(spark, sf), "label", "vec_id", "y", draws=50, seed=1)
 
 
-@query()
+def superposition_sql() -> str:
+    """The distance after superposition from the greatest root of a quartic whose coefficients are invariants of the covariance, by Newton steps from above."""
+    axes = range(1, 4)
+    s = {(i, j): f"covar_pop(a[{i}], a[{j + 3}])" for i in axes for j in axes}
+    names = ", ".join(f"{e} AS s{i}{j}" for (i, j), e in s.items())
+    spread = " + ".join(f"var_pop(a[{i}])" for i in range(1, 7))
+    square = " + ".join(f"s{i}{j} * s{i}{j}" for i, j in s)
+    two = [(1, 2), (1, 3), (2, 3)]
+    minors = " + ".join(f"(s{i}{k} * s{j}{m} - s{i}{m} * s{j}{k}) ** 2" for i, j in two for k, m in two)
+    det = " + ".join(f"s1{i} * (s2{j} * s3{k} - s2{k} * s3{j})" for i, j, k in ((1, 2, 3), (2, 3, 1), (3, 1, 2)))
+    return f"""WITH RECURSIVE c AS (SELECT label, count(*) AS n, {spread} AS g, {names} FROM (SELECT label, embedding::DOUBLE[] AS a FROM embeddings) GROUP BY label HAVING count(*) >= 3), q AS (SELECT label, n, g, {square} AS f, {minors} AS m, {det} AS d FROM c),
+    r AS (SELECT label, n, g, f, m, d, g / 2 AS x, 0 AS step FROM q UNION ALL SELECT label, n, g, f, m, d, x - (x ** 4 - 2 * f * x * x - 8 * d * x + f * f - 4 * m) / (4 * x ** 3 - 4 * f * x - 8 * d), step + 1 FROM r WHERE step < 60)
+    SELECT label, n, {sql_six('sqrt(g - 2 * x)')} AS rmsd FROM r WHERE step = 60"""
+
+
+@query(superposition_sql())
 def kabsch_rmsd(spark, sf):
+    """Distance of two point sets of each label after the best turn and shift."""
     e = F.col("embedding")
     points = embeddings(spark, sf).select("label", "vec_id", *(e[i].cast("double").alias(f"a{i}") for i in range(3)), *(e[i + 3].cast("double").alias(f"b{i}") for i in range(3)))
-    return rmsd(superposed(points, ["label"], "vec_id", ["a0", "a1", "a2"], ["b0", "b1", "b2"]), ["label"])
+    out = rmsd(superposed(points, ["label"], "vec_id", ["a0", "a1", "a2"], ["b0", "b1", "b2"]), ["label"])
+    return out.select("label", "n", six(F.col("rmsd")).alias("rmsd"))
 
 
 @query("SELECT label, true AS superposed FROM embeddings GROUP BY label HAVING count(*) >= 3")
