@@ -7,11 +7,17 @@ a running maximum.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.sources.scratch import saved
+
 MATCH, MISMATCH, OPEN, EXTEND = 4, -2, -6, -1
 #: What a gap costs beyond ``EXTEND`` a place.
 START = OPEN - EXTEND
@@ -188,37 +194,126 @@ def grams(text: str | Column, n: int) -> Column:
     return F.transform(ordered, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(ordered, g)).cast("string")))
 
 
-def best_in_band(queries: DataFrame, targets: DataFrame, unit: str, sequence: str, band: int, least: float, n: int = 3) -> DataFrame:
-    """``unit``, ``best``, ``identity``: for each query the target whose global alignment has the greatest identity of at least ``least``
-    among those whose length differs by at most ``band``; ties to the smaller id. Identity is the number of equal pairs over the longer length.
+#: A text of up to so many ways to leave out the letters that may differ is found by those.
+MOST_WAYS = 512
+
+
+def _may_differ(length: int, least: float) -> int:
+    """Places of the longer text that need not be paired with an equal letter."""
+    return int((1 - least) * length + 1e-9)
+
+
+def _few_ways(least: float) -> int:
+    """The greatest length up to which all texts have at most ``MOST_WAYS`` ways."""
+    length = 0
+    while length < 2048 and math.comb(length + 1, _may_differ(length + 1, least)) <= MOST_WAYS:
+        length += 1
+    return length
+
+
+def _ways(sequence: str | Column, band: int, least: float, few: int) -> Column:
+    """Hashes of what is left of a text without the letters that may differ, for each length of the longer text of a pair up to ``few``.
+
+    A pair whose identity is at least ``least`` has equal letters in order, as many as the longer text's places less those that may differ: it shares a hash.
+    """
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            own = set()
+            for longer in range(len(text), min(len(text) + band, few) + 1):
+                left = longer - _may_differ(longer, least)
+                if left <= len(text):
+                    own |= {f"{longer}:{''.join(some)}" for some in combinations(text, left)}
+            out.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in own])
+        return pd.Series(out)
 
-    If a share ``least`` of m places is equal, at most (1 - least) m places differ, each spoils up to ``n`` grams, and
-    so at least m - n + 1 - n (1 - least) m grams are shared (``n`` letters, repeats counted). Pairs below that are never aligned. Pairs are
-    found by their rare grams: a query shares one of its rarest grams, as many as may be spoilt and one more. Where so few are needed that none is
-    certain, all pairs of the band are compared. Empty and null sequences match nothing.
+    return run(F.col(sequence) if isinstance(sequence, str) else sequence)
+
+
+def _by_ways(q: DataFrame, t: DataFrame, band: int, least: float) -> DataFrame:
+    """``id`` and ``text``: pairs of a query (id, a) and a target text (text, b, first, second) of up to ``_few_ways`` places
+    that can be the query's best; the texts of a pair differ.
+
+    A target that differs in one letter of a text as long has the greatest identity of those as long; found first, by an
+    equality join, the one of the smallest id bars all that can't have a greater identity or an equal one with a smaller id.
     """
+    few = _few_ways(least)
+    m, k = F.length("a"), F.length("b")
+    q, t = q.where(m <= few), t.where(k <= few)
+
+    def without_one(sequence: str) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(1), F.length(sequence)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.overlay(F.col(sequence), F.lit(""), i, F.lit(1)))))
+
+    one = t.where(F.lit((1 - least)) * k + 1e-9 >= 1).select("first", "second", without_one("b").alias("way"))
+    other = F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+    bars = q.where(F.lit((1 - least)) * m + 1e-9 >= 1).select("id", without_one("a").alias("way")).join(one, "way").groupBy("id").agg(F.min(other).alias("bar"))
+    left = q.join(bars, "id", "left").select("id", "bar", m.alias("m"), F.explode(_ways("a", band, least, few)).alias("way"))
+    right = t.select("text", "first", "second", k.alias("k"), F.explode(_ways("b", band, least, few)).alias("way"))
+    # The same length: one place at least differs. An equal text is the query's own.
+    most = F.when(F.col("m") == F.col("k"), (F.col("m") - 1) / F.col("m")).otherwise(F.least("m", "k") / F.greatest("m", "k"))
+    barred = (F.col("m") - 1) / F.col("m")
+    open_ = F.col("bar").isNull() | (most > barred + 1e-9) | ((most > barred - 1e-9) & (other <= F.col("bar")))
+    return left.join(right, "way").where((F.abs(F.col("m") - F.col("k")) <= band) & other.isNotNull() & open_).select("id", "text").distinct()
+
+
+def _by_grams(q: DataFrame, t: DataFrame, band: int, least: float, n: int) -> DataFrame:
+    """``id`` and ``text``: pairs of a query (id, a) and a target text (text, b), one of which is longer than ``_few_ways``, that share enough grams."""
+    few = _few_ways(least)
     spoilt = lambda m: F.floor(n * (1 - least) * m + 1e-9)
-    q = queries.where(F.length(sequence) > 0).select(F.col(unit).alias("id"), F.col(sequence).alias("a"), grams(sequence, n).alias("ga"))
-    t = targets.where(F.length(sequence) > 0).select(F.col(unit).alias("other"), F.col(sequence).alias("b"), grams(sequence, n).alias("gb"))
+    q = q.where(F.length("a") + band > few).withColumn("ga", grams("a", n))
+    t = t.where(F.length("b") + band > few).withColumn("gb", grams("b", n))
     often = t.select(F.explode("gb").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
     each = q.select("id", F.length("a").alias("m"), F.explode("ga").alias("gram")).join(often, "gram", "left")
     # The longer side has at most m + band places; grams of the query that may be missing from the target.
     may = spoilt(F.col("m") + band)
-    from pyspark.sql import Window
-
     turn = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(0)), "gram"))
     keys = each.withColumn("turn", turn).where((F.col("turn") <= may + 1) & F.col("often").isNotNull()).select("id", "m", "gram")
-    lengths = t.select("other", F.length("b").alias("k"), F.explode("gb").alias("gram"))
-    some = keys.join(lengths, "gram").where(F.abs(F.col("m") - F.col("k")) <= band).select("id", "other").distinct()
+    lengths = t.select("text", F.length("b").alias("k"), F.explode("gb").alias("gram"))
+    some = keys.join(lengths, "gram").where(F.abs(F.col("m") - F.col("k")) <= band).select("id", "text").distinct()
     certain = F.size("ga") > spoilt(F.length("a") + band)
-    loose = q.where(~certain).select("id", F.length("a").alias("m")).withColumn("k", F.explode(F.sequence(F.col("m") - band, F.col("m") + band))).join(t.select("other", F.length("b").alias("k")), "k").select("id", "other")
-    pairs = some.unionByName(loose).distinct().join(q, "id").join(t, "other").where(F.col("id") != F.col("other"))
+    loose = q.where(~certain).select("id", F.length("a").alias("m")).withColumn("k", F.explode(F.sequence(F.col("m") - band, F.col("m") + band))).join(t.select("text", F.length("b").alias("k")), "k").select("id", "text")
+    pairs = some.unionByName(loose).distinct().join(q, "id").join(t, "text")
     longer = F.greatest(F.length("a"), F.length("b"))
-    enough = F.size(F.array_intersect("ga", "gb")) >= longer - n + 1 - spoilt(longer)
+    return pairs.where((longer > few) & (F.size(F.array_intersect("ga", "gb")) >= longer - n + 1 - spoilt(longer))).select("id", "text")
+
+
+def equal_letters(a: str, b: str) -> int:
+    """Equal pairs of a best global alignment. Texts of one length with at most two places that differ have it without a gap: 4 m - 12 is more than the 4 m - 16 that a gap on either side leaves."""
+    x, y = letters(a), letters(b)
+    if len(x) == len(y) and (differ := int((x != y).sum())) <= 2:
+        return len(x) - differ
+    return sum(a[i] == b[j] for i, j in global_pairs(x, y))
+
+
+def best_in_band(queries: DataFrame, targets: DataFrame, unit: str, sequence: str, band: int, least: float, n: int = 3) -> DataFrame:
+    """``unit``, ``best``, ``identity``: for each query the target whose global alignment has the greatest identity of at least ``least``
+    among those whose length differs by at most ``band``; ties to the smaller id. Identity is the number of equal pairs over the longer length.
+
+    A query whose own text is another target's is done: no other text has identity 1. Equal targets stand for one text, of their two smallest ids.
+    Texts that can be left without what may differ in few ways meet in those (``_by_ways``); longer ones by their rare grams: if a share ``least`` of m
+    places is equal, at most (1 - least) m places differ, each spoils up to ``n`` grams, and so at least m - n + 1 - n (1 - least) m grams are
+    shared (``n`` letters, repeats counted). Pairs below that are never aligned. Pairs are found by their rare grams: a query shares one of its
+    rarest grams, as many as may be spoilt and one more. Where so few are needed that none is certain, all pairs of the band are compared. Empty
+    and null sequences match nothing.
+    """
+    q = queries.where(F.length(sequence) > 0).select(F.col(unit).alias("id"), F.col(sequence).alias("a"))
+    t = targets.where(F.length(sequence) > 0).select(F.col(unit).alias("other"), F.col(sequence).alias("b"))
+    first = t.groupBy("b").agg(F.min("other").alias("first"))
+    second = t.join(first, "b").where(F.col("other") > F.col("first")).groupBy("b").agg(F.min("other").alias("second"))
+    texts = saved(first.join(second, "b", "left").withColumn("text", F.xxhash64("b")), "band-texts")
+    other = F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second")).alias("other")
+    equal = q.join(texts, F.col("a") == F.col("b")).select("id", other, F.lit(1.0).alias("identity")).where("other IS NOT NULL")
+    rest = saved(q.join(equal.select("id"), "id", "left_anti"), "band-queries")
+    pairs = _by_ways(rest, texts, band, least).unionByName(_by_grams(rest, texts, band, least, n)).distinct()
+    pairs = pairs.join(rest, "id").join(texts, "text").select("id", "a", "b", other).where("other IS NOT NULL AND a <> b")
 
     @F.pandas_udf("int")
     def equal_places(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sum(p[i] == q[j] for i, j in global_pairs(letters(p), letters(q))) for p, q in zip(a, b, strict=True)], dtype="int32")
+        return pd.Series([equal_letters(p, q) for p, q in zip(a, b, strict=True)], dtype="int32")
 
-    scored = pairs.where(enough).select("id", "other", (equal_places("a", "b") / longer).alias("identity")).where(F.col("identity") >= least)
+    # Dealt anew: an alignment costs much more than its row.
+    longer = F.greatest(F.length("a"), F.length("b"))
+    scored = pairs.repartition("id", "other").select("id", "other", (equal_places("a", "b") / longer).alias("identity")).where(F.col("identity") >= least).unionByName(equal)
     return scored.groupBy("id").agg(F.min_by("other", F.struct(-F.round("identity", 9), F.col("other"))).alias("best"), F.max("identity").alias("identity")).withColumnRenamed("id", unit)

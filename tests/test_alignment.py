@@ -107,3 +107,31 @@ def test_best_in_band_equals_aligning_all_pairs(spark):
         assert found == want, least
     assert alignment.best_in_band(df.limit(0), df, "id", "s", 3, 0.9).count() == 0
     assert df.select(F.size(alignment.grams("s", 3)).alias("n")).where("n > 100").count() == 0
+
+
+def test_best_in_band_of_numbered_names(spark):
+    """Names that differ in their digits only share nearly all grams; few pairs are aligned, and the result is that of all pairs."""
+    texts = [f"Supplier#{i:09d}" for i in (*range(0, 240, 3), *range(100_000, 100_030))] + ["Supplier#000000003", "Suplier#000000009", "Supplier#0000000123"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "id long, s string")
+    rows = df.select("id", F.col("s").alias("a"))
+    own = df.select(F.col("s").alias("b"), F.col("id").alias("first")).groupBy("b").agg(F.min("first").alias("first")).select("b", "first", F.lit(None).cast("long").alias("second"), F.xxhash64("b").alias("text"))
+    assert 0 < alignment._by_ways(rows, own, 2, 0.9).count() < 12 * len(texts)
+    assert alignment._by_grams(rows, own, 2, 0.9, 3).count() == 0
+    found = {r.id: (r.best, round(r.identity, 9)) for r in alignment.best_in_band(df, df, "id", "s", 2, 0.9).collect()}
+    want = {}
+    for i, a in enumerate(texts):
+        scored = [(-round(same / max(len(a), len(b)), 9), j) for j, b in enumerate(texts) if i != j and len(set(a) ^ set(b)) <= 4 and (same := alignment.equal_letters(a, b)) >= 0.9 * max(len(a), len(b))]
+        if scored:
+            want[i] = (min(scored)[1], -min(scored)[0])
+    assert found == want and len(want) > 60
+
+
+def test_equal_letters_without_a_gap():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = "".join(rng.choice("ab01") for _ in range(rng.randint(1, 9)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            b[rng.randrange(len(b))] = rng.choice("ab01")
+        b = "".join(b)
+        assert alignment.equal_letters(a, b) == sum(a[i] == b[j] for i, j in alignment.global_pairs(letters(a), letters(b)))
