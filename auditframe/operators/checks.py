@@ -106,6 +106,10 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
+#: Sets whose keys are broadcast; more are joined by a shuffle.
+MOST_KEYS = 2_000_000
+
+
 def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: float = 0.95) -> DataFrame:
     """Pairs of sets of different classes that have a cosine of at least ``least``.
 
@@ -116,12 +120,21 @@ def near_duplicates(df: DataFrame, key: str, label: str, grams: str, least: floa
     verified on the grams themselves.
     """
     sets = df.select(key, label, F.array_sort(F.array_distinct(grams)).alias("g"))
-    distinct = sets.groupBy("g", label).agg(F.min(key).alias("member"), F.count("*").alias("copies"))
-    distinct = saved(distinct.withColumn("h", F.array_distinct(F.transform("g", lambda g: F.xxhash64(g)))), "sets")
+    # Each gram with its length before it: different sets have different texts, and a null set has none.
+    digest = F.sha2(F.array_join(F.transform("g", lambda g: F.coalesce(F.concat(F.length(g).cast("string"), F.lit(":"), g), F.lit("-"))), ""), 256)
+    sets = saved(sets.select(F.col(key).alias("member"), label, "g", digest.alias("digest"), F.array_distinct(F.transform("g", lambda g: F.xxhash64(g))).alias("h")), "sets")
+    # Copies are counted by digests: no gram is shuffled but those of candidates.
+    each = saved(sets.where(F.col(label).isin(0, 1) & (F.size("g") > 0)).groupBy("digest", label).agg(F.min("member").alias("member"), F.count("*").alias("copies")).drop("digest"), "sets")
+
+    def some(rows: DataFrame, of: DataFrame, on: list[str]) -> DataFrame:
+        return rows.join(F.broadcast(of) if of.count() <= MOST_KEYS else of, on)
+
+    distinct = some(sets, each, ["member", label])
     # Empty sets go here: a filter before the table is saved would make the grams twice.
     side = {c: distinct.where((F.col(label) == c) & (F.size("g") > 0)).select(*(F.col(x).alias(f"{x}{c}") for x in ("member", "g", "h", "copies")), F.size("g").alias(f"n{c}")) for c in (1, 0)}
     pairs = near_pairs.candidates(*(side[c].select(F.col(f"member{c}").alias("member"), F.col(f"h{c}").alias("h")) for c in (1, 0)), least)
-    pairs = pairs.withColumnsRenamed({"a": "member1", "b": "member0"})
+    pairs = saved(pairs.withColumnsRenamed({"a": "member1", "b": "member0"}), "candidates")
+    side = {c: some(side[c], pairs.select(f"member{c}").distinct(), [f"member{c}"]) for c in (1, 0)}
     reached = F.sqrt(F.col("n1").cast("double") * F.col("n0")) * (least - 1e-12)
     # Hashes are compared first; grams of one set that share a hash count as found.
     found = F.size(F.array_intersect("h1", "h0")) + F.col("n1") - F.size("h1")
