@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.operators.ranks import sparse_average_ranks
+from auditframe.sources.scratch import saved
 
 
 def top_k(vectors: DataFrame, keys: list[str], vec: str, k: int) -> DataFrame:
@@ -96,11 +97,13 @@ def permutation_null(active: DataFrame, targets: DataFrame, group: str, position
     feature, the target being shuffled within groups in an order of seeded hashes."""
     by_group = Window.partitionBy(group)
     sized = targets.select(group, position, target, F.count("*").over(by_group).alias("L"), F.avg(target).over(by_group).alias("m"), F.row_number().over(by_group.orderBy(position)).alias("place"))
+    # The planner doesn't reckon with the draws: left to it, all of them are broadcast through the driver.
+    sized = saved(sized, "positions")
     drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
     order = F.when(F.col("draw") == 0, F.lpad(F.col("place").cast("string"), 12, "0")).otherwise(F.sha2(F.concat_ws(":", F.lit(seed), "draw", group, position), 256))
     shuffled = drawn.withColumn("place", F.row_number().over(Window.partitionBy(group, "draw").orderBy(order))).select(group, "draw", "place", ((F.col(target) - F.col("m")) / F.col("L")).alias("y"))
-    placed = active.join(sized.select(group, position, "place"), [group, position])
-    stats = placed.join(shuffled, [group, "place"]).groupBy("feature", "draw").agg(F.abs(F.sum(F.col("activation") * F.col("y"))).alias("s"))
+    placed = active.join(sized.select(group, position, "place").hint("merge"), [group, position])
+    stats = saved(placed.hint("merge").join(shuffled.hint("merge"), [group, "place"]).groupBy("feature", "draw").agg(F.abs(F.sum(F.col("activation") * F.col("y"))).alias("s")), "draw-sums")
     observed = stats.where("draw = 0").select("feature", F.col("s").alias("observed"))
     hits = stats.where("draw > 0").join(observed, "feature").groupBy("feature").agg(F.sum(F.when(F.col("s") >= F.col("observed") - 1e-12, 1).otherwise(0)).alias("hits"))
     return observed.join(hits, "feature").select("feature", "observed", ((F.col("hits") + 1) / (draws + 1)).alias("p"))

@@ -144,6 +144,18 @@ def test_part_signatures_miss_no_near_pair():
     assert not sides[0] & sides[1]
 
 
+def test_signatures_of_one_side_are_not_shuffled(spark):
+    """Of far sets nearly no signature is left, of near ones all that meet."""
+    rng = np.random.default_rng(12)
+    sets = [(i, rng.integers(-(2**63), 2**63, 400).tolist()) for i in range(60)]
+    one, other = (frame(spark, some, "member int, h array<long>") for some in (sets[:30], sets[29:]))
+    there = near_pairs.bitmap(near_pairs.signed(other, "member", "h", (-1, 0, 1), 0.95), 1 << 20)
+    whole, left = (near_pairs.signed(one, "member", "h", (0,), 0.95, bits) for bits in (None, there))
+    assert left.where("member = 29").count() == whole.where("member = 29").count() > 40
+    assert left.count() < 1.5 * whole.count() / 30 + 60
+    assert [tuple(r) for r in near_pairs.candidates(one, other, 0.95).collect()] == [(29, 29)]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     """Null and empty sets are near nothing, null labels count as no class, an empty table gives no pair."""
     schema = "id int, y int, g array<string>, a int, b int, h int"
@@ -266,6 +278,21 @@ def test_permutation_null_is_uniform_without_signal(spark):
     assert len(p) == 20 and min(p) >= 1 / 100 and 0.2 < np.mean(p) < 0.8
 
 
+def test_permutation_null_broadcasts_no_draws(spark, monkeypatch):
+    """All draws of all positions are far more than the planner reckons; none of them goes through the driver."""
+    plans, save = {}, sparse.saved
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return save(df, label)
+
+    monkeypatch.setattr(sparse, "saved", seen)
+    active = frame(spark, [(i % 2, i, i % 3, 1.0) for i in range(60)], "g int, pos int, feature int, activation double")
+    targets = frame(spark, [(i % 2, i, float(i * i % 7)) for i in range(60)], "g int, pos int, y double")
+    assert sparse.permutation_null(active, targets, "g", "pos", "y", draws=9).count() == 3
+    assert "SortMergeJoin" in plans["draw-sums"] and "Broadcast" not in plans["draw-sums"]
+
+
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(400).select(F.lit("k").alias("k"), (F.col("id") % 10).cast("double").alias("v"), "id")
     row = inference.bootstrap_mean(df, ["k"], "v", draws=300).first()
