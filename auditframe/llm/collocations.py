@@ -38,7 +38,9 @@ from auditframe.llm.common import drop_saved, saved
 
 #: Lower case, every piece end a line feed, every blank a space; all of these are single bytes of UTF-8.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-SEGMENT = 1 << 24
+SEGMENT = 1 << 22
+#: Counters of a sketch at least.
+LEAST_WIDTH = 1 << 24
 BLOCK = 1 << 16
 
 DEALT = "kind string, shard long, lang string, words long, text binary, segment int, low binary, blocks binary, counts binary"
@@ -210,7 +212,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, shard_b
 
     read = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = max(SEGMENT, 1 << int(size / counter_bytes).bit_length())
+    width = max(LEAST_WIDTH, 1 << int(size / counter_bytes).bit_length())
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, texts = TaskContext.get().partitionId() << 32, 0, {}

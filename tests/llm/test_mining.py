@@ -177,3 +177,8 @@ def test_hard_negatives_with_odd_rows_and_small_blocks(spark):
             assert as_counter(hard_negatives.hard_negatives(df, F.col("id") % 100 == 0, block_bytes=block_bytes)) == want
     assert hard_negatives.hard_negatives(df.limit(0), F.col("id") % 100 == 0).count() == 0
     assert hard_negatives.hard_negatives(df.where("vec_id % 100 != 0"), F.col("id") % 100 == 0).count() == 0
+
+
+def test_a_segment_of_the_sketch_holds_few_bytes():
+    """A task of the sketch holds all entries of its segment, a low part of two bytes and a count for each: at one for every four bytes of text they stay below 32 MB."""
+    assert collocations.SEGMENT * 4 * 2 <= 32 << 20 and collocations.SEGMENT % collocations.BLOCK == 0
