@@ -255,12 +255,22 @@ def _dealt(df: DataFrame, unit: str, per_block: int) -> tuple[DataFrame, int]:
     return df.withColumn("__block", F.pmod(F.xxhash64(unit), F.lit(blocks)).cast("int")), blocks
 
 
+def maybe_nearest(x: np.ndarray, known: np.ndarray, norms: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row of ``x`` the places of ``known`` (squared lengths ``norms``) that can be among its ``k`` nearest: all that products
+    put no farther than the k-th, and by as much more as products can round away. All of them, where a number isn't finite."""
+    own = (x**2).sum(axis=1)
+    near = own[:, None] + norms[None, :] - 2 * (x @ known.T)
+    bound = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-9 * (own + norms.max())
+    for row, most in zip(near, bound, strict=True):
+        yield np.flatnonzero(row <= most) if np.isfinite(most) else np.arange(len(known))
+
+
 def nearest_neighbours(queries: DataFrame, known: DataFrame, unit: str, vec: str, label: str, k: int, per_block: int = 4096) -> DataFrame:
     """``unit`` and ``near``: the ``k`` nearest rows of ``known``, nearest first with distance, id and label, ties to the smaller id.
 
     Both sides are dealt into blocks of about ``per_block`` rows; every block of queries meets every block of known rows in a
     task of its own, which keeps ``k`` a query, and an aggregate merges those. A query is copied as often as there are known blocks,
-    a known row as often as there are query blocks. Distances are sums of squared differences, not products.
+    a known row as often as there are query blocks. Distances are sums of squared differences; products only choose the few rows that are measured.
     """
     q, q_blocks = _dealt(queries.select(F.col(unit).alias("id"), F.col(vec).alias("v")), "id", per_block)
     t, t_blocks = _dealt(known.select(F.col(unit).alias("id"), F.col(vec).alias("v"), F.col(label).cast("int").alias("label")), "id", per_block)
@@ -275,13 +285,15 @@ def nearest_neighbours(queries: DataFrame, known: DataFrame, unit: str, vec: str
             known_ = np.stack(right["v"].to_numpy()).astype(float)
             x = np.stack(left["v"].to_numpy()).astype(float)
             step = max(1, (1 << 22) // len(ids))
+            norms, few = (known_**2).sum(axis=1), min(k, len(ids))
             for at in range(0, len(x), step):
-                square = np.zeros((len(x[at : at + step]), len(ids)))
-                for d in range(x.shape[1]):
-                    square += (x[at : at + step, d, None] - known_[None, :, d]) ** 2
-                order = np.argsort(square, axis=1, kind="stable")[:, :k] if len(ids) > 1 else np.zeros((len(square), 1), dtype=int)
-                for unit_, row, best in zip(left["id"].iloc[at : at + step], square, order, strict=True):
-                    out.append((unit_, np.sqrt(row[best]), ids[best], labels[best]))
+                some = x[at : at + step]
+                for i, (unit_, chosen) in enumerate(zip(left["id"].iloc[at : at + step], maybe_nearest(some, known_, norms, few), strict=True)):
+                    square = np.zeros(len(chosen))
+                    for d in range(x.shape[1]):
+                        square += (some[i, d] - known_[chosen, d]) ** 2
+                    best = np.argsort(square, kind="stable")[:few]
+                    out.append((unit_, np.sqrt(square[best]), ids[chosen[best]], labels[chosen[best]]))
         return pd.DataFrame(out, columns=["id", "distance", "other", "label"])
 
     kind = queries.schema[unit].dataType.simpleString()

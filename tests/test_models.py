@@ -157,3 +157,17 @@ def test_lines_far_from_zero(spark):
     for run in (lambda d: resampling.out_of_fold(d, "x", "y", "fold"), lambda d: resampling.leave_one_out(d, "x", "y")):
         a, b = ({r.id: r.predicted for r in run(d).collect()} for d in (near, far))
         assert all(abs(b[i] - 1e8 - a[i]) < 1e-5 for i in a)
+
+
+def test_few_rows_may_be_nearest():
+    """Products choose little more than the nearest, all ties among them, and everything where they say nothing."""
+    rng = np.random.default_rng(8)
+    known = np.r_[rng.normal(size=(500, 16)), np.zeros((40, 16))]
+    x = np.r_[rng.normal(size=(20, 16)), np.zeros((1, 16))]
+    chosen = list(models.maybe_nearest(x, known, (known**2).sum(axis=1), 7))
+    square = ((x[:, None] - known[None]) ** 2).sum(axis=2)
+    for own, row in zip(chosen, square, strict=True):
+        assert set(np.argsort(row, kind="stable")[:7]) <= set(own)
+    assert all(len(own) < 60 for own in chosen) and len(chosen[-1]) == 40
+    known[3, 2] = np.nan
+    assert len(next(models.maybe_nearest(x, known, (known**2).sum(axis=1), 7))) == 540
