@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.operators.ranks import average_ranks, cumulated
+from auditframe.operators.ranks import cumulated
 
 #: The ten-bin edges as they come out in binary arithmetic; p = 0.3 lies below the fourth edge.
 EDGES = [float(x) for x in np.linspace(0.0, 1.0, 11)]
@@ -30,9 +30,11 @@ def ratio(a: Column, b: Column) -> Column:
 def auroc(df: DataFrame, label: str, p: str, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by average ranks; null if a class is missing."""
     keys = keys or []
-    each = df.groupBy(*keys, p).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("size"))
-    ranks = average_ranks(df, p, keys)
-    sums = each.join(ranks, [*keys, p]).groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("pos"), F.sum("size").alias("size"))
+    marked = df.select(*keys, p, F.when(F.col(label) == 1, 1).otherwise(0).alias("pos"), F.lit(1).alias("n"))
+    for c in (*keys, p):
+        marked = marked.where(F.col(c).isNotNull())
+    rank = F.col("cum_n") - (F.col("n") - 1) / 2
+    sums = cumulated(marked, p, ["pos", "n"], keys).groupBy(*keys).agg(F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("size"))
     pos = F.col("pos").cast("double")
     neg = F.col("size") - pos
     return sums.select(*keys, ratio(F.col("r") - pos * (pos + 1) / 2, pos * neg).alias("auroc"))
@@ -71,8 +73,11 @@ def reliability(df: DataFrame, label: str, p: str) -> DataFrame:
     return df.select(bins.alias("bin"), label, p).groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"), F.avg(p).alias("mean"))
 
 
-def binary_metrics(df: DataFrame, label: str, p: str, keys: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """One pass for what a confusion matrix gives; ranks and curves are joined to it."""
+def binary_metrics(df: DataFrame, label: str, p: str, keys: list[str] | None = None, threshold: float = 0.5, measures: list[str] | None = None) -> DataFrame:
+    """One pass for what a confusion matrix gives; ranks and curves are joined to it.
+
+    ``measures``: those that are wanted, all if None. Ranks and curves that nobody wants aren't worked out.
+    """
     keys = keys or []
     y = F.col(label).cast("double")
     base = df.groupBy(*keys).agg(*(c.alias(k) for k, c in rates(label, p, threshold).items()), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier"), F.avg(p).alias("mean_p"))
@@ -85,9 +90,12 @@ def binary_metrics(df: DataFrame, label: str, p: str, keys: list[str] | None = N
         *keys, "n", ratio(F.col("positives"), n).alias("prevalence"), "brier", ((tp + tn) / n).alias("accuracy"), ((F.coalesce(sens, spec) + F.coalesce(spec, sens)) / 2).alias("balanced_accuracy"),
         F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"), mcc.alias("mcc"), sens.alias("sensitivity"), spec.alias("specificity"), ratio(fn, tp + fn).alias("fnr"), ratio(fp, tn + fp).alias("fpr"), ratio(tp + fp, n).alias("predicted_positive"), "mean_p",
     )
-    for extra in (auroc(df, label, p, keys), average_precision(df, label, p, keys), calibration_error(df, label, p, keys), recall_at_precision(df, label, p, keys=keys)):
-        out = out.join(extra, keys) if keys else out.crossJoin(F.broadcast(extra))
-    return out
+    curves = {"auroc": auroc, "average_precision": average_precision, "ece": calibration_error, "recall_at_precision": recall_at_precision}
+    for name, curve in curves.items():
+        if measures is None or name in measures:
+            extra = curve(df, label, p, keys=keys)
+            out = out.join(extra, keys) if keys else out.crossJoin(F.broadcast(extra))
+    return out if measures is None else out.select(*keys, *measures)
 
 
 def capture_curve(df: DataFrame, label: str, p: str) -> DataFrame:

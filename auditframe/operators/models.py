@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
@@ -151,12 +152,13 @@ def _sums(rows: DataFrame, fits: list[_Fit]) -> dict[int, np.ndarray]:
     upper = np.triu_indices(size)
     state = [(f.fold, f.mean, f.scale, f.weight, f.w) for f in fits]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(1 + size + len(upper[0])) for _ in state]
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x, y, fold = np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy(dtype=float), batch["fold"].to_numpy()
+            fold, y, x = (batch.column(c) for c in ("fold", "y", "x"))
+            x, y, fold = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), y.to_numpy(zero_copy_only=False).astype(float), fold.to_numpy(zero_copy_only=False)
             for total, (own, mean, scale, weight, w) in zip(totals, state, strict=True):
                 use = np.ones(len(y), dtype=bool) if own is None else fold != own
                 z = np.c_[np.ones(int(use.sum())), (x[use] - mean) / scale]
@@ -166,9 +168,9 @@ def _sums(rows: DataFrame, fits: list[_Fit]) -> dict[int, np.ndarray]:
                 total[0] += (s * (np.logaddexp(0, eta) - y[use] * eta)).sum()
                 total[1 : 1 + size] += z.T @ (s * (p - y[use]))
                 total[1 + size :] += ((z * (s * p * (1 - p))[:, None]).T @ z)[upper]
-        yield pd.DataFrame({"model": np.arange(len(state)), "sums": totals})
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(state)), pa.int32()), pa.array([t.tolist() for t in totals], pa.list_(pa.float64()))], ["model", "sums"])
 
-    parts = rows.mapInPandas(run, "model int, sums array<double>").select("model", F.posexplode("sums").alias("place", "value"))
+    parts = rows.mapInArrow(run, "model int, sums array<double>").select("model", F.posexplode("sums").alias("place", "value"))
     found = parts.groupBy("model", "place").agg(F.sum("value").alias("value")).toPandas()
     out = {i: np.zeros(1 + size + len(upper[0])) for i in range(len(fits))}
     for model, own in found.groupby("model"):
@@ -213,12 +215,14 @@ def probabilities(df: DataFrame, features: list[str], fits: DataFrame, fold: str
     return joined.withColumn("probability", 1 / (1 + F.exp(-eta))).drop("intercept", "coefficients")
 
 
-def cross_validated(df: DataFrame, features: list[str], label: str, fold: str, penalties: list[Penalty], primary: str = "auroc") -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold probabilities, and a report for each candidate: metrics over all rows, and mean and population deviation of
-    the ``primary`` metric over the folds. It compares fixed candidates and chooses none."""
+def cross_validated(df: DataFrame, features: list[str], label: str, fold: str, penalties: list[Penalty], primary: str = "auroc", measures: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold probabilities, and a report for each candidate: metrics over all rows (``measures``, all if None), and mean and
+    population deviation of the ``primary`` metric over the folds. It compares fixed candidates and chooses none."""
+    df = saved(df, "cross-validated")
     predicted = saved(probabilities(df, features, logistic_folds(df, features, label, fold, penalties), fold), "out-of-fold")
-    whole = metrics.binary_metrics(predicted, label, "probability", ["candidate"])
-    each = metrics.binary_metrics(predicted, label, "probability", ["candidate", fold])
+    drop_saved(df)
+    whole = metrics.binary_metrics(predicted, label, "probability", ["candidate"], measures=measures)
+    each = metrics.binary_metrics(predicted, label, "probability", ["candidate", fold], measures=[primary])
     spread = each.groupBy("candidate").agg(F.avg(primary).alias("cv_mean"), F.stddev_pop(primary).alias("cv_std"))
     return predicted, whole.join(spread, "candidate")
 

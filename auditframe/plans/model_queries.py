@@ -69,7 +69,7 @@ def penalised_folds(spark, sf):
     SELECT candidate, count(*) AS n, round(avg((p - y) ** 2), 5) AS brier, round(avg(((p >= 0.5)::INT = y)::INT), 4) AS accuracy, round(any_value(m), 4) AS cv_mean, round(any_value(s), 4) AS cv_std FROM o JOIN f USING (candidate) GROUP BY candidate""")
 def cv_candidates(spark, sf):
     """Out-of-fold metrics of each fixed candidate, and its area's mean and deviation over the folds."""
-    _, report = models.cross_validated(labelled_orders(spark, sf), ["x1", "x2"], "y", "fold", PENALTIES)
+    _, report = models.cross_validated(labelled_orders(spark, sf), ["x1", "x2"], "y", "fold", PENALTIES, measures=["n", "brier", "accuracy"])
     return report.select("candidate", "n", F.round("brier", 5).alias("brier"), *(F.round(c, 4).alias(c) for c in ("accuracy", "cv_mean", "cv_std")))
 
 
