@@ -1,31 +1,34 @@
-"""A Katz backoff bigram model: counts, Good-Turing discounts, exact backoff weights and scores.
+"""A Katz backoff model of any order: counts, Good-Turing discounts, exact backoff weights and scores.
 
-A text is its words and one end token; the first word's history is the start of the text. With c a
-count in the training texts and c* a discounted count,
+A text is its words and one end token; before its first word come starts of the text. A history h is the
+words before a token, one less than the order of them; h' is h without its first word. With c a count in
+the training texts and c* a discounted count, each order goes back to the one below, down to words:
 
-    p(w | h) = c*(h, w) / c(h)      if (h, w) was seen,
-               alpha(h) * p(w)      else, with alpha(h) = 1 for a history never seen,
-    p(w)     = c*(w) / N            if w was seen, else the mass that discounting left,
+    p(w | h) = c*(h, w) / c(h)            if (h, w) was seen,
+               alpha(h) * p(w | h')       else, with alpha(h) = 1 for a history never seen,
+    p(w)     = c*(w) / N                  if w was seen, else the mass that discounting left,
 
-which one class of unseen words shares. Counts up to ``k`` are discounted by Katz's Good-Turing
+which one class of unseen words shares. In each order counts up to ``k`` are discounted by Katz's Good-Turing
 ratios, larger ones by the constant ``tail``, so that every history keeps some mass.
-alpha(h) = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w) over seen w), summed exactly, so the
+alpha(h) = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w | h') over the same w), summed exactly, so the
 probabilities after any history add up to 1.
 
 Word counts are aggregated first, into a table of their own. Then each token is sent once, to the
-bucket of its word, as the hashes of its word and history and its text; a word with very many tokens is
-spread over all buckets by its history. A bucket has all tokens of its word pairs: it counts the pairs
-and returns, for each text, what its tokens there contribute, and for each history its count and its
-part of the two sums in alpha. One table, partitioned by kind, holds all these and the counts of
-counts. As discounts depend on counts of counts over all pairs, small counts are returned by their value
-and weighed afterwards. Only pairs never seen in training need alpha; they meet it in a join on the history.
-
-A pair that is very common in the tokens that a task sends together isn't sent token by token: its
-bucket gets its number there, and the pair with its number in each text goes to a bucket of texts. The
-pair's bucket returns what one such token contributes, and the two meet in a join on the pair, so no
-bucket grows with a pair's share of the corpus.
-
-Words are known by 52 bits of a hash and texts by 64 bits of a hash of id and text; equal rows share
+bucket of its word, as the hashes of its word and histories and its text; a word with very many tokens is
+spread over all buckets by the word before. A bucket has all tokens of its n-grams. It counts them and keeps
+the counts: of each word, of each pair under its word, of each triple under its pair and so on. It also returns, for
+each text, what its tokens there contribute. One table, partitioned by kind, holds the counts of n-grams, the
+texts' sums and the counts of counts. As discounts depend on counts of counts over all n-grams, small counts
+in the texts' sums are returned by their value and weighed afterwards. The backoff weights come from the
+stored counts of n-grams, which are then discounted and summed by history. Only n-grams never seen
+in training need them; a token that goes back meets the weight of each history on its way in a join.
+
+An n-gram that is very common in the tokens that a task sends together isn't sent token by token: its
+bucket gets its number there, and the n-gram with its number in each text goes to a bucket of texts. The
+n-gram's bucket returns what one such token contributes, and the two meet in a join on the n-gram. With order two no
+bucket grows with a pair's share of the corpus; with more, it can by the rarer n-grams that end in one common pair.
+
+Words are known by 52 bits of a hash, longer histories by 64, and texts by 64 bits of a hash of id and text; equal rows share
 one and their sums are divided by their number. Null texts are empty texts: one end token. With no
 training text every token has probability 1 of being unseen and ``score`` is 0. Other columns are
 ignored.
@@ -92,6 +95,18 @@ def histories(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return h
 
 
+def contexts(w: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """The history of each token of one word, of two and so on, to one word less than ``order``."""
+    out, start = [histories(w, sizes)], np.array([START])
+    for _ in range(order - 2):
+        start = pair_codes(_END, start)  # no history has an end; START with START would have the code of START again
+        h = np.empty_like(w)
+        h[1:] = pair_codes(w, out[-1])[:-1]
+        h[np.cumsum(sizes) - sizes] = start
+        out.append(h)
+    return out
+
+
 def discounted(counts_of_counts: dict[int, int], k: int, tail: float) -> np.ndarray:
     """Discounted counts for 0 to k; where the ratios don't exist, counts less one half."""
     n = [counts_of_counts.get(r, 0) for r in range(k + 2)]
@@ -126,81 +141,104 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
 
+def stored_grams(grams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: the places of the n-grams without their first word in the order below, hashes and counts.
+
+    The hash is the word's in the lowest order and the history's in the others.
+    """
+    numbers = [_numbers(x) for x in grams]
+    out = [(np.zeros(len(numbers[0]), dtype=np.int64), np.cumsum(numbers[0]), numbers[1])]
+    for children, hashes, counts in zip(numbers[2::3], numbers[3::3], numbers[4::3], strict=True):
+        out.append((np.repeat(np.arange(len(children)), children), np.cumsum(hashes), counts))
+    return out
+
+
 class Bucket:
     """What one bucket's tokens return; see the module's text."""
 
     def __init__(self, model: dict):
         self.m = model
 
-    def solve(self, w, h, doc, keys, weight) -> Iterator[pd.DataFrame]:
-        """``doc`` is a place in ``keys``, the numbers of texts, or the number of those for the tokens of a common pair in one
-        sending; ``weight`` is how many of the tokens are in training texts."""
-        m, k, tail = self.m, self.m["k"], self.m["tail"]
-        order = np.lexsort((h, w))
-        w, h, doc, weight = w[order], h[order], doc[order], weight[order]
-        new_w = np.r_[True, w[1:] != w[:-1]]
-        new = new_w | np.r_[True, h[1:] != h[:-1]]
-        pair = np.cumsum(new) - 1
-        begin = np.flatnonzero(new)
-        c_pair = np.add.reduceat(weight, begin)
-        word_begin = np.flatnonzero(new_w)
-        c_word = np.add.reduceat(weight, word_begin)
+    def solve(self, w, hs, doc, keys, weight) -> Iterator[pd.DataFrame]:
+        """``hs`` are the tokens' histories, the shortest first; ``doc`` is a place in ``keys``, the numbers of texts, or the number
+        of those for the tokens of a common n-gram in one sending; ``weight`` is how many of the tokens are in training texts."""
+        m, k, tail, top = self.m, self.m["k"], self.m["tail"], self.m["order"]
+        order = np.lexsort((*hs[::-1], w))
+        w, hs, doc, weight = w[order], [h[order] for h in hs], doc[order], weight[order]
+        new = np.r_[True, w[1:] != w[:-1]]
+        begins, places = [np.flatnonzero(new)], [np.cumsum(new) - 1]
+        for h in hs:
+            new = new | np.r_[True, h[1:] != h[:-1]]
+            begins.append(np.flatnonzero(new))
+            places.append(np.cumsum(new) - 1)
+        counts = [np.add.reduceat(weight, begin) for begin in begins]
         if len(m["hot"]):
-            at = np.minimum(np.searchsorted(m["hot"], w[word_begin]), len(m["hot"]) - 1)
-            hot = m["hot"][at] == w[word_begin]
-            c_word[hot] = m["hot_counts"][at[hot]]
-        word = np.cumsum(new_w) - 1
-        p_word = np.where(c_word > 0, star(c_word, m["small"], tail) / m["N"], m["unseen"])
-        # Texts
-        c = c_word[word]
-        cp = c_pair[pair]
+            at = np.minimum(np.searchsorted(m["hot"], w[begins[0]]), len(m["hot"]) - 1)
+            hot = m["hot"][at] == w[begins[0]]
+            counts[0][hot] = m["hot_counts"][at[hot]]
+        p_word = np.where(counts[0] > 0, star(counts[0], m["small"], tail) / m["N"], m["unseen"])
+        # Texts. The longest n-gram that was seen decides; the count of the longest history is that of the n-gram before.
+        c = counts[0][places[0]]
+        level = np.ones(len(w), dtype=np.int8)
         n = len(keys)
+        total = lambda x: np.bincount(doc, weights=x, minlength=n + 1)[:n]
+        number = lambda of=slice(None): np.bincount(doc[of], minlength=n + 1)[:n].astype(np.int32)
+        before = c if top == 2 else counts[-2][places[-2]]
         with np.errstate(divide="ignore"):
             base = np.log10((c + 0.1) / m["base"])
-            rest = np.where((c > 0) & (w != END), -np.log10(np.maximum(c, 1)), 0.0)
-            rest += np.where(cp == 0, np.log10(p_word)[word], np.where(cp > k, np.log10(np.maximum(cp - tail, tail)), 0.0))
-        total = lambda x=None, of=slice(None): np.bincount(doc[of], weights=x, minlength=n + 1)[:n]
-        out = {"key": keys, "n": total(), "known": total(c > 0).astype(np.int64)}
-        for r in range(1, k + 1):
-            out[f"r{r}"] = total(of=cp == r)
-        out |= {"x": total(base), "y": total(rest)}
+            rest = np.where((before > 0) & (w != END), -np.log10(np.maximum(before, 1)), 0.0)
+            few = {}
+            for o in range(2, top + 1):
+                level[counts[o - 1][places[o - 1]] > 0] = o
+            rest += np.where(level == 1, np.log10(p_word)[places[0]], 0.0)
+            for o in range(2, top + 1):
+                own = np.where(level == o, counts[o - 1][places[o - 1]], 0)
+                rest += np.where(own > k, np.log10(np.maximum(own - tail, tail)), 0.0)
+                few |= {f"r{o}_{r}": own == r for r in range(1, k + 1)}
+        out = {"key": keys, "n": number(), "known": number(c > 0)}
+        out |= {name: number(of) for name, of in few.items()} | {"x": total(base), "y": total(rest)}
         yield pd.DataFrame(out)[out["n"] > 0].assign(kind="text", other=0)
-        # What one token of each common pair contributes; n is 1 if the pair was never seen in training
+        # What one token of each common n-gram contributes
         common = np.flatnonzero(doc == n)
         if len(common):
-            common = common[np.unique(pair[common], return_index=True)[1]]
-            out = {"key": pair_codes(w[common], h[common]), "other": h[common], "n": (cp[common] == 0).astype(np.int64), "known": (c[common] > 0).astype(np.int64)}
-            out |= {f"r{r}": (cp[common] == r).astype(np.int64) for r in range(1, k + 1)}
+            common = common[np.unique(places[-1][common], return_index=True)[1]]
+            codes = pair_codes(w[common], hs[-1][common])
+            out = {"key": codes, "known": (c[common] > 0).astype(np.int64)} | {name: of[common].astype(np.int64) for name, of in few.items()}
             yield pd.DataFrame(out | {"x": base[common], "y": rest[common]}).assign(kind="pair")
-        # Pairs never seen in training
-        lost = (cp == 0) & (doc < n)
-        if lost.any():
-            both = pd.DataFrame({"key": keys[doc[lost]], "other": h[lost]}).groupby(["key", "other"], sort=False).size().reset_index(name="n")
-            yield both.assign(kind="unseen")
-        # Histories, as far as an unseen pair could have one of them
-        seen = c_pair > 0
-        yield pd.DataFrame({"key": c_pair[seen & (c_pair <= k + 1)], "n": 1}).groupby("key").sum().reset_index().assign(kind="counts")
-        own = h[begin]
-        use = seen & _known(m["filter"], mixed(own.astype(np.uint64)).view(np.int64))
-        if use.any():
-            own, count = own[use], c_pair[use]
-            ids, back = np.unique(own, return_inverse=True)
-            out = {"key": ids}
-            for r in range(1, k + 1):
-                out[f"r{r}"] = np.bincount(back[count == r], minlength=len(ids))
-            large = count > k
-            out["n"] = np.bincount(back, weights=count, minlength=len(ids)).astype(np.int64)
-            out["x"] = np.bincount(back[large], weights=count[large] - tail, minlength=len(ids))
-            out["y"] = np.bincount(back, weights=p_word[word[begin][use]], minlength=len(ids))
-            yield pd.DataFrame(out).assign(kind="history")
-
-
-def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, tail: float = 0.1, filter_bits: int = 1 << 26, bucket_tokens: int = BUCKET_TOKENS, least_common: int | None = None) -> DataFrame:
+            yield from self.gone_back(level[common], [h[common] for h in hs], codes, "lost")
+        # N-grams never seen in training
+        lost = (level < top) & (doc < n)
+        yield from self.gone_back(level[lost], [h[lost] for h in hs], keys[doc[lost]], "unseen")
+        # Counts of n-grams, each order under the one below
+        grams = [_planes(np.diff(w[begins[0]][counts[0] > 0], prepend=0)), _planes(counts[0][counts[0] > 0])]
+        for o in range(2, top + 1):
+            begin, own, below = begins[o - 1], counts[o - 1], counts[o - 2]
+            seen = own > 0
+            small = own[seen & (own <= k + 1)]
+            yield pd.DataFrame({"key": small, "n": 1}).groupby("key").sum().reset_index().assign(kind="counts", other=o)
+            children = np.bincount(places[o - 2][begin[seen]], minlength=len(below))[below > 0]
+            grams += [_planes(children), _planes(np.diff(hs[o - 2][begin[seen]], prepend=0)), _planes(own[seen])]
+        yield pd.DataFrame({"kind": ["grams"], "key": [int((counts[-1] > 0).sum())], "grams": [grams]})
+
+    def gone_back(self, level, hs, keys, kind) -> Iterator[pd.DataFrame]:
+        """The histories on the way back to the n-grams of ``level``: how often alpha (n) and how often a division by the
+        history's count (known). That of the longest is in the texts' sums."""
+        for size, h in enumerate(hs, 1):
+            longest = size == len(hs)
+            use = level <= size + (not longest)
+            if use.any():
+                out = pd.DataFrame({"key": keys[use], "other": h[use], "n": (level[use] <= size).astype(np.int64), "known": int(not longest)})
+                yield out.groupby(["key", "other"], sort=False).sum().reset_index().assign(kind=kind)
+
+
+def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 2, k: int = 5, tail: float = 0.1, filter_bits: int = 1 << 26, bucket_tokens: int = BUCKET_TOKENS, least_common: int | None = None) -> DataFrame:
     """``id_col``, learnt, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    ``learn``: a condition over the columns of ``docs``; its rows are the training texts. ``bucket_tokens``:
-    tokens of a bucket; ``least_common``: the number from which on a pair in one sending is a common one.
+    ``order``: words of the longest n-grams, 2 at least. ``learn``: a condition over the columns of ``docs``; its rows are the training texts. ``bucket_tokens``:
+    tokens of a bucket; ``least_common``: the number from which on an n-gram in one sending is a common one.
     """
+    if order < 2:
+        raise ValueError("order is 2 at least")
     keyed = docs.select(F.col(id_col), row_key(id_col, text_col)[0].alias("key"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.col(text_col).alias("text"))
     ids, texts = keyed.select(id_col, "key", "learnt"), keyed.select("key", "learnt", "text")
 
@@ -236,14 +274,13 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = Codes()
         for batch in batches:
-            yield pd.DataFrame({"h": np.unique(mixed(coded(batch["text"].tolist(), codes)[0].astype(np.uint64)).view(np.int64))})
+            hs = contexts(*coded(batch["text"].tolist(), codes), order)
+            yield pd.DataFrame({"h": np.unique(mixed(np.concatenate(hs).astype(np.uint64)).view(np.int64))})
 
     model = {
-        "k": k, "tail": tail, "N": total["N"], "small": small, "unseen": (total["N"] - kept) / total["N"], "base": total["N"] + 0.1 * (total["V"] + 1),
+        "order": order, "k": k, "tail": tail, "N": total["N"], "small": small, "unseen": (total["N"] - kept) / total["N"], "base": total["N"] + 0.1 * (total["V"] + 1),
         "hot": hot["w"].to_numpy(dtype=np.int64), "hot_counts": hot["c"].to_numpy(dtype=np.int64),
-        "filter": gram_filter(texts.where("NOT learnt").select("text").mapInPandas(tokens, "h long"), filter_bits),
     }
-    model["filter"][:] |= _only(filter_bits, START)
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tokens by bucket, in the order of their words."""
@@ -255,10 +292,11 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             first_text = (TaskContext.get().partitionId() << 39) | (sending << 22)
             w, sizes = (np.concatenate(x) for x in zip(*((a, b) for a, b, _, _ in held), strict=True))
             keys, train = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-            yield piece(2 * n_buckets + (first_text >> 22) % n_buckets, first_text, len(keys), keys, np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)))
-            h, doc = histories(w, sizes), np.repeat(np.arange(len(sizes)), sizes)
+            held.clear()
+            yield piece(2 * n_buckets + (first_text >> 22) % n_buckets, first_text, len(keys), keys, [np.zeros(len(keys), dtype=np.int64)], np.arange(len(keys)))
+            hs, doc = contexts(w, sizes, order), np.repeat(np.arange(len(sizes)), sizes)
             weight = train[doc].astype(np.int64)
-            pairs = pair_codes(w, h)
+            pairs = pair_codes(w, hs[-1])
             # Counts by the lowest bits first: they are never too small.
             low = pairs & (LOW - 1)
             maybe = np.flatnonzero(np.bincount(low, minlength=LOW)[low] >= common)
@@ -271,26 +309,29 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 for at in range(0, len(each), 50_000):
                     rows = each.iloc[at : at + 50_000]
                     bucket = n_buckets + int(mixed(keys[:1].view(np.uint64) + np.uint64(at))[0] % np.uint64(n_buckets))
-                    yield piece(bucket, first_text, len(keys), rows["w"].to_numpy(), rows["n"].to_numpy(), rows["doc"].to_numpy())
+                    yield piece(bucket, first_text, len(keys), rows["w"].to_numpy(), [rows["n"].to_numpy()], rows["doc"].to_numpy())
                 learnt = np.bincount(back, weights=weight[maybe])[often].astype(np.int64)
                 alone = maybe[first[often]]
                 rest = ~often_at
                 # A token for all of the pair, of no text
-                w, h, doc, weight = (np.concatenate([x[rest], y]) for x, y in ((w, w[alone]), (h, h[alone]), (doc, np.full(len(alone), len(keys))), (weight, learnt)))
+                hs = [np.concatenate([h[rest], h[alone]]) for h in hs]
+                w, doc, weight = (np.concatenate([x[rest], y]) for x, y in ((w, w[alone]), (doc, np.full(len(alone), len(keys))), (weight, learnt)))
+                del often_at, each, alone, rest
+            del pairs, low, maybe, distinct, first, back, number, often
             bucket = (mixed(w.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
             if len(model["hot"]):
                 spread = model["hot"][np.minimum(np.searchsorted(model["hot"], w), len(model["hot"]) - 1)] == w
-                bucket[spread] = (mixed(h[spread].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((w, bucket))
-            w, h, doc, weight, bucket = (x[order] for x in (w, h, doc, weight, bucket))
+                bucket[spread] = (mixed(hs[0][spread].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+            by_bucket = np.lexsort((w, bucket))
+            w, doc, weight, bucket, *hs = (x[by_bucket] for x in (w, doc, weight, bucket, *hs))
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for lo, hi in zip(begin, np.r_[begin[1:], len(bucket)], strict=True):
-                yield piece(bucket[lo], first_text, len(keys), w[lo:hi], h[lo:hi], doc[lo:hi], weight[lo:hi])
+                yield piece(bucket[lo], first_text, len(keys), w[lo:hi], [h[lo:hi] for h in hs], doc[lo:hi], weight[lo:hi])
 
-        def piece(bucket, first, texts, w, h, doc, weight=None) -> pd.DataFrame:
-            # Histories repeat: the distinct ones in order, and which of them each token has.
-            distinct, at = np.unique(h, return_inverse=True)
-            data = [_planes(np.diff(w, prepend=0)), _planes(np.diff(distinct, prepend=0)), _planes(at), _planes(doc), b"" if weight is None else _planes(weight)]
+        def piece(bucket, first, texts, w, hs, doc, weight=None) -> pd.DataFrame:
+            # Histories repeat: the distinct longest in order with the shorter ones in them, and which of them each token has.
+            _, once, at = np.unique(hs[-1], return_index=True, return_inverse=True)
+            data = [_planes(np.diff(w, prepend=0)), [_planes(np.diff(h[once], prepend=0)) for h in hs], _planes(at), _planes(doc), b"" if weight is None else _planes(weight)]
             return pd.DataFrame({"bucket": [bucket], "first": [first], "texts": [texts]} | {c: [x] for c, x in zip(("w", "h", "at", "doc", "weight"), data, strict=True)})
 
         for batch in batches:
@@ -306,33 +347,43 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, held, bucket, sums = None, [], Bucket(model), []
 
-        def closed() -> Iterator[pd.DataFrame]:
-            if not held:
-                return
-            own, h = (np.concatenate(x) for x in ([np.cumsum(_numbers(r["w"])) for r in held], [np.cumsum(_numbers(r["h"]))[_numbers(r["at"])] for r in held]))
+        def taken() -> tuple:
+            """What the bucket's pieces hold; the pieces go."""
+            own = np.concatenate([np.cumsum(_numbers(r["w"])) for r in held])
+            at = [_numbers(r["at"]) for r in held]
+            hs = [np.concatenate([np.cumsum(_numbers(r["h"][i]))[a] for r, a in zip(held, at, strict=True)]) for i in range(len(held[0]["h"]))]
             docs, keys = [_numbers(r["doc"]) for r in held], [r["first"] + np.arange(r["texts"]) for r in held]
             offset = np.cumsum([0, *map(len, keys)])
             doc = np.concatenate([np.where(d < len(x), d + o, offset[-1]) for d, x, o in zip(docs, keys, offset, strict=False)])
-            keys = np.concatenate(keys)
-            if number >= 2 * n_buckets:
-                yield pd.DataFrame({"kind": "number", "key": own, "other": keys[doc]}).reindex(columns=columns, fill_value=0)
+            weight = None if number >= n_buckets else np.concatenate([_numbers(r["weight"]) for r in held])
+            held.clear()
+            return own, hs, doc, np.concatenate(keys), weight
+
+        def closed() -> Iterator[pd.DataFrame]:
+            if not held:
                 return
-            if number >= n_buckets:
-                yield pd.DataFrame({"kind": "common", "key": keys[doc], "other": own, "n": h}).groupby(["kind", "key", "other"], sort=False).sum().reset_index().reindex(columns=columns, fill_value=0)
+            if number < n_buckets:
+                for part in bucket.solve(*taken()):
+                    if not len(part):
+                        continue
+                    if part["kind"].iat[0] == "text":
+                        sums.append(part.drop(columns=["kind", "other"]))
+                    else:
+                        yield filled(part)
                 return
-            weight = np.concatenate([_numbers(r["weight"]) for r in held])
-            for part in bucket.solve(own, h, doc, keys, weight):
-                if not len(part):
-                    continue
-                if part["kind"].iat[0] == "text":
-                    sums.append(part)
-                else:
-                    yield part.reindex(columns=columns, fill_value=0)
+            own, hs, doc, keys, _ = taken()
+            if number >= 2 * n_buckets:
+                yield filled(pd.DataFrame({"kind": "number", "key": own, "other": keys[doc]}))
+            else:
+                yield filled(pd.DataFrame({"kind": "common", "key": keys[doc], "other": own, "n": hs[0]}).groupby(["kind", "key", "other"], sort=False).sum().reset_index())
+
+        def filled(part: pd.DataFrame) -> pd.DataFrame:
+            return part.reindex(columns=columns, fill_value=0).assign(grams=part["grams"] if "grams" in part else None)
 
         def texts_so_far() -> pd.DataFrame:
-            whole = pd.concat(sums).groupby("key", sort=False)[[c for c in columns if c not in ("kind", "key")]].sum().reset_index().assign(kind="text")
+            whole = pd.concat(sums)
             sums.clear()
-            return whole.reindex(columns=columns, fill_value=0)
+            return filled(whole.groupby("key", sort=False).sum().reset_index().assign(kind="text"))
 
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -346,25 +397,53 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         if sums:
             yield texts_so_far()
 
-    columns = ["kind", "key", "other", "n", "known", *(f"r{r}" for r in range(1, k + 1)), "x", "y"]
-    schema = "kind string, key long, other long, n long, known long, " + ", ".join(f"r{r} long" for r in range(1, k + 1)) + ", x double, y double"
-    pieces = texts.mapInPandas(sent, "bucket long, first long, texts long, w binary, h binary, at binary, doc binary, weight binary")
+    few_columns = [f"r{o}_{r}" for o in range(2, order + 1) for r in range(1, k + 1)]
+    columns = ["kind", "key", "other", "n", "known", *few_columns, "x", "y"]
+    schema = "kind string, key long, other long, n long, known long, " + ", ".join(f"{c} long" for c in few_columns) + ", x double, y double, grams array<binary>"
+    pieces = texts.mapInPandas(sent, "bucket long, first long, texts long, w binary, h array<binary>, at binary, doc binary, weight binary")
     n_tasks = max(1, math.ceil(n_buckets / 4))
     parts = saved(pieces.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(solved, schema), "katz-parts", "kind")
 
-    pair_few = {r["key"]: r["n"] for r in parts.where("kind = 'counts'").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    pair_small = discounted(pair_few, k, tail)
-    weights = [math.log10(x) for x in pair_small[1:]]
-    own = parts.where("kind = 'text'").select("key", "n", "known", F.col("x").alias("base"), sum((F.col(f"r{r + 1}") * weights[r] for r in range(k)), F.col("y")).alias("score"))
-    # Common pairs: what one token contributes, times their number in each text.
-    pair = parts.where("kind = 'pair'").select(F.col("key").alias("pair"), F.col("other").alias("history"), F.col("n").alias("lost"), F.col("known").alias("is_known"), F.col("x").alias("base"), sum((F.col(f"r{r + 1}") * weights[r] for r in range(k)), F.col("y")).alias("score"))
-    common_pairs = parts.where("kind = 'common'").select("key", F.col("other").alias("pair"), "n").join(pair.dropDuplicates(["pair"]), "pair")
-    own = own.unionByName(common_pairs.select("key", "n", (F.col("n") * F.col("is_known")).alias("known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("score")).alias("score")))
-    unseen = parts.where("kind = 'unseen'").select("key", "other", "n").unionByName(common_pairs.where("lost = 1").select("key", F.col("history").alias("other"), "n"))
-    alpha = parts.where("kind = 'history'").groupBy(F.col("key").alias("other")).agg(F.sum("n").alias("c"), F.sum(sum((F.col(f"r{r}") * float(pair_small[r]) for r in range(1, k + 1)), F.col("x"))).alias("kept"), F.sum("y").alias("lower"))
-    # Of alpha(h) = (1 - kept / c) / (1 - lower), c(h) is already in the texts' sums.
-    alpha = alpha.select("other", F.log10((F.col("c") - F.col("kept")) / (1 - F.col("lower"))).alias("log_alpha"))
-    backed = unseen.join(alpha, "other").groupBy("key").agg(F.sum(F.col("n") * F.col("log_alpha")).alias("score"))
+    few = {o: {} for o in range(2, order + 1)}
+    for r in parts.where("kind = 'counts'").groupBy("other", "key").agg(F.sum("n").alias("n")).collect():
+        few[r["other"]][r["key"]] = r["n"]
+    smalls = [small, *(discounted(few[o], k, tail) for o in range(2, order + 1))]
+    used = gram_filter(texts.where("NOT learnt").select("text").mapInPandas(tokens, "h long"), filter_bits)
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each history that a text not learnt from can have: its count and the two sums in alpha. In the second, counts of
+        the order below are yet to be divided by that of the shorter history."""
+        for batch in batches:
+            for grams in batch["grams"]:
+                levels = stored_grams(grams)
+                for o in range(2, order + 1):
+                    (_, shorter, below), (parent, own, c) = levels[o - 2 : o]
+                    use = _known(used, mixed(own.astype(np.uint64)).view(np.int64))
+                    parent, own, c = parent[use], own[use], c[use]
+                    ids, first, back = np.unique(own, return_index=True, return_inverse=True)
+                    lower = star(below[parent], smalls[o - 2], tail) / (total["N"] if o == 2 else 1)
+                    sums = {name: np.bincount(back, weights=x, minlength=len(ids)) for name, x in (("c", c), ("kept", star(c, smalls[o - 1], tail)), ("lower", lower))}
+                    yield pd.DataFrame({"other": ids, "size": o - 1, "shorter": shorter[parent[first]]} | sums)
+
+    rare = sum((F.col(f"r{o}_{r}") * math.log10(smalls[o - 1][r]) for o in range(2, order + 1) for r in range(1, k + 1)), F.col("y"))
+    own = parts.where("kind = 'text'").select("key", "n", "known", F.col("x").alias("base"), rare.alias("score"))
+    # Common n-grams: what one token contributes, times their number in each text.
+    pair = parts.where("kind = 'pair'").select(F.col("key").alias("pair"), F.col("known").alias("is_known"), F.col("x").alias("base"), rare.alias("score"))
+    common_pairs = parts.where("kind = 'common'").select("key", F.col("other").alias("pair"), F.col("n").alias("times"))
+    of_pairs = common_pairs.join(pair.dropDuplicates(["pair"]), "pair")
+    own = own.unionByName(of_pairs.select("key", F.col("times").alias("n"), *((F.col("times") * F.col(c)).alias(to) for c, to in (("is_known", "known"), ("base", "base"), ("score", "score")))))
+    lost = parts.where("kind = 'lost'").select(F.col("key").alias("pair"), "other", "n", "known").dropDuplicates(["pair", "other"])
+    unseen = parts.where("kind = 'unseen'").select("key", "other", "n", "known")
+    unseen = unseen.unionByName(common_pairs.join(lost, "pair").select("key", "other", *((F.col("times") * F.col(c)).alias(c) for c in ("n", "known"))))
+    history = parts.where("kind = 'grams'").select("grams").mapInPandas(weighed, "other long, size int, shorter long, c double, kept double, lower double")
+    history = history.groupBy("other").agg(F.first("size").alias("size"), F.first("shorter").alias("shorter"), *(F.sum(c).alias(c) for c in ("c", "kept", "lower")))
+    if order > 2:
+        history = saved(history, "katz-histories")
+        of_shorter = history.select(F.col("other").alias("shorter"), F.col("c").alias("c_shorter"))
+        history = history.join(of_shorter, "shorter", "left").withColumn("lower", F.when(F.col("size") == 1, F.col("lower")).otherwise(F.col("lower") / F.col("c_shorter")))
+    # Of alpha(h) = (1 - kept / c) / (1 - lower), c(h) is divided by apart.
+    alpha = history.select("other", F.log10((F.col("c") - F.col("kept")) / (1 - F.col("lower"))).alias("log_alpha"), F.log10("c").alias("log_c"))
+    backed = unseen.join(alpha, "other").groupBy("key").agg(F.sum(F.col("n") * F.col("log_alpha") - F.col("known") * F.col("log_c")).alias("score"))
     zero = F.lit(0).cast("long")
     every = own.unionByName(backed.select("key", zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), "score"))
     every = every.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
@@ -378,13 +457,6 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     )
 
 
-def _only(filter_bits: int, code: int) -> np.ndarray:
-    out = np.zeros(filter_bits // 8, dtype=np.uint8)
-    place = int(mixed(np.array([code], dtype=np.uint64))[0]) & (filter_bits - 1)
-    out[place >> 3] |= 1 << (place & 7)
-    return out
-
-
 def _untrained(keyed: DataFrame, id_col: str) -> DataFrame:
     n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")) + 1
     return keyed.select(id_col, "learnt", n.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), (n * 0.0).alias("base_score"), (n * 0.0).alias("score"))

@@ -105,6 +105,86 @@ def test_katz_with_many_buckets_and_common_pairs(spark):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model.score(by_id[r.doc_id]), rel_tol=1e-9), r
 
 
+class AnyOrder:
+    """The recursion of the module's text, in dictionaries: n-grams as tuples, histories padded with starts."""
+
+    def __init__(self, training, order, k=5, tail=0.1):
+        self.order, self.c, self.h = order, [{} for _ in range(order + 1)], [{} for _ in range(order + 1)]
+        for text in training:
+            for gram in self.grams(text):
+                for m in range(1, order + 1):
+                    own = gram[order - m :]
+                    self.c[m][own] = self.c[m].get(own, 0) + 1
+                    self.h[m][own[:-1]] = self.h[m].get(own[:-1], 0) + 1
+        self.star, self.alphas = [None], {}
+        for counts in self.c[1:]:
+            few = {}
+            for c in counts.values():
+                few[c] = few.get(c, 0) + 1
+            small = katz.discounted(few, k, tail)
+            self.star.append({g: small[c] if c <= k else c - tail for g, c in counts.items()})
+        self.unseen = 1 - sum(self.star[1].values()) / self.h[1][()]
+        self.after = {}
+        for counts in self.c[2:]:
+            for gram in counts:
+                self.after.setdefault(gram[:-1], []).append(gram[-1])
+
+    def grams(self, text):
+        own = [" start"] * (self.order - 1) + tokens(text)
+        return [tuple(own[i : i + self.order]) for i in range(len(own) - self.order + 1)]
+
+    def p(self, gram):
+        m, h = len(gram), gram[:-1]
+        if gram in self.c[m]:
+            return self.star[m][gram] / self.h[m][h]
+        return self.unseen if m == 1 else self.alpha(h) * self.p(gram[1:])
+
+    def alpha(self, h):
+        if h not in self.alphas:
+            seen = self.after.get(h, [])
+            self.alphas[h] = (1 - sum(self.p((*h, w)) for w in seen)) / (1 - sum(self.p((*h[1:], w)) for w in seen))
+        return self.alphas[h]
+
+    def score(self, text):
+        return sum(math.log10(self.p(gram)) for gram in self.grams(text))
+
+
+@pytest.mark.parametrize(("order", "options"), [(3, {}), (3, {"bucket_tokens": 3000, "least_common": 20}), (4, {"bucket_tokens": 5000})])
+def test_katz_of_higher_orders(spark, order, options):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(80).collect()]
+    rows += [(7000 + i, "the cat the cat " * (1 + i % 9) + f"w{i % 5}") for i in range(40)] + [(8000 + i, "held out pair held out the cat held") for i in range(100)] + [(9000, None), (9001, "the"), (9001, "the")]
+    learn = lambda i: i < 8000 and i % 5 != 0
+    model = AnyOrder([t for i, t in rows if learn(i)], order)
+    for h in list(model.after)[:: len(model.after) // 20]:  # exactly normalised in every order
+        assert math.isclose(sum(model.p((*h, *w)) for w in model.c[1]) + model.p((*h, "never seen")), 1, abs_tol=1e-9)
+    df = spark.createDataFrame([(i, t, learn(i)) for i, t in rows], "doc_id long, text string, learnt boolean")
+    found = katz.katz_scores(df, F.col("learnt"), order=order, **options).collect()
+    by_id = dict(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        assert math.isclose(r.score, model.score(by_id[r.doc_id]), rel_tol=1e-9), r
+
+
+def test_katz_keeps_counts_of_all_grams():
+    texts = ["a b a b c", "a b", "", "c c c held"]
+    weights = [1, 1, 1, 0]
+    w, sizes = katz.coded(texts, katz.Codes())
+    hs = katz.contexts(w, sizes, 3)
+    weight = np.repeat(weights, sizes)
+    none = np.zeros(0, dtype=np.int64)
+    model = {"order": 3, "k": 5, "tail": 0.1, "N": int(weight.sum()), "small": np.arange(6) * 0.9, "unseen": 0.1, "base": 10.0, "hot": none, "hot_counts": none}
+    parts = list(katz.Bucket(model).solve(w, hs, np.repeat(np.arange(4), sizes), np.arange(4), weight))
+    (grams,) = [p["grams"].iat[0] for p in parts if p["kind"].iat[0] == "grams"]
+    (_, word, c1), (up2, h2, c2), (up3, h3, c3) = katz.stored_grams(grams)
+    want = [{}, {}, {}]
+    for at in np.flatnonzero(weight):
+        for n, gram in enumerate(((w[at],), (w[at], hs[0][at]), (w[at], hs[0][at], hs[1][at]))):
+            want[n][gram] = want[n].get(gram, 0) + 1
+    pairs = list(zip(word[up2], h2, strict=True))
+    assert dict(zip(zip(word), c1)) == want[0] and dict(zip(pairs, c2)) == want[1]
+    assert dict(zip(((*pairs[i], h) for i, h in zip(up3, h3)), c3)) == want[2]
+
+
 def test_katz_without_training_texts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     found = katz.katz_scores(df, F.lit(False)).collect()
