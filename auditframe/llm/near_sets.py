@@ -1,11 +1,14 @@
-"""Groups of near sets by an exact prefix-filter join.
+"""Groups of near sets by fingerprints, completed by an exact prefix-filter join.
+
+Sets whose fingerprints are near are the first candidates; the caller finds them (``simhash.near_links``). Sets at
+the threshold can have fingerprints far apart, so an exact join completes them.
 
 Two sets with a Jaccard similarity of at least s share an element among the first n - ceil(s n) + 1
 of each, in any order common to all sets. The order here puts rare elements first: elements that occur
 once come before all others and need no index at all; the others follow by classes of their number,
 which bitmaps of fixed size hold. A bitmap that is too small changes the order, never the result.
 
-Links are verified by the whole sets, joined to them by id. In a first round the rows of one element
+Links are verified by the whole sets, joined to them by id. In a first round near fingerprints are linked, and the rows of one element
 are linked to the least id and to their neighbour only, which joins most of a large group with as many
 links as rows. A second round verifies every other pair of one element, of fitting sizes, whose two
 rows are in different components so far: a pair inside a component can't change it. The components of
@@ -132,11 +135,18 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return found
 
 
-def least_of_near(docs: DataFrame, elements: Callable[[str | None], np.ndarray], similarity: float) -> DataFrame:
+def fingerprint_links(sets: DataFrame, near_prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``a``, ``b`` of sets with near fingerprints; those with one fingerprint are linked to their least id."""
+    least = sets.groupBy("fp0").agg(F.min("id").alias("a"))
+    equal = sets.select("fp0", F.col("id").alias("b")).join(least, "fp0").where("a <> b").select("a", "b")
+    return near_prints(least.select(F.col("a").alias("id"), "fp0")).unionByName(equal)
+
+
+def least_of_near(docs: DataFrame, elements: Callable[[str | None], np.ndarray], similarity: float, fingerprint: Callable[[np.ndarray], int], near_prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``id`` of one row of each group of near sets, the least, and of all rows alone.
 
     ``docs``: ``id`` (long, not null) and ``text``; ``elements`` gives the distinct elements (64-bit) of
-    a text. Near: a Jaccard similarity of at least ``similarity``. Empty sets are near one another.
+    a text, ``fingerprint`` their fingerprint and ``near_prints`` the links of near ones (of ``id`` and ``fp0``). Near: a Jaccard similarity of at least ``similarity``. Empty sets are near one another.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -159,20 +169,20 @@ def least_of_near(docs: DataFrame, elements: Callable[[str | None], np.ndarray],
                 found = elements(text).view(np.int64)
                 n, shared = len(found), found[_known(bitmaps[0], found)]
                 if n and prefix(n, similarity) <= n - len(shared):
-                    rows.append((own, n, 0, 0, None))  # near no other
+                    rows.append((own, n, 0, 0, 0, None))  # near no other
                     continue
                 rank = np.zeros(len(shared), dtype=np.int64)
                 for bitmap in bitmaps[1:]:
                     rank += _known(bitmap, shared)
                 whole = xxhash.xxh3_128_digest(np.sort(found).tobytes())
                 k1, k2 = np.frombuffer(whole, dtype=np.int64)
-                rows.append((own, n, int(k1), int(k2), shared[np.lexsort((shared, rank))]))
-            yield pd.DataFrame(rows, columns=["id", "n", "k1", "k2", "shared"])
+                rows.append((own, n, int(k1), int(k2), fingerprint(found.view(np.uint64)), shared[np.lexsort((shared, rank))]))
+            yield pd.DataFrame(rows, columns=["id", "n", "k1", "k2", "fp0", "shared"])
 
-    found = saved(docs.select("id", "text").mapInPandas(ordered, "id long, n long, k1 long, k2 long, shared array<long>"), "sets")
+    found = saved(docs.select("id", "text").mapInPandas(ordered, "id long, n long, k1 long, k2 long, fp0 long, shared array<long>"), "sets")
     # Equal sets need only their least id, whatever their number.
     least = found.where("shared IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"))
-    sets = saved(found.where("shared IS NOT NULL").join(least, ["k1", "k2", "id"], "left_semi").select("id", "n", "shared"), "distinct")
+    sets = saved(found.where("shared IS NOT NULL").join(least, ["k1", "k2", "id"], "left_semi").select("id", "n", "fp0", "shared"), "distinct")
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,9 +195,10 @@ def least_of_near(docs: DataFrame, elements: Callable[[str | None], np.ndarray],
             at = np.concatenate([np.arange(u, u + k) for u, k in zip(firsts, sizes, strict=True)])
             yield pd.DataFrame({"token": np.concatenate(tokens), "id": np.repeat(rows["id"].to_numpy(), sizes), "n": np.repeat(rows["n"].to_numpy(), sizes), "at": at})
 
-    index = sets.mapInPandas(indexed, "token long, id long, n int, at int")
+    index = sets.select("id", "n", "shared").mapInPandas(indexed, "token long, id long, n int, at int")
     first = index.select("token", "id").repartition(parts, "token").sortWithinPartitions("token", "id")
-    first = first.mapInPandas(lambda batches: _buckets(batches, _stars), "a long, b long").distinct()
+    first = first.mapInPandas(lambda batches: _buckets(batches, _stars), "a long, b long")
+    first = fingerprint_links(sets.select("id", "fp0"), near_prints).unionByName(first).distinct()
     near = _verified(first, sets, similarity)
     part = components(near)
     known = sets.select("id", "n", "shared").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))

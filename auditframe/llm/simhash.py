@@ -190,18 +190,20 @@ def row_numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered.withColumn("__id", F.when(digest != F.col("__least"), beyond).otherwise(own)).select(*(F.col(f"`{c}`") for c in docs.columns), "__id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id.
 
     Near: the sets of word shingles have a Jaccard similarity of at least ``similarity``; a group is a
-    component of the near texts. Fingerprints have no part in it: an exact join of the sets finds all
-    near pairs (``near_sets``). Texts without a word are near one another.
+    component of the near texts. Texts whose fingerprints over distinct shingles differ in at most ``max_bits`` bits are
+    found by the index of deletion variants (``near_links``) and verified by their sets; an exact join of the sets
+    completes them with the near pairs whose fingerprints are further apart (``near_sets``). Texts without a word are near one another.
 
     Texts that share an id are documents of their own (``row_numbers``). Of rows equal in id and text one
     stays, that of the least hash of all its columns. Rows with a null id all stay.
     """
     numbered = row_numbers(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = least_of_near(numbered.select(F.col("__id").alias("id"), F.col(text_col).alias("text")), lambda text: np.unique(shingle_hashes(text, words, 42)), similarity)
+    source = numbered.select(F.col("__id").alias("id"), F.col(text_col).alias("text"))
+    kept = least_of_near(source, lambda text: np.unique(shingle_hashes(text, words, 42)), similarity, fingerprint, lambda reps: near_links(reps, ["fp0"], max_bits))
     stay = numbered.join(kept.distinct().withColumnRenamed("id", "__id"), "__id", "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     repeated = stay.groupBy("__id").count().where("count > 1").select("__id")

@@ -38,8 +38,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies.
 
-    Near copies share at least 0.8 of their five-word shingles; an exact join of the shingle sets finds
-    them. Different texts with one id are documents of their own; equal rows are copies. Documents
+    Near copies share at least 0.8 of their five-word shingles. The index of fingerprints finds the nearest, which
+    their shingle sets verify; an exact join of the sets completes them. Different texts with one id are documents of their own; equal rows are copies. Documents
     without an id stay.
     """
     small_batches(spark)

@@ -209,3 +209,20 @@ def test_texts_that_share_an_id(spark):
     docs = spark.createDataFrame([(1, "q\ufffdx" + long + "r" * 150 + "1"), (2, "w" + long + "s" * 150 + "\ufffd"), (3, "plain \ufffd")], "doc_id long, text string")
     done = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs, None).collect()}
     assert done[3] == "plain \ufffd" and done[1].startswith("q\ufffdx") and done[2].endswith("s\ufffd") and "é" not in done[1] + done[2]
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Fingerprints alone, without the exact join, join copies with a few changed words of many."""
+    from auditframe.llm import near_sets
+
+    monkeypatch.setattr(near_sets, "_stars", lambda rows: iter(()))
+    monkeypatch.setattr(near_sets, "_pairs", lambda rows, similarity: iter(()))
+    rng = random.Random(7)
+    texts = {}
+    for n in range(20):
+        own = words(rng, 2000)
+        other = list(own)
+        other[rng.randrange(2000)] += "x"
+        texts[2 * n], texts[2 * n + 1] = " ".join(own), " ".join(other)
+    kept = kept_ids(spark, texts)  # one word changes five shingles, and more than three bits now and then
+    assert kept >= set(range(0, 40, 2)) and len(kept) <= 25
