@@ -18,7 +18,7 @@ bucket of its word, as the hashes of its word and histories and its text; a word
 spread over all buckets by the word before. A bucket has all tokens of its n-grams. It counts them and keeps
 the counts: of each word, of each pair under its word, of each triple under its pair and so on. It also returns, for
 each text, what its tokens there contribute. One table, partitioned by kind, holds the counts of n-grams, the
-texts' sums and the counts of counts. As discounts depend on counts of counts over all n-grams, small counts
+texts' sums (a row for each bucket and sending, added up by sending) and the counts of counts. As discounts depend on counts of counts over all n-grams, small counts
 in the texts' sums are returned by their value and weighed afterwards. The backoff weights come from the
 stored counts of n-grams, which are then discounted and summed by history. Only n-grams never seen
 in training need them; a token that goes back meets the weight of each history on its way in a join.
@@ -54,6 +54,8 @@ from auditframe.llm.repeats import _known, gram_filter, mixed, row_key
 START, END, BITS = 0, 1, 52
 #: Tokens that a task sorts and sends together, tokens for each bucket, and least number of a common pair.
 FLUSH, BUCKET_TOKENS, COMMON = 1_000_000, 700_000, 64
+#: Bits of a text's place in its sending.
+PLACES = 22
 #: Counters of pairs in one sending.
 LOW = 1 << 21
 #: Words whose hashes a worker remembers.
@@ -141,6 +143,24 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
 
+def packed_sums(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """What a bucket's tokens contribute to the texts, as one row for each sending."""
+    key = part["key"].to_numpy()
+    begin = np.flatnonzero(np.r_[True, key[1:] >> PLACES != key[:-1] >> PLACES])
+    numbers = part.drop(columns=["kind", "key", "other", "x", "y"]).to_numpy(dtype=np.int64)
+    sums = part[["x", "y"]].to_numpy()
+    for lo, hi in zip(begin, np.r_[begin[1:], len(key)], strict=True):
+        place = key[lo:hi] & ((1 << PLACES) - 1)
+        data = [_planes(np.concatenate([np.diff(place, prepend=0), *numbers[lo:hi].T])), _planes(np.ascontiguousarray(sums[lo:hi].T).view(np.int64).ravel())]
+        yield pd.DataFrame({"kind": ["text"], "key": [key[lo] >> PLACES], "n": [hi - lo], "grams": [data]})
+
+
+def unpacked_sums(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of texts in their sending, whole numbers and sums, a row for each."""
+    place, *numbers = _numbers(data[0]).reshape(-1, n)
+    return np.cumsum(place), np.array(numbers), _numbers(data[1]).view(np.float64).reshape(2, n)
+
+
 def stored_grams(grams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each order: the places of the n-grams without their first word in the order below, hashes and counts.
 
@@ -289,11 +309,11 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         def flushed() -> Iterator[pd.DataFrame]:
             # Texts are numbered by task, sending and place; which text has a number goes once, to a bucket of numbers.
             sending = next(sendings)
-            first_text = (TaskContext.get().partitionId() << 39) | (sending << 22)
+            first_text = (TaskContext.get().partitionId() << 39) | (sending << PLACES)
             w, sizes = (np.concatenate(x) for x in zip(*((a, b) for a, b, _, _ in held), strict=True))
             keys, train = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
             held.clear()
-            yield piece(2 * n_buckets + (first_text >> 22) % n_buckets, first_text, len(keys), keys, [np.zeros(len(keys), dtype=np.int64)], np.arange(len(keys)))
+            yield piece(2 * n_buckets + (first_text >> PLACES) % n_buckets, first_text, len(keys), keys, [np.zeros(len(keys), dtype=np.int64)], np.arange(len(keys)))
             hs, doc = contexts(w, sizes, order), np.repeat(np.arange(len(sizes)), sizes)
             weight = train[doc].astype(np.int64)
             pairs = pair_codes(w, hs[-1])
@@ -345,7 +365,7 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             yield from flushed()
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, held, bucket, sums = None, [], Bucket(model), []
+        number, held, bucket = None, [], Bucket(model)
 
         def taken() -> tuple:
             """What the bucket's pieces hold; the pieces go."""
@@ -367,7 +387,7 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                     if not len(part):
                         continue
                     if part["kind"].iat[0] == "text":
-                        sums.append(part.drop(columns=["kind", "other"]))
+                        yield from map(filled, packed_sums(part))
                     else:
                         yield filled(part)
                 return
@@ -380,22 +400,13 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         def filled(part: pd.DataFrame) -> pd.DataFrame:
             return part.reindex(columns=columns, fill_value=0).assign(grams=part["grams"] if "grams" in part else None)
 
-        def texts_so_far() -> pd.DataFrame:
-            whole = pd.concat(sums)
-            sums.clear()
-            return filled(whole.groupby("key", sort=False).sum().reset_index().assign(kind="text"))
-
         for batch in batches:
             for row in batch.to_dict("records"):
                 if row["bucket"] != number:
                     yield from closed()
                     number, held = row["bucket"], []
-                    if sum(map(len, sums)) > 300_000:
-                        yield texts_so_far()
                 held.append(row)
         yield from closed()
-        if sums:
-            yield texts_so_far()
 
     few_columns = [f"r{o}_{r}" for o in range(2, order + 1) for r in range(1, k + 1)]
     columns = ["kind", "key", "other", "n", "known", *few_columns, "x", "y"]
@@ -426,7 +437,30 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                     yield pd.DataFrame({"other": ids, "size": o - 1, "shorter": shorter[parent[first]]} | sums)
 
     rare = sum((F.col(f"r{o}_{r}") * math.log10(smalls[o - 1][r]) for o in range(2, order + 1) for r in range(1, k + 1)), F.col("y"))
-    own = parts.where("kind = 'text'").select("key", "n", "known", F.col("x").alias("base"), rare.alias("score"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The texts' sums over all buckets, sending by sending."""
+        log_small = np.log10([smalls[o - 1][r] for o in range(2, order + 1) for r in range(1, k + 1)])
+        sending, of = None, np.zeros((4, 0))
+
+        def closed() -> Iterator[pd.DataFrame]:
+            there = np.flatnonzero(of[0])
+            if len(there):
+                yield pd.DataFrame({"key": (sending << PLACES) + there, "n": of[0, there].astype(np.int64), "known": of[1, there].astype(np.int64), "base": of[2, there], "score": of[3, there]})
+
+        for batch in batches:
+            for own, n, data in zip(batch["key"], batch["n"], batch["grams"], strict=True):
+                if own != sending:
+                    yield from closed()
+                    sending, of = own, np.zeros((4, 0))
+                place, numbers, (base, rest) = unpacked_sums(data, n)
+                if place[-1] >= of.shape[1]:
+                    of = np.pad(of, ((0, 0), (0, place[-1] + 1 - of.shape[1])))
+                of[:, place] += np.stack([numbers[0], numbers[1], base, rest + log_small @ numbers[2:]])
+        yield from closed()
+
+    own = parts.where("kind = 'text'").select("key", "n", "grams").repartition("key").sortWithinPartitions("key")
+    own = own.mapInPandas(summed, "key long, n long, known long, base double, score double")
     # Common n-grams: what one token contributes, times their number in each text.
     pair = parts.where("kind = 'pair'").select(F.col("key").alias("pair"), F.col("known").alias("is_known"), F.col("x").alias("base"), rare.alias("score"))
     common_pairs = parts.where("kind = 'common'").select("key", F.col("other").alias("pair"), F.col("n").alias("times"))
