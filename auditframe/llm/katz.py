@@ -13,20 +13,21 @@ ratios, larger ones by the constant ``tail``, so that every history keeps some m
 alpha(h) = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w | h') over the same w), summed exactly, so the
 probabilities after any history add up to 1.
 
-Word counts are aggregated first, into a table of their own. Then each token is sent once, to the
-bucket of its word, as the hashes of its word and histories and its text; a word with very many tokens is
-spread over all buckets by the word before. A bucket has all tokens of its n-grams. It counts them and keeps
-the counts: of each word, of each pair under its word, of each triple under its pair and so on. It also returns, for
-each text, what its tokens there contribute. One table, partitioned by kind, holds the counts of n-grams, the
-texts' sums (a row for each bucket and sending, added up by sending) and the counts of counts. As discounts depend on counts of counts over all n-grams, small counts
-in the texts' sums are returned by their value and weighed afterwards. The backoff weights come from the
+Texts are tokenized once and kept in sendings of some million tokens: the words of a sending, and its tokens as
+numbers of words. Word counts are aggregated from them first. Then each distinct n-gram of a sending is sent once, to the bucket
+of its word, as the hashes of its word and histories and its number in training texts; a word with very many tokens is
+spread over all buckets by the word before. Words go to buckets by ranges of their hashes, so that a sending takes the same bytes
+for any number of buckets. A bucket has all n-grams of its words. It adds them up and keeps
+the counts: of each word, of each pair under its word, of each triple under its pair and so on. It also answers each
+sending with the counts of what that one sent, in the same order. One table, partitioned by kind, holds the counts of n-grams, the
+answers and the counts of counts. A sending then meets its answers, and its texts are scored token by token.
+
+The backoff weights come from the
 stored counts of n-grams, which are then discounted and summed by history. Only n-grams never seen
 in training need them; a token that goes back meets the weight of each history on its way in a join.
 
-An n-gram that is very common in the tokens that a task sends together isn't sent token by token: its
-bucket gets its number there, and the n-gram with its number in each text goes to a bucket of texts. The
-n-gram's bucket returns what one such token contributes, and the two meet in a join on the n-gram. With order two no
-bucket grows with a pair's share of the corpus; with more, it can by the rarer n-grams that end in one common pair.
+An n-gram that is very common is still sent once by a sending, so no bucket grows with its share of the corpus in order two;
+in higher orders it can by the rarer n-grams that end in one common pair.
 
 Words are known by 52 bits of a hash, longer histories by 64, and texts by 64 bits of a hash of id and text; equal rows share
 one and their sums are divided by their number. Null texts are empty texts: one end token. With no
@@ -52,12 +53,8 @@ from auditframe.llm.common import drop_saved, saved
 from auditframe.llm.repeats import _known, gram_filter, mixed, row_key
 
 START, END, BITS = 0, 1, 52
-#: Tokens that a task sorts and sends together, tokens for each bucket, and least number of a common pair.
-FLUSH, BUCKET_TOKENS, COMMON = 1_000_000, 700_000, 64
-#: Bits of a text's place in its sending.
-PLACES = 22
-#: Counters of pairs in one sending.
-LOW = 1 << 21
+#: Tokens of a sending, and tokens for each bucket.
+FLUSH, BUCKET_TOKENS = 2_000_000, 700_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 
@@ -70,14 +67,20 @@ class Codes(dict):
         return code
 
 
+class Places(dict):
+    """Numbers of words in the order in which they come, after the start and the end of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = 2 + len(self)
+        return place
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def coded(texts: list, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+def coded(texts: list, codes: Codes | Places) -> tuple[np.ndarray, np.ndarray]:
     """Word codes of all texts, each with its end, and the number of tokens of each."""
-    if len(codes) > REMEMBERED:
-        codes.clear()
     parts, sizes = [], np.empty(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         own = words(text)
@@ -143,24 +146,6 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
 
-def packed_sums(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """What a bucket's tokens contribute to the texts, as one row for each sending."""
-    key = part["key"].to_numpy()
-    begin = np.flatnonzero(np.r_[True, key[1:] >> PLACES != key[:-1] >> PLACES])
-    numbers = part.drop(columns=["kind", "key", "other", "x", "y"]).to_numpy(dtype=np.int64)
-    sums = part[["x", "y"]].to_numpy()
-    for lo, hi in zip(begin, np.r_[begin[1:], len(key)], strict=True):
-        place = key[lo:hi] & ((1 << PLACES) - 1)
-        data = [_planes(np.concatenate([np.diff(place, prepend=0), *numbers[lo:hi].T])), _planes(np.ascontiguousarray(sums[lo:hi].T).view(np.int64).ravel())]
-        yield pd.DataFrame({"kind": ["text"], "key": [key[lo] >> PLACES], "n": [hi - lo], "grams": [data]})
-
-
-def unpacked_sums(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of texts in their sending, whole numbers and sums, a row for each."""
-    place, *numbers = _numbers(data[0]).reshape(-1, n)
-    return np.cumsum(place), np.array(numbers), _numbers(data[1]).view(np.float64).reshape(2, n)
-
-
 def stored_grams(grams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each order: the places of the n-grams without their first word in the order below, hashes and counts.
 
@@ -173,18 +158,72 @@ def stored_grams(grams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.nd
     return out
 
 
+class Grams:
+    """The distinct longest n-grams of a sending, in the order of their buckets.
+
+    ``w``: the words; ``hs``: histories, the shortest first, of which the n-grams have those at ``h``; ``at``: the n-gram of each token.
+    """
+
+    def __init__(self, row: dict, model: dict):
+        self.sizes = _numbers(row["sizes"])
+        codes, rank = np.unique(_numbers(row["words"]), return_inverse=True)
+        w = rank[_numbers(row["tokens"])]
+        if model["order"] == 2:
+            self.hs, h = [codes], histories(w, self.sizes)  # the start is the lowest code
+        else:
+            hs = contexts(codes[w], self.sizes, model["order"])
+            _, first, h = np.unique(hs[-1], return_index=True, return_inverse=True)
+            self.hs = [x[first] for x in hs]
+            del hs
+        n = len(self.hs[-1])
+        w *= n
+        w += h
+        grams, place = np.unique(w, return_inverse=True)
+        w, h = codes[grams // n], grams % n
+        bucket = self.buckets(w, model)
+        if len(model["hot"]):
+            spread = model["hot"][np.minimum(np.searchsorted(model["hot"], w), len(model["hot"]) - 1)] == w
+            bucket[spread] = self.buckets((mixed(self.hs[0][h[spread]].astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64), model)
+        order = np.argsort(bucket, kind="stable")
+        self.w, self.h, self.bucket = w[order], h[order], bucket[order]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.at = back[place]
+
+    @staticmethod
+    def buckets(codes: np.ndarray, model: dict) -> np.ndarray:
+        return (codes >> (BITS - 32)) * model["n_buckets"] >> 32
+
+    def pieces(self, sending: int, learnt: np.ndarray) -> Iterator[pd.DataFrame]:
+        """What each bucket gets."""
+        weight = np.bincount(self.at, weights=np.repeat(learnt, self.sizes), minlength=len(self.w)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]])
+        for lo, hi in zip(begin, np.r_[begin[1:], len(self.w)], strict=True):
+            w = self.w[lo:hi]
+            new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            once, at = np.unique(self.h[lo:hi], return_inverse=True)
+            data = [np.diff(w[new], prepend=0), np.diff(new, append=hi - lo), *(np.diff(h[once], prepend=0) for h in self.hs), at, weight[lo:hi]]
+            yield pd.DataFrame({"bucket": [self.bucket[lo]], "sending": [sending], "data": [[_planes(x) for x in data]]})
+
+
+def piece_grams(data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Words, histories and numbers in training texts of a piece's n-grams."""
+    new, runs, *hs, at, weight = map(_numbers, data)
+    return np.repeat(np.cumsum(new), runs), [np.cumsum(h)[at] for h in hs], weight
+
+
 class Bucket:
-    """What one bucket's tokens return; see the module's text."""
+    """What one bucket's n-grams return; see the module's text."""
 
     def __init__(self, model: dict):
         self.m = model
 
     def solve(self, w, hs, doc, keys, weight) -> Iterator[pd.DataFrame]:
-        """``hs`` are the tokens' histories, the shortest first; ``doc`` is a place in ``keys``, the numbers of texts, or the number
-        of those for the tokens of a common n-gram in one sending; ``weight`` is how many of the tokens are in training texts."""
-        m, k, tail, top = self.m, self.m["k"], self.m["tail"], self.m["order"]
+        """``hs`` are the n-grams' histories, the shortest first; ``doc`` is a place in ``keys``, the sendings, in ascending order;
+        ``weight`` is the n-gram's number in training texts of the sending."""
+        m, k, top = self.m, self.m["k"], self.m["order"]
         order = np.lexsort((*hs[::-1], w))
-        w, hs, doc, weight = w[order], [h[order] for h in hs], doc[order], weight[order]
+        w, hs, weight = w[order], [h[order] for h in hs], weight[order]
         new = np.r_[True, w[1:] != w[:-1]]
         begins, places = [np.flatnonzero(new)], [np.cumsum(new) - 1]
         for h in hs:
@@ -196,209 +235,149 @@ class Bucket:
             at = np.minimum(np.searchsorted(m["hot"], w[begins[0]]), len(m["hot"]) - 1)
             hot = m["hot"][at] == w[begins[0]]
             counts[0][hot] = m["hot_counts"][at[hot]]
-        p_word = np.where(counts[0] > 0, star(counts[0], m["small"], tail) / m["N"], m["unseen"])
-        # Texts. The longest n-gram that was seen decides; the count of the longest history is that of the n-gram before.
-        c = counts[0][places[0]]
-        level = np.ones(len(w), dtype=np.int8)
-        n = len(keys)
-        total = lambda x: np.bincount(doc, weights=x, minlength=n + 1)[:n]
-        number = lambda of=slice(None): np.bincount(doc[of], minlength=n + 1)[:n].astype(np.int32)
-        before = c if top == 2 else counts[-2][places[-2]]
-        with np.errstate(divide="ignore"):
-            base = np.log10((c + 0.1) / m["base"])
-            rest = np.where((before > 0) & (w != END), -np.log10(np.maximum(before, 1)), 0.0)
-            few = {}
-            for o in range(2, top + 1):
-                level[counts[o - 1][places[o - 1]] > 0] = o
-            rest += np.where(level == 1, np.log10(p_word)[places[0]], 0.0)
-            for o in range(2, top + 1):
-                own = np.where(level == o, counts[o - 1][places[o - 1]], 0)
-                rest += np.where(own > k, np.log10(np.maximum(own - tail, tail)), 0.0)
-                few |= {f"r{o}_{r}": own == r for r in range(1, k + 1)}
-        out = {"key": keys, "n": number(), "known": number(c > 0)}
-        out |= {name: number(of) for name, of in few.items()} | {"x": total(base), "y": total(rest)}
-        yield pd.DataFrame(out)[out["n"] > 0].assign(kind="text", other=0)
-        # What one token of each common n-gram contributes
-        common = np.flatnonzero(doc == n)
-        if len(common):
-            common = common[np.unique(places[-1][common], return_index=True)[1]]
-            codes = pair_codes(w[common], hs[-1][common])
-            out = {"key": codes, "known": (c[common] > 0).astype(np.int64)} | {name: of[common].astype(np.int64) for name, of in few.items()}
-            yield pd.DataFrame(out | {"x": base[common], "y": rest[common]}).assign(kind="pair")
-            yield from self.gone_back(level[common], [h[common] for h in hs], codes, "lost")
-        # N-grams never seen in training
-        lost = (level < top) & (doc < n)
-        yield from self.gone_back(level[lost], [h[lost] for h in hs], keys[doc[lost]], "unseen")
+        # Answers: the counts in the order in which the n-grams came
+        ends = np.searchsorted(doc, np.arange(len(keys) + 1))
+        answers = [[] for _ in keys]
+        for count_of, place in zip(counts, places, strict=True):
+            own = np.empty_like(weight)
+            own[order] = count_of[place]
+            for i, answer in enumerate(answers):
+                answer.append(_planes(own[ends[i] : ends[i + 1]]))
+        yield pd.DataFrame({"kind": "answer", "key": keys, "grams": answers})
         # Counts of n-grams, each order under the one below
         grams = [_planes(np.diff(w[begins[0]][counts[0] > 0], prepend=0)), _planes(counts[0][counts[0] > 0])]
         for o in range(2, top + 1):
             begin, own, below = begins[o - 1], counts[o - 1], counts[o - 2]
             seen = own > 0
             small = own[seen & (own <= k + 1)]
-            yield pd.DataFrame({"key": small, "n": 1}).groupby("key").sum().reset_index().assign(kind="counts", other=o)
+            yield pd.DataFrame({"kind": "counts", "key": np.arange(k + 2), "other": o, "n": np.bincount(small, minlength=k + 2)})
             children = np.bincount(places[o - 2][begin[seen]], minlength=len(below))[below > 0]
             grams += [_planes(children), _planes(np.diff(hs[o - 2][begin[seen]], prepend=0)), _planes(own[seen])]
         yield pd.DataFrame({"kind": ["grams"], "key": [int((counts[-1] > 0).sum())], "grams": [grams]})
 
-    def gone_back(self, level, hs, keys, kind) -> Iterator[pd.DataFrame]:
-        """The histories on the way back to the n-grams of ``level``: how often alpha (n) and how often a division by the
-        history's count (known). That of the longest is in the texts' sums."""
-        for size, h in enumerate(hs, 1):
-            longest = size == len(hs)
+
+class Scores:
+    """Scores of a sending's texts from the answers; n-grams that go back need the weights of their histories yet."""
+
+    def __init__(self, model: dict, smalls: list[np.ndarray]):
+        self.m, self.smalls = model, smalls
+
+    def of(self, row: dict, answers: list[list[bytes]]) -> Iterator[pd.DataFrame]:
+        m, top = self.m, self.m["order"]
+        grams = Grams(row, m)
+        counts = [np.concatenate([_numbers(x[o]) for x in answers]) for o in range(top)]
+        # The longest n-gram that was seen decides; the count of the longest history is that of the n-gram before.
+        c, before = counts[0], counts[-2]
+        level = np.ones(len(c), dtype=np.int8)
+        for o in range(2, top + 1):
+            level[counts[o - 1] > 0] = o
+        base = np.log10((c + 0.1) / m["base"])
+        rest = np.where((before > 0) & (grams.w != END), -np.log10(np.maximum(before, 1)), 0.0)
+        for o in range(1, top + 1):
+            use = (level == o) & (counts[o - 1] > 0)
+            rest[use] += np.log10(star(counts[o - 1][use], self.smalls[o - 1], m["tail"]) / (m["N"] if o == 1 else 1))
+        rest[(level == 1) & (c == 0)] += math.log10(m["unseen"]) if m["unseen"] > 0 else -math.inf
+        begins, keys = np.cumsum(grams.sizes) - grams.sizes, _numbers(row["keys"])
+        total = lambda x: np.add.reduceat(x[grams.at], begins)
+        yield pd.DataFrame({"kind": "text", "key": keys, "n": grams.sizes, "known": total((c > 0).astype(np.int64)), "base": total(base), "score": total(rest)})
+        # N-grams never seen in training: how often alpha (n) and how often a division by the history's count (known).
+        # That of the longest is in the texts' sums.
+        lost = np.flatnonzero((level < top)[grams.at])
+        doc, at = np.repeat(keys, grams.sizes)[lost], grams.at[lost]
+        level, h = level[at], grams.h[at]
+        for size, codes in enumerate(grams.hs, 1):
+            longest = size == len(grams.hs)
             use = level <= size + (not longest)
             if use.any():
-                out = pd.DataFrame({"key": keys[use], "other": h[use], "n": (level[use] <= size).astype(np.int64), "known": int(not longest)})
-                yield out.groupby(["key", "other"], sort=False).sum().reset_index().assign(kind=kind)
+                out = pd.DataFrame({"key": doc[use], "other": codes[h[use]], "n": (level[use] <= size).astype(np.int64), "known": int(not longest)})
+                yield out.groupby(["key", "other"], sort=False).sum().reset_index().assign(kind="unseen")
 
 
 def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 2, k: int = 5, tail: float = 0.1, filter_bits: int = 1 << 26, bucket_tokens: int = BUCKET_TOKENS, least_common: int | None = None) -> DataFrame:
     """``id_col``, learnt, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     ``order``: words of the longest n-grams, 2 at least. ``learn``: a condition over the columns of ``docs``; its rows are the training texts. ``bucket_tokens``:
-    tokens of a bucket; ``least_common``: the number from which on an n-gram in one sending is a common one.
+    tokens of a bucket. ``least_common`` is accepted for older callers: common n-grams no longer take a way of their own.
     """
     if order < 2:
         raise ValueError("order is 2 at least")
     keyed = docs.select(F.col(id_col), row_key(id_col, text_col)[0].alias("key"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.col(text_col).alias("text"))
     ids, texts = keyed.select(id_col, "key", "learnt"), keyed.select("key", "learnt", "text")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, held, size = Codes(), [], 0
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sendings."""
+        codes, places, held, size, numbers = Codes(), Places(), [], 0, count()
+
+        def closed() -> pd.DataFrame:
+            tokens, sizes, keys, learnt = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            own = np.r_[START, END, np.fromiter(map(codes.__getitem__, places), dtype=np.int64, count=len(places))]
+            places.clear()
+            if len(codes) > REMEMBERED:
+                codes.clear()
+            n = np.bincount(tokens, weights=np.repeat(learnt, sizes), minlength=len(own)).astype(np.int64)
+            data = {"keys": keys, "learnt": learnt, "sizes": sizes, "words": own, "counts": n, "tokens": tokens}
+            sending = (TaskContext.get().partitionId() << 32) | next(numbers)
+            return pd.DataFrame({"sending": [sending], "n": [len(tokens)]} | {c: [_planes(x)] for c, x in data.items()})
+
         for batch in batches:
-            held.append(coded(batch["text"].tolist(), codes)[0])
-            size += len(held[-1])
+            tokens, sizes = coded(batch["text"].tolist(), places)
+            held.append((tokens.astype(np.int32), sizes, batch["key"].to_numpy(), batch["learnt"].to_numpy(dtype=bool)))
+            size += len(tokens)
             if size >= FLUSH:
-                w, n = np.unique(np.concatenate(held), return_counts=True)
-                held, size = [], 0
-                yield pd.DataFrame({"w": w, "n": n})
+                yield closed()
+                size = 0
         if held:
-            w, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"w": w, "n": n})
+            yield closed()
+
+    sendings = saved(texts.mapInPandas(gathered, "sending long, n long, keys binary, learnt binary, sizes binary, words binary, counts binary, tokens binary"), "katz-sendings")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, n in zip(batch["words"], batch["counts"], strict=True):
+                own, n = _numbers(own), _numbers(n)
+                yield pd.DataFrame({"w": own[n > 0], "n": n[n > 0]})
 
-    counts = saved(texts.where("learnt").select("text").mapInPandas(counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "word-counts")
+    counts = saved(sendings.select("words", "counts").mapInPandas(counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V"), F.coalesce(F.max(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("D")).first()
     if not total["N"]:
+        drop_saved(sendings, counts)
         return _untrained(keyed, id_col)
     few = {r["c"]: r["count"] for r in counts.where(F.col("c") <= k + 1).groupBy("c").count().collect()}
     small = discounted(few, k, tail)
     kept = counts.agg(F.sum(F.when(F.col("c") > k, F.col("c") - tail).otherwise(F.element_at(F.lit(small.tolist()), F.least(F.col("c") + 1, F.lit(k + 1)).cast("int"))))).first()[0]
-    # Texts that are not learnt from fill the same buckets: their tokens by their share of all bytes.
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    sizes = texts.agg(F.sum(size).alias("all"), F.sum(F.when(F.col("learnt"), size)).alias("learnt")).first()
-    tokens_in_all = total["N"] * sizes["all"] / sizes["learnt"]
-    n_buckets = max(1, math.ceil(tokens_in_all / bucket_tokens))
-    common = least_common or max(COMMON, math.ceil(bucket_tokens / 8 / max(1, tokens_in_all / FLUSH)))
+    # Texts that are not learnt from fill the same buckets.
+    held = sendings.agg(F.count("*").alias("sendings"), F.sum("n").alias("tokens")).first()
+    n_buckets = max(1, math.ceil(held["tokens"] / bucket_tokens))
     hot = counts.where(F.col("c") > total["N"] / (2 * n_buckets)).orderBy("w").toPandas()
     drop_saved(counts)
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes()
-        for batch in batches:
-            hs = contexts(*coded(batch["text"].tolist(), codes), order)
-            yield pd.DataFrame({"h": np.unique(mixed(np.concatenate(hs).astype(np.uint64)).view(np.int64))})
-
     model = {
         "order": order, "k": k, "tail": tail, "N": total["N"], "small": small, "unseen": (total["N"] - kept) / total["N"], "base": total["N"] + 0.1 * (total["V"] + 1),
-        "hot": hot["w"].to_numpy(dtype=np.int64), "hot_counts": hot["c"].to_numpy(dtype=np.int64),
+        "hot": hot["w"].to_numpy(dtype=np.int64), "hot_counts": hot["c"].to_numpy(dtype=np.int64), "n_buckets": n_buckets,
     }
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Tokens by bucket, in the order of their words."""
-        codes, held, size, sendings = Codes(), [], 0, count()
-
-        def flushed() -> Iterator[pd.DataFrame]:
-            # Texts are numbered by task, sending and place; which text has a number goes once, to a bucket of numbers.
-            sending = next(sendings)
-            first_text = (TaskContext.get().partitionId() << 39) | (sending << PLACES)
-            w, sizes = (np.concatenate(x) for x in zip(*((a, b) for a, b, _, _ in held), strict=True))
-            keys, train = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-            held.clear()
-            yield piece(2 * n_buckets + (first_text >> PLACES) % n_buckets, first_text, len(keys), keys, [np.zeros(len(keys), dtype=np.int64)], np.arange(len(keys)))
-            hs, doc = contexts(w, sizes, order), np.repeat(np.arange(len(sizes)), sizes)
-            weight = train[doc].astype(np.int64)
-            pairs = pair_codes(w, hs[-1])
-            # Counts by the lowest bits first: they are never too small.
-            low = pairs & (LOW - 1)
-            maybe = np.flatnonzero(np.bincount(low, minlength=LOW)[low] >= common)
-            distinct, first, back, number = np.unique(pairs[maybe], return_index=True, return_inverse=True, return_counts=True)
-            if (often := number >= common).any():
-                often_at = np.zeros(len(w), dtype=bool)
-                often_at[maybe] = often[back]
-                each = pd.DataFrame({"w": pairs[often_at], "doc": doc[often_at]}).groupby(["w", "doc"], sort=False).size().reset_index(name="n")
-                # To buckets of texts, after the others; any will do
-                for at in range(0, len(each), 50_000):
-                    rows = each.iloc[at : at + 50_000]
-                    bucket = n_buckets + int(mixed(keys[:1].view(np.uint64) + np.uint64(at))[0] % np.uint64(n_buckets))
-                    yield piece(bucket, first_text, len(keys), rows["w"].to_numpy(), [rows["n"].to_numpy()], rows["doc"].to_numpy())
-                learnt = np.bincount(back, weights=weight[maybe])[often].astype(np.int64)
-                alone = maybe[first[often]]
-                rest = ~often_at
-                # A token for all of the pair, of no text
-                hs = [np.concatenate([h[rest], h[alone]]) for h in hs]
-                w, doc, weight = (np.concatenate([x[rest], y]) for x, y in ((w, w[alone]), (doc, np.full(len(alone), len(keys))), (weight, learnt)))
-                del often_at, each, alone, rest
-            del pairs, low, maybe, distinct, first, back, number, often
-            bucket = (mixed(w.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            if len(model["hot"]):
-                spread = model["hot"][np.minimum(np.searchsorted(model["hot"], w), len(model["hot"]) - 1)] == w
-                bucket[spread] = (mixed(hs[0][spread].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            by_bucket = np.lexsort((w, bucket))
-            w, doc, weight, bucket, *hs = (x[by_bucket] for x in (w, doc, weight, bucket, *hs))
-            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for lo, hi in zip(begin, np.r_[begin[1:], len(bucket)], strict=True):
-                yield piece(bucket[lo], first_text, len(keys), w[lo:hi], [h[lo:hi] for h in hs], doc[lo:hi], weight[lo:hi])
-
-        def piece(bucket, first, texts, w, hs, doc, weight=None) -> pd.DataFrame:
-            # Histories repeat: the distinct longest in order with the shorter ones in them, and which of them each token has.
-            _, once, at = np.unique(hs[-1], return_index=True, return_inverse=True)
-            data = [_planes(np.diff(w, prepend=0)), [_planes(np.diff(h[once], prepend=0)) for h in hs], _planes(at), _planes(doc), b"" if weight is None else _planes(weight)]
-            return pd.DataFrame({"bucket": [bucket], "first": [first], "texts": [texts]} | {c: [x] for c, x in zip(("w", "h", "at", "doc", "weight"), data, strict=True)})
-
         for batch in batches:
-            w, sizes = coded(batch["text"].tolist(), codes)
-            held.append((w, sizes, batch["key"].to_numpy(), batch["learnt"].to_numpy(dtype=bool)))
-            size += len(w)
-            if size >= FLUSH:
-                yield from flushed()
-                held, size = [], 0
-        if held:
-            yield from flushed()
+            for row in batch.to_dict("records"):
+                yield from Grams(row, model).pieces(row["sending"], _numbers(row["learnt"]))
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, held, bucket = None, [], Bucket(model)
 
         def taken() -> tuple:
             """What the bucket's pieces hold; the pieces go."""
-            own = np.concatenate([np.cumsum(_numbers(r["w"])) for r in held])
-            at = [_numbers(r["at"]) for r in held]
-            hs = [np.concatenate([np.cumsum(_numbers(r["h"][i]))[a] for r, a in zip(held, at, strict=True)]) for i in range(len(held[0]["h"]))]
-            docs, keys = [_numbers(r["doc"]) for r in held], [r["first"] + np.arange(r["texts"]) for r in held]
-            offset = np.cumsum([0, *map(len, keys)])
-            doc = np.concatenate([np.where(d < len(x), d + o, offset[-1]) for d, x, o in zip(docs, keys, offset, strict=False)])
-            weight = None if number >= n_buckets else np.concatenate([_numbers(r["weight"]) for r in held])
+            keys, parts = np.array([r["sending"] for r in held]), [piece_grams(r["data"]) for r in held]
             held.clear()
-            return own, hs, doc, np.concatenate(keys), weight
+            w, hs, weight = zip(*parts, strict=True)
+            doc = np.repeat(np.arange(len(keys)), [len(x) for x in w])
+            return np.concatenate(w), [np.concatenate(h) for h in zip(*hs, strict=True)], doc, keys, np.concatenate(weight)
 
         def closed() -> Iterator[pd.DataFrame]:
-            if not held:
-                return
-            if number < n_buckets:
+            if held:
                 for part in bucket.solve(*taken()):
-                    if not len(part):
-                        continue
-                    if part["kind"].iat[0] == "text":
-                        yield from map(filled, packed_sums(part))
-                    else:
-                        yield filled(part)
-                return
-            own, hs, doc, keys, _ = taken()
-            if number >= 2 * n_buckets:
-                yield filled(pd.DataFrame({"kind": "number", "key": own, "other": keys[doc]}))
-            else:
-                yield filled(pd.DataFrame({"kind": "common", "key": keys[doc], "other": own, "n": hs[0]}).groupby(["kind", "key", "other"], sort=False).sum().reset_index())
-
-        def filled(part: pd.DataFrame) -> pd.DataFrame:
-            return part.reindex(columns=columns, fill_value=0).assign(grams=part["grams"] if "grams" in part else None)
+                    part = part.assign(other=number) if part["kind"].iat[0] == "answer" else part
+                    yield part.reindex(columns=columns, fill_value=0).assign(grams=part["grams"] if "grams" in part else None)
 
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -408,67 +387,58 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 held.append(row)
         yield from closed()
 
-    few_columns = [f"r{o}_{r}" for o in range(2, order + 1) for r in range(1, k + 1)]
-    columns = ["kind", "key", "other", "n", "known", *few_columns, "x", "y"]
-    schema = "kind string, key long, other long, n long, known long, " + ", ".join(f"{c} long" for c in few_columns) + ", x double, y double, grams array<binary>"
-    pieces = texts.mapInPandas(sent, "bucket long, first long, texts long, w binary, h array<binary>, at binary, doc binary, weight binary")
+    columns = ["kind", "key", "other", "n", "grams"]
+    pieces = sendings.select("sending", "learnt", "sizes", "words", "tokens").mapInPandas(sent, "bucket long, sending long, data array<binary>")
     n_tasks = max(1, math.ceil(n_buckets / 4))
-    parts = saved(pieces.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(solved, schema), "katz-parts", "kind")
+    parts = saved(pieces.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(solved, "kind string, key long, other long, n long, grams array<binary>"), "katz-parts", "kind")
 
     few = {o: {} for o in range(2, order + 1)}
-    for r in parts.where("kind = 'counts'").groupBy("other", "key").agg(F.sum("n").alias("n")).collect():
+    for r in parts.where("kind = 'counts' AND n > 0").groupBy("other", "key").agg(F.sum("n").alias("n")).collect():
         few[r["other"]][r["key"]] = r["n"]
     smalls = [small, *(discounted(few[o], k, tail) for o in range(2, order + 1))]
-    used = gram_filter(texts.where("NOT learnt").select("text").mapInPandas(tokens, "h long"), filter_bits)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A sending comes before its answers, which are in the order of their buckets."""
+        sending, answers, scores = None, [], Scores(model, smalls)
+
+        def closed() -> Iterator[pd.DataFrame]:
+            if sending is not None:
+                for part in scores.of(sending, answers):
+                    yield part.reindex(columns=["kind", "key", "other", "n", "known", "base", "score"], fill_value=0)
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                if row["bucket"] < 0:
+                    yield from closed()
+                    sending, answers = row, []
+                else:
+                    answers.append(row["grams"])
+        yield from closed()
+
+    asked = sendings.select("sending", F.lit(-1).cast("long").alias("bucket"), "keys", "sizes", "words", "tokens")
+    answers = parts.where("kind = 'answer'").select(F.col("key").alias("sending"), F.col("other").alias("bucket"), "grams")
+    both = asked.unionByName(answers, allowMissingColumns=True).repartition(held["sendings"], "sending").sortWithinPartitions("sending", "bucket")
+    scores = saved(both.mapInPandas(scored, "kind string, key long, other long, n long, known long, base double, score double"), "katz-scores", "kind")
+    drop_saved(sendings)
+    own = scores.where("kind = 'text'").select("key", F.lit(1).alias("copies"), "n", "known", "base", "score")
+    unseen = scores.where("kind = 'unseen'").select("key", "other", "n", "known")
+    used = gram_filter(unseen.select(F.col("other").alias("h")), filter_bits)
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each history that a text not learnt from can have: its count and the two sums in alpha. In the second, counts of
+        """For each history that a token goes back from: its count and the two sums in alpha. In the second, counts of
         the order below are yet to be divided by that of the shorter history."""
         for batch in batches:
             for grams in batch["grams"]:
                 levels = stored_grams(grams)
                 for o in range(2, order + 1):
                     (_, shorter, below), (parent, own, c) = levels[o - 2 : o]
-                    use = _known(used, mixed(own.astype(np.uint64)).view(np.int64))
+                    use = _known(used, own)
                     parent, own, c = parent[use], own[use], c[use]
                     ids, first, back = np.unique(own, return_index=True, return_inverse=True)
                     lower = star(below[parent], smalls[o - 2], tail) / (total["N"] if o == 2 else 1)
                     sums = {name: np.bincount(back, weights=x, minlength=len(ids)) for name, x in (("c", c), ("kept", star(c, smalls[o - 1], tail)), ("lower", lower))}
                     yield pd.DataFrame({"other": ids, "size": o - 1, "shorter": shorter[parent[first]]} | sums)
 
-    rare = sum((F.col(f"r{o}_{r}") * math.log10(smalls[o - 1][r]) for o in range(2, order + 1) for r in range(1, k + 1)), F.col("y"))
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The texts' sums over all buckets, sending by sending."""
-        log_small = np.log10([smalls[o - 1][r] for o in range(2, order + 1) for r in range(1, k + 1)])
-        sending, of = None, np.zeros((4, 0))
-
-        def closed() -> Iterator[pd.DataFrame]:
-            there = np.flatnonzero(of[0])
-            if len(there):
-                yield pd.DataFrame({"key": (sending << PLACES) + there, "n": of[0, there].astype(np.int64), "known": of[1, there].astype(np.int64), "base": of[2, there], "score": of[3, there]})
-
-        for batch in batches:
-            for own, n, data in zip(batch["key"], batch["n"], batch["grams"], strict=True):
-                if own != sending:
-                    yield from closed()
-                    sending, of = own, np.zeros((4, 0))
-                place, numbers, (base, rest) = unpacked_sums(data, n)
-                if place[-1] >= of.shape[1]:
-                    of = np.pad(of, ((0, 0), (0, place[-1] + 1 - of.shape[1])))
-                of[:, place] += np.stack([numbers[0], numbers[1], base, rest + log_small @ numbers[2:]])
-        yield from closed()
-
-    own = parts.where("kind = 'text'").select("key", "n", "grams").repartition("key").sortWithinPartitions("key")
-    own = own.mapInPandas(summed, "key long, n long, known long, base double, score double")
-    # Common n-grams: what one token contributes, times their number in each text.
-    pair = parts.where("kind = 'pair'").select(F.col("key").alias("pair"), F.col("known").alias("is_known"), F.col("x").alias("base"), rare.alias("score"))
-    common_pairs = parts.where("kind = 'common'").select("key", F.col("other").alias("pair"), F.col("n").alias("times"))
-    of_pairs = common_pairs.join(pair.dropDuplicates(["pair"]), "pair")
-    own = own.unionByName(of_pairs.select("key", F.col("times").alias("n"), *((F.col("times") * F.col(c)).alias(to) for c, to in (("is_known", "known"), ("base", "base"), ("score", "score")))))
-    lost = parts.where("kind = 'lost'").select(F.col("key").alias("pair"), "other", "n", "known").dropDuplicates(["pair", "other"])
-    unseen = parts.where("kind = 'unseen'").select("key", "other", "n", "known")
-    unseen = unseen.unionByName(common_pairs.join(lost, "pair").select("key", "other", *((F.col("times") * F.col(c)).alias(c) for c in ("n", "known"))))
     history = parts.where("kind = 'grams'").select("grams").mapInPandas(weighed, "other long, size int, shorter long, c double, kept double, lower double")
     history = history.groupBy("other").agg(F.first("size").alias("size"), F.first("shorter").alias("shorter"), *(F.sum(c).alias(c) for c in ("c", "kept", "lower")))
     if order > 2:
@@ -477,14 +447,13 @@ def katz_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         history = history.join(of_shorter, "shorter", "left").withColumn("lower", F.when(F.col("size") == 1, F.col("lower")).otherwise(F.col("lower") / F.col("c_shorter")))
     # Of alpha(h) = (1 - kept / c) / (1 - lower), c(h) is divided by apart.
     alpha = history.select("other", F.log10((F.col("c") - F.col("kept")) / (1 - F.col("lower"))).alias("log_alpha"), F.log10("c").alias("log_c"))
-    backed = unseen.join(alpha, "other").groupBy("key").agg(F.sum(F.col("n") * F.col("log_alpha") - F.col("known") * F.col("log_c")).alias("score"))
+    back = F.when(F.col("n") > 0, F.col("n") * F.col("log_alpha")).otherwise(0.0) - F.col("known") * F.col("log_c")
+    backed = unseen.join(alpha, "other").groupBy("key").agg(F.sum(back).alias("score"))
     zero = F.lit(0).cast("long")
-    every = own.unionByName(backed.select("key", zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), "score"))
-    every = every.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
-    numbers = parts.where("kind = 'number'").select(F.col("other").alias("number"), F.col("key").alias("text"))
-    every = every.join(numbers, F.col("key") == F.col("number")).groupBy(F.col("text").alias("key")).agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
-    copies = ids.groupBy("key").count()
-    every = every.join(copies, "key").select("key", *((F.col(c) / F.col("count")).alias(c) for c in ("n", "known", "base", "score")))
+    every = own.unionByName(backed.select("key", F.lit(0).alias("copies"), zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), "score"))
+    sums = ("n", "known", "base", "score")
+    every = every.groupBy("key").agg(F.sum("copies").alias("copies"), *(F.sum(c).alias(c) for c in sums))
+    every = every.select("key", *((F.col(c) / F.col("copies")).alias(c) for c in sums))
     return ids.join(every, "key").select(
         id_col, "learnt", F.round("n").cast("long").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(total["N"]).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), (F.col("score") - math.log10(total["D"])).alias("score"),

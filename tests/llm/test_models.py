@@ -185,6 +185,25 @@ def test_katz_keeps_counts_of_all_grams():
     assert dict(zip(((*pairs[i], h) for i, h in zip(up3, h3)), c3)) == want[2]
 
 
+def test_katz_holds_as_much_for_any_number_of_buckets(spark, monkeypatch):
+    """What texts get back from the buckets must not multiply with them: a corpus has buckets in proportion to its size."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 10 != 0).alias("learnt"))
+    held = []
+
+    def saved(df, label, *partitions):
+        out = katz_saved(df, label, *partitions)
+        data = [c for c, kind in out.dtypes if kind == "array<binary>"]
+        if data:
+            held.append(out.where(f"kind <> 'grams' AND {data[0]} IS NOT NULL").agg(F.sum(F.expr(f"aggregate({data[0]}, 0, (a, x) -> a + length(x))"))).first()[0])
+        return out
+
+    katz_saved = katz.saved
+    monkeypatch.setattr(katz, "saved", saved)
+    few, many = ({r.doc_id: r.score for r in katz.katz_scores(docs, F.col("learnt"), bucket_tokens=n).collect()} for n in (40_000, 4_000))
+    assert few.keys() == many.keys() and all(math.isclose(few[i], many[i], rel_tol=1e-9) for i in few)
+    assert len(held) == 2 and held[1] < 2 * held[0]
+
+
 def test_katz_without_training_texts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     found = katz.katz_scores(df, F.lit(False)).collect()
