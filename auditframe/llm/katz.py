@@ -13,7 +13,7 @@ ratios, larger ones by the constant ``tail``, so that every history keeps some m
 alpha(h) = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w | h') over the same w), summed exactly, so the
 probabilities after any history add up to 1.
 
-Texts are tokenized once and kept in sendings of some million tokens: the words of a sending, and its tokens as
+Texts are tokenized once and kept in sendings of about a million tokens: the words of a sending, and its tokens as
 numbers of words. Word counts are aggregated from them first. Then each distinct n-gram of a sending is sent once, to the bucket
 of its word, as the hashes of its word and histories and its number in training texts; a word with very many tokens is
 spread over all buckets by the word before. Words go to buckets by ranges of their hashes, so that a sending takes the same bytes
@@ -54,7 +54,7 @@ from auditframe.llm.repeats import _known, gram_filter, mixed, row_key
 
 START, END, BITS = 0, 1, 52
 #: Tokens of a sending, and tokens for each bucket.
-FLUSH, BUCKET_TOKENS = 2_000_000, 700_000
+FLUSH, BUCKET_TOKENS = 1_000_000, 700_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 
